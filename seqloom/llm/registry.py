@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from seqloom.llm import simhash
+from seqloom.llm import bpe, packing, simhash
 
 QUERIES = {
     "op4_simhash_components": simhash.op4_simhash_components,
+    "op5_packing": packing.op5_packing,
+    "op6_bpe_encode": bpe.op6_bpe_encode,
 }
 ORACLES: dict[str, str] = {}
