@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, packing, simhash
+from seqloom.llm import bpe, langid, packing, simhash, urlfilter, winnowing
 
 QUERIES = {
     "op4_simhash_components": simhash.op4_simhash_components,
     "op5_packing": packing.op5_packing,
     "op6_bpe_encode": bpe.op6_bpe_encode,
+    "op8_url_filter": urlfilter.op8_url_filter,
+    "op9_winnowing": winnowing.op9_winnowing,
+    "op10_language_id": langid.op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": urlfilter.SQL}
