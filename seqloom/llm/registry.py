@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, langid, packing, simhash, urlfilter, winnowing
+from seqloom.llm import bpe, langid, media, packing, secrets, simhash, token_counts, urlfilter, winnowing
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_simhash_components": simhash.op4_simhash_components,
     "op5_packing": packing.op5_packing,
     "op6_bpe_encode": bpe.op6_bpe_encode,
+    "op7_media": media.op7_media,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_language_id": langid.op10_language_id,
