@@ -11,11 +11,14 @@ seat by its rank within its length, with joins only.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right
+from collections import ChainMap
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +28,22 @@ WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 #: Runs of non-space characters kept by a worker, and the longest that is kept.
-KEPT, KEPT_CHARS = 400_000, 48
+KEPT, KEPT_CHARS = 600_000, 48
 RANK_SALTS = 256
 STEP = 64
+ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class Ids:
     """Token ids by the tokenizers library, once per distinct run of characters.
 
-    For a tokenizer that drops white space and never joins across it.
+    For a tokenizer that drops white space, folds case and marks word ends.
+    Runs of Latin letters are cut into pre-tokens here, and the library sees
+    each distinct pre-token once; it gets all other runs whole.
     """
 
+    WORDS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -43,23 +51,59 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.memory: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_words(self, new: list[str]) -> None:
+        """Encodes pre-tokens many at a time; each ends where a word end stands."""
+        if len(self.words) > KEPT * 2 // 3:
+            self.words.clear()
+        for at in range(0, len(new), 500):
+            part = new[at : at + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stop) == len(part) and stop[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.words.update(zip(part, [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
+            else:
+                self.words.update(zip(part, self._whole(part), strict=True))
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        cut, whole = {}, []
+        for run in new:
+            low = run.lower()
+            if "'" in run or "<|" in run or max(low) > "\u024f":
+                whole.append(run)
+            else:
+                cut[run] = self.WORDS.findall(low)
+        unseen = set().union(*cut.values()).difference(self.words)
+        self._learn_words(list(unseen))
+        missing = {w for ws in cut.values() for w in ws}.difference(self.words) if len(self.words) == len(unseen) else ()
+        if missing:  # the memory was begun anew just now
+            self._learn_words(list(missing))
+        words = self.words
+        return {run: b"".join([words[w] for w in ws]) for run, ws in cut.items()} | dict(zip(whole, self._whole(whole), strict=True))
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         if len(self.memory) > KEPT:
             self.memory.clear()
         # str.split() also splits at four control characters that the tokenizer keeps
-        runs = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else [t] for t in texts]
-        new = list({r for rs in runs for r in set(rs) if len(r) <= KEPT_CHARS}.difference(self.memory))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            self.memory.update(zip(part, self._encode(part), strict=True))
-        kept = self.memory
-        return [b"".join([kept[r] if r in kept else self._encode([r])[0] for r in rs]) for rs in runs]
+        runs = [[t] if ODD_SPACE.search(t) else t.split() for t in texts]
+        new = set().union(*runs).difference(self.memory)
+        long = {r for r in new if len(r) > KEPT_CHARS}
+        self.memory.update(self._learn(new - long))
+        extra = self._learn(long)
+        if extra:
+            both = ChainMap(extra, self.memory)
+            return [b"".join([both[r] for r in rs]) for rs in runs]
+        return [b"".join(map(self.memory.__getitem__, rs)) for rs in runs]
 
 
 _LOADED: dict[str, Ids] = {}
@@ -144,8 +188,9 @@ def ranked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     hold; the salt is a hash of the order columns.
     """
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(RANK_SALTS)).cast("int"))
-    held = salted.groupBy(key, "salt").agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.array_agg(F.struct("salt", "n"))).alias("held"))
-    before = held.select(F.col(key), F.explode(F.expr(f"transform(sequence(0, {RANK_SALTS - 1}), s -> struct(s AS salt, aggregate(sequence(0, s), 0L, (a, i) -> a + if(i < s, coalesce(held[i], 0L), 0L)) AS shift))")).alias("x")).select(key, "x.*")
+    so_far = Window.partitionBy(key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    # at most RANK_SALTS rows for each key
+    before = salted.groupBy(key, "salt").agg(F.count("*").alias("n")).select(key, "salt", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("shift"))
     numbered = salted.withColumn("rn", F.row_number().over(Window.partitionBy(key, "salt").orderBy(*order)) - 1)
     return numbered.join(before, [key, "salt"]).withColumn("rank", F.col("rn") + F.col("shift")).drop("salt", "rn", "shift")
 
