@@ -1,8 +1,8 @@
 """BPE with word ends: speculate with greedy longest match, verify, merge the rest.
 
-The work is per distinct run of non-space characters. No pre-token spans white
-space, so a run's ids do not depend on what stands around it and each worker
-keeps the runs it has seen, up to a fixed number.
+The work is per distinct unit (see units.py). No pre-token spans two units, so
+a unit's ids do not depend on what stands around it and a worker encodes each
+unit once.
 """
 
 from __future__ import annotations
@@ -20,15 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.units import Memory
 from seqloom.session import ship
 
 NO_RANK = np.iinfo(np.int64).max
-#: Runs and words kept by a worker; beyond it the memory is begun anew.
-KEPT = 250_000
-#: Longer runs are encoded where they stand and not kept.
-KEPT_CHARS = 48
-#: Characters that Python's str.split() takes as space and the tokenizer doesn't.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class WordBpe:
@@ -51,8 +46,8 @@ class WordBpe:
         self.byte_chars = str.maketrans(byte_alphabet())
         self.longest = max(map(len, self.vocab))
         self._merges(model["merges"])
-        self.word_memory: dict[str, tuple[int, ...]] = {}
-        self.run_memory: dict[str, tuple[bytes, bytes]] = {}
+        self.decoded = {i: np.frombuffer(f"{t} ".encode(), np.uint8) for i, t in self.names.items()}
+        self.memory = Memory(self._learn, (np.uint32, np.uint8))
 
     def _merges(self, merges) -> None:
         size = max(self.names) + 1
@@ -138,11 +133,9 @@ class WordBpe:
             parts = out
         return parts
 
-    def encode_words(self, words: set[str]) -> None:
-        """Put the ids of these pre-tokens (in byte characters) in the memory."""
-        if len(self.word_memory) > KEPT:
-            self.word_memory.clear()
-        todo = [w for w in words if w not in self.word_memory]
+    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
+        """The ids of these pre-tokens, given in byte characters."""
+        todo = list(words)
         guesses = [self.speculate(w) for w in todo]
         flat = np.array([i for g in guesses if g for i in g], np.int64)
         sizes = np.array([len(g) if g else 0 for g in guesses], np.int64)
@@ -153,8 +146,7 @@ class WordBpe:
             pairs, back = np.unique(flat[:-1][same] * self.size + flat[1:][same], return_inverse=True)
             good = self.compatible(pairs // self.size, pairs % self.size)
             failed[of[1:][same][~good[back]]] = True
-        for word, guess, bad in zip(todo, guesses, failed.tolist(), strict=True):
-            self.word_memory[word] = tuple(self.merge(word) if bad or guess is None else guess)
+        return {w: self.merge(w) if bad or guess is None else guess for w, guess, bad in zip(todo, guesses, failed.tolist(), strict=True)}
 
     def pre_tokens(self, run: str) -> list[str | int]:
         """Pre-tokens in byte characters; an int is a special token."""
@@ -178,38 +170,16 @@ class WordBpe:
         """Pre-tokens of a run with characters newer than this Python's Unicode."""
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
 
-    def runs(self, texts: list[str]) -> list[list[str]]:
-        """Each text's runs; afterwards all of them that are kept are in memory."""
-        if len(self.run_memory) > KEPT:
-            self.run_memory.clear()
-        found = [[t] if ODD_SPACE.search(t) else t.split() for t in texts]
-        new = {r for runs in found for r in set(runs) if len(r) <= KEPT_CHARS}.difference(self.run_memory)
-        pre = {r: self.pre_tokens(r) for r in new}
-        self.encode_words({w for ws in pre.values() for w in ws if isinstance(w, str)})
-        for r, ws in pre.items():
-            self.run_memory[r] = self._packed(ws)
-        return found
-
-    def _packed(self, words: list[str | int]) -> tuple[bytes, bytes]:
-        ids = [i for w in words for i in ([w] if isinstance(w, int) else self.word_memory[w])]
-        return np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids).encode()
-
-    def _one(self, run: str) -> tuple[bytes, bytes]:
-        found = self.run_memory.get(run)
-        if found is None:
-            words = self.pre_tokens(run)
-            self.encode_words({w for w in words if isinstance(w, str)})
-            found = self._packed(words)
-        return found
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian uint32, decoded text in UTF-8) of each text."""
-        out, texts = [], self.runs(texts)
-        kept = self.run_memory
-        for runs in texts:
-            got = [kept.get(r) or self._one(r) for r in runs]
-            out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])))
-        return out
+    def _learn(self, units: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        pre = [self.pre_tokens(u.decode()) for u in units]
+        known = self.encode_words({w for ws in pre for w in ws if isinstance(w, str)})
+        ids = [[i for w in ws for i in ([w] if isinstance(w, int) else known[w])] for ws in pre]
+        return [np.array(x, np.uint32) for x in ids], [np.concatenate([self.decoded[i] for i in x]) if x else np.empty(0, np.uint8) for x in ids]
+
+    def encode_batch(self, texts: list[bytes]):
+        """Yields (ids as little-endian uint32, decoded text in UTF-8) of each text."""
+        for ids, decoded in self.memory.texts(texts, fold=True):
+            yield ids.astype("<u4", copy=False).tobytes(), decoded[:-1].tobytes()
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -244,11 +214,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         bpe = loaded(path or default_path())
         for pdf in batches:
-            got = bpe.encode_batch(pdf["text"].tolist())
+            got = list(bpe.encode_batch([x or b"" for x in pdf["data"]]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [array("I", g[0]).tolist() for g in got], "decoded": [g[1].decode() for g in got]})
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data")).mapInPandas(run, "doc_id bigint, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -257,11 +227,11 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         bpe = loaded(path or default_path())
         for pdf in batches:
-            got = bpe.encode_batch(pdf["text"].tolist())
+            got = list(bpe.encode_batch([x or b"" for x in pdf["data"]]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(g[0]) // 4 for g in got], "ids_sha256": [hashlib.sha256(g[0]).hexdigest() for g in got], "decoded_sha256": [hashlib.sha256(g[1]).hexdigest() for g in got]})
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data")).mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe_encode(spark, sf_dir) -> DataFrame:

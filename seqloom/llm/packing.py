@@ -14,35 +14,29 @@ import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right
-from collections import ChainMap
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm.units import Memory
 from seqloom.session import ship, table
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
-#: Runs of non-space characters kept by a worker, and the longest that is kept.
-KEPT, KEPT_CHARS = 600_000, 48
 RANK_SALTS = 256
 STEP = 64
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class Ids:
-    """Token ids by the tokenizers library, once per distinct run of characters.
+    """Token ids by the tokenizers library, which sees each distinct unit once.
 
     For a tokenizer that drops white space, folds case and marks word ends.
-    Runs of Latin letters are cut into pre-tokens here, and the library sees
-    each distinct pre-token once; it gets all other runs whole.
     """
 
-    WORDS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    PLAIN = re.compile(rb"[a-z]+|[0-9]|[^\x80-\xff'\sa-z0-9]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,56 +48,27 @@ class Ids:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.memory: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_words(self, new: list[str]) -> None:
-        """Encodes pre-tokens many at a time; each ends where a word end stands."""
-        if len(self.words) > KEPT * 2 // 3:
-            self.words.clear()
-        for at in range(0, len(new), 500):
-            part = new[at : at + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stop) == len(part) and stop[-1] == 4 * len(ids):
-                raw = ids.tobytes()
-                self.words.update(zip(part, [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)], strict=True))
-            else:
-                self.words.update(zip(part, self._whole(part), strict=True))
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        cut, whole = {}, []
-        for run in new:
-            low = run.lower()
-            if "'" in run or "<|" in run or max(low) > "\u024f":
-                whole.append(run)
-            else:
-                cut[run] = self.WORDS.findall(low)
-        unseen = set().union(*cut.values()).difference(self.words)
-        self._learn_words(list(unseen))
-        missing = {w for ws in cut.values() for w in ws}.difference(self.words) if len(self.words) == len(unseen) else ()
-        if missing:  # the memory was begun anew just now
-            self._learn_words(list(missing))
-        words = self.words
-        return {run: b"".join([words[w] for w in ws]) for run, ws in cut.items()} | dict(zip(whole, self._whole(whole), strict=True))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        if len(self.memory) > KEPT:
-            self.memory.clear()
-        # str.split() also splits at four control characters that the tokenizer keeps
-        runs = [[t] if ODD_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*runs).difference(self.memory)
-        long = {r for r in new if len(r) > KEPT_CHARS}
-        self.memory.update(self._learn(new - long))
-        extra = self._learn(long)
-        if extra:
-            both = ChainMap(extra, self.memory)
-            return [b"".join([both[r] for r in rs]) for rs in runs]
-        return [b"".join(map(self.memory.__getitem__, rs)) for rs in runs]
+        self.memory = Memory(self._learn, (np.uint32,))
+
+    def _learn(self, units: list[bytes]) -> tuple[list[np.ndarray]]:
+        """Units that are one pre-token each go many to a call; word ends part their ids."""
+        out: list = [None] * len(units)
+        plain = [i for i, u in enumerate(units) if self.PLAIN.fullmatch(u) and b"<|" not in u]
+        for at in range(0, len(plain), 500):
+            part = plain[at : at + 500]
+            ids = np.array(self.tokenizer.encode(b" ".join([units[i] for i in part]).decode(), add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(part) and stop[-1] == len(ids):
+                for i, x in zip(part, np.split(ids, stop[:-1]), strict=True):
+                    out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return (out,)
+
+    def batch(self, texts: list[bytes]):
+        """The ids of each text."""
+        return (x for (x,) in self.memory.texts(texts, fold=True))
 
 
 _LOADED: dict[str, Ids] = {}
@@ -124,20 +89,20 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
             at = public_tokenizers.path("word_bpe_49k.json")
         if at not in _LOADED:
             _LOADED[at] = Ids(at)
-        end, wide = np.array([end_id], "<u4").tobytes(), 4 * window
+        end = np.array([end_id], np.uint32)
         for pdf in batches:
             rows = []
-            for doc_id, ids in zip(pdf["doc_id"], _LOADED[at].batch(pdf["text"].tolist()), strict=True):
-                ids += end
-                for s in range(0, len(ids), wide):
-                    part = ids[s : s + wide]
-                    rows.append((doc_id, s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
+            for doc_id, ids in zip(pdf["doc_id"], _LOADED[at].batch([x or b"" for x in pdf["data"]]), strict=True):
+                ids = np.concatenate([ids, end])
+                for s in range(0, len(ids), window):
+                    part = ids[s : s + window]
+                    rows.append((doc_id, s, len(part), zlib.crc32(part.astype("<u4", copy=False)), len(ids)))
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data")).mapInPandas(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def plan(counts: dict[int, int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int]], int]]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, langid, media, packing, secrets, simhash, token_counts, urlfilter, winnowing
+from seqloom.llm import bpe, langid, media, packing, ppm, secrets, simhash, token_counts, urlfilter, winnowing
 
 QUERIES = {
+    "op1_ppm_score": ppm.op1_ppm_score,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_simhash_components": simhash.op4_simhash_components,
