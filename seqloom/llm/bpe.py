@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.units import Memory
 from seqloom.session import ship
 
-NO_RANK = np.iinfo(np.int64).max
+NO_RANK = int(np.iinfo(np.int64).max)
 
 
 class WordBpe:
@@ -46,7 +46,6 @@ class WordBpe:
         self.byte_chars = str.maketrans(byte_alphabet())
         self.longest = max(map(len, self.vocab))
         self._merges(model["merges"])
-        self.decoded = {i: np.frombuffer(f"{t} ".encode(), np.uint8) for i, t in self.names.items()}
         self.memory = Memory(self._learn, (np.uint32, np.uint8))
 
     def _merges(self, merges) -> None:
@@ -54,12 +53,14 @@ class WordBpe:
         #: The merge that forms a token; its parts; a token without one is a base.
         self.rank = np.full(size, NO_RANK, np.int64)
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        self.pair_rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pair_rank: dict[tuple[int, int], int] = {}
+        self.merged: dict[int, int] = {}
         for rank, pair in enumerate(merges):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
             if (x, y) not in self.pair_rank:
-                self.pair_rank[x, y] = (rank, z)
+                self.pair_rank[x, y] = rank
+                self.merged[rank] = z
             if self.rank[z] == NO_RANK:
                 self.rank[z], self.left[z], self.right[z] = rank, x, y
         for z in np.flatnonzero(self.left >= 0).tolist():
@@ -69,7 +70,7 @@ class WordBpe:
         keys = np.array([x * size + y for x, y in self.pair_rank], np.int64)
         order = np.argsort(keys)
         self.size, self.pair_keys = size, keys[order]
-        self.pair_ranks = np.array([r for r, _ in self.pair_rank.values()], np.int64)[order]
+        self.pair_ranks = np.array(list(self.pair_rank.values()), np.int64)[order]
 
     def speculate(self, word: str) -> list[int] | None:
         """Greedy longest match from the left; None if some place has no match."""
@@ -118,14 +119,18 @@ class WordBpe:
     def merge(self, word: str) -> list[int]:
         """Exact merging in rank order, the leftmost first."""
         parts = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.end]]
+        rank_of = self.pair_rank.get
         while len(parts) > 1:
-            rank, at = min((self.pair_rank.get(p, (NO_RANK,))[0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            ranks = [rank_of(p, NO_RANK) for p in zip(parts, parts[1:], strict=False)]
+            rank = min(ranks)
             if rank == NO_RANK:
                 break
-            pair, merged, out, i = (parts[at], parts[at + 1]), self.pair_rank[parts[at], parts[at + 1]][1], parts[:at], at
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(merged)
+            at, token = ranks.index(rank), self.merged[rank]
+            x, y = parts[at], parts[at + 1]
+            out, i, n = parts[:at], at, len(parts)
+            while i < n:
+                if parts[i] == x and i + 1 < n and parts[i + 1] == y:
+                    out.append(token)
                     i += 2
                 else:
                     out.append(parts[i])
@@ -171,10 +176,11 @@ class WordBpe:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
 
     def _learn(self, units: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        names = self.names
         pre = [self.pre_tokens(u.decode()) for u in units]
         known = self.encode_words({w for ws in pre for w in ws if isinstance(w, str)})
         ids = [[i for w in ws for i in ([w] if isinstance(w, int) else known[w])] for ws in pre]
-        return [np.array(x, np.uint32) for x in ids], [np.concatenate([self.decoded[i] for i in x]) if x else np.empty(0, np.uint8) for x in ids]
+        return [np.array(x, np.uint32) for x in ids], [np.frombuffer("".join([f"{names[i]} " for i in x]).encode(), np.uint8) for x in ids]
 
     def encode_batch(self, texts: list[bytes]):
         """Yields (ids as little-endian uint32, decoded text in UTF-8) of each text."""
