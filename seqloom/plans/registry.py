@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,3 +18,7 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+for _name in ("reads_queries", "interval_queries", "pileup_queries"):
+    import_module(f"seqloom.plans.{_name}")
