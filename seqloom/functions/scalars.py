@@ -14,7 +14,7 @@ def mean_qscore(q: str) -> Column:
 
 def mean_qscore_from(q: str, start: int) -> Column:
     """mean_qscore() of the part after `start`; of all of it if it isn't longer."""
-    return F.when(F.length(q) <= start, F.col(q)).otherwise(F.expr(f"substr({q}, {start + 1})"))
+    return mean_qscore(f"if(length({q}) <= {start}, {q}, substr({q}, {start + 1}))")
 
 
 def rna_poly_a_start(seq: str) -> Column:
