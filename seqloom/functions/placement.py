@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 WILD = {"N": "ACGT", "V": "ACG", "M": "AC"}
 
 
-def _distances(patterns: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _distances(patterns: list[str], texts: list[str], anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(least edits of each pattern against any stretch of its text, end of the leftmost such stretch).
 
+    anchored: only stretches from the text's start count.
+
     Rows of the table run over the pattern, columns over the text; moves along
     a row are a running minimum, so each step is one pass over the batch.
     """
@@ -22,9 +24,9 @@ def _distances(patterns: list[str], texts: list[str]) -> tuple[np.ndarray, np.nd
     for i, t in enumerate(texts):
         text[i, : len(t)] = np.frombuffer(t.encode("latin-1", "replace"), np.uint8)
     outside = np.arange(n + 1)[None, :] > np.array([len(t) for t in texts])[:, None]
-    row = np.zeros((len(texts), n + 1), np.int32)
-    done = row.copy()
     along = np.arange(n + 1, dtype=np.int32)[None, :]
+    row = np.repeat(along * anchored, len(texts), axis=0).astype(np.int32)
+    done = row.copy()
     sizes = np.array([len(p) for p in patterns])
     for i in range(m):
         letters = [p[i] if i < len(p) else "" for p in patterns]
@@ -60,20 +62,6 @@ def _place(pattern: pd.Series, text: pd.Series) -> pd.DataFrame:
         p, t = pattern[ok].tolist(), text[ok].tolist()
         dist, end = _distances(p, t)
         # backwards from the end, the first place where as few edits are enough
-        _, back = _ends_at([x[::-1] for x in p], [x[:e][::-1] for x, e in zip(t, end.tolist(), strict=True)], dist)
+        _, back = _distances([x[::-1] for x in p], [x[:e][::-1] for x, e in zip(t, end.tolist(), strict=True)], anchored=True)
         out.loc[ok, "dist"], out.loc[ok, "end"], out.loc[ok, "start"] = dist, end, end - back
     return out
-
-
-def _ends_at(patterns: list[str], texts: list[str], dist: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Shortest prefix of each text at edit distance dist from the pattern."""
-    found = []
-    for p, t, d in zip(patterns, texts, dist.tolist(), strict=True):
-        row = list(range(len(t) + 1))
-        for c in p:
-            new = [row[0] + 1]
-            for j, x in enumerate(t):
-                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x not in WILD.get(c, c))))
-            row = new
-        found.append(next((j for j, x in enumerate(row) if x <= d), len(t)))
-    return dist.tolist(), np.array(found)
