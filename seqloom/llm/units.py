@@ -94,6 +94,21 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base]
 
 
+def stretches(text: bytes) -> list[bytes]:
+    """The text cut before spaces into stretches of about CHUNK; a longer run stays whole."""
+    out, at = [], 0
+    while len(text) - at > CHUNK:
+        cut = max(text.rfind(w, at + 1, at + CHUNK) for w in (b" ", b"\n", b"\t"))
+        if cut < 0:
+            after = [x for w in (b" ", b"\n", b"\t") if (x := text.find(w, at + CHUNK)) >= 0]
+            if not after:
+                break
+            cut = min(after)
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 class Memory:
     """What units stand for: for each, a stretch of every one of several arrays.
 
@@ -171,9 +186,16 @@ class Memory:
         return self.flat[k][np.repeat(self.at[k][places] - (ends - sizes), sizes) + np.arange(total)], ends
 
     def texts(self, texts: list[bytes], fold: bool):
-        """Yields for each text the tuple of its arrays, one for each kind."""
+        """Yields for each text the tuple of its arrays, one for each kind.
+
+        A very long text goes in stretches between spaces, which no unit spans.
+        """
         at = 0
         while at < len(texts):
+            if len(texts[at]) > 2 * CHUNK and len(parts := stretches(texts[at])) > 1:
+                yield tuple(np.concatenate(x) for x in zip(*self.texts(parts, fold), strict=True))
+                at += 1
+                continue
             to, size = at, 0
             while to < len(texts) and (to == at or size + len(texts[to]) < CHUNK):
                 size += len(texts[to]) + 1

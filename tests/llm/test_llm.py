@@ -119,6 +119,15 @@ def test_unit_hashes_tell_units_apart():
     assert len(set(h.tolist())) == len(set(cut)) and s.first.tolist() == [0, 8, 8, 9]
 
 
+def test_very_long_texts_in_stretches(monkeypatch):
+    rng = random.Random(9)
+    long = (prose(rng, 3000) + " " + "y" * 700 + "\n" + prose(rng, 500)).encode()
+    whole = list(bpe.WordBpe(bpe.default_path()).encode_batch([b"a", long, b"b"]))
+    monkeypatch.setattr(units, "CHUNK", 300)
+    assert b"".join(units.stretches(long)) == long and len(units.stretches(long)) > 50
+    assert list(bpe.WordBpe(bpe.default_path()).encode_batch([b"a", long, b"b"])) == whole
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
