@@ -31,8 +31,14 @@ def with_winnow(df: DataFrame, text: str, into: str, k: int = K, w: int = W) ->
         WHEN size(_units) = 0 THEN array()
         WHEN size(_units) < {k} THEN array((xxhash64(_units) & {HASH_MASK}L) | {LAST}L)
         ELSE transform(sequence(0, size(_units) - {k}), i -> (xxhash64({gram}) & {HASH_MASK}L) | ({LAST}L - i % {LAST + 1}L)) END"""))
-    kept = F.expr(f"CASE WHEN size(_grams) = 0 THEN array() ELSE array_distinct(transform(sequence(1, greatest(1, size(_grams) - {w - 1})), i -> array_min(slice(_grams, i, {w})))) END")
-    return df.withColumn(into, kept.cast("array<bigint>")).drop("_units", "_grams")
+    # least of w neighbours from least of 2, 4, ...: a few passes, whatever w is
+    df, span = df.withColumn("_least", F.col("_grams")), 1
+    while span < w:
+        shift = min(span, w - span)
+        df = df.withColumn("_least", F.expr(f"transform(slice(_least, 1, greatest(0, size(_least) - {shift})), (x, i) -> least(x, _least[i + {shift}]))"))
+        span += shift
+    kept = F.expr(f"CASE WHEN size(_grams) = 0 THEN array() WHEN size(_grams) <= {w} THEN array(array_min(_grams)) ELSE array_distinct(_least) END")
+    return df.withColumn(into, kept.cast("array<bigint>")).drop("_units", "_grams", "_least")
 
 
 def hashes(kept: str) -> Column:
