@@ -79,6 +79,34 @@ def _find(table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table_[at] == keys
 
 
+def places(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index in table_ (distinct) of each of many keys that are all in it.
+
+    By open addressing in an array at most a quarter full, all keys at once;
+    much cheaper than a search or a sort for each of millions of keys.
+    """
+    bits = max(4, (4 * len(table_)).bit_length())
+    mask, shift = np.int64((1 << bits) - 1), np.uint64(64 - bits)
+    slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+    held = np.full(1 << bits, -1, np.int32)
+    at, left = slot(table_), np.arange(len(table_), dtype=np.int32)
+    while len(left):
+        free = held[at] < 0
+        held[at[free]] = left[free]
+        lost = held[at] != left
+        left, at = left[lost], (at[lost] + 1) & mask
+    at = slot(keys)
+    out = held[at]
+    left = np.flatnonzero(table_[out] != keys)
+    at = at[left]
+    while len(left):
+        at = (at + 1) & mask
+        out[left] = held[at]
+        wrong = table_[out[left]] != keys[left]
+        left, at = left[wrong], at[wrong]
+    return out
+
+
 class Level:
     """Contexts of one order: grams and counts; per context total, distinct and
     what its symbols have one order below (for exclusion)."""
@@ -255,7 +283,8 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     if docs.empty:
         return pd.DataFrame({c: [] for c in columns})
     block = Block(docs)
-    codes, place = np.unique(block.codes, return_inverse=True)
+    codes = np.unique(block.codes)
+    place = places(codes, block.codes)
     shard, log10 = gram_shards(codes), np.zeros(len(codes))
     lists, seen = block.word_lists(), {}
     for kind, s, values in zip(answers["kind"], answers["shard"], answers["values"], strict=True):
