@@ -115,7 +115,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     strict_label() can tell. Where that leaves one class only, no forest is
     fitted and the rule decides: probability 1 for its positives, else 0.
     """
-    found = table(featured(candidates(docs), docs), "candidates")
+    found = table(featured(table(candidates(docs), "found"), docs), "candidates")
     model = fit(found.withColumn("label", strict_label()) if labelled is None else labelled)
     if model is None:
         judged = found.withColumn("probability", F.coalesce(strict_label(), F.lit(0.0)))
