@@ -207,10 +207,12 @@ def links(nodes: DataFrame, keys, radius: int, shard_rows: int = 4096) -> DataFr
     nodes: (id, lanes array<bigint>), one row per distinct fingerprint.
     """
     keyed = nodes.withColumn("key", F.explode(keys))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key"), F.ceil(F.col("n") / shard_rows).cast("int").alias("parts"))
-    dealt = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("id", "lanes", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), (F.col("own") <= F.col("other")).alias("in_tree"), "own")
+    hot = table(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select(F.col("key").alias("_key"), F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), "hot")
+    # few shards are hot; were they many, the join would shuffle
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    dealt = keyed.join(hot, F.col("key") == F.col("_key"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("id", "lanes", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), (F.col("own") <= F.col("other")).alias("in_tree"))
 
     def shards(batches):
         held: list[pd.DataFrame] = []
@@ -227,24 +229,30 @@ def links(nodes: DataFrame, keys, radius: int, shard_rows: int = 4096) -> DataFr
     def stars(pdf):
         if pdf.empty:
             return
+        shard = pdf["shard"].to_numpy()
+        at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        sizes = np.diff(np.append(at, len(shard)))
+        if (sizes == 1).all():
+            return
+        pdf = pdf[np.repeat(sizes > 1, sizes)]
         rows = np.stack(pdf["lanes"].to_numpy()).astype(np.int64).view(np.uint64)
         ids, tree = pdf["id"].to_numpy(), pdf["in_tree"].to_numpy(bool)
-        at = np.flatnonzero(np.diff(pdf["shard"].to_numpy())) + 1
+        ends = np.cumsum(sizes[sizes > 1]).tolist()
         a, b = [], []
-        for s, e in zip([0, *at.tolist()], [*at.tolist(), len(pdf)], strict=True):
+        for s, e in zip([0, *ends[:-1]], ends, strict=True):
             if e - s == 2:
                 if int(BKTree.distance(rows[s], rows[s + 1])) <= radius:
                     x, y = sorted((int(ids[s]), int(ids[s + 1])))
                     a.append(y)
                     b.append(x)
-            elif e - s > 2:
+            else:
                 x, y = local_stars(rows[s:e], ids[s:e], tree[s:e], radius)
                 a.extend(x.tolist())
                 b.extend(y.tolist())
         if a:
             yield pd.DataFrame({"a": a, "b": b})
 
-    return dealt.drop("own").repartition("shard").sortWithinPartitions("shard").mapInPandas(shards, "a bigint, b bigint")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInPandas(shards, "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, k: int = 4, lanes: int = 1, radius: int = 4, blocks: int = 6, tables: int = 0, table_bits: int = 16, shard_rows: int = 4096) -> DataFrame:
