@@ -10,16 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm import langid, packing, secrets, simhash
+from seqloom.llm import langid, likeness, packing, secrets
 from seqloom.session import table
 
-#: Near-duplicates: five-word shingles, 256 bits. A Jaccard likeness J of the
-#: shingles has the cosine 2J / (1 + J) and turns each bit with probability
-#: arccos(2J / (1 + J)) / pi, which is 0.152 at 0.8: 39 of 256 bits on average.
-#: 48 adds 1.6 standard deviations; unrelated texts differ in 128.
-SHINGLE, LANES, RADIUS = 5, 4, 48
-#: Shards: draws of so many bits; a pair at 39 bits meets in one with 0.95, at 26 with 0.9999.
-TABLES, TABLE_BITS = 40, 16
+#: Near-duplicates: this Jaccard likeness, or more, of the distinct five-word shingles.
+SHINGLE, LIKENESS = 5, 0.8
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +28,8 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows of that doc_id count as one; rows without doc_id stay.
     """
-    groups = simhash.simhash_components(docs.select("doc_id", "text"), k=SHINGLE, lanes=LANES, radius=RADIUS, tables=TABLES, table_bits=TABLE_BITS)
-    going = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("_gone"))
+    groups = likeness.near_components(docs.select("doc_id", "text"), SHINGLE, LIKENESS)
+    going = groups.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("_gone"))
     kept = docs.join(going, docs["doc_id"] == going["_gone"], "left_anti")
     return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
 
@@ -51,7 +46,7 @@ def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("mask_secrets", mask_secrets), ("pack", pack)]
 
-#: SimHash and forests have no SQL form; tests hold the stages against brute force.
+#: Near-dedup and forests have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
