@@ -25,8 +25,10 @@ from seqloom.session import ship
 
 #: Pre-tokens kept by a worker; beyond it the memory is begun anew.
 KEPT = 700_000
-#: Longer pre-tokens are counted in blocks of so many bytes.
+#: Longer pre-tokens share no prefixes and are scored by logarithms.
 LONGEST = 48
+#: Logarithms nearer than this are taken as equal.
+TIE = 1e-9
 SHIFT = 2.7
 PRE_TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 
@@ -55,13 +57,16 @@ class Unigram:
 
         Forward scores of prefixes: best and count of the best segmentation, of
         equal ones that of fewer tokens, and the total over all segmentations.
-        Each shared prefix is scored once. Words have at most LONGEST bytes, so
-        plain probabilities don't underflow.
+        Each shared prefix is scored once. Up to LONGEST bytes plain
+        probabilities don't underflow; longer words are scored by long().
         """
         get, longest, out = self.prob.get, self.longest, {}
         best, count, total = [1.0], [0], [1.0]
         before = b""
         for word in sorted(words):
+            if len(word) > LONGEST:
+                out[word] = self.long(word)
+                continue
             keep = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
@@ -84,12 +89,30 @@ class Unigram:
             before = word
         return out
 
+    def long(self, word: bytes) -> tuple[int, float, float]:
+        """As many(), of one word of any length, by logarithms."""
+        get, longest, log, exp = self.prob.get, self.longest, math.log, math.exp
+        best, count, total = [0.0], [0], [0.0]
+        for i in range(1, len(word) + 1):
+            top, parts, masses = -math.inf, 0, []
+            for j in range(i - longest if i > longest else 0, i):
+                p = get(word[j:i])
+                if p is not None:
+                    p = log(p)
+                    masses.append(total[j] + p)
+                    v = best[j] + p
+                    # equal products may differ in the last places of their logs
+                    if v > top + TIE or v > top - TIE and count[j] + 1 < parts:
+                        top, parts = v, count[j] + 1
+            most = max(masses)
+            best.append(top)
+            count.append(parts)
+            total.append(most + log(math.fsum(exp(m - most) for m in masses)))
+        return count[-1], best[-1], total[-1]
+
     def runs(self, data: bytes) -> list[bytes]:
-        """Pre-tokens: runs of letters and bytes above 127, of digits, of other non-space; in blocks of LONGEST."""
-        words = PRE_TOKEN.findall(data)
-        if len(data) > LONGEST and max(map(len, words), default=0) > LONGEST:
-            words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-        return words
+        """Pre-tokens: runs of letters and bytes above 127, of digits, of other non-space."""
+        return PRE_TOKEN.findall(data)
 
     def count(self, texts: list[bytes]) -> list[tuple[int, int, float, float]]:
         """(pre-tokens, tokens, best score, log probability) of each text."""
