@@ -78,6 +78,18 @@ def _passes(least: float) -> str:
     return f"least(x.n, y.n) >= {least}D * greatest(x.n, y.n) - 1e-6D AND least(x.n - x.pos, y.n - y.pos) >= {least / (1 + least)!r}D * (x.n + y.n) - 1e-6D"
 
 
+def _able(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """The pairs whose prefixes share enough for the whole sets to be alike.
+
+    What two sets share outside both prefixes lies past the end of one prefix,
+    in at most ceil(least n) - 1 shingles of that set. So no true pair goes.
+    """
+    one = members.select(F.col("id").alias("a"), "key", F.col("n").alias("_x"))
+    two = members.select(F.col("id").alias("b"), "key", F.col("n").alias("_y"))
+    met = pairs.join(one, "a").join(two, ["b", "key"]).groupBy("a", "b", "_x", "_y").agg(F.count("*").alias("_both"))
+    return met.where(f"_both + ceil({least}D * greatest(_x, _y) - 1e-9D) - 1 >= {least / (1 + least)!r}D * (_x + _y) - 1e-6D").select("a", "b").distinct()
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike by `least` or more."""
     pairs = table(pairs, "candidates")
@@ -121,7 +133,7 @@ def near_components(docs: DataFrame, k: int, least: float) -> DataFrame:
             y = apart.withColumnRenamed("key", "_key")
         met = apart.alias("x").join(y.alias("y"), F.expr(f"x.key = y._key AND x.comp <> y.comp AND {'true' if turn < LEADERS else 'x.id < y.id'} AND {_passes(least)}"))
         pairs = met.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-        found = table(_checked(pairs, texts, k, least), "linked")
+        found = table(_checked(_able(pairs, members, least), texts, k, least), "linked")
         linked = found if linked is None else linked.unionByName(found)
     joined = components(linked)
     named = same.join(joined, same["id"] == joined["node"], "left").select(same["sig"], F.coalesce("component", "id").alias("component_id"))

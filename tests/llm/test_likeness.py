@@ -36,3 +36,10 @@ def test_only_pairs_at_the_bar_join(spark):
     repeats = [" ".join(["again"] * 300 + prose(rng, 30).split()) for _ in range(4)]
     pairs = agrees(spark, [*base, *near, *repeats, "again", "", " \n", "two words", "Two  words"])
     assert any(0.6 < j < 0.8 for _, _, j in pairs) and any(0.8 <= j < 0.9 for _, _, j in pairs)
+
+
+def test_lone_pairs_at_the_bar_are_found(spark):
+    rng = random.Random(5)
+    base = [prose(rng, 150) for _ in range(60)]
+    pairs = agrees(spark, [*base, *(edited(rng, t, 3) for t in base)])
+    assert sum(0.8 <= j < 0.83 for _, _, j in pairs) >= 20
