@@ -4,8 +4,9 @@ A unit is a stretch that a pre-tokenizer for spaced scripts never joins to its
 neighbours: text is cut at ASCII white space and, inside a run, between two
 ASCII characters of different class (letters, single digits, others). Runs with
 an apostrophe or with characters beyond ASCII next to a cut are left whole
-there. What a unit stands for is learned once and kept by its hash (two 64-bit
-polynomials and the length), so texts cost array operations only.
+there. What a unit stands for is learned once and found by a hash of its bytes
+(a 64-bit polynomial and the length), so texts cost array operations only. A
+hash only points: the bytes themselves are compared before anything is used.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ CLASS[48:58] = DIGIT
 CLASS[128:] = WIDE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 2_000_000
 #: Units kept, and items kept for them; beyond either the memory is begun anew.
@@ -61,18 +62,23 @@ class Split:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)]))
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each unit, the length mixed into both."""
-        out = []
+    def hashes(self) -> np.ndarray:
+        """A hash of each unit, its length mixed in."""
         size = (self.ends - self.starts).astype(np.uint64)
-        for base in BASES:
-            power, inverse = _powers(base, len(self.buf))
-            run = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum(power[: len(self.buf)] * (self.buf.astype(np.uint64) + np.uint64(1)), out=run[1:])
-            h = (run[self.ends] - run[self.starts]) * inverse[self.starts]
-            h ^= h >> np.uint64(29)
-            out.append((h + size) * np.uint64(0xD6E8FEB86659FD93))
-        return out[0], out[1]
+        power, inverse = _powers(BASE, len(self.buf))
+        run = np.zeros(len(self.buf) + 1, np.uint64)
+        np.cumsum(power[: len(self.buf)] * (self.buf.astype(np.uint64) + np.uint64(1)), out=run[1:])
+        h = (run[self.ends] - run[self.starts]) * inverse[self.starts]
+        h ^= h >> np.uint64(29)
+        return (h + size) * np.uint64(0xD6E8FEB86659FD93)
+
+    def letters(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all units one after another, length of each)."""
+        inside = np.zeros(len(self.buf) + 1, np.int8)
+        inside[self.starts] = 1
+        # a unit may begin where the one before ends
+        inside[self.ends] -= 1
+        return self.buf[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)], self.ends - self.starts
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -109,19 +115,26 @@ def stretches(text: bytes) -> list[bytes]:
     return [*out, text[at:]]
 
 
+def stretch(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes at[0], at[0] + 1, ... (sizes[0] of them), then those from at[1] on, and so forth."""
+    ends = np.cumsum(sizes)
+    return np.repeat(at - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Memory:
     """What units stand for: for each, a stretch of every one of several arrays.
 
     learn(units) gives, for a list of distinct units, a tuple of lists, one for
-    each array kind, with an array per unit.
+    each array kind, with an array per unit. The units' own bytes are kept as a
+    last kind, and every find is confirmed by them.
     """
 
     def __init__(self, learn: Callable[[list[bytes]], tuple[list[np.ndarray], ...]], kinds: tuple):
-        self.learn, self.kinds = learn, kinds
+        self.learn, self.kinds = learn, (*kinds, np.uint8)
         self._clear()
 
     def _clear(self) -> None:
-        self.key, self.check, self.place = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.key, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.count = 0
         self.flat = [np.empty(1024, k) for k in self.kinds]
         self.used = [0] * len(self.kinds)
@@ -133,7 +146,7 @@ class Memory:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n - len(a), len(a) // 2), a.dtype)])
 
     def _add(self, units: list[bytes]) -> None:
-        for k, got in enumerate(self.learn(units)):
+        for k, got in enumerate((*self.learn(units), [np.frombuffer(u, np.uint8) for u in units])):
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             whole = np.concatenate(got) if got else np.empty(0, self.kinds[k])
             to, n = self.used[k] + len(whole), self.count + len(units)
@@ -148,16 +161,11 @@ class Memory:
         """Where each unit of s is kept; all are afterwards."""
         if self.count > KEPT or max(self.used) > KEPT_ITEMS:
             self._clear()
-        h, g = s.hashes()
-        if not len(h):
+        if not len(s.starts):
             return np.empty(0, np.int64)
-        keys, one, back = np.unique(h, return_index=True, return_inverse=True)
-        if (g[one][back] != g).any():
-            return self._one_by_one(s)
+        keys, one, back = np.unique(s.hashes(), return_index=True, return_inverse=True)
         i = np.minimum(np.searchsorted(self.key, keys), max(0, len(self.key) - 1))
         known = self.key[i] == keys if len(self.key) else np.zeros(len(keys), bool)
-        if (self.check[i[known]] != g[one[known]]).any():
-            return self._one_by_one(s)
         found = np.empty(len(keys), np.int64)
         found[known] = self.place[i[known]]
         new = np.flatnonzero(~known)
@@ -166,11 +174,14 @@ class Memory:
             found[new] = self.count + np.arange(len(new))
             self._add([raw[a:b] for a, b in zip(s.starts[one[new]].tolist(), s.ends[one[new]].tolist(), strict=True)])
             at = np.searchsorted(self.key, keys[new])
-            self.key, self.check, self.place = np.insert(self.key, at, keys[new]), np.insert(self.check, at, g[one[new]]), np.insert(self.place, at, found[new])
-        return found[back]
+            self.key, self.place = np.insert(self.key, at, keys[new]), np.insert(self.place, at, found[new])
+        found = found[back]
+        letters, sizes = s.letters()
+        same = (self.size[-1][found] == sizes).all()
+        return found if same and np.array_equal(self.flat[-1][stretch(self.at[-1][found], sizes)], letters) else self._one_by_one(s)
 
     def _one_by_one(self, s: Split) -> np.ndarray:
-        """For two units with one hash, which is not to be expected: by the units themselves."""
+        """For different units of one hash: each distinct unit of the batch is learned by its bytes."""
         raw = s.buf.tobytes()
         units = [raw[a:b] for a, b in zip(s.starts.tolist(), s.ends.tolist(), strict=True)]
         seen = {u: i for i, u in enumerate(dict.fromkeys(units))}
@@ -181,9 +192,7 @@ class Memory:
     def gather(self, k: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(array k of these units one after another, ends of each unit's stretch)."""
         sizes = self.size[k][places].astype(np.int64)
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[k][np.repeat(self.at[k][places] - (ends - sizes), sizes) + np.arange(total)], ends
+        return self.flat[k][stretch(self.at[k][places], sizes)], np.cumsum(sizes)
 
     def texts(self, texts: list[bytes], fold: bool):
         """Yields for each text the tuple of its arrays, one for each kind.
@@ -202,7 +211,7 @@ class Memory:
                 to += 1
             s = Split(texts[at:to], fold)
             places = self.places(s)
-            got = [self.gather(k, places) for k in range(len(self.kinds))]
+            got = [self.gather(k, places) for k in range(len(self.kinds) - 1)]
             cuts = [np.concatenate([[0], ends])[s.first].tolist() for _, ends in got]
             for t in range(to - at):
                 yield tuple(flat[c[t] : c[t + 1]] for (flat, _), c in zip(got, cuts, strict=True))

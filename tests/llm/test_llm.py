@@ -115,10 +115,30 @@ def test_unit_hashes_tell_units_apart():
     s = units.Split([b"ab ab, a1b don't x", b"", b"ab"], fold=True)
     cut = [s.buf[a:b].tobytes() for a, b in zip(s.starts, s.ends, strict=True)]
     assert cut == [b"ab", b"ab", b",", b"a", b"1", b"b", b"don't", b"x", b"ab"]
-    h, _ = s.hashes()
+    h = s.hashes()
+    letters, sizes = s.letters()
+    assert letters.tobytes() == b"".join(cut) and sizes.tolist() == [len(c) for c in cut]
     assert len(set(h.tolist())) == len(set(cut)) and s.first.tolist() == [0, 8, 8, 9]
 
 
+def test_units_with_one_hash_stay_apart(spark):
+    """The Thue-Morse word and its complement meet in every polynomial modulo 2 to the 64."""
+    from tokenizers import Tokenizer
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert len(set(units.Split([word.encode(), other.encode()], fold=True).hashes().tolist())) == 1
+    texts = [word, other, f"x {other} y", f"{word} {other}", word]
+    t = Tokenizer.from_file(bpe.default_path())
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(frame(spark, texts)).collect()}
+    crc = {r.doc_id: r.ids_crc32 for r in packing.pieces(frame(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert got[i] == ids and crc[i] == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+
+
 def test_very_long_texts_in_stretches(monkeypatch):
     rng = random.Random(9)
     long = (prose(rng, 3000) + " " + "y" * 700 + "\n" + prose(rng, 500)).encode()
