@@ -27,6 +27,9 @@ CLUSTERS = 4
 REJECT = 0.1
 UNKNOWN = "und"
 
+#: Rows drawn by a bound of the hash for each one wanted, so that enough are there.
+DRAWN = 1.5
+
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
 _MIX = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
@@ -109,6 +112,23 @@ class Model:
         return self.langs[best], float(min(1.0, max(0.0, cos[best])))
 
 
+def draw(train: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text): for each language the `sample` rows of least hash of text and doc_id, or all.
+
+    A language's share of the hash range is set by its count, so all but about
+    DRAWN * sample rows of it are filtered where they are read; the few left are
+    ranked. Equal rows count once. Languages are a small set of names.
+    """
+    sizes = {r[0]: r[1] for r in train.groupBy("lang").agg(F.count("*")).collect()}
+    bound = F.when(F.lit(False), F.lit(0))
+    for lang, n in sorted(sizes.items()):
+        if n > 4 * sample:
+            bound = bound.when(F.col("lang") == lang, F.lit(int(2**64 * (DRAWN * sample + 200) / n) - 2**63))
+    few = train.withColumn("_h", F.xxhash64("text", "doc_id")).where(F.coalesce(F.col("_h") < bound, F.lit(True)))
+    few = few.groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    return few.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_nth") <= sample).select("lang", "text")
+
+
 def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
     """Learns from train(doc_id, text, lang).
 
@@ -119,8 +139,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mod
     train = train.where("text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id", "text", "lang")
     n, df = document_frequencies(train)
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("text", "doc_id"), "doc_id")
-    drawn = train.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= sample).select("lang", "text")
+    drawn = draw(train, sample)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(set(pdf["text"]))
@@ -136,7 +155,7 @@ def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
 
     A text that is null or has no letter is `und` with score 0 and rejected; a
     cosine below `reject` is rejected but keeps its nearest language. Columns
-    of these names in docs are replaced.
+    of these three names in docs are replaced; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected")
@@ -147,7 +166,10 @@ def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
         m = Model(*sent.value)
         return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_guess", guess("text")).select(*[docs[c] for c in docs.columns], F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"), ((F.col("_guess.lang_pred") == UNKNOWN) | (F.col("_guess.score") < reject)).alias("rejected"))
+    into = "_guess"
+    while into in docs.columns:
+        into += "_"
+    return docs.withColumn(into, guess("text")).select(*docs.columns, F.col(f"{into}.lang_pred").alias("lang_pred"), F.col(f"{into}.score").alias("score"), ((F.col(f"{into}.lang_pred") == UNKNOWN) | (F.col(f"{into}.score") < reject)).alias("rejected"))
 
 
 def op10_language_id(spark, sf_dir) -> DataFrame:

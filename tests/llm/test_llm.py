@@ -344,6 +344,18 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_draw(spark):
+    rows = [(i, f"text {i % 900}", "en") for i in range(3000)] + [(1, "same", "en")] * 2000 + [(i, f"wort {i}", "de") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
+    got = langid.draw(docs, 100).collect()
+    hashed = {(r.lang, r.h, r.text) for r in docs.select("lang", "text", F.xxhash64("text", "doc_id").alias("h")).collect()}
+    want = sorted(x for x in hashed if x[0] == "en")[:100]
+    assert sorted(r.text for r in got if r.lang == "en") == sorted(x[2] for x in want) and sum(r.lang == "de" for r in got) == 30
+    clash = spark.createDataFrame([(1, "x", "g", "s")], "doc_id bigint, text string, _guess string, score string")
+    assert langid.predict(clash, langid.fit(docs)).columns == ["doc_id", "text", "_guess", "lang_pred", "score", "rejected"]
+    assert langid.predict(clash.where("false"), langid.fit(docs)).count() == 0
+
+
 def test_secrets(spark):
     rng = random.Random(4)
     hex40 = lambda: "".join(rng.choices("0123456789abcdef", k=40))
