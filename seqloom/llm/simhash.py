@@ -2,10 +2,12 @@
 
 Shards are made so that no tree ever holds the corpus: two fingerprints within
 the radius agree on some of the bit blocks that key a shard, so both meet in at
-least one. A shard's tree travels to its queries by shuffle. It is not
-broadcast, because the trees together grow with the corpus. A shard with more
-members than `shard_rows` is dealt out as pairs of blocks (one block's tree,
-the other block's queries), which is exact and bounds each task.
+least one. The number of blocks that must agree follows the number of
+fingerprints, so that a shard keeps about SHARD members at every size and its
+BK-tree does the search. A shard's tree travels to its queries by shuffle. It
+is not broadcast, because the trees together grow with the corpus. A shard with
+more members than `shard_rows` is dealt out as pairs of blocks (one block's
+tree, the other block's queries), which is exact and bounds each task.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from seqloom.llm.components import components
 from seqloom.session import ship, table
 
 SEED = 42
-LEAF = 24
+#: Members below which a subtree is kept as a flat leaf.
+LEAF = 8
+#: Members of a shard, about, that the choice of agreeing blocks aims at.
+SHARD = 1024
 
 
 def shingle_hashes(data: bytes, k: int) -> np.ndarray:
@@ -40,12 +45,11 @@ def shingle_hashes(data: bytes, k: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
 
 
-def fingerprint(data: bytes | None, k: int, lanes: int = 1) -> bytes:
+def majority(h: np.ndarray, lanes: int = 1) -> bytes:
     """lanes x 64 bits, each big-endian; a bit is set if over half the hashes have it.
 
     Lane 0 takes the hashes as they are; others take a mixed copy of them.
     """
-    h = shingle_hashes(data or b"", k)
     out = []
     for lane in range(lanes):
         x = h
@@ -62,6 +66,11 @@ def fingerprint(data: bytes | None, k: int, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
+def fingerprint(data: bytes | None, k: int, lanes: int = 1) -> bytes:
+    """majority() of the shingle hashes of a whole text."""
+    return majority(shingle_hashes(data or b"", k), lanes)
+
+
 def fingerprints(docs: DataFrame, k: int = 4, lanes: int = 1) -> DataFrame:
     """(doc_id, fp binary) of whole texts; a null text counts as empty."""
 
@@ -85,10 +94,12 @@ class BKTree:
 
     Children hang at the integer distance to their parent; a search follows
     only edges within the radius. Small subtrees are kept as flat leaves.
+    `followed` and `passed` count edges by what searches did with them.
     """
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
+        self.followed = self.passed = 0
         self.root = self._grow(np.arange(len(rows)))
 
     @staticmethod
@@ -132,21 +143,24 @@ class BKTree:
             edges, children = below
             for edge, child in zip(edges.tolist(), children, strict=True):
                 go = who[np.abs(d - edge) <= radius]
+                self.followed += len(go)
+                self.passed += len(who) - len(go)
                 if len(go):
                     todo.append((child, go))
 
 
-def local_stars(rows: np.ndarray, ids: np.ndarray, tree_rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, least id) that connect what the searches of one shard connect.
+def local_links(rows: np.ndarray, ids: np.ndarray, tree_rows: np.ndarray, radius: int, stars: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the searches of one shard connect, under n for n members.
 
-    rows, ids: the members; tree_rows: which of them form the tree. Links become
-    stars at once, so a group of n members gives under n edges.
+    rows, ids: the members; tree_rows: which of them form the tree. With `stars`
+    an edge is (id, least id of its group), else a pair that a search found.
     """
     order = np.argsort(ids, kind="stable")
     rows, ids, in_tree = rows[order], ids[order], tree_rows[order]
     owner = np.arange(len(ids))
     members = np.flatnonzero(in_tree)
     tree = BKTree(rows[members])
+    pairs: list[tuple[int, int]] = []
 
     def find(x: np.ndarray) -> np.ndarray:
         while True:
@@ -157,20 +171,35 @@ def local_stars(rows: np.ndarray, ids: np.ndarray, tree_rows: np.ndarray, radius
 
     for at in range(0, len(rows), 1024):
         for q, m in tree.near(rows[at : at + 1024], radius):
-            a, b = find(q + at), find(members[m])
-            apart = a != b
-            if not apart.any():
+            q, m = q + at, members[m]
+            a, b = find(q), find(m)
+            apart = np.flatnonzero(a != b)
+            if not len(apart):
                 continue
-            for x, y in np.unique(np.stack([a[apart], b[apart]], 1), axis=0).tolist():
+            _, one = np.unique(np.stack([a[apart], b[apart]], 1), axis=0, return_index=True)
+            for i in apart[one].tolist():
+                x, y = a[i], b[i]
                 while owner[x] != x:
                     x = owner[x]
                 while owner[y] != y:
                     y = owner[y]
                 if x != y:
                     owner[max(x, y)] = min(x, y)
-    root = find(np.arange(len(ids)))
-    moved = ids != ids[root]
-    return ids[moved], ids[root][moved]
+                    pairs.append((q[i], m[i]))
+    if stars:
+        root = find(np.arange(len(ids)))
+        moved = ids != ids[root]
+        return ids[moved], ids[root][moved]
+    found = np.array(pairs, np.int64).reshape(-1, 2)
+    return ids[found.max(axis=1)], ids[found.min(axis=1)]
+
+
+def agreeing_blocks(nodes: int, radius: int, shard: int = SHARD) -> int:
+    """How many of radius + x bit blocks must agree so that a shard has about `shard` of the nodes."""
+    agree = 1
+    while nodes >> (64 * agree // (radius + agree)) > shard and 64 // (radius + agree + 1) > 1:
+        agree += 1
+    return agree
 
 
 def block_keys(fp: str, blocks: int, agree: int):
@@ -201,8 +230,8 @@ def _lanes(lanes: int):
     return F.expr("array(" + ", ".join(f"cast(conv(hex(substring(fp, {8 * i + 1}, 8)), 16, -10) as bigint)" for i in range(lanes)) + ")")
 
 
-def links(nodes: DataFrame, keys, radius: int, shard_rows: int = 4096) -> DataFrame:
-    """Star edges (a, b) between ids whose fingerprints lie within the radius.
+def links(nodes: DataFrame, keys, radius: int, shard_rows: int = 4096, stars: bool = True) -> DataFrame:
+    """Edges (a, b) that connect the ids whose fingerprints lie within the radius; see local_links().
 
     nodes: (id, lanes array<bigint>), one row per distinct fingerprint.
     """
@@ -222,11 +251,11 @@ def links(nodes: DataFrame, keys, radius: int, shard_rows: int = 4096) -> DataFr
                 continue
             last = pdf["shard"].to_numpy() == pdf["shard"].iloc[-1]
             held = [pdf[last]]
-            yield from stars(pdf[~last])
+            yield from linked(pdf[~last])
         if held:
-            yield from stars(held[0])
+            yield from linked(held[0])
 
-    def stars(pdf):
+    def linked(pdf):
         if pdf.empty:
             return
         shard = pdf["shard"].to_numpy()
@@ -240,37 +269,35 @@ def links(nodes: DataFrame, keys, radius: int, shard_rows: int = 4096) -> DataFr
         ends = np.cumsum(sizes[sizes > 1]).tolist()
         a, b = [], []
         for s, e in zip([0, *ends[:-1]], ends, strict=True):
-            if e - s == 2:
-                if int(BKTree.distance(rows[s], rows[s + 1])) <= radius:
-                    x, y = sorted((int(ids[s]), int(ids[s + 1])))
-                    a.append(y)
-                    b.append(x)
-            else:
-                x, y = local_stars(rows[s:e], ids[s:e], tree[s:e], radius)
-                a.extend(x.tolist())
-                b.extend(y.tolist())
+            x, y = local_links(rows[s:e], ids[s:e], tree[s:e], radius, stars)
+            a.extend(x.tolist())
+            b.extend(y.tolist())
         if a:
             yield pd.DataFrame({"a": a, "b": b})
 
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInPandas(shards, "a bigint, b bigint")
 
 
-def simhash_components(docs: DataFrame, k: int = 4, lanes: int = 1, radius: int = 4, blocks: int = 6, tables: int = 0, table_bits: int = 16, shard_rows: int = 4096) -> DataFrame:
+def simhash_components(docs: DataFrame, k: int = 4, lanes: int = 1, radius: int = 4, tables: int = 0, table_bits: int = 16, shard_rows: int = 4096) -> DataFrame:
     """(doc_id, fp binary, component_id) for every row of docs(doc_id, text).
 
     Rows link when their fingerprints differ in at most `radius` bits;
     component_id is the least doc_id reachable. With `tables` = 0 shards are
-    keyed by agreeing bit blocks and no link is lost (radius < blocks, one
-    lane); otherwise by that many draws of `table_bits` bits, for a radius too
+    keyed by agreeing bit blocks and no link is lost (one lane, radius up to
+    30); otherwise by that many draws of `table_bits` bits, for a radius too
     wide for blocks. Equal texts, empty and null ones too, share a fingerprint
     and so a component. A row without doc_id takes part in no component but
     its fingerprint's. An empty table gives an empty result.
     """
-    if not tables and (lanes != 1 or radius >= blocks):
-        raise ValueError("block keys need one lane and more blocks than the radius")
+    if not tables and (lanes != 1 or radius > 30):
+        raise ValueError("block keys need one lane and blocks of two bits or more")
     fps = table(fingerprints(docs, k, lanes), "fingerprints")
     nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL").withColumn("lanes", _lanes(lanes)), "nodes")
-    keys = sampled_keys(lanes, tables, table_bits) if tables else block_keys("lanes[0]", blocks, blocks - radius)
+    if tables:
+        keys = sampled_keys(lanes, tables, table_bits)
+    else:
+        agree = agreeing_blocks(nodes.count(), radius)
+        keys = block_keys("lanes[0]", radius + agree, agree)
     joined = components(links(nodes.select("id", "lanes"), keys, radius, shard_rows))
     named = nodes.join(joined, nodes["id"] == joined["node"], "left").select(nodes["fp"], F.coalesce("component", "id").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")

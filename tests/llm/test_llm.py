@@ -75,6 +75,22 @@ def test_bk_tree_is_exact():
     assert found == {(a, b) for a in range(300) for b in range(300) if int(rows[a, 0] ^ rows[b, 0]).bit_count() <= 4}
 
 
+def test_bk_tree_follows_and_passes_edges():
+    """A shard of the size aimed at is searched along edges, most of a far query's being passed over."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 1 << 62, (simhash.SHARD, 1), dtype=np.uint64)
+    tree = simhash.BKTree(rows)
+    near = rows[:200] ^ np.uint64(1 << 40)
+    found = {(int(q), int(m)) for qs, ms in tree.near(near, 4) for q, m in zip(qs, ms, strict=True)}
+    assert {(i, i) for i in range(200)} <= found and tree.followed > 1000 and tree.passed > 1000
+
+
+def test_agreeing_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.agreeing_blocks(n, 4) for n in (0, 200_000, 10**7, 10**10, 10**12)] == [1, 1, 2, 3, 4]
+    a, b = simhash.local_links(np.array([[0], [1], [3], [1 << 40]], np.uint64), np.array([7, 5, 9, 1]), np.ones(4, bool), 1, stars=False)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(7, 5), (9, 5)]
+
+
 def test_simhash_odd_tables(spark):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
     got = simhash.simhash_components(frame(spark, ["a b", "a b", None, ""], [None, 3, 4, 4])).collect()
