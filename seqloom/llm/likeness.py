@@ -1,10 +1,12 @@
-"""Near duplicates by the exact Jaccard likeness of distinct word shingles.
-
-Candidates come from a prefix filter, which loses no pair: with all shingles in
-one fixed order, two sets of likeness t or more share one among the first
-n - ceil(t n) + 1 of each. Every candidate is then checked on the whole sets.
-The order puts shingles that a sample shows to be common last; it decides how
-many candidates there are and never which pairs are found.
+"""Near duplicates: SimHash candidates, then the exact Jaccard likeness of word shingles.
+
+First the BK-trees of simhash.py propose pairs of near fingerprints, which joins
+most groups by as many pairs as they have members. What a fingerprint can't tell
+comes from a prefix filter, which loses no pair: with all shingles in one fixed
+order, two sets of likeness t or more share one among the first n - ceil(t n) + 1
+of each. Every candidate of either kind is checked on the whole sets before it
+links. The order puts shingles that a sample shows to be common last; it decides
+how many candidates there are and never which pairs are found.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
-from seqloom.llm.simhash import shingle_hashes
+from seqloom.llm.simhash import _lanes, links, majority, sampled_keys, shingle_hashes
 from seqloom.session import ship, table
 
 #: Documents that common shingles are learned from: 1 in 16, or about so many.
@@ -27,6 +29,8 @@ SAMPLE = 4096
 COMMON = 200_000
 #: Rounds in which a shared shingle offers only pairs with one leader.
 LEADERS = 2
+#: SimHash: 64-bit lanes of a fingerprint, radius in bits, draws of bits that key shards and bits a draw.
+LANES, RADIUS, TABLES, DRAWN_BITS = 2, 24, 10, 16
 
 
 def shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -50,27 +54,41 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, k: int, least: float) -> DataFrame:
-    """(doc_id, sig, n, keys): a digest of the set of shingles, its size and its prefix."""
+    """(doc_id, sig, fp, n, keys): a digest of the set of shingles, its SimHash, size and prefix."""
     often, counts = common_shingles(docs, k)
 
     def one(data: bytes):
-        s = np.unique(shingle_hashes(data, k)).view(np.int64)
-        n = len(s)
+        distinct = np.unique(shingle_hashes(data, k))
+        s, n = distinct.view(np.int64), len(distinct)
         sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
         rank = np.zeros(n, np.int64)
         if len(often) and n:
             at = np.minimum(np.searchsorted(often, s), len(often) - 1)
             rank = np.where(often[at] == s, counts[at], 0)
         take = n - math.ceil(least * n - 1e-9) + 1 if n else 0
-        return sig, n, s[np.lexsort((s, rank))[:take]]
+        return sig, majority(distinct, LANES), n, s[np.lexsort((s, rank))[:take]]
 
     def run(batches):
         for pdf in batches:
             rows = [one(x or b"") for x in pdf["data"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sig": [r[0] for r in rows], "n": [r[1] for r in rows], "keys": [r[2] for r in rows]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("sig", "fp", "n", "keys"))}})
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).mapInPandas(run, "doc_id bigint, sig binary, n int, keys array<bigint>")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).mapInPandas(run, "doc_id bigint, sig binary, fp binary, n int, keys array<bigint>")
+
+
+def simhash_pairs(same: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of same(id, fp, n) that the BK-trees find near and whose sizes allow `least`.
+
+    Texts of one fingerprint hang on the least id of it.
+    """
+    least_id = same.groupBy("fp").agg(F.min("id").alias("id"))
+    nodes = least_id.select("id", _lanes(LANES).alias("lanes"))
+    near = links(nodes, sampled_keys(LANES, TABLES, DRAWN_BITS), RADIUS, stars=False)
+    equal = same.join(least_id.select(F.col("fp").alias("_fp"), F.col("id").alias("b")), F.col("fp") == F.col("_fp")).where("id > b").select(F.col("id").alias("a"), "b")
+    sizes = lambda side: same.select(F.col("id").alias(side), F.col("n").alias(f"_{side}"))
+    pairs = near.unionByName(equal).distinct().join(sizes("a"), "a").join(sizes("b"), "b")
+    return pairs.where(F.least("_a", "_b") >= least * F.greatest("_a", "_b") - 1e-6).select("a", "b")
 
 
 def _passes(least: float) -> str:
@@ -106,24 +124,22 @@ def near_components(docs: DataFrame, k: int, least: float) -> DataFrame:
 
     Rows link when the Jaccard likeness of their distinct k-word shingles is
     `least` or more; component_id is the least doc_id reachable. Texts without
-    words are alike. A shared shingle first offers pairs with one leader only,
-    so a large group joins by as many pairs as it has members; then every pair
-    that is still apart is checked.
+    words are alike. SimHash pairs come first. Then a shared shingle offers
+    pairs with one leader only, so a large group joins by as many pairs as it
+    has members; then every pair that is still apart is checked.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = table(prefixes(docs, k, least), "prefixes")
-    same = table(sets.groupBy("sig").agg(F.min("doc_id").alias("id")), "same")
-    heads = sets.join(same, (sets["sig"] == same["sig"]) & (sets["doc_id"] == same["id"])).select("id", "n", F.posexplode("keys").alias("pos", "key"))
+    same = table(sets.groupBy("sig").agg(F.min(F.struct("doc_id", "fp", "n")).alias("x")).select("sig", F.col("x.doc_id").alias("id"), F.col("x.fp").alias("fp"), F.col("x.n").alias("n")), "same")
+    found = table(_checked(simhash_pairs(same, least), docs, k, least), "linked")
+    heads = sets.join(same, (sets["sig"] == same["sig"]) & (sets["doc_id"] == same["id"])).select("id", sets["n"], F.posexplode("keys").alias("pos", "key"))
     shared = heads.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("key")
     members = table(heads.join(shared, "key"), "members")
     texts = docs.join(members.select(F.col("id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
-    linked = None
+    linked = found
     for turn in range(LEADERS + 1):
-        if linked is None:
-            apart = members.withColumn("comp", F.col("id"))
-        else:
-            joined = table(components(linked), "joined")
-            apart = members.join(joined, members["id"] == joined["node"], "left").select("id", "n", "pos", "key", F.coalesce("component", "id").alias("comp"))
+        joined = table(components(linked), "joined")
+        apart = members.join(joined, members["id"] == joined["node"], "left").select("id", "n", "pos", "key", F.coalesce("component", "id").alias("comp"))
         # shingles all of whose documents are joined already have nothing to offer
         split = apart.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min_by(F.struct("id", "n", "pos", "comp"), F.struct(F.xxhash64("comp", F.lit(turn)), "id")).alias("lead")).where("_lo < _hi")
         if turn < LEADERS:
@@ -134,7 +150,7 @@ def near_components(docs: DataFrame, k: int, least: float) -> DataFrame:
         met = apart.alias("x").join(y.alias("y"), F.expr(f"x.key = y._key AND x.comp <> y.comp AND {'true' if turn < LEADERS else 'x.id < y.id'} AND {_passes(least)}"))
         pairs = met.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
         found = table(_checked(_able(pairs, members, least), texts, k, least), "linked")
-        linked = found if linked is None else linked.unionByName(found)
+        linked = linked.unionByName(found)
     joined = components(linked)
     named = same.join(joined, same["id"] == joined["node"], "left").select(same["sig"], F.coalesce("component", "id").alias("component_id"))
     return sets.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id")

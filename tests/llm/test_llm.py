@@ -87,7 +87,7 @@ def test_bk_tree_follows_and_passes_edges():
 
 def test_agreeing_blocks_follow_the_number_of_fingerprints():
     assert [simhash.agreeing_blocks(n, 4) for n in (0, 200_000, 10**7, 10**10, 10**12)] == [1, 1, 2, 3, 4]
-    a, b = simhash.local_links(np.array([[0], [1], [3], [1 << 40]], np.uint64), np.array([7, 5, 9, 1]), np.ones(4, bool), 1, stars=False)
+    a, b = simhash.local_links(np.array([[0], [1], [3], [255 << 40]], np.uint64), np.array([7, 5, 9, 1]), np.ones(4, bool), 1, stars=False)
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(7, 5), (9, 5)]
 
 
@@ -400,3 +400,14 @@ def test_pipeline(spark, tmp_path):
     assert set(rows.doc_id) >= set(range(60)) and not set(rows.doc_id) & {*range(60, 80), len(texts) - 2, len(texts) - 1}
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(5, a), (5, a), (5, b), (9, a), (None, a), (None, a), (7, c), (8, None), (9, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == Counter({(5, a): 1, (5, b): 1, (None, a): 2, (7, c): 1, (8, None): 1})
