@@ -26,12 +26,16 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each near-duplicate group.
 
-    Repeated rows of that doc_id count as one; rows without doc_id stay.
+    SimHash BK-trees propose, the exact likeness decides. A doc_id names one
+    document: its rows go or stay together, and of those with one text one stays. Rows
+    without doc_id stay.
     """
     groups = likeness.near_components(docs.select("doc_id", "text"), SHINGLE, LIKENESS)
-    going = groups.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(going, docs["doc_id"] == going["_gone"], "left_anti")
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    named = groups.groupBy("doc_id").agg(F.min("component_id").alias("_near_first"), F.count("*").alias("_near_rows"))
+    out = docs.join(named.where("_near_first < doc_id OR _near_rows > 1").withColumnRenamed("doc_id", "_near_id"), F.col("doc_id") == F.col("_near_id"), "left").where("_near_id IS NULL OR _near_first >= _near_id")
+    once = out.where("_near_id IS NULL").select(*docs.columns)
+    # only rows of repeated ids are compared
+    return once.unionByName(out.where("_near_id IS NOT NULL").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
