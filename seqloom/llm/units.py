@@ -4,9 +4,9 @@ A unit is a stretch that a pre-tokenizer for spaced scripts never joins to its
 neighbours: text is cut at ASCII white space and, inside a run, between two
 ASCII characters of different class (letters, single digits, others). Runs with
 an apostrophe or with characters beyond ASCII next to a cut are left whole
-there. What a unit stands for is learned once and found by a hash of its bytes
-(a 64-bit polynomial and the length), so texts cost array operations only. A
-hash only points: the bytes themselves are compared before anything is used.
+there. What a unit stands for is learned once and found by a hash of its bytes,
+read as 64-bit words, so texts cost array operations only. A hash only points:
+the bytes themselves are compared before anything is used.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 
 SPACE, LETTER, DIGIT, OTHER, WIDE = range(5)
 CLASS = np.full(256, OTHER, np.uint8)
@@ -23,7 +24,10 @@ CLASS[48:58] = DIGIT
 CLASS[128:] = WIDE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of a unit's first and second word and of the whole.
+MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+#: The lowest 0 to 8 bytes of a word.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 2_000_000
 #: Units kept, and items kept for them; beyond either the memory is begun anew.
@@ -62,42 +66,23 @@ class Split:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)]))
 
-    def hashes(self) -> np.ndarray:
-        """A hash of each unit, its length mixed in."""
-        size = (self.ends - self.starts).astype(np.uint64)
-        power, inverse = _powers(BASE, len(self.buf))
-        run = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(power[: len(self.buf)] * (self.buf.astype(np.uint64) + np.uint64(1)), out=run[1:])
-        h = (run[self.ends] - run[self.starts]) * inverse[self.starts]
-        h ^= h >> np.uint64(29)
-        return (h + size) * np.uint64(0xD6E8FEB86659FD93)
-
-    def letters(self) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all units one after another, length of each)."""
-        inside = np.zeros(len(self.buf) + 1, np.int8)
-        inside[self.starts] = 1
-        # a unit may begin where the one before ends
-        inside[self.ends] -= 1
-        return self.buf[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)], self.ends - self.starts
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse modulo 2 to the 64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, CHUNK + CHUNK // 8)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        kept = (both[0], both[1])
-        if size > 4 * CHUNK:
-            return kept
-        _POWERS[base] = kept
-    return _POWERS[base]
+    def heads(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first 8 bytes, next 8 bytes, length) of each unit; bytes it lacks are zero."""
+        size = self.ends - self.starts
+        padded = np.concatenate([self.buf, np.zeros(16, np.uint8)])
+        word = np.ndarray((len(self.buf) + 9,), "<u8", padded, strides=(1,))
+        return word[self.starts] & LOW[np.minimum(size, 8)], word[self.starts + 8 if len(size) else size] & LOW[np.clip(size - 8, 0, 8)], size
+
+    def hashes(self, heads=None) -> np.ndarray:
+        """A hash of each unit."""
+        one, two, size = heads or self.heads()
+        h = (one * MIX[0]) ^ ((two ^ (two >> np.uint64(31))) * MIX[1] + size.astype(np.uint64))
+        h = (h ^ (h >> np.uint64(29))) * MIX[2]
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            raw, digest = self.buf.tobytes(), xxhash.xxh64_intdigest
+            h[long] = np.fromiter((digest(raw[a:b]) for a, b in zip(self.starts[long].tolist(), self.ends[long].tolist(), strict=True)), np.uint64, len(long))
+        return h
 
 
 def stretches(text: bytes) -> list[bytes]:
@@ -135,6 +120,7 @@ class Memory:
 
     def _clear(self) -> None:
         self.key, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.heads = [np.empty(1024, np.uint64), np.empty(1024, np.uint64)]
         self.count = 0
         self.flat = [np.empty(1024, k) for k in self.kinds]
         self.used = [0] * len(self.kinds)
@@ -146,6 +132,9 @@ class Memory:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n - len(a), len(a) // 2), a.dtype)])
 
     def _add(self, units: list[bytes]) -> None:
+        for k in range(2):
+            self.heads[k] = self._room(self.heads[k], self.count + len(units))
+            self.heads[k][self.count : self.count + len(units)] = np.frombuffer(b"".join(u[8 * k : 8 * k + 8].ljust(8, b"\0") for u in units), "<u8")
         for k, got in enumerate((*self.learn(units), [np.frombuffer(u, np.uint8) for u in units])):
             sizes = np.fromiter(map(len, got), np.int64, len(got))
             whole = np.concatenate(got) if got else np.empty(0, self.kinds[k])
@@ -163,7 +152,8 @@ class Memory:
             self._clear()
         if not len(s.starts):
             return np.empty(0, np.int64)
-        keys, one, back = np.unique(s.hashes(), return_index=True, return_inverse=True)
+        heads = s.heads()
+        keys, one, back = np.unique(s.hashes(heads), return_index=True, return_inverse=True)
         i = np.minimum(np.searchsorted(self.key, keys), max(0, len(self.key) - 1))
         known = self.key[i] == keys if len(self.key) else np.zeros(len(keys), bool)
         found = np.empty(len(keys), np.int64)
@@ -176,9 +166,12 @@ class Memory:
             at = np.searchsorted(self.key, keys[new])
             self.key, self.place = np.insert(self.key, at, keys[new]), np.insert(self.place, at, found[new])
         found = found[back]
-        letters, sizes = s.letters()
-        same = (self.size[-1][found] == sizes).all()
-        return found if same and np.array_equal(self.flat[-1][stretch(self.at[-1][found], sizes)], letters) else self._one_by_one(s)
+        if (self.heads[0][found] != heads[0]).any() or (self.heads[1][found] != heads[1]).any() or (self.size[-1][found] != heads[2]).any():
+            return self._one_by_one(s)
+        long = np.flatnonzero(heads[2] > 16)
+        size = heads[2][long]
+        same = np.array_equal(self.flat[-1][stretch(self.at[-1][found[long]], size)], s.buf[stretch(s.starts[long], size)])
+        return found if same else self._one_by_one(s)
 
     def _one_by_one(self, s: Split) -> np.ndarray:
         """For different units of one hash: each distinct unit of the batch is learned by its bytes."""
