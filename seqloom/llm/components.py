@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import table
+from seqloom.session import drop, table
 
 MAX_ROUNDS = 60
 
@@ -44,8 +44,9 @@ def components(pairs: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before = mark
+        before, last = mark, now
         now = table(_star(_star(now, True), False), "edges")
+        drop(last)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

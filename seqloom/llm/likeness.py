@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
 from seqloom.llm.simhash import _lanes, links, majority, sampled_keys, shingle_hashes
-from seqloom.session import ship, table
+from seqloom.session import drop, ship, table
 
 #: Documents that common shingles are learned from: 1 in 16, or about so many.
 SAMPLE = 4096
@@ -109,14 +109,16 @@ def _able(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike by `least` or more."""
+    """A written table of the pairs (a, b) whose whole sets are alike by `least` or more."""
     pairs = table(pairs, "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     sets = table(shingles(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi"), k), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_b"))
     both = pairs.join(one, "a").join(two, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
-    return both.where(F.col("_both") >= least * (F.size("_a") + F.size("_b") - F.col("_both")) - 1e-6).select("a", "b")
+    found = table(both.where(F.col("_both") >= least * (F.size("_a") + F.size("_b") - F.col("_both")) - 1e-6).select("a", "b"), "linked")
+    drop(pairs, sets)
+    return found
 
 
 def near_components(docs: DataFrame, k: int, least: float) -> DataFrame:
@@ -131,7 +133,7 @@ def near_components(docs: DataFrame, k: int, least: float) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = table(prefixes(docs, k, least), "prefixes")
     same = table(sets.groupBy("sig").agg(F.min(F.struct("doc_id", "fp", "n")).alias("x")).select("sig", F.col("x.doc_id").alias("id"), F.col("x.fp").alias("fp"), F.col("x.n").alias("n")), "same")
-    found = table(_checked(simhash_pairs(same, least), docs, k, least), "linked")
+    found = _checked(simhash_pairs(same, least), docs, k, least)
     heads = sets.join(same, (sets["sig"] == same["sig"]) & (sets["doc_id"] == same["id"])).select("id", sets["n"], F.posexplode("keys").alias("pos", "key"))
     shared = heads.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("key")
     members = table(heads.join(shared, "key"), "members")
@@ -149,8 +151,10 @@ def near_components(docs: DataFrame, k: int, least: float) -> DataFrame:
             y = apart.withColumnRenamed("key", "_key")
         met = apart.alias("x").join(y.alias("y"), F.expr(f"x.key = y._key AND x.comp <> y.comp AND {'true' if turn < LEADERS else 'x.id < y.id'} AND {_passes(least)}"))
         pairs = met.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-        found = table(_checked(_able(pairs, members, least), texts, k, least), "linked")
+        found = _checked(_able(pairs, members, least), texts, k, least)
+        drop(joined, apart)
         linked = linked.unionByName(found)
+    drop(members)
     joined = components(linked)
     named = same.join(joined, same["id"] == joined["node"], "left").select(same["sig"], F.coalesce("component", "id").alias("component_id"))
     return sets.select("doc_id", "sig").join(named, "sig").select("doc_id", "component_id")
