@@ -28,7 +28,7 @@ SAMPLE = 4096
 #: Common shingles known to the workers, the most frequent ones.
 COMMON = 200_000
 #: Rounds in which a shared shingle offers only pairs with one leader.
-LEADERS = 2
+LEADERS = 1
 #: SimHash: 64-bit lanes of a fingerprint, radius in bits, draws of bits that key shards and bits a draw.
 LANES, RADIUS, TABLES, DRAWN_BITS = 2, 24, 10, 16
 
