@@ -4,10 +4,12 @@ The model is a trie of byte contexts up to ORDER, kept as sorted arrays of
 grams (context and symbol) with counts. It grows with the corpus, so no task
 and no broadcast holds it whole: texts are dealt into blocks; each block sends
 its distinct grams, with their counts in training texts, to the shard of their
-last two context bytes; the shard has every context that ends so, counts, and
+last three context bytes; the shard has every context that ends so, counts, and
 answers each block with the log probability of each of its grams; the block
-adds them up along its texts. Contexts of fewer than two bytes have a fixed size and
-are shared. Word counts for the base score go the same way, by hash of the word.
+adds them up along its texts. Shards are as many as the blocks make useful, so a
+task keeps its size at any corpus size. Contexts of two bytes or fewer have at
+most 2^24 counts, which are summed apart and shared. Word counts for the base
+score go the same way, by hash of the word.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from seqloom.session import ship, table
 ORDER = 5
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 4_000_000
-SHARDS, WORD_SHARDS = 96, 32
+#: Blocks for each shard of grams and of words, and the least number of either.
+BLOCKS_A_SHARD, LEAST_SHARDS = 2, 32
+#: Nearest context bytes that key a shard; contexts shorter than that are shared.
+KEY = 3
 END = b"\n"
 
 
@@ -130,19 +135,29 @@ class Level:
             self.below = np.add.reduceat(low.counts[at], self.at)
 
 
+class Shared:
+    """Contexts of fewer than KEY bytes: the same for all shards."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        """grams: distinct codes of KEY - 1 context bytes and a symbol, ascending."""
+        self.levels = {KEY - 1: Level(grams, counts)}
+        for k in range(KEY - 2, -1, -1):
+            self.levels[k] = Level(*self.levels[k + 1].lower())
+        for k in range(KEY - 1, 0, -1):
+            self.levels[k].exclude(self.levels[k - 1])
+
+
 class Trie:
-    """A shard's contexts of ORDER down to 2, on top of the shared orders 1 and 0."""
+    """A shard's contexts of ORDER down to KEY, on top of the shared ones."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
-        """grams: distinct codes with counts above 0; pairs: 256 x 256 counts of (context byte, symbol) of the corpus."""
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, shared: Shared):
+        """grams: distinct codes, ascending, with their counts."""
         keep = counts > 0
         self.levels = {ORDER: Level(grams[keep], counts[keep].astype(np.int64))}
-        for k in range(ORDER - 1, 1, -1):
+        for k in range(ORDER - 1, KEY - 1, -1):
             self.levels[k] = Level(*self.levels[k + 1].lower())
-        flat = np.flatnonzero(pairs)
-        self.levels[1] = Level(flat.astype(np.uint64), pairs.ravel()[flat].astype(np.int64))
-        self.levels[0] = Level(*self.levels[1].lower())
-        for k in range(ORDER, 0, -1):
+        self.levels |= shared.levels
+        for k in range(ORDER, KEY - 1, -1):
             self.levels[k].exclude(self.levels[k - 1])
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
@@ -181,6 +196,8 @@ class Trie:
 
 def pack(a: np.ndarray) -> bytes:
     """Bytes of like weight together, so that small numbers compress."""
+    if not len(a):
+        return zlib.compress(b"")
     return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1)
 
 
@@ -197,13 +214,13 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
-def gram_shards(codes: np.ndarray) -> np.ndarray:
-    """Shard of each code, by its two nearest context bytes."""
-    return ((codes >> np.uint64(8 * ORDER - 8)) * np.uint64(2654435761) >> np.uint64(7)).astype(np.int64) % SHARDS
+def gram_shards(codes: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each code, by its KEY nearest context bytes."""
+    return (((codes >> np.uint64(8 * (ORDER - KEY) + 8)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
 
 
-def word_shard(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word) % WORD_SHARDS
+def word_shard(word: bytes, shards: int) -> int:
+    return xxhash.xxh32_intdigest(word) % shards
 
 
 class Block:
@@ -222,34 +239,37 @@ class Block:
         at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         return codes[at], np.add.reduceat((keys & np.uint64(1)) == 0, at, dtype=np.uint32)
 
-    def word_lists(self) -> list[list[bytes]]:
+    def word_lists(self, shards: int) -> list[list[bytes]]:
         """Distinct words of each word shard, sorted."""
-        out: list[list[bytes]] = [[] for _ in range(WORD_SHARDS)]
+        out: list[list[bytes]] = [[] for _ in range(shards)]
         for w in sorted(set().union(*self.words)):
-            out[word_shard(w)].append(w)
+            out[word_shard(w, shards)].append(w)
         return out
 
 
-def _ask(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block's messages: grams and words for the shards, pair counts, totals."""
-    block, b = Block(pdf), int(pdf["block"].iloc[0])
-    codes, counts = block.grams()
-    rows, shard = [], gram_shards(codes)
-    for s in np.unique(shard).tolist():
-        mine = shard == s
-        rows.append(("gram", s, b, pack_sorted(codes[mine]), pack(counts[mine]), 0, 0))
-    known = Counter()
-    for words, held in zip(block.words, block.held.tolist(), strict=True):
-        if not held:
-            known.update(words)
-    for s, words in enumerate(block.word_lists()):
-        if words:
-            rows.append(("word", s, b, zlib.compress(END.join(words), 1), pack(np.array([known[w] for w in words], np.uint32)), 0, 0))
-    pairs = ((codes >> np.uint64(8 * ORDER)) << np.uint64(8)) | (codes & np.uint64(255))
-    pairs = np.bincount(pairs.astype(np.int64), counts, 65536).astype(np.uint64)
-    docs = int((~block.held).sum())
-    rows.append(("pairs", 0, b, b"", pack(pairs), known.total() + docs, docs))
-    return pd.DataFrame(rows, columns=["kind", "shard", "block", "keys", "counts", "tokens", "docs"])
+def _ask(shards: int):
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's messages: grams and words for the shards, short grams, totals."""
+        block, b = Block(pdf), int(pdf["block"].iloc[0])
+        codes, counts = block.grams()
+        shard = gram_shards(codes, shards)
+        order = np.argsort(shard, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
+        rows = [("gram", int(shard[mine[0]]), b, pack_sorted(codes[mine]), pack(counts[mine]), 0, 0) for mine in np.split(order, at[1:])]
+        known = Counter()
+        for words, held in zip(block.words, block.held.tolist(), strict=True):
+            if not held:
+                known.update(words)
+        for s, words in enumerate(block.word_lists(shards)):
+            if words:
+                rows.append(("word", s, b, zlib.compress(END.join(words), 1), pack(np.array([known[w] for w in words], np.uint32)), 0, 0))
+        drop = np.uint64(8 * (ORDER - KEY + 1) + 8)
+        short, times = summed(((codes >> drop) << np.uint64(8)) | (codes & np.uint64(255)), counts.astype(np.uint64))
+        docs = int((~block.held).sum())
+        rows.append(("short", b % shards, b, pack_sorted(short), pack(times), known.total() + docs, docs))
+        return pd.DataFrame(rows, columns=["kind", "shard", "block", "keys", "counts", "tokens", "docs"])
+
+    return ask
 
 
 def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -265,19 +285,47 @@ def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "shard", "block", "values", "known"])
 
 
-def _answer_grams(pairs: np.ndarray):
+def _answer_grams(short: tuple[bytes, bytes]):
+    made: list[Shared] = []
+
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not made:
+            made.append(Shared(unpack_sorted(short[0]), unpack(short[1], np.uint64).astype(np.int64)))
         keys = [unpack_sorted(k) for k in pdf["keys"]]
         counts = [unpack(c, np.uint32).astype(np.int64) for c in pdf["counts"]]
         grams, total = summed(np.concatenate(keys), np.concatenate(counts))
-        log10 = Trie(grams, total, pairs).log10(grams).astype(np.float32)
+        log10 = Trie(grams, total, made[0]).log10(grams).astype(np.float32)
         rows = [("gram", s, b, pack(log10[np.searchsorted(grams, k)]), 0) for s, b, k in zip(pdf["shard"], pdf["block"], keys, strict=True)]
         return pd.DataFrame(rows, columns=["kind", "shard", "block", "values", "known"])
 
     return answer
 
 
-def _score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def _short_grams(asked: DataFrame) -> tuple[bytes, bytes]:
+    """Grams of KEY - 1 context bytes that occur in training texts, and their counts, packed.
+
+    There are at most 2^24 of them; every task sends those it has, summed.
+    """
+
+    def add(batches):
+        grams, counts = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        for pdf in batches:
+            for k, c in zip(pdf["keys"], pdf["counts"], strict=True):
+                grams, counts = summed(np.concatenate([grams, unpack_sorted(k)]), np.concatenate([counts, unpack(c, np.uint64)]))
+        yield pd.DataFrame({"keys": [pack_sorted(grams)], "counts": [pack(counts)]})
+
+    sums = asked.where("kind = 'short'").select("keys", "counts").mapInPandas(add, "keys binary, counts binary").repartition(16).mapInPandas(add, "keys binary, counts binary")
+    grams, counts = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for k, c in sums.collect():
+        grams, counts = summed(np.concatenate([grams, unpack_sorted(bytes(k))]), np.concatenate([counts, unpack(bytes(c), np.uint64)]))
+    return pack_sorted(grams[counts > 0]), pack(counts[counts > 0])
+
+
+def _score(shards: int):
+    return lambda docs, answers: _added(docs, answers, shards)
+
+
+def _added(docs: pd.DataFrame, answers: pd.DataFrame, shards: int) -> pd.DataFrame:
     """Adds a block's answers up along its texts."""
     columns = ["doc_id", "held_out", "n_tokens", "words_known", "words_log10", "score"]
     if docs.empty:
@@ -285,11 +333,13 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     block = Block(docs)
     codes = np.unique(block.codes)
     place = places(codes, block.codes)
-    shard, log10 = gram_shards(codes), np.zeros(len(codes))
-    lists, seen = block.word_lists(), {}
+    shard, log10 = gram_shards(codes, shards), np.zeros(len(codes))
+    order = np.argsort(shard, kind="stable")
+    starts = np.searchsorted(shard[order], np.arange(shards + 1))
+    lists, seen = block.word_lists(shards), {}
     for kind, s, values in zip(answers["kind"], answers["shard"], answers["values"], strict=True):
         if kind == "gram":
-            log10[shard == s] = unpack(values, np.float32)
+            log10[order[starts[s] : starts[s + 1]]] = unpack(values, np.float32)
         else:
             seen.update(zip(lists[s], unpack(values, np.uint64).tolist(), strict=True))
     at = np.cumsum(block.lengths) - block.lengths
@@ -315,28 +365,20 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = docs.agg(F.sum(F.length("data"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "data"), F.lit(blocks)))
-    asked = table(docs.groupBy("block").applyInPandas(_ask, "kind string, shard int, block bigint, keys binary, counts binary, tokens bigint, docs bigint"), "grams")
-
-    def add(batches):
-        total = np.zeros(65536, np.uint64)
-        for pdf in batches:
-            for c in pdf["counts"]:
-                total += unpack(c, np.uint64)
-        yield pd.DataFrame({"counts": [pack(total)]})
-
-    # 65,536 numbers from each task: the counts of a symbol after one byte
-    pairs = np.zeros(65536, np.uint64)
-    for row in asked.where("kind = 'pairs'").select("counts").mapInPandas(add, "counts binary").collect():
-        pairs += unpack(bytes(row[0]), np.uint64)
+    shards = max(LEAST_SHARDS, blocks // BLOCKS_A_SHARD)
+    # equal rows are dealt out too; the deal is written, as blocks are read twice
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "data", F.monotonically_increasing_id()), F.lit(blocks)))
+    docs = table(dealt, "blocks")
+    asked = table(docs.groupBy("block").applyInPandas(_ask(shards), "kind string, shard int, block bigint, keys binary, counts binary, tokens bigint, docs bigint"), "grams")
+    short = _short_grams(asked)
     totals = asked.agg(F.sum("tokens"), F.sum("docs")).first()
     train_tokens, ends = int(totals[0] or 0), int(totals[1] or 0)
     schema = "kind string, shard int, block bigint, values binary, known bigint"
-    grams = asked.where("kind = 'gram'").groupBy("shard").applyInPandas(_answer_grams(pairs.astype(np.int64).reshape(256, 256)), schema)
+    grams = asked.where("kind = 'gram'").groupBy("shard").applyInPandas(_answer_grams(short), schema)
     words = asked.where("kind = 'word'").groupBy("shard").applyInPandas(_answer_words, schema)
     answers = table(grams.unionByName(words), "answers")
     distinct = int(answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)
-    scored = docs.groupBy("block").cogroup(answers.where("block >= 0").select("kind", "shard", "values", "block").groupBy("block")).applyInPandas(_score, "doc_id bigint, held_out boolean, n_tokens bigint, words_known bigint, words_log10 double, score double")
+    scored = docs.groupBy("block").cogroup(answers.where("block >= 0").select("kind", "shard", "values", "block").groupBy("block")).applyInPandas(_score(shards), "doc_id bigint, held_out boolean, n_tokens bigint, words_known bigint, words_log10 double, score double")
     per_token = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
     return scored.select(
         "doc_id",

@@ -203,6 +203,7 @@ def test_packing_plan_seats_every_length_once():
 
 def test_ppm_against_dictionaries(spark, texts, monkeypatch):
     monkeypatch.setattr(ppm, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(ppm, "LEAST_SHARDS", 5)
     got = {r.doc_id: r for r in ppm.score(frame(spark, texts), F.col("doc_id") % 5 == 1).collect()}
     words = [(t or "").encode().lower().split() for t in texts]
     train = [w for i, w in enumerate(words) if i % 5 != 1]
