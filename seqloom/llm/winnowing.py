@@ -1,11 +1,17 @@
 """Winnowing fingerprints of whole texts with built-in functions only.
 
-A text is cut into units of at most four non-space characters. Each gram of
-`K` consecutive units is hashed; of every window of `W` grams the least hash
-is kept, the rightmost of equal ones. So any run of W + K - 1 units that two
-texts share leaves a common hash in both. A kept gram is one long: 38 bits of
-hash above 25 bits that hold the largest position less its own, so that the
-least long of a window is the least hash at its rightmost place.
+A text is lower-cased and loses its white space. Every K consecutive bytes of
+what is left, in UTF-8, are a gram, at each byte and whatever the script; of
+every window of W grams the least hash is kept, the rightmost of equal ones. So
+any run of W + K - 1 bytes that two texts share leaves a common hash in both. A
+kept gram is one long: 33 bits of hash above 31 bits that hold the largest
+position less its own, so that the least long of a window is the least hash at
+its rightmost place. Hashes compare as signed numbers; positions count from 1.
+
+Bytes are an array with access in constant time, which characters of a string
+are not. A byte gram's hash doesn't depend on its place, which is what rolling
+hashes are for; it is taken whole, as a running value can't be kept between the
+elements of an array here.
 """
 
 from __future__ import annotations
@@ -13,32 +19,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W = 4, 8
-POSITION_BITS = 25
+K, W = 16, 16
+#: Windows handled at once within a row, so that a very long text needs no arrays of its own length.
+STRETCH = 32_768
+#: Bytes of text in a range of doc_id, about.
+RANGE_BYTES = 64_000_000
+POSITION_BITS = 31
 LAST = (1 << POSITION_BITS) - 1
-HASH_MASK = ((1 << 38) - 1) << POSITION_BITS
+
+
+def _least_of(a: str, offsets: list[int]) -> str:
+    """The array of the least of a[i + o] over the offsets o, the first of them 0."""
+    others = "".join(f", {a}[i + {o}]" for o in offsets[1:])
+    return f"transform(slice({a}, 1, size({a}) - {offsets[-1]}), (x, i) -> least(x{others}))" if others else a
 
 
 def with_winnow(df: DataFrame, text: str, into: str, k: int = K, w: int = W) -> DataFrame:
     """Adds array<bigint> `into`: the kept grams of column `text`.
 
-    Null, empty and all-space texts have none; a text with fewer units than k
-    has the hash of all of them.
+    Null, empty and all-space texts have none; a text of fewer than k bytes
+    without its spaces has the hash of all of them.
     """
-    df = df.withColumn("_units", F.expr(f"regexp_extract_all(lower(coalesce({text}, '')), '\\\\S{{1,4}}', 0)"))
-    gram = ", ".join(f"_units[i + {j}]" for j in range(k))
-    df = df.withColumn("_grams", F.expr(f"""CASE
-        WHEN size(_units) = 0 THEN array()
-        WHEN size(_units) < {k} THEN array((xxhash64(_units) & {HASH_MASK}L) | {LAST}L)
-        ELSE transform(sequence(0, size(_units) - {k}), i -> (xxhash64({gram}) & {HASH_MASK}L) | ({LAST}L - i % {LAST + 1}L)) END"""))
-    # least of w neighbours from least of 2, 4, ...: a few passes, whatever w is
-    df, span = df.withColumn("_least", F.col("_grams")), 1
-    while span < w:
-        shift = min(span, w - span)
-        df = df.withColumn("_least", F.expr(f"transform(slice(_least, 1, greatest(0, size(_least) - {shift})), (x, i) -> least(x, _least[i + {shift}]))"))
-        span += shift
-    kept = F.expr(f"CASE WHEN size(_grams) = 0 THEN array() WHEN size(_grams) <= {w} THEN array(array_min(_grams)) ELSE array_distinct(_least) END")
-    return df.withColumn(into, kept.cast("array<bigint>")).drop("_units", "_grams", "_least")
+    df = df.withColumn("_b", F.expr(f"cast(regexp_replace(lower(coalesce({text}, '')), '\\\\s+', '') as binary)"))
+    # transform(array(x), v -> ...)[0] takes x once and calls it v; a column in a lambda is copied at each use
+    grams = lambda a, b: f"transform(sequence({a}, {b}), i -> (xxhash64(substring(bytes, i, {k})) | {LAST}L) - i)"
+    last = f"(octet_length(_b) - {k - 1})"
+    # least of w neighbours: of some next to each other, then of those
+    near = next(p for p in range(1, w + 1) if p * p >= w)
+    far = [*range(0, w - near, near), w - near]
+    window = f"transform(array({grams(f'c * {STRETCH} + 1', f'least(c * {STRETCH} + {STRETCH + w - 1}, {last})')}), g -> transform(array({_least_of('g', list(range(near)))}), m -> array_distinct({_least_of('m', far)}))[0])[0]"
+    kept = f"""transform(array(_b), bytes -> CASE
+        WHEN octet_length(_b) = 0 THEN array()
+        WHEN octet_length(_b) < {k} THEN array((xxhash64(bytes) | {LAST}L) - 1)
+        WHEN {last} <= {w} THEN array(array_min({grams('1', last)}))
+        ELSE array_distinct(flatten(transform(sequence(0, ({last} - {w}) div {STRETCH}), c -> {window}))) END)[0]"""
+    return df.withColumn(into, F.expr(kept).cast("array<bigint>")).drop("_b")
 
 
 def hashes(kept: str) -> Column:
@@ -47,8 +62,8 @@ def hashes(kept: str) -> Column:
 
 
 def as_text(kept: str) -> Column:
-    """Kept grams in order of place, 16 hexadecimal digits each."""
-    return F.expr(f"array_join(transform({kept}, x -> lpad(lower(hex(x)), 16, '0')), ' ')")
+    """Kept grams in order of place, as decimal numbers with a space between."""
+    return F.array_join(F.col(kept).cast("array<string>"), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -57,15 +72,20 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN size({a}) + size({b}) = 0 THEN 1.0D ELSE cast({both} as double) / (size({a}) + size({b}) - {both}) END")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], derive=None) -> DataFrame:
     """Adds next_<c> of the row after in descending (doc_id, text) order, for c in columns.
 
+    derive: a function from rows to rows that adds columns; it sees each row
+    once, besides the few that close ranges.
+
     After the last row comes the first. Null ids stand last. Rows are dealt
-    out by ranges of doc_id, one window for each; a copy of the first rows of a
-    range closes the range before, so that no window spans the table.
+    out by ranges of doc_id, one window for each and about RANGE_BYTES of text
+    in each; a copy of the first rows of a range closes the range before, so
+    that no window spans the table.
     """
     spark = docs.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []), reverse=True)
     # ranges are numbered from the largest ids on; null ids come after all
     range_of = f"CASE WHEN doc_id IS NULL THEN {len(cuts) + 1} ELSE size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c > doc_id)) END" if cuts else f"IF(doc_id IS NULL, {len(cuts) + 1}, 0)"
@@ -83,13 +103,14 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         closing = marked.join(F.broadcast(first), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_head"))).drop("_r", "_head").withColumn("_range", to[F.col("_range")]).withColumn("_copy", F.lit(1))
     w = Window.partitionBy("_range").orderBy("_copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
     both = marked.unionByName(closing)
+    both = derive(both) if derive else both
     return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("_copy = 0").drop("_range", "_copy")
 
 
 def op9_winnowing(spark, sf_dir) -> DataFrame:
     """The contract's query: each text, its edited text, and their likeness."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_winnow(docs, "text", "fp"), ["text", "fp"])
+    docs = with_next(docs, ["text", "fp"], lambda rows: with_winnow(rows, "text", "fp"))
     docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
     docs = docs.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), left(next_text, cast(n_chars div 3 as int)))"))
     docs = docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "edited", "fp", "next_fp")

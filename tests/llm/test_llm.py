@@ -314,30 +314,60 @@ def test_url_filter(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
-def winnow_brute(text):
-    import re
-
-    u = [x for x in re.findall(r"[^ \t\n\x0b\f\r]{1,4}", (text or "").lower())]
-    return u
-
-
-def test_winnowing(spark, texts):
-    docs = frame(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = winnowing.with_winnow(docs, "text", "fp").withColumn("grams", F.expr(f"CASE WHEN size(regexp_extract_all(lower(text), '\\\\S{{1,4}}', 0)) >= {winnowing.K} THEN transform(sequence(0, size(regexp_extract_all(lower(text), '\\\\S{{1,4}}', 0)) - {winnowing.K}), i -> 1) END")).collect()
-    mask = winnowing.HASH_MASK
+def winnow_brute(grams, w):
+    """The (hash, position) that windows of w keep: least hash, rightmost of equal ones."""
+    kept = {}
+    for a in range(max(1, len(grams) - w + 1)):
+        at = min(range(a, min(a + w, len(grams))), key=lambda p: (grams[p], -p))
+        kept[at] = grams[at]
+    return sorted(kept.items())
+
+
+@pytest.mark.parametrize(("k", "w", "stretch"), [(winnowing.K, winnowing.W, 32_768), (3, 7, 5), (2, 1, 40), (4, 8, 64)])
+def test_winnowing(spark, texts, monkeypatch, k, w, stretch):
+    monkeypatch.setattr(winnowing, "STRETCH", stretch)
+    texts = [*texts[:60], "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "abcabcabcabcabcabc" * 9, "日本語のテキスト" * 20, "a b", " x ", "exactly sixteen16", "y" * 39, "z" * 40]
+    docs = frame(spark, texts)
+    rows = winnowing.with_winnow(docs, "text", "kept", k, w).withColumn("b", F.expr("cast(regexp_replace(lower(coalesce(text, '')), '\\\\s', '') as binary)"))
+    rows = rows.withColumn("all", F.expr(f"CASE WHEN octet_length(b) < {k} THEN array(xxhash64(b)) ELSE transform(sequence(1, octet_length(b) - {k} + 1), i -> xxhash64(substring(b, i, {k}))) END")).collect()
+    assert len(rows) == len(texts)
     for r in rows:
-        u = winnow_brute(r.text)
-        if len(u) < winnowing.K:
-            assert len(r.fp) == (1 if u else 0)
-            continue
-        n = len(u) - winnowing.K + 1
-        places = [winnowing.LAST - (x & winnowing.LAST) for x in r.fp]
-        assert places == sorted(places) and len(set(places)) == len(places) and max(places) < n
-        assert all(any(a <= p < a + winnowing.W for p in places) for a in range(max(1, n - winnowing.W + 1)))
-        grams = defaultdict(set)
-        for p, x in zip(places, r.fp, strict=True):
-            grams[tuple(u[p : p + winnowing.K])].add(x & mask)
-        assert all(len(v) == 1 for v in grams.values())
+        assert bytes(r.b) == "".join((r.text or "").lower().split()).encode() or not (r.text or "").isascii()
+        want = winnow_brute([h >> winnowing.POSITION_BITS for h in r["all"]], w) if r.b else []
+        assert [(winnowing.LAST - 1 - (x & winnowing.LAST), x >> winnowing.POSITION_BITS) for x in r.kept] == want
+
+
+def test_winnowing_guarantee_on_shifted_text(spark):
+    """Any shared run of W + K - 1 bytes leaves a common hash, in spaced and unspaced scripts."""
+    rng = random.Random(8)
+    letters = "日本語文字列検索圧縮整理公開" + "กขคงจฉ" + "abcdef0123"
+    rows, n = [], winnowing.K + winnowing.W - 1
+    for i in range(60):
+        shared = "".join(rng.choices(letters, k=n))
+        while len(shared[1:].encode()) >= n:
+            shared = shared[1:]
+        for _ in range(2):
+            rows.append((i, "".join(rng.choices(letters, k=rng.randint(0, 30))) + shared + "".join(rng.choices(letters, k=rng.randint(0, 30)))))
+    docs = winnowing.with_winnow(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", "kept").withColumn("h", winnowing.hashes("kept"))
+    met = docs.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where(F.size(F.array_intersect("a", "b")) > 0)
+    assert met.count() == 60
+
+
+def test_winnowing_query(spark, texts, tmp_path):
+    texts = [*texts[:55], "tail"]
+    ids = [3 * i % 171 for i in range(len(texts))]
+    frame(spark, texts, ids).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in winnowing.op9_winnowing(spark, str(tmp_path)).collect()}
+    down = sorted(zip(ids, texts, strict=True), reverse=True)
+    edited = [t[: len(t) - len(t) // 3] + down[(i + 1) % len(down)][1][: len(t) // 3] for i, (_, t) in enumerate((i, t or "") for i, t in down)]
+    prints = winnowing.with_winnow(frame(spark, [*[t for _, t in down], *edited]), "text", "kept").select("doc_id", winnowing.as_text("kept").alias("x"), winnowing.hashes("kept").alias("h")).collect()
+    prints = {r.doc_id: r for r in prints}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    for i, (doc_id, text) in enumerate(down):
+        r, own, cut, after = got[doc_id], prints[i], prints[len(down) + i], prints[(i + 1) % len(down)]
+        assert (r.n_chars, r.edited_sha256) == (len(text or ""), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (own.x, cut.x)
+        assert r.near_edited == pytest.approx(like(own.h, cut.h)) and r.near_next == pytest.approx(like(own.h, after.h))
 
 
 def test_next_row(spark):
