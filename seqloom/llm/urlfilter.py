@@ -1,8 +1,9 @@
 """URL filters whose decisions pass to aliases, with built-in functions only.
 
-Rules judge a URL by host and path. URLs that redirect to one another or name
-one another as canonical form a component of the link graph; a block reaches
-all of it, unless a rule allows a URL in it explicitly.
+Rules judge a URL by host and path. URLs that redirect to one another, name one
+another as canonical or are spellings of one address form a component of the
+link graph; a block reaches all of it, unless a rule allows a URL in it
+explicitly.
 """
 
 from __future__ import annotations
@@ -69,32 +70,51 @@ def canonical(url: str) -> Column:
 def link_edges(pages: DataFrame) -> DataFrame:
     """(a, b): canonical forms of a page and of a redirect or canonical target in its html.
 
-    Targets are absolute, or begin with / or //; others are ignored.
+    Targets are absolute, or relative to the scheme (//), the host (/), the
+    page (?) or its folder. Those of another kind (mailto:, #) and those that
+    climb folders (..) are ignored. pages may lack the column html.
     """
+    if "html" not in pages.columns:
+        pages = pages.withColumn("html", F.lit(None).cast("string"))
     html = F.coalesce(F.col("html"), F.lit(""))
     found = F.concat(*[F.regexp_extract_all(html, F.lit(t), F.lit(1)) for t in TARGETS])
-    out = pages.where("html IS NOT NULL AND url LIKE '%://%'").select("url", F.explode(found).alias("to"))
+    out = pages.where("html IS NOT NULL AND url LIKE '%://%'").select("url", F.explode(found).alias("to")).withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
     scheme = F.regexp_extract("url", "^(.*?)://", 1)
-    absolute = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host("url"), F.col("to")))
+    site = F.concat(scheme, F.lit("://"), host("url"))
+    to = F.col("to")
+    absolute = (
+        F.when(to.contains("://"), to)
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(to.startswith("/"), F.concat(site, to))
+        .when(to.startswith("?"), F.concat(site, path("url"), to))
+        .when(~to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#|[.][.]/"), F.concat(site, F.regexp_replace(path("url"), "[^/]*$", ""), F.when(path("url") == "", F.lit("/")).otherwise(F.lit("")), to))
+    )
     return out.withColumn("to", absolute).select(canonical("url").alias("a"), canonical("to").alias("b")).where("b IS NOT NULL AND a <> b")
 
 
+def spelling_edges(pages: DataFrame) -> DataFrame:
+    """(a, b): each distinct URL, marked u:, and its canonical form, marked c: so that it is the least."""
+    return pages.where("url LIKE '%://%'").select(F.concat(F.lit("u:"), "url").alias("a"), F.concat(F.lit("c:"), canonical("url")).alias("b"))
+
+
 def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, component) of pages(page_id, url, html).
 
     verdict is the rule's. Without a rule: allow if a URL of the component is
     allowed by a rule, else block if one is blocked, else allow. `edges` (a, b)
-    adds known redirects between canonical forms. A URL that is null or has no
-    :// has empty host and path, no component and the verdict allow.
+    adds known redirects between canonical forms. component: the least canonical
+    form in it. A URL that is null or has no :// has empty host and path, no
+    component and the verdict allow.
     """
-    marked = pages.select("page_id", "url", host("url").alias("host"), path("url").alias("path"), canonical("url").alias("node"))
+    marked = pages.select("page_id", "url", host("url").alias("host"), path("url").alias("path"), F.when(F.col("url").contains("://"), F.concat(F.lit("u:"), "url")).alias("node"))
     text, verdict = matching_rule(rules)
     marked = marked.withColumns({"rule": text, "own": verdict}).drop("url")
     links = link_edges(pages)
     if edges is not None:
         links = links.unionByName(edges.select("a", "b"))
+    links = links.select(F.concat(F.lit("c:"), "a").alias("a"), F.concat(F.lit("c:"), "b").alias("b")).unionByName(spelling_edges(pages))
     groups = components(links).withColumnRenamed("node", "_node")
-    marked = marked.join(groups, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node")).drop("_node", "node")
+    marked = marked.join(groups, F.col("node") == F.col("_node"), "left").withColumn("component", F.expr("substring(component, 3)")).drop("_node", "node")
     # one row for each component with a rule, after partial aggregation
     known = marked.where("own IS NOT NULL AND component IS NOT NULL").groupBy(F.col("component").alias("_c")).agg(F.bool_or(F.col("own") == "allow").alias("allowed"))
     out = marked.join(known, F.col("component") == F.col("_c"), "left")
@@ -130,11 +150,13 @@ hit AS (
   FROM pg JOIN rules r ON (pg.host = r.h OR ends_with(pg.host, '.' || r.h)) AND starts_with(pg.path, r.p)
   GROUP BY pg.page_id),
 targets AS (
-  SELECT url, node, host, unnest(list_concat({quoted})) AS t FROM pg WHERE html IS NOT NULL AND node IS NOT NULL),
+  SELECT url, node, host, path, replace(unnest(list_concat({quoted})), '&amp;', '&') AS t FROM pg WHERE html IS NOT NULL AND node IS NOT NULL),
 resolved AS (
   SELECT node AS a, CASE WHEN contains(t, '://') THEN t
     WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?)://', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '^(.*?)://', 1) || '://' || host || t END AS u FROM targets),
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '^(.*?)://', 1) || '://' || host || t
+    WHEN starts_with(t, '?') THEN regexp_extract(url, '^(.*?)://', 1) || '://' || host || path || t
+    WHEN NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:|^#|[.][.]/') THEN regexp_extract(url, '^(.*?)://', 1) || '://' || host || regexp_replace(path, '[^/]*$', '') || CASE WHEN path = '' THEN '/' ELSE '' END || t END AS u FROM targets),
 one_way AS (SELECT DISTINCT a, {_CANON.format(u="u")} AS b FROM resolved WHERE u IS NOT NULL),
 edges AS (SELECT a, b FROM one_way WHERE a <> b UNION SELECT b, a FROM one_way WHERE a <> b),
 reach(n, m) AS (

@@ -307,9 +307,17 @@ def test_url_filter(spark):
         (9, "http://example.org/en/12?q=/es/", None),
         (10, "http://other.net?x=1", None),
         (11, "http://y.com/de/", None),
+        (12, "http://d.net/a/page.html?id=1&b=2", None),
+        (13, "http://d.net/a/other", link("page?id=1&amp;b=2")),
+        (14, "http://d.net/a/page", link("?b=2&id=1")),
+        (15, "http://d.net/a/x", link("mailto:page?id=1&b=2")),
+        (16, "http://e.net", link("y")),
+        (17, "http://e.net/y", link("http://y.com/de/")),
     ]
     got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert {i: got[i].verdict for i in got} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow", 11: "block"}
+    assert {i: got[i].verdict for i in got} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow", 11: "block", 12: "allow", 13: "allow", 14: "allow", 15: "allow", 16: "block", 17: "block"}
+    assert got[12].component == got[13].component == got[14].component != got[15].component
+    assert urlfilter.judge(spark.createDataFrame([(1, "http://a.de/")], "page_id int, url string")).first().verdict == "allow"
     assert (got[9].rule, got[6].rule, got[6].host, got[7].host, got[8].path, got[10].path) == ("example.org/en/1", "org/", "x.org", "", "", "")
     assert urlfilter.judge(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
