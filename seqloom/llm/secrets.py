@@ -1,9 +1,11 @@
 """Secret scan: candidate strings judged by a random forest, all on the JVM.
 
-Candidates are runs of at least 16 token characters. A forest over their
-length, character transitions, dictionary coverage, path and neighbouring
-words removes false positives. It learns from labelled findings; without given
-ones, from those that a strict rule can label either way.
+Candidates are runs of at least 16 token characters, and shorter ones of any
+kind that are assigned to a credential word. A forest over their length,
+character transitions, dictionary coverage, path and neighbouring words removes
+false positives. It learns from labelled findings: given ones, or seeded ones,
+which are lines made from known secrets and known harmless strings, so that a
+label says what was put there and isn't derived from the features.
 """
 
 from __future__ import annotations
@@ -11,37 +13,58 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.session import table
 
-CANDIDATE = r"[A-Za-z0-9_+/=-]{16,}+"
-CREDENTIAL = r"(?i)\b(api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd|credential|private[_-]?key|auth|bearer)\b"
+WORD = r"(?:api[_-]?key|access[_-]?key|private[_-]?key|token|secret|password|passwd|pwd|credential|auth|bearer)"
+#: Credential words are bounded by anything but letters, so by _ too.
+CREDENTIAL = rf"(?i)(?<![a-z]){WORD}(?![a-z])"
+RUN = r"[A-Za-z0-9_+/-]{16,}+={0,2}"
+#: After a credential word and a sign: any 6 characters or more that are not space, quote or bracket.
+GIVEN = rf"""(?<=(?i:{WORD})["'`]?\s{{0,2}}[=:]\s{{0,2}}["'`]?)[^\s"'`<>=:][^\s"'`<>]{{4,}}[^\s"'`<>.,;:)\]]"""
+BOTH = f"{GIVEN}|{RUN}"
 ASSIGNED = r"""[=:]\s*["'`]?$"""
 TEST_PATH = r"(?i)\b(test|tests|example|examples|sample|mock|fixture|docs?)\b"
 #: Bound of the labelled rows a forest is fitted on, those with the least hash.
 SAMPLE = 20_000
+#: Seeded lines.
+SEEDED = 4_000
 TREES, DEPTH, SEED = 20, 6, 42
 #: Documents that must hold a word before it counts as one of the dictionary.
 MIN_DOCS = 5
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "hex", "coverage", "path", "test_path", "keyword", "assigned", "quoted", "word_before", "word_after")
+FEATURES = ("length", "digits", "uppers", "symbols", "transitions", "distinct", "hex", "coverage", "path", "test_path", "keyword", "assigned", "quoted", "word_before", "word_after")
+
+
+def parts(docs: DataFrame) -> DataFrame:
+    """docs with arrays _found, the candidates of text in order, and _between, what stands around them.
+
+    Null and empty texts have no candidates.
+    """
+    # the wide pattern is tried where a credential word is there at all
+    named = docs.withColumn("_named", F.coalesce(F.col("text").rlike(CREDENTIAL), F.lit(False)))
+    by = lambda f: F.when(F.col("_named"), f(BOTH)).otherwise(f(RUN))
+    return named.withColumns({"_found": by(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))), "_between": by(lambda p: F.split("text", p, -1))}).drop("_named")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, start, candidate, before, after), one row per candidate.
+    """(doc_id, text_hash, source, nth, start, candidate, before, after), one row per candidate.
 
     start counts code points from 0. before and after are up to 48 and 16
-    characters of the text around it. Null and empty texts have none.
+    characters of the text around it, a candidate just before included.
     """
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    found = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", source.alias("source"), "text")
-    found = found.select("doc_id", "source", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"))
-    # lengths before each candidate, summed once along the row
-    ends = F.expr("aggregate(sequence(0, size(found) - 1), array(0), (a, i) -> array_append(a, element_at(a, -1) + length(between[i]) + length(found[i])))")
-    return found.withColumn("ends", ends).select("doc_id", "source", F.explode(F.expr("transform(sequence(0, size(found) - 1), i -> struct(cast(ends[i] + length(between[i]) as bigint) AS start, found[i] AS candidate, right(between[i], 48) AS before, left(between[i + 1], 16) AS after))")).alias("x")).select("doc_id", "source", "x.*")
+    rows = docs.where(F.col("text").rlike(f"{CREDENTIAL}|{RUN}")).select("doc_id", F.xxhash64("text").alias("text_hash"), source.alias("source"), "text")
+    found = parts(rows).drop("text").where("size(_found) > 0").withColumn("_sizes", F.expr("transform(_found, (x, i) -> length(_between[i]) + length(x))"))
+    # where each candidate's stretch begins: sums of blocks of 256, then within the blocks
+    blocks = "sequence(0, (size(_sizes) - 1) div 256)"
+    found = found.withColumn("_at", F.expr(f"aggregate({blocks}, array(0L), (a, b) -> array_append(a, element_at(a, -1) + aggregate(slice(_sizes, b * 256 + 1, 256), 0L, (t, x) -> t + x)))"))
+    found = found.withColumn("_at", F.expr(f"flatten(transform({blocks}, b -> slice(aggregate(slice(_sizes, b * 256 + 1, 256), array(_at[b]), (a, x) -> array_append(a, element_at(a, -1) + x)), 1, 256)))"))
+    one = "struct(i AS nth, _at[i] + length(_between[i]) AS start, x AS candidate, right(concat(if(i > 0, _found[i - 1], ''), _between[i]), 48) AS before, left(_between[i + 1], 16) AS after)"
+    return found.select("doc_id", "text_hash", "source", F.explode(F.expr(f"transform(_found, (x, i) -> {one})")).alias("x")).select("doc_id", "text_hash", "source", "x.*")
 
 
 def coverage(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -68,6 +91,7 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
         "length": F.length(c).cast("double"),
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
+        "symbols": share("[^A-Za-z0-9]"),
         "transitions": share("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         "hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$") & c.rlike("[A-Fa-f]") & c.rlike("[0-9]")),
@@ -82,11 +106,51 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
     })
 
 
-def strict_label() -> Column:
-    """1: a mixed value assigned to a credential word; 0: digits or letters only
-    and no credential word before it; else null."""
-    mixed = (F.col("digits") > 0) & (F.col("digits") < 1) & (F.col("coverage") < 0.5)
-    return F.when((F.col("keyword") == 1) & (F.col("assigned") == 1) & mixed, 1.0).when((F.col("keyword") == 0) & ((F.col("digits") == 0) | (F.col("digits") == 1)), 0.0)
+#: Names that secrets are given to, and those that harmless values have.
+SECRET_NAMES = ("token", "api_key", "apiKey", "secret", "client_secret", "password", "db_password", "passwd", "AWS_SECRET_ACCESS_KEY", "access_key", "auth_token", "GITHUB_TOKEN", "private_key")
+OTHER_NAMES = ("commit", "sha256", "md5", "checksum", "digest", "etag", "build", "revision", "trace_id", "request", "order", "invoice", "card", "tel", "file", "path", "image", "name")
+PLACEHOLDERS = ("your_token_here", "changeme-please", "xxxxxxxxxxxxxxxx", "<redacted>-value", "example-password", "${SECRET_TOKEN}", "os.environ.get", "process.env.TOKEN", "getpass.getpass", "insert-key-here", "None-required", "placeholder_value")
+PROSE = ("the", "and", "was", "seen", "here", "for", "with", "this", "from", "there", "und", "les", "para", "when")
+
+
+def seeded(spark: SparkSession, rows: int = SEEDED) -> DataFrame:
+    """(doc_id, source, text, value, label): lines with one known value each, half of them secrets.
+
+    Every choice follows from a digest of the row's number. Secrets: hexadecimal
+    and base-62 keys of several lengths, keys of known prefixes and passwords
+    with symbols, after a credential word in several spellings; those with a
+    prefix also without one. Harmless: digests and ids under other names, card
+    and telephone numbers, paths, addresses, long words, and placeholders and
+    lookups under credential words.
+    """
+    pick = lambda names, salt: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(names))) + 1).cast("int"))
+    die = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    hexa = lambda n, salt: F.left(F.concat(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)), F.lit(n))
+    wide = lambda n, salt: F.left(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256))), "+/=", "xY7"), F.lit(n))
+    digits = F.lpad(F.pmod(F.xxhash64("id", F.lit("d")), F.lit(10**16)).cast("string"), 16, "4")
+    word = F.concat(*[pick(PROSE, f"w{i}") for i in range(6)])
+    secret = F.when(die(6, "k") == 0, hexa(32, "s")).when(die(6, "k") == 1, hexa(40, "s")).when(die(6, "k") == 2, wide(40, "s")).when(die(6, "k") == 3, wide(24, "s")).when(die(6, "k") == 4, F.concat(F.when(die(3, "p") == 0, F.lit("ghp_")).when(die(3, "p") == 1, F.lit("AKIA")).otherwise(F.lit("sk_live_")), F.when(die(3, "p") == 1, F.upper(wide(16, "s"))).otherwise(wide(36, "s")))).otherwise(F.concat(wide(4, "a"), F.lit("!"), wide(3, "b"), pick(("#", "$", "@", ".", "%"), "c"), hexa(3, "e")))
+    harmless = F.when(die(7, "h") == 0, hexa(40, "n")).when(die(7, "h") == 1, hexa(64, "n")).when(die(7, "h") == 2, digits).when(die(7, "h") == 3, F.concat(F.lit("/usr/"), pick(PROSE, "x"), F.lit("/lib/"), pick(PROSE, "y"), F.lit("/"), word)).when(die(7, "h") == 4, F.concat_ws("-", hexa(8, "u"), hexa(4, "v"), hexa(4, "x"), hexa(4, "y"), hexa(12, "z"))).when(die(7, "h") == 5, word).otherwise(pick(PLACEHOLDERS, "q"))
+    quote = pick(("", '"', "'", '"'), "quote")
+    named = F.concat(pick(SECRET_NAMES, "name"), pick((" = ", "=", ": ", " : "), "sign"), quote)
+    other = F.concat(pick(OTHER_NAMES, "name"), pick((" = ", "=", ": ", " ", " "), "sign"), quote)
+    is_secret = F.col("id") % 2 == 0
+    lead = F.when(is_secret & (die(6, "k") == 4) & (die(2, "free") == 0), F.lit("")).when(is_secret | (die(7, "h") == 6), named).when(die(2, "free") == 0, F.lit("")).otherwise(other)
+    tail = F.when(lead == "", F.lit("")).otherwise(quote)
+    value = F.when(is_secret, secret).otherwise(harmless)
+    line = F.concat_ws(" ", pick(PROSE, "1"), pick(PROSE, "2"), F.concat(lead, value, tail), pick(PROSE, "3"), pick(PROSE, "4"))
+    return spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("seeded").alias("source"), line.alias("text"), value.alias("value"), is_secret.cast("double").alias("label"))
+
+
+def seeded_findings(docs: DataFrame, rows: int = SEEDED) -> DataFrame:
+    """FEATURES and label of the candidates in seeded lines, with docs' dictionary; doc_id is the line's number.
+
+    A candidate that is not the value put there, or a part of it, is harmless.
+    """
+    lines = seeded(docs.sparkSession, rows)
+    found = table(candidates(lines), "seeded")
+    held = featured(found, docs).join(lines.select("doc_id", "value", F.col("label").alias("_label")), "doc_id")
+    return held.withColumn("label", F.when(F.col("value").contains(F.col("candidate")), F.col("_label")).otherwise(0.0)).select("doc_id", "candidate", *FEATURES, "label")
 
 
 def fit(labelled: DataFrame):
@@ -108,33 +172,41 @@ def fit(labelled: DataFrame):
         drawn.unpersist()
 
 
+def judged(found: DataFrame, model) -> DataFrame:
+    """found(FEATURES) with probability; without a model it is 0."""
+    if model is None:
+        return found.withColumn("probability", F.lit(0.0))
+    return model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
+
+
+def _scan(docs: DataFrame, labelled: DataFrame | None, threshold: float) -> DataFrame:
+    found = table(featured(table(candidates(docs), "found"), docs), "candidates")
+    model = fit(seeded_findings(docs) if labelled is None else labelled)
+    return judged(found, model).withColumn("is_secret", F.col("probability") >= threshold)
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, candidate, probability, is_secret) for every candidate.
 
-    `labelled`: findings with FEATURES and label; by default those of docs that
-    strict_label() can tell. Where that leaves one class only, no forest is
-    fitted and the rule decides: probability 1 for its positives, else 0.
+    `labelled`: findings with FEATURES and label (0 or 1); by default seeded
+    ones. Labels of one class only fit nothing, and no candidate is a secret.
     """
-    found = table(featured(table(candidates(docs), "found"), docs), "candidates")
-    model = fit(found.withColumn("label", strict_label()) if labelled is None else labelled)
-    if model is None:
-        judged = found.withColumn("probability", F.coalesce(strict_label(), F.lit(0.0)))
-    else:
-        judged = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
-    return judged.select("doc_id", "start", "candidate", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    return _scan(docs, labelled, threshold).select("doc_id", "start", "candidate", "probability", "is_secret")
 
 
-def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """docs with every secret in text masked; no row goes, n_chars follows the text."""
+def redact(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with every secret in text masked where it stands; no row goes, n_chars follows the text.
+
+    A row is known by doc_id and text, so rows of one id don't share findings.
+    """
     columns = docs.columns
-    secrets = scan(docs, labelled).where("is_secret").groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_set("candidate").alias("_secrets"))
-    out = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    # longest first, so that a secret inside another one doesn't break it
-    masked = F.expr(f"aggregate(array_sort(_secrets, (a, b) -> CASE WHEN length(a) > length(b) THEN -1 WHEN length(a) < length(b) THEN 1 WHEN a < b THEN -1 ELSE 1 END), text, (t, s) -> replace(t, s, '{MASK}'))")
-    out = out.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(masked))
+    flags = _scan(docs, labelled, threshold).groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).agg(F.array_sort(F.collect_set(F.struct("nth", "is_secret"))).alias("_flags"), F.bool_or("is_secret").alias("_any")).where("_any").drop("_any")
+    out = docs.join(flags, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash")), "left")
+    clean = out.where("_flags IS NULL").select(*columns)
+    masked = parts(out.where("_flags IS NOT NULL")).withColumn("text", F.expr(f"concat(array_join(transform(_found, (x, i) -> concat(_between[i], if(_flags[i].is_secret, '{MASK}', x))), ''), element_at(_between, -1))"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return out.select(*columns)
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.unionByName(masked.select(*columns))
 
 
 def op2_secret_scan(spark, sf_dir) -> DataFrame:

@@ -428,6 +428,47 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [f"password: {keys[0]}"])).first().is_secret
 
 
+def test_secrets_in_a_long_text_and_repeated_ids(spark):
+    rng = random.Random(14)
+    keys = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(1500)]
+    long = " ".join(f'{prose(rng, 4)} token = "{k}" commit {k[::-1]}' for k in keys)
+    other = f'x token = "{keys[0]}" {keys[0]}{keys[1]} y'
+    docs = frame(spark, [long, other, long, "clean", None], [1, 1, 2, 3, None])
+    found = [r for r in secrets.scan(docs).collect() if r.doc_id == 2]
+    assert len(found) == 3000 and all(long[r.start :].startswith(r.candidate) for r in found)
+    got = {(r.doc_id, r.text) for r in secrets.redact(docs).collect()}
+    want = long
+    for r in sorted(found, key=lambda r: -r.start):
+        if r.is_secret:
+            want = want[: r.start] + secrets.MASK + want[r.start + len(r.candidate) :]
+    assert {(1, want), (2, want), (3, "clean"), (None, None)} <= got and not any(f'"{k}"' in want for k in keys)
+    assert (1, f'x token = "{secrets.MASK}" {keys[0]}{keys[1]} y') in got
+
+
+def test_secret_forms(spark):
+    rng = random.Random(6)
+    key = "".join(rng.choices("0123456789abcdefghijkXYZ", k=36))
+    secret = {f"api_key={key}": key, 'password = "S3cr!t#42"': "S3cr!t#42", f"AWS_SECRET_ACCESS_KEY = '{key}'": key, f"x?token={key[:20]}&y": None, f"GITHUB_TOKEN: {key}": key, f"client_secret={key[:24]}": key[:24]}
+    harmless = ["commit 9233a8c6e2f4a1b09233a8c6e2f4a1b09233a8c6", "the file /usr/local/share/things/others/here", "card 4914997113902518 was", "password = getpass.getpass", "a.16@mail2.example.com the", "token = your_token_here"]
+    got = secrets.scan(frame(spark, [*secret, *harmless, "password: " * 500])).collect()
+    for i, (text, value) in enumerate(secret.items()):
+        mine = [r for r in got if r.doc_id == i]
+        assert all(text[r.start :].startswith(r.candidate) for r in mine)
+        if value:
+            assert [r.candidate for r in mine if r.is_secret] == [value]
+    assert not [r for r in got if r.is_secret and r.doc_id >= len(secret)]
+
+
+def test_secrets_held_out(spark, texts):
+    """Precision and recall on seeded lines that the forest didn't learn from."""
+    found = secrets.seeded_findings(frame(spark, texts)).cache()
+    model = secrets.fit(found.where("doc_id % 10 < 8"))
+    rows = secrets.judged(found.where("doc_id % 10 >= 8"), model).select("label", (F.col("probability") >= 0.5).alias("p")).collect()
+    hit = sum(r.label == 1 and r.p for r in rows)
+    assert len(rows) > 600
+    assert hit / sum(r.p for r in rows) >= 0.95 and hit / sum(r.label == 1 for r in rows) >= 0.95
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     clean = [prose(rng, 80) for _ in range(60)]
