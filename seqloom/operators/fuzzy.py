@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.placement import place
 from seqloom.functions.scalars import reverse_complement
-from seqloom.session import ship
+from seqloom.session import ship, table
 
 #: Windows and limits of barcode classification.
 WINDOW, PAD_LEFT, PAD_RIGHT = 175, 5, 10
@@ -130,18 +130,34 @@ def umi(reads: DataFrame, id_: str, trim_start: str, pattern: str = "TTTVVVVTTVV
     return sure.unionByName(rest.select(id_, F.expr("substr(win, p.start + 1, p.end - p.start)").alias("umi"), "score"))
 
 
-def kmer_pairs(docs: DataFrame, id_: str, text: str, k: int, max_frequency: int, min_shared: int) -> DataFrame:
-    """(a, b, shared): pairs of rows that share at least min_shared distinct k-mers, a < b.
+def kmer_pairs(docs: DataFrame, id_: str, text: str, k: int, top: float, min_shared: int) -> DataFrame:
+    """(a, b, shared): pairs of different texts that share at least min_shared distinct k-mers, a < b.
 
-    K-mers in over max_frequency rows are left out before the self-join, as
-    candidate search with a seed cut-off does; so a common one makes no pairs
-    and the join makes under max_frequency pairs a row and k-mer.
+    Equal texts are searched once, as their least id; each other id of the text
+    is a pair (least id, id) with a null `shared`. Of all distinct k-mers the
+    most frequent ones, a fraction `top`, make no pairs: their frequency is the
+    cut-off, taken from the counts of the whole table. So a common seed costs
+    no more than the cut-off a row, and a group of copies loses no link.
     """
-    grams = docs.where(F.length(text) >= k).select(id_, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))).alias("kmer"))
-    rare = grams.groupBy("kmer").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= max_frequency)).select("kmer")
-    left = grams.join(rare, "kmer")
-    met = left.select("kmer", F.col(id_).alias("a")).join(left.select("kmer", F.col(id_).alias("b")), "kmer").where("a < b")
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    rows = docs.where(F.col(id_).isNotNull() & F.col(text).isNotNull()).select(F.col(id_).alias("_id"), F.col(text).alias("_text"), F.sha2(text, 256).alias("_key"))
+    first = rows.groupBy("_key").agg(F.min("_id").alias("a"))
+    copies = rows.select("_key", F.col("_id").alias("b")).join(first, "_key").where("a <> b").select("a", "b", F.lit(None).cast("bigint").alias("shared"))
+    texts = rows.join(first, (rows["_key"] == first["_key"]) & (rows["_id"] == first["a"])).where(F.length("_text") >= k).select("a", "_text").dropDuplicates(["a"])
+    grams = table(texts.select("a", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))).alias("kmer")), "kmers")
+    counts = table(grams.groupBy("kmer").agg(F.count("*").alias("n")), "kmer_counts")
+    # one row for each frequency that occurs
+    histogram = sorted(((r[0], r[1]) for r in counts.groupBy("n").agg(F.count("*")).collect()), reverse=True)
+    passed, cut = int(sum(c for _, c in histogram) * top), 0
+    for n, c in histogram:
+        cut = n
+        passed -= c
+        if passed < 0:
+            break
+    seeds = counts.where(F.col("n").between(2, cut)).select("kmer")
+    # at most `cut` ids for each seed
+    met = grams.join(seeds, "kmer").groupBy("kmer").agg(F.sort_array(F.collect_list("a")).alias("ids"))
+    met = met.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+    return met.where(F.col("shared") >= min_shared).unionByName(copies)
 
 
 def expand_barcodes(kits: DataFrame) -> DataFrame:

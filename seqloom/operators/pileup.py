@@ -24,36 +24,41 @@ def passes(min_mapq: int = 0, tag: str | None = None, value: str | None = None,
     return ok & ((here.isNull() & (F.lit(True) if missing_skips_group else group)) | (F.coalesce(here == value, F.lit(False)) & group))
 
 
-def exploded(alignments: DataFrame, id_: str) -> DataFrame:
+def exploded(alignments: DataFrame, id_: str, bases: str | None = None) -> DataFrame:
     """One row per CIGAR operation with q0 (query) and r0 (reference) where it begins.
 
     alignments: id_, pos (0-based), cigar. Sums run inside the row, so nothing
-    is shuffled.
+    is shuffled. bases: an array column of the read's bases; it is replaced by
+    `piece`, the stretch of each operation that takes query.
     """
+    kind = "array<struct<len:int,op:string,q0:int,r0:bigint" + (",piece:array<string>>>" if bases else ">>")
+    piece = f", 'piece', if(instr('MIS=X', x.op) > 0, slice({bases}, a.q + 1, x.len), null)" if bases else ""
     ops = alignments.withColumn("_ops", cigar_ops("cigar"))
-    state = "aggregate(_ops, named_struct('q', 0, 'r', cast(pos AS bigint), 'out', cast(array() AS array<struct<len:int,op:string,q0:int,r0:bigint>>)), (a, x) -> named_struct('q', a.q + if(instr('MIS=X', x.op) > 0, x.len, 0), 'r', a.r + if(instr('MDN=X', x.op) > 0, x.len, 0), 'out', array_append(a.out, named_struct('len', x.len, 'op', x.op, 'q0', a.q, 'r0', a.r)))).out"
-    return ops.withColumn("_x", F.expr(state)).select(*alignments.columns, F.posexplode("_x").alias("nth", "_o")).select(*alignments.columns, "nth", "_o.*")
+    state = f"aggregate(_ops, named_struct('q', 0, 'r', cast(pos AS bigint), 'out', cast(array() AS {kind})), (a, x) -> named_struct('q', a.q + if(instr('MIS=X', x.op) > 0, x.len, 0), 'r', a.r + if(instr('MDN=X', x.op) > 0, x.len, 0), 'out', array_append(a.out, named_struct('len', x.len, 'op', x.op, 'q0', a.q, 'r0', a.r{piece})))).out"
+    kept = [c for c in alignments.columns if c != bases]
+    return ops.select(*kept, F.posexplode(F.expr(state)).alias("nth", "_o")).select(*kept, "nth", "_o.*")
 
 
-def pileup_rows(alignments: DataFrame, id_: str) -> DataFrame:
+def pileup_rows(alignments: DataFrame, id_: str, carry: list[str] | None = None) -> DataFrame:
     """(id_, rname, major, minor, symbol): a row per aligned, deleted or inserted base.
 
     Lower case is the reverse strand, d and D are deletions; reference skips
     and ambiguity codes give nothing. minor counts from 1 within an insertion.
+    `carry` names further columns of alignments to keep. Each operation takes
+    its stretch of seq along, so no base is looked up from the read's start.
     """
-    ops = exploded(alignments, id_).where("op IN ('M', '=', 'X', 'D', 'I')").withColumn("k", F.explode(F.expr("sequence(0, len - 1)")))
-    base = F.when(F.col("op") == "D", "D").otherwise(F.expr("upper(substr(seq, q0 + k + 1, 1))"))
-    symbol = F.when(F.expr("(flag & 16) <> 0"), F.lower(base)).otherwise(base)
+    kept = list(dict.fromkeys([id_, "rname", *(carry or [])]))
+    reverse = F.expr("(flag & 16) <> 0")
+    reads = alignments.select(*kept, "pos", "cigar", F.when(reverse, "d").otherwise("D").alias("_gap"), F.split(F.when(reverse, F.lower("seq")).otherwise(F.upper("seq")), "").alias("_bases"))
+    ops = exploded(reads, id_, "_bases").where("op IN ('M', '=', 'X', 'D', 'I')")
+    ops = ops.select(*kept, "op", "r0", F.posexplode(F.expr("if(op = 'D', array_repeat(_gap, len), piece)")).alias("k", "symbol"))
     major, minor = F.expr("if(op = 'I', r0 - 1, r0 + k)"), F.expr("if(op = 'I', k + 1, 0)")
-    return ops.select(id_, "rname", major.alias("major"), minor.alias("minor"), symbol.alias("symbol")).where("symbol IN ('a', 'c', 'g', 't', 'A', 'C', 'G', 'T', 'd', 'D')")
+    return ops.select(*kept, major.alias("major"), minor.alias("minor"), "symbol").where("symbol IN ('a', 'c', 'g', 't', 'A', 'C', 'G', 'T', 'd', 'D')")
 
 
 def pileup(alignments: DataFrame, id_: str, strata: list[str] | None = None) -> DataFrame:
     """(rname, major, minor, symbol, n), by further columns `strata` of alignments if given."""
-    rows = pileup_rows(alignments, id_)
-    if strata:
-        rows = rows.join(alignments.select(id_, *strata), id_)
-    return rows.groupBy("rname", "major", "minor", "symbol", *(strata or [])).agg(F.count("*").alias("n"))
+    return pileup_rows(alignments, id_, strata).groupBy("rname", "major", "minor", "symbol", *(strata or [])).agg(F.count("*").alias("n"))
 
 
 def depth_features(counts: DataFrame, mode: str = "total") -> DataFrame:

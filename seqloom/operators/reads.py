@@ -36,18 +36,24 @@ def summary(reads: DataFrame, alignments: DataFrame, counts: DataFrame, groups:
     return out
 
 
-def write_accounting(records: DataFrame, flag: str = "flag", duplex: str = "is_duplex", name: str = "read_id") -> DataFrame:
-    """One row: totals by flag; a duplex row counts as duplex and in no simplex counter."""
+def write_accounting(records: DataFrame, flag: str = "flag", duplex: str = "is_duplex", parent: str = "parent_read_id", subread: str = "subread_id") -> DataFrame:
+    """One row of counters. Every record counts by its flag, a duplex one too.
+
+    Only records that are not duplex count as split (they name a parent read)
+    and as unique simplex reads (sub-read 0, unmapped or primary).
+    """
     bit = lambda b: F.expr(f"({flag} & {b}) <> 0")
-    simplex = ~F.col(duplex)
+    is_duplex = F.coalesce(F.col(duplex), F.lit(False))
+    primary = F.expr(f"({flag} & 2308) = 0")
     return records.agg(
         F.count("*").alias("total"),
-        F.count_if(F.col(duplex)).alias("duplex"),
-        F.count_if(simplex & bit(4)).alias("unmapped"),
-        F.count_if(simplex & bit(256)).alias("secondary"),
-        F.count_if(simplex & bit(2048)).alias("supplementary"),
-        F.count_if(simplex & ~bit(4) & ~bit(256) & ~bit(2048)).alias("primary"),
-        F.count_distinct(F.when(simplex, F.col(name))).alias("unique_simplex"),
+        F.count_if(bit(4)).alias("unmapped"),
+        F.count_if(bit(256)).alias("secondary"),
+        F.count_if(bit(2048)).alias("supplementary"),
+        F.count_if(primary).alias("primary"),
+        F.count_if(is_duplex).alias("duplex"),
+        F.count_if(~is_duplex & F.col(parent).isNotNull()).alias("split"),
+        F.count_if(~is_duplex & (F.coalesce(F.col(subread), F.lit(0)) == 0) & (bit(4) | primary)).alias("unique_simplex"),
     )
 
 

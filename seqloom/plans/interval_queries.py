@@ -157,12 +157,18 @@ def top_regions(spark, d):
     return R.top_regions(e.where("value * 20 <= 300"), ["user_id"], "value", "value", "event_id", "stop", 20, 301, 3).select("event_id", "rank")
 
 
-@query("signal_start")
+@query("signal_start", """WITH w AS (SELECT user_id, event_id // 500 AS w, count(*) FILTER (value > 12) AS above, arg_max(value, event_id) AS tail, max(event_id) AS stop FROM events GROUP BY 1, 2),
+f AS (SELECT user_id, min(w) AS f FROM w WHERE above > 3 GROUP BY 1),
+e AS (SELECT user_id, min(stop) + 1 AS s FROM w JOIN f USING (user_id) WHERE w >= f AND tail <= 12 GROUP BY 1)
+SELECT u.user_id, greatest(10, coalesce(s, 10)) AS start FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN e ON e.user_id = u.user_id""")
 def signal_start(spark, d):
     return R.signal_start(read(spark, d, "events"), ["user_id"], "event_id", "value", 12.0, window=500)
 
 
-@query("step_up")
+@query("step_up", """WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+s AS (SELECT DISTINCT user_id, i // 2 AS s FROM x), m AS (SELECT s.user_id, s, quantile_cont(value, 0.5) AS med FROM s JOIN x ON x.user_id = s.user_id AND i >= s * 2 AND i < s * 2 + 10 GROUP BY 1, 2 HAVING count(*) = 10),
+l AS (SELECT *, min(med) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS low FROM m)
+SELECT user_id, min(s) * 2 AS at FROM l WHERE med - low > 5 GROUP BY 1""")
 def step_up(spark, d):
     e = read(spark, d, "events")
     from pyspark.sql import Window

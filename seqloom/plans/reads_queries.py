@@ -145,21 +145,28 @@ def phred_scores(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.phred(F.col("l_discount")).alias("q"))
 
 
-@query("homopolymer_fractions")
+@query("homopolymer_fractions", """WITH x AS (SELECT p_partkey, p_size / 3.0 AS scale, unnest(range(1, 13)) AS r FROM part),
+y AS (SELECT *, exp(-pow((r - 1) / scale, 1.7)) - exp(-pow(r / scale, 1.7)) AS f FROM x)
+SELECT p_partkey, string_agg(CAST(CAST(trunc(10000 * greatest(0.0, f) + 1e-9) AS INT) AS VARCHAR), ',' ORDER BY r) AS fractions FROM y GROUP BY 1""")
 def homopolymer_fractions(spark, d):
-    return read(spark, d, "part").withColumns({"scale": F.col("p_size") / 3.0, "shape": F.lit(1.7)}).select("p_partkey", S.homopolymer_fractions("scale", "shape", 12).alias("fractions"))
+    p = read(spark, d, "part").withColumns({"scale": F.col("p_size") / 3.0, "shape": F.lit(1.7)})
+    return p.select("p_partkey", F.array_join(S.homopolymer_fractions("scale", "shape", 12).cast("array<string>"), ",").alias("fractions"))
 
 
-@query("mux_trim")
+@query("mux_trim", """WITH c AS (SELECT doc_id, length(text) AS n, unnest(string_split(reverse(text), '')) AS ch, unnest(range(0, length(text))) AS j FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, n, j, sum(CASE WHEN ord(ch) <= 40 THEN -1 WHEN ord(ch) <= 45 THEN 1 ELSE 10 END) OVER (PARTITION BY doc_id ORDER BY j) AS v FROM c),
+m AS (SELECT *, min(v) OVER (PARTITION BY doc_id) AS least FROM s),
+e AS (SELECT doc_id, n, CASE WHEN any_value(least) > -1 THEN n - 1 ELSE n - 2 - max(j) FILTER (v = least) END AS cut FROM m GROUP BY doc_id, n)
+SELECT documents.doc_id, CASE WHEN coalesce(n, 0) < 100 OR cut < floor(n * 0.3) OR cut >= n - 5 THEN length(text) ELSE cut END AS kept FROM documents LEFT JOIN e USING (doc_id)""")
 def mux_trim(spark, d):
     return read(spark, d, "documents").select("doc_id", reads.mux_trim_end("text").alias("kept"))
 
 
-@query("record_accounting", """WITH x AS (SELECT *, CASE WHEN l_quantity < 5 THEN 4 ELSE 0 END + CASE WHEN l_returnflag = 'R' THEN 256 ELSE 0 END + CASE WHEN l_returnflag = 'A' THEN 2048 ELSE 0 END AS flag, l_linestatus = 'F' AND l_linenumber > 4 AS dx FROM lineitem)
-SELECT count(*) AS total, count(*) FILTER (dx) AS duplex, count(*) FILTER (NOT dx AND flag & 4 <> 0) AS unmapped, count(*) FILTER (NOT dx AND flag & 256 <> 0) AS secondary,
-  count(*) FILTER (NOT dx AND flag & 2048 <> 0) AS supplementary, count(*) FILTER (NOT dx AND flag & 2308 = 0) AS "primary", count(DISTINCT CASE WHEN NOT dx THEN l_orderkey END) AS unique_simplex FROM x""")
+@query("record_accounting", """WITH x AS (SELECT l_quantity < 5 AS u, l_returnflag = 'R' AS s, l_returnflag = 'A' AS p, l_linestatus = 'F' AND l_linenumber > 4 AS dx, l_suppkey % 3 = 0 AS has_parent, l_linenumber % 4 AS sub FROM lineitem)
+SELECT count(*) AS total, sum(u::INT) AS unmapped, sum(s::INT) AS secondary, sum(p::INT) AS supplementary, sum(CASE WHEN u OR s OR p THEN 0 ELSE 1 END) AS "primary", sum(dx::INT) AS duplex,
+  sum(CASE WHEN has_parent AND NOT dx THEN 1 ELSE 0 END) AS split, sum(CASE WHEN dx OR sub <> 0 THEN 0 WHEN u THEN 1 WHEN s OR p THEN 0 ELSE 1 END) AS unique_simplex FROM x""")
 def record_accounting(spark, d):
-    li = read(spark, d, "lineitem").withColumns({"flag": F.expr("if(l_quantity < 5, 4, 0) + if(l_returnflag = 'R', 256, 0) + if(l_returnflag = 'A', 2048, 0)"), "is_duplex": F.expr("l_linestatus = 'F' AND l_linenumber > 4"), "read_id": F.col("l_orderkey")})
+    li = read(spark, d, "lineitem").select(F.expr("if(l_quantity < 5, 4, 0) + if(l_returnflag = 'R', 256, 0) + if(l_returnflag = 'A', 2048, 0)").alias("flag"), F.expr("l_linestatus = 'F' AND l_linenumber > 4").alias("is_duplex"), F.expr("if(l_suppkey % 3 = 0, l_orderkey, null)").alias("parent_read_id"), (F.col("l_linenumber") % 4).alias("subread_id"))
     return reads.write_accounting(li)
 
 
@@ -330,11 +337,15 @@ def semi_global(spark, d):
     return p.withColumn("p", place("pattern", "text")).select("p_partkey", "p.*")
 
 
-@query("kmer_pairs", """WITH g AS (SELECT DISTINCT doc_id, substr(text, p, 24) AS k FROM (SELECT doc_id, text, unnest(range(1, length(text) - 22)) AS p FROM documents)),
-r AS (SELECT k FROM g GROUP BY k HAVING count(*) BETWEEN 2 AND 20)
-SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y USING (k) WHERE x.doc_id < y.doc_id AND k IN (SELECT k FROM r) GROUP BY 1, 2 HAVING count(*) >= 40""")
+@query("kmer_pairs", """WITH t AS (SELECT text, min(doc_id) AS id FROM documents GROUP BY text),
+g AS (SELECT DISTINCT id, substr(text, p, 24) AS k FROM (SELECT id, text, unnest(range(1, length(text) - 22)) AS p FROM t WHERE length(text) >= 24)),
+c AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+f AS (SELECT n AS most FROM c QUALIFY row_number() OVER (ORDER BY n DESC) = 1 + CAST(floor(count(*) OVER () * 0.0002) AS BIGINT)),
+r AS (SELECT k FROM c, f WHERE n BETWEEN 2 AND most)
+SELECT x.id AS a, y.id AS b, count(*) AS shared FROM g x JOIN g y USING (k) WHERE x.id < y.id AND k IN (SELECT k FROM r) GROUP BY 1, 2 HAVING count(*) >= 40
+UNION ALL SELECT id, doc_id, NULL FROM documents JOIN t USING (text) WHERE doc_id <> id""")
 def kmer_pairs(spark, d):
-    return fuzzy.kmer_pairs(read(spark, d, "documents"), "doc_id", "text", 24, 20, 40)
+    return fuzzy.kmer_pairs(read(spark, d, "documents"), "doc_id", "text", 24, 0.0002, 40)
 
 
 @query("barcode_ids", "SELECT c_custkey, 'BC' || lpad(CAST(i AS VARCHAR), 2, '0') AS name FROM (SELECT c_custkey, unnest(range(c_nationkey, c_nationkey + 4)) AS i FROM customer)")
