@@ -368,7 +368,7 @@ def test_winnowing_query(spark, texts, tmp_path):
     got = {r.doc_id: r for r in winnowing.op9_winnowing(spark, str(tmp_path)).collect()}
     down = sorted(zip(ids, texts, strict=True), reverse=True)
     edited = [t[: len(t) - len(t) // 3] + down[(i + 1) % len(down)][1][: len(t) // 3] for i, (_, t) in enumerate((i, t or "") for i, t in down)]
-    prints = winnowing.with_winnow(frame(spark, [*[t for _, t in down], *edited]), "text", "kept").select("doc_id", winnowing.as_text("kept").alias("x"), winnowing.hashes("kept").alias("h")).collect()
+    prints = winnowing.with_winnow(frame(spark, [*[t for _, t in down], *edited]), "text", "kept").select("doc_id", winnowing.hashes("kept").alias("h")).withColumn("x", winnowing.as_text("h")).collect()
     prints = {r.doc_id: r for r in prints}
     like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
     for i, (doc_id, text) in enumerate(down):
