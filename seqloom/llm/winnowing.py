@@ -34,26 +34,52 @@ def _least_of(a: str, offsets: list[int]) -> str:
     return f"transform(slice({a}, 1, size({a}) - {offsets[-1]}), (x, i) -> least(x{others}))" if others else a
 
 
-def with_winnow(df: DataFrame, text: str, into: str, k: int = K, w: int = W) -> DataFrame:
-    """Adds array<bigint> `into`: the kept grams of column `text`.
+def _bytes(text: Column) -> Column:
+    """What is fingerprinted of a text: lower case, no white space, UTF-8."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "").cast("binary")
 
-    Null, empty and all-space texts have none; a text of fewer than k bytes
-    without its spaces has the hash of all of them.
-    """
-    df = df.withColumn("_b", F.expr(f"cast(regexp_replace(lower(coalesce({text}, '')), '\\\\s+', '') as binary)"))
+
+def _with_kept(df: DataFrame, source: str, into: str, k: int, w: int) -> DataFrame:
+    """Adds array<bigint> `into`: the kept grams of the binary column `source`."""
     # transform(array(x), v -> ...)[0] takes x once and calls it v; a column in a lambda is copied at each use
     grams = lambda a, b: f"transform(sequence({a}, {b}), i -> (xxhash64(substring(bytes, i, {k})) | {LAST}L) - i)"
-    last = f"(octet_length(_b) - {k - 1})"
+    last = f"(octet_length({source}) - {k - 1})"
     # least of w neighbours: of some next to each other, then of those
     near = next(p for p in range(1, w + 1) if p * p >= w)
     far = [*range(0, w - near, near), w - near]
     window = f"transform(array({grams(f'c * {STRETCH} + 1', f'least(c * {STRETCH} + {STRETCH + w - 1}, {last})')}), g -> transform(array({_least_of('g', list(range(near)))}), m -> array_distinct({_least_of('m', far)}))[0])[0]"
-    kept = f"""transform(array(_b), bytes -> CASE
-        WHEN octet_length(_b) = 0 THEN array()
-        WHEN octet_length(_b) < {k} THEN array((xxhash64(bytes) | {LAST}L) - 1)
+    kept = f"""transform(array({source}), bytes -> CASE
+        WHEN octet_length({source}) = 0 THEN array()
+        WHEN octet_length({source}) < {k} THEN array((xxhash64(bytes) | {LAST}L) - 1)
         WHEN {last} <= {w} THEN array(array_min({grams('1', last)}))
         ELSE array_distinct(flatten(transform(sequence(0, ({last} - {w}) div {STRETCH}), c -> {window}))) END)[0]"""
-    return df.withColumn(into, F.expr(kept).cast("array<bigint>")).drop("_b")
+    return df.withColumn(into, F.expr(kept).cast("array<bigint>"))
+
+
+def with_winnow(df: DataFrame, text: str, into: str, k: int = K, w: int = W) -> DataFrame:
+    """Adds array<bigint> `into`: the kept grams of column `text`.
+
+    Null, empty and all-space texts have none; a text of fewer than k bytes
+    without its spaces has the hash of all of them.
+    """
+    return _with_kept(df.withColumn("_b", _bytes(F.col(text))), "_b", into, k, w).drop("_b")
+
+
+def with_rewinnow(df: DataFrame, text: str, kept: str, edited: str, same: str, into: str, k: int = K, w: int = W) -> DataFrame:
+    """Adds array<bigint> `into`: what with_winnow gives for `edited`, made from `kept`, which it gave for `text`.
+
+    The first `same` characters of both are equal. Windows wholly within them
+    keep what they kept, so that hashing starts 2 * w - 1 grams before their
+    end. Where lower case or spaces make the bytes of the two differ after
+    all, or too few are equal, the whole text is hashed.
+    """
+    df = df.withColumns({"_a": _bytes(F.col(text)), "_b": _bytes(F.col(edited)), "_n": F.octet_length(_bytes(F.expr(f"left({text}, cast({same} as int))")))})
+    equal = "octet_length(_a) >= _n AND octet_length(_b) >= _n AND substring(_a, 1, _n) = substring(_b, 1, _n)"
+    # the first gram that is hashed; a gram kept w - 1 after it at most was kept by a window of equal bytes
+    df = df.withColumn("_from", F.expr(f"IF(_n >= {k + 2 * w - 1} AND {equal}, _n - {k + 2 * w - 3}, 1)"))
+    df = _with_kept(df.withColumn("_c", F.expr("substring(_b, _from)")), "_c", "_tail", k, w)
+    old = f"IF(_from = 1, cast(array() as array<bigint>), filter({kept}, x -> {LAST}L - (x & {LAST}L) <= _from + {w - 1}))"
+    return df.withColumn(into, F.expr(f"array_distinct(concat({old}, transform(_tail, x -> x - (_from - 1))))")).drop("_a", "_b", "_c", "_n", "_from", "_tail")
 
 
 def hashes(kept: str) -> Column:
@@ -113,7 +139,7 @@ def op9_winnowing(spark, sf_dir) -> DataFrame:
     docs = with_next(docs, ["text", "fp"], lambda rows: with_winnow(rows, "text", "fp"))
     docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
     docs = docs.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), left(next_text, cast(n_chars div 3 as int)))"))
-    docs = docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "edited", "fp", "next_fp")
-    docs = with_winnow(docs, "edited", "edited_fp").drop("edited")
+    docs = docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited", "fp", "next_fp")
+    docs = with_rewinnow(docs, "text", "fp", "edited", "n_chars - n_chars div 3", "edited_fp").drop("text", "edited")
     docs = docs.withColumns({"h": hashes("fp"), "edited_h": hashes("edited_fp"), "next_h": hashes("next_fp")})
     return docs.select("doc_id", "n_chars", "edited_sha256", as_text("h").alias("fingerprint"), as_text("edited_h").alias("edited_fingerprint"), likeness("h", "edited_h").alias("near_edited"), likeness("h", "next_h").alias("near_next"))

@@ -345,6 +345,21 @@ def test_winnowing(spark, texts, monkeypatch, k, w, stretch):
         assert [(winnowing.LAST - 1 - (x & winnowing.LAST), x >> winnowing.POSITION_BITS) for x in r.kept] == want
 
 
+@pytest.mark.parametrize(("k", "w", "stretch"), [(winnowing.K, winnowing.W, 32_768), (3, 7, 5), (2, 1, 40), (4, 8, 64)])
+def test_rewinnow_equals_winnow(spark, texts, monkeypatch, k, w, stretch):
+    monkeypatch.setattr(winnowing, "STRETCH", stretch)
+    rng = random.Random(11)
+    # a sigma's lower case depends on what follows it, so bytes before the cut differ
+    rows = [("ΟΔΟΣ" * 40, "ΟΔΟΣ" * 30 + "Σ x", 120), ("ab" * 90, "ab" * 90, 180), ("abc", "", 0), (None, "some words", 0), ("a" * 300, "a" * 250 + " " * 90, 250)]
+    for text in [t for t in texts if t]:
+        cut = rng.choice([0, len(text) // 3, len(text) - len(text) // 3, len(text)])
+        rows.append((text, text[:cut] + (rng.choice(texts) or "")[: len(text) - cut], cut))
+    df = spark.createDataFrame(rows, "text string, edited string, same int")
+    df = winnowing.with_winnow(winnowing.with_winnow(df, "text", "fp", k, w), "edited", "want", k, w)
+    got = winnowing.with_rewinnow(df, "text", "fp", "edited", "same", "got", k, w).select("got", "want").collect()
+    assert len(got) == len(rows) and all(r.got == r.want for r in got)
+
+
 def test_winnowing_guarantee_on_shifted_text(spark):
     """Any shared run of W + K - 1 bytes leaves a common hash, in spaced and unspaced scripts."""
     rng = random.Random(8)
