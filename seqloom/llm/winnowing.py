@@ -128,7 +128,8 @@ def with_next(docs: DataFrame, columns: list[str], derive=None) -> DataFrame:
         to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
         closing = marked.join(F.broadcast(first), (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_head"))).drop("_r", "_head").withColumn("_range", to[F.col("_range")]).withColumn("_copy", F.lit(1))
     w = Window.partitionBy("_range").orderBy("_copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    both = marked.unionByName(closing)
+    # dealt out before anything is derived, so that derived columns aren't shuffled; by range, as few hashed numbers deal unevenly
+    both = marked.unionByName(closing).repartitionByRange(ranges, "_range")
     both = derive(both) if derive else both
     return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("_copy = 0").drop("_range", "_copy")
 
