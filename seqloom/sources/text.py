@@ -1,17 +1,14 @@
 """Text sources: FASTQ, FASTA, SAM, PAF, BED, regions, sheets and lists.
 
-Line formats are split in Spark expressions. Only FASTQ needs whole records of
-four lines, where `@` may begin a quality line; it is read by file.
+Line formats are split in Spark expressions. FASTQ needs whole records of four
+lines, where `@` may begin a quality line; its lines are numbered for that.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import ship
-
 TAG = r"^[A-Za-z][A-Za-z0-9]:[AifZHB]:"
 
 
@@ -20,34 +17,36 @@ def tag_map(fields: str) -> Column:
     return F.expr(f"map_from_entries(transform(map_values(map_from_entries(transform(array_distinct(transform(filter({fields}, x -> x RLIKE '{TAG}'), x -> left(x, 2))), t -> struct(t AS k, element_at(filter({fields}, x -> left(x, 2) = t AND x RLIKE '{TAG}'), -1) AS v)))), x -> struct(left(x, 2) AS key, substr(x, 6) AS value)))")
 
 
-def read_fastq(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(file, read_id, seq, qual, tags) of FASTQ files; U in sequences becomes T.
+def numbered_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file, line, value) of text files, plain or compressed, lines counted from 0 in each file.
+
+    Plain files are read in splits by many tasks. A line's number is its place
+    in its split and the lines of the splits before, which are counted first.
+    """
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = lines.groupBy("file", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("file", "_split", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(starts, ["file", "_split"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
+
+
+def read_fastq(spark: SparkSession, path: str, recursive: bool = False, max_reads: int | None = None) -> DataFrame:
+    """(file, read_id, seq, qual, tags) of FASTQ files, .gz too; U in sequences becomes T.
 
     A record is four lines; the header is the id and tab- or space-separated
-    tags. A file is read by one task, as records can't be told apart from the
-    middle; a cut record at its end is an error.
+    tags. Four empty lines are no record; a cut or malformed one is an error.
+    max_reads: this many records at most, whichever come first.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content")
-
-    def run(batches):
-        for pdf in batches:
-            for path_, content in zip(pdf["path"], pdf["content"], strict=True):
-                lines = content.decode().splitlines()
-                while lines and not lines[-1]:
-                    lines.pop()
-                if len(lines) % 4:
-                    raise ValueError(f"{path_}: a record of under four lines")
-                rows = []
-                for i in range(0, len(lines), 4):
-                    head, seq, plus, qual = lines[i : i + 4]
-                    if head[:1] != "@" or plus[:1] != "+" or len(seq) != len(qual):
-                        raise ValueError(f"{path_}: line {i + 1} doesn't begin a record")
-                    name, _, rest = head[1:].replace("\t", " ").partition(" ")
-                    rows.append((path_, name, seq.replace("U", "T"), qual, rest.split(" ") if rest else []))
-                yield pd.DataFrame(rows, columns=["file", "read_id", "seq", "qual", "fields"])
-
-    ship(spark)
-    return files.mapInPandas(run, "file string, read_id string, seq string, qual string, fields array<string>").select("file", "read_id", "seq", "qual", tag_map("fields").alias("tags"))
+    part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
+    rows = numbered_lines(spark, path, recursive).groupBy("file", F.expr("line div 4").alias("_record")).agg(part(0).alias("_head"), part(1).alias("seq"), part(2).alias("_plus"), part(3).alias("qual"))
+    rows = rows.where("concat(_head, coalesce(seq, ''), coalesce(_plus, ''), coalesce(qual, '')) != ''")
+    sound = "startswith(_head, '@') AND startswith(_plus, '+') AND length(seq) = length(qual)"
+    where = "concat(file, ': line ', _record * 4 + 1, ' does not begin a record of four lines')"
+    rows = rows.withColumn("_head", F.expr(f"IF(coalesce({sound}, false), translate(substr(_head, 2), '\t', ' '), raise_error({where}))"))
+    rows = rows.select("file", F.split("_head", " ", 2).alias("_h"), F.translate("seq", "U", "T").alias("seq"), "qual")
+    rows = rows.select("file", F.col("_h")[0].alias("read_id"), "seq", "qual", F.expr("split(coalesce(get(_h, 1), ''), ' ')").alias("_f"))
+    rows = rows.select("file", "read_id", "seq", "qual", tag_map("_f").alias("tags"))
+    return rows if max_reads is None else rows.limit(max_reads)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

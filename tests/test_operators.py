@@ -1,5 +1,6 @@
 """Small hand-made tables and invariants."""
 
+import gzip
 import random
 
 import pytest
@@ -263,6 +264,33 @@ def test_barcodes(spark):
     found = fuzzy.adapters(spark.createDataFrame([("r", "TTACGTTGCAACGT" + "G" * 300)], "id string, seq string"), q, "id").collect()
     assert [(r.side, r.name, r.start, r.end) for r in found] == [("front", "ad", 2, 14)]
 
+def test_fastq_in_splits_and_compressed(spark, tmp_path):
+    rng = random.Random(3)
+    seqs = ["".join(rng.choices("ACGU", k=rng.randint(0, 90))) for _ in range(400)]
+    # qualities begin with @ and +, which also begin headers and third lines
+    body = "".join(f"@r{i} qs:f:{i}\n{s}\n+\n{('@' if i % 2 else '+') * len(s)}\n" for i, s in enumerate(seqs))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fastq").write_text(body + "\n")
+    with gzip.open(tmp_path / "in" / "b.fastq.gz", "wt") as f:
+        f.write(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 10
+        rows = text.read_fastq(spark, str(tmp_path / "in")).collect()
+        assert text.read_fastq(spark, str(tmp_path / "in"), max_reads=7).count() == 7
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for end in ("a.fastq", "b.fastq.gz"):
+        got = {r.read_id: (r.seq, len(r.qual), r.tags) for r in rows if r.file.endswith(end)}
+        assert got == {f"r{i}": (s.replace("U", "T"), len(s), {"qs": str(i)}) for i, s in enumerate(seqs)}
+    assert len(rows) == 800
+    for bad in ("@r\nAC\n+\n", "r\nAC\n+\n!!\n", "@r\nAC\n+\n!\n"):
+        (tmp_path / "bad.fastq").write_text(bad)
+        with pytest.raises(Exception, match="does not begin a record"):
+            text.read_fastq(spark, str(tmp_path / "bad.fastq")).collect()
+
+
 
 def test_text_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.fastq").write_text("@r1 RG:Z:g\tqs:f:9.5\nACGU\n+\n@!!+\n@r2\nAC\n+\n!!\n")
