@@ -47,11 +47,11 @@ def fasta_lines(df: DataFrame, width: int = 80) -> DataFrame:
 
 
 def sam_lines(records: DataFrame, references: DataFrame) -> DataFrame:
-    """Header and records, sorted so that the header comes first."""
-    head = references.select(F.lit(0).alias("part"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "sn"), F.concat(F.lit("LN:"), F.col("ln").cast("string"))).alias("value"))
+    """Header lines in order of name, then records by reference name and position, those without one last."""
+    head = references.select(F.lit(0).alias("part"), F.col("sn").alias("rname"), F.lit(0).cast("bigint").alias("pos"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "sn"), F.concat(F.lit("LN:"), F.col("ln").cast("string"))).alias("value"))
     fields = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-    body = records.select(F.lit(1).alias("part"), F.concat_ws("\t", *[F.col(f).cast("string") for f in fields], F.nullif(tag_fields("tags"), F.lit(""))).alias("value"))
-    return head.unionByName(body).orderBy("part", "value").select("value")
+    body = records.select(F.when(F.coalesce("rname", F.lit("*")) == "*", 2).otherwise(1).alias("part"), "rname", F.col("pos").cast("bigint").alias("pos"), F.concat_ws("\t", *[F.col(f).cast("string") for f in fields], F.nullif(tag_fields("tags"), F.lit(""))).alias("value"))
+    return head.unionByName(body).orderBy("part", "rname", "pos", "value").select("value")
 
 
 def paf_lines(df: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ def read_fastq(spark: SparkSession, path: str, recursive: bool = False, max_read
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, tags): records parted at `>`; the rest of a header may hold tags."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    """(name, seq, tags): records parted at lines that begin with `>`; the rest of a header may hold tags."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     rows = rows.select(F.regexp_extract(head, r"^(\S+)", 1).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "").alias("seq"), F.split(F.regexp_replace(head, r"^\S+\s*", ""), r"[\t ]").alias("_f"))
     return rows.select("name", "seq", tag_map("_f").alias("tags"))
@@ -69,7 +69,7 @@ def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     text = lambda i: F.coalesce(F.nullif(F.try_element_at(f, F.lit(i + 1)), F.lit("")), F.lit("*"))
     num = lambda i: F.coalesce(F.try_element_at(f, F.lit(i + 1)).try_cast("int"), F.lit(0))
     names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-    records = lines.where("value NOT LIKE '@%' AND value <> ''").withColumn("_f", F.slice(f, 12, 1000))
+    records = lines.where("value NOT LIKE '@%' AND value <> ''").withColumn("_f", F.slice(f, 12, F.greatest(F.size(f), F.lit(1))))
     records = records.select(*[(num(i) if n in ("flag", "pos", "mapq", "pnext", "tlen") else text(i)).alias(n) for i, n in enumerate(names)], tag_map("_f").alias("tags"))
     refs = lines.where(F.col("value").startswith("@SQ\t")).select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("sn"), F.regexp_extract("value", r"\tLN:([0-9]+)", 1).cast("int").alias("ln"))
     return records, refs
@@ -99,7 +99,7 @@ def read_paf(spark: SparkSession, path: str) -> DataFrame:
     """12 columns, the other fields as one string, and the CIGAR of cg:Z:."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where("value <> ''")
-    return rows.select(*[(f[i] if n in ("qname", "strand", "tname") else f[i].cast("int")).alias(n) for i, n in enumerate(PAF)], F.array_join(F.slice(f, 13, 1000), "\t").alias("aux")).withColumn("cigar", F.regexp_extract("aux", r"cg:Z:([^\t]*)", 1))
+    return rows.select(*[(f[i] if n in ("qname", "strand", "tname") else f[i].cast("int")).alias(n) for i, n in enumerate(PAF)], F.array_join(F.slice(f, 13, F.greatest(F.size(f), F.lit(1))), "\t").alias("aux")).withColumn("cigar", F.regexp_extract("aux", r"cg:Z:([^\t]*)", 1))
 
 
 def read_bed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

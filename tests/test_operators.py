@@ -264,6 +264,19 @@ def test_barcodes(spark):
     found = fuzzy.adapters(spark.createDataFrame([("r", "TTACGTTGCAACGT" + "G" * 300)], "id string, seq string"), q, "id").collect()
     assert [(r.side, r.name, r.start, r.end) for r in found] == [("front", "ad", 2, 14)]
 
+def test_fasta_header_with_an_angle(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">a A>G change\nAC\nGT\n>b\n>c\r\nTT\r\n")
+    want = {"a": "ACGT", "b": "", "c": "TT"}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "1", "7"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = text.read_fasta(spark, str(tmp_path / "a.fa")).collect()
+            assert len(rows) == 3 and {r.name: r.seq for r in rows} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_fastq_in_splits_and_compressed(spark, tmp_path):
     rng = random.Random(3)
     seqs = ["".join(rng.choices("ACGU", k=rng.randint(0, 90))) for _ in range(400)]
@@ -308,6 +321,10 @@ def test_text_sources_and_sinks(spark, tmp_path):
     r = m.first()
     assert (r.matches, r.insertions, r.substitutions, r.genome_end) == (6, 1, 1, 8) and bad.first().qname == "s"
     assert sinks.sam_lines(recs, refs).first().value == "@SQ\tSN:c1\tLN:50"
+    assert [x.value.split("\t")[0] for x in sinks.sam_lines(recs, refs).collect()] == ["@SQ", "s", "r", "q"]
+    many = "\t".join(f"{a}{b}:i:{n}" for n, (a, b) in enumerate([(a, b) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for b in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"]))
+    (tmp_path / "tags.sam").write_text(f"@SQ\tSN:c1\tLN:50\nr\t0\tc1\t3\t60\t1M\t*\t0\t0\tA\t!\t{many}\n")
+    assert len(text.read_sam(spark, str(tmp_path / "tags.sam"))[0].first().tags) == 1872
     (tmp_path / "a.paf").write_text("q\t10\t0\t5\t+\tt\t20\t1\t6\t5\t5\t60\tNM:i:0\tcg:Z:5M\n")
     paf = text.read_paf(spark, str(tmp_path / "a.paf"))
     assert paf.first().cigar == "5M" and sinks.paf_lines(paf).first().value.endswith("60\tcg:Z:5M")
