@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, langid, media, packing, ppm, secrets, simhash, token_counts, urlfilter, winnowing
+from seqloom.llm import bpe, langid, media, packing, phrases, pivots, ppm, runs, secrets, simhash, token_counts, urlfilter, winnowing
 
 QUERIES = {
     "op1_ppm_score": ppm.op1_ppm_score,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_language_id": langid.op10_language_id,
+    "op11_pivot_links": pivots.op11_pivot_links,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_collocations": phrases.op13_collocations,
 }
-ORACLES: dict[str, str] = {"op8_url_filter": urlfilter.SQL}
+ORACLES: dict[str, str] = {"op8_url_filter": urlfilter.SQL, "op11_pivot_links": pivots.SQL, "op13_collocations": phrases.SQL}

@@ -1,0 +1,235 @@
+"""Pivot index, periodic runs and phrases against brute force, and on odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import duckdb
+import numpy as np
+import pytest
+
+from seqloom.llm import phrases, pivots, runs
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, runs string, w0 string, level int, n bigint"
+
+
+def docs_of(spark, rows):
+    """Documents (doc_id, text, lang) with extra columns named like inner ones."""
+    return spark.createDataFrame([(i, t, g, "s", "r", "w", 1, 2) for i, t, g in rows], SCHEMA)
+
+
+# pivot index
+
+
+def vectors_of(spark, rows, kind="float"):
+    return spark.createDataFrame([(*r, 7, "x") for r in rows], f"vec_id bigint, embedding array<{kind}>, label int, rep bigint, lists string")
+
+
+def near_brute(rows, least):
+    ok = []
+    for i, (vid, v, label) in enumerate(rows):
+        if vid is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            ok.append((i, np.array(v, np.float64), label, vid))
+    links = {i: [] for i in range(len(rows))}
+    for i, a, la, _ in ok:
+        for j, b, lb, _ in ok:
+            if i != j and la == lb and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= least:
+                links[i].append(j)
+    first = [r[0] for r in rows]
+    changed = True
+    while changed:
+        changed = False
+        for i, others in links.items():
+            for j in others:
+                if first[j] < first[i]:
+                    first[i], changed = first[j], True
+    return [(r[0], len(links[i]), first[i]) for i, r in enumerate(rows)]
+
+
+def clustered(rng, n, dim, labels, hot):
+    rows = [(rng.standard_normal(dim), int(rng.integers(labels))) for _ in range(n)]
+    centre = rng.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    rows += [(centre + rng.standard_normal(dim) * 0.14 / np.sqrt(dim), 0) for _ in range(hot)]
+    rows += [(v + rng.standard_normal(dim) * 0.02, label) for v, label in rows[: n // 5]]
+    rows += [(v, label) for v, label in rows[: n // 10]]
+    return [(int(i) * 3, np.float32(v).tolist(), label) for i, (v, label) in zip(rng.permutation(len(rows)), rows, strict=True)]
+
+
+@pytest.mark.parametrize(("block_rows", "long_list"), [(512, 8192), (16, 8192), (16, 1)])
+def test_pivot_links(spark, monkeypatch, block_rows, long_list):
+    """Recall of the index with short lists, dealt lists, and lists of two pivots; never a pair too many."""
+    monkeypatch.setattr(pivots, "LONG_LIST", long_list)
+    rows = clustered(np.random.default_rng(4), 600, 48, 3, 150)
+    got = {r.vec_id: r for r in pivots.near_vectors(vectors_of(spark, rows), 0.98, block_rows).collect()}
+    want = near_brute(rows, 0.98)
+    assert len(got) == len(rows)
+    assert all(got[v].n_links <= n for v, n, _ in want)
+    recall = sum(got[v].n_links for v, _, _ in want) / sum(n for _, n, _ in want)
+    assert recall >= (0.995 if long_list > 1 else 0.95)
+    if recall == 1:
+        assert [(v, got[v].component_id) for v, _, _ in want] == [(v, c) for v, _, c in want]
+
+
+def test_pivot_links_odd_rows(spark):
+    a, b = [1.0, 0.0, 0.0, 0.5], [1.0, 0.0, -0.0, 0.5]
+    rows = [(9, a, 1), (4, b, 1), (5, [2.0, 0.0, 0.0, 1.0], 1), (6, a, 2), (7, a, None), (None, a, 1), (8, None, 1), (10, [], 1), (11, [0.0, -0.0], 1), (12, [1.0, None, 0.0, 0.5], 1)]
+    rows += [(13, [1.0, float("nan"), 0.0, 0.5], 1), (14, [1.0, float("inf"), 0.0, 0.5], 1), (15, [1.0], 1), (16, [3.0], 1), (17, [-1.0], 1), (18, a, 2)]
+    for kind in ("float", "double"):
+        got = sorted(tuple(r) for r in pivots.near_vectors(vectors_of(spark, rows, kind)).collect() if r.vec_id is not None)
+        assert got == sorted(r for r in near_brute(rows, 0.98) if r[0] is not None)
+    assert [(r.n_links, r.component_id) for r in pivots.near_vectors(vectors_of(spark, rows)).where("vec_id IS NULL").collect()] == [(0, None)]
+    assert pivots.near_vectors(vectors_of(spark, [])).count() == 0
+    # every length, the rare ones too
+    many = [(i, [1.0] * (1 + i // 3), 1) for i in range(30)]
+    assert sorted(tuple(r) for r in pivots.near_vectors(vectors_of(spark, many)).collect()) == [(i, 2, i - i % 3) for i in range(30)]
+    # a row again is another vector with the same id
+    assert sorted(tuple(r) for r in pivots.near_vectors(vectors_of(spark, [(3, a, 1)] * 3)).collect()) == [(3, 2, 3)] * 3
+
+
+def test_pivot_prefixes_and_farthest():
+    rng = np.random.default_rng(2)
+    rows = pivots.unit(rng.standard_normal((200, 16)))
+    far = pivots.farthest(rows, 20)
+    assert len(far) == 20 and (far[0] == rows[0]).all()
+    near = rows @ far.T
+    assert (pivots.prefixes(rows, far, 5) == np.argsort(-near, axis=1, kind="stable")[:, :5]).all()
+    assert len(pivots.farthest(np.repeat(rows[:3], 5, axis=0), 20)) == 3
+
+
+def test_pivot_sql(spark, tmp_path):
+    rows = clustered(np.random.default_rng(8), 60, 8, 2, 10)
+    vectors_of(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in pivots.op11_pivot_links(spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(pivots.SQL).fetchall())
+
+
+# periodic runs
+
+
+def runs_brute(s, least=6, times=4):
+    found = {}
+    for p in range(1, len(s) // times + 1):
+        i = 0
+        while i + p < len(s):
+            j = i
+            while j + p < len(s) and s[j] == s[j + p]:
+                j += 1
+            if j > i:
+                if j - i + p >= max(least, times * p):
+                    found.setdefault((i, j - i + p), p)
+                i = j
+            else:
+                i += 1
+    minimal = lambda i, n, p: not any(all(s[x] == s[x + q] for x in range(i, i + n - q)) for q in range(1, p))
+    return sorted([(i, n, p) for (i, n), p in found.items() if minimal(i, n, p)], key=lambda r: (r[0], r[2]))
+
+
+def test_lyndon_lengths():
+    rng = random.Random(5)
+    for _ in range(500):
+        s = [rng.randrange(rng.randint(1, 4)) for _ in range(rng.randint(0, 14))]
+        lyndon = lambda w: all(w < w[k:] for k in range(1, len(w)))
+        assert runs.lyndon_lengths(s).tolist() == [max(n for n in range(1, len(s) - i + 1) if lyndon(s[i : i + n])) for i in range(len(s))]
+
+
+def test_find_runs():
+    rng = random.Random(6)
+    for _ in range(600):
+        s = []
+        for _ in range(rng.randint(0, 8)):
+            s += [rng.randrange(rng.randint(1, 5)) for _ in range(rng.randint(1, 6))] * rng.randint(1, 7)
+        assert [tuple(r) for r in runs.find_runs(np.array(s, np.int64)).tolist()] == runs_brute(s)
+    assert [tuple(r) for r in runs.find_runs(np.zeros(50_000, np.int64)).tolist()] == [(0, 50_000, 1)]
+    with pytest.raises(ValueError, match="4 periods"):
+        runs.find_runs(np.zeros(9, np.int64), 6, 2)
+
+
+def op12_brute(doc_id, text):
+    w = re.findall("[^\x20\x09-\x0d]+", text or "")
+    n = len(w)
+    if doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        g = h // 10
+        if h % 10 == 0:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = runs_brute(w)
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    gone = {i for s, n, p in found for i in range(s + p, s + n)}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    four = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *four, sha("".join(f"{s},{n},{p}\n" for s, n, p in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def test_op12(spark, tmp_path):
+    rng = random.Random(7)
+    rows = []
+    for i in range(-5, 400):
+        words = [rng.choice(["ab", "Ab", "é", "q.", "\x1cz", "\xa0"]) if rng.random() < 0.5 else f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 60))]
+        rows.append((i, rng.choice([" ", "\n", " \t\x0b"]).join(words) + rng.choice(["", " ", "\r"]), "en"))
+    rows += [(400, None, None), (401, "", "en"), (402, " \n", "en"), (403, "a " * 5000, "en"), (404, "a b " * 3 + "a", "en"), (404, "a b " * 3 + "a b", "en"), (404, "x", "en"), (404, "x", "en"), (None, "z " * 9, "en")]
+    rows += [(next(i for i in range(500, 600) if zlib.crc32(str(i).encode()) % 10 == 0), t, "en") for t in (None, "", "one", "b a " * 700)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted((tuple(r) for r in runs.op12_periodic_runs(spark, str(tmp_path)).collect()), key=key)
+    assert got == sorted((op12_brute(i, t) for i, t, _ in rows), key=key)
+    one = runs.periodic_runs(docs_of(spark, [(1, "x a b a b a b a b c", "en")])).first()
+    assert one.collapsed == "x a b c" and [tuple(r) for r in one.runs] == [(1, 8, 2)] and one.n_words == 10
+    assert runs.periodic_runs(docs_of(spark, [])).count() == 0
+
+
+# phrases
+
+
+def phrases_brute(rows, longest, least, top):
+    counts, total = Counter(), Counter()
+    for _, text, lang in rows:
+        lang = lang or "und"
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", low):
+            w = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            counts.update((lang, tuple(w[i : i + k])) for i in range(len(w)) for k in range(1, longest + 1) if i + k <= len(w))
+    frequent = {p: n for p, n in counts.items() if len(p[1]) > 1 and n >= least}
+    out = {}
+    for (lang, p), a in frequent.items():
+        if any(q[0] == lang and len(q[1]) > len(p) and n >= a and any(q[1][i : i + len(p)] == p for i in range(len(q[1]) - len(p) + 1)) for q, n in frequent.items()):
+            continue
+        cuts = [(1000 * a * total[lang] // (counts[lang, p[:k]] * counts[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), counts[lang, p[:k]], counts[lang, p[k:]]))
+    return sorted((lang, i + 1, p.decode(), -a, low, r, total[lang], -s) for lang, found in out.items() for i, (s, a, p, low, r) in enumerate(sorted(found)[:top]))
+
+
+@pytest.mark.parametrize(("longest", "least", "top", "gather"), [(5, 4, 2000, 4_000_000), (3, 6, 9, 50), (2, 3, 2000, 300)])
+def test_collocations(spark, monkeypatch, longest, least, top, gather):
+    monkeypatch.setattr(phrases, "GATHER", gather)
+    rng = random.Random(11)
+    words = ["a", "B", "b", "é", "É", "The", "of", "x\xa0y", "\x1f", "ü-1", "zz"]
+    rows = [(i, rng.choice([" ", "\t ", " "]).join(rng.choices(words, range(len(words), 0, -1), k=rng.randint(0, 40))) + rng.choice([".", "! A b", "\x0b", ""]), rng.choice(["en", "de", None, "und"])) for i in range(60)]
+    rows += [(1, None, "en"), (2, "", None), (3, " , . \n", "fr"), (4, "only once", "es"), (5, "deep blue sea, " * 40, "en"), (5, "deep blue sea, " * 40, "en"), (None, "a a a a a a a", "de")]
+    got = sorted(tuple(r) for r in phrases.collocations(docs_of(spark, rows), longest, least, top).collect())
+    assert got == phrases_brute(rows, longest, least, top)
+
+
+def test_collocations_of_nothing(spark):
+    assert phrases.collocations(docs_of(spark, [])).count() == 0
+    assert phrases.collocations(docs_of(spark, [(1, None, None), (2, " . ", "en")])).count() == 0
+
+
+def test_sieve_only_prunes(spark, monkeypatch):
+    """With two buckets all pairs look frequent, and with many few do; counts are the same."""
+    rows = docs_of(spark, [(i, "new york city is new york city, new times in york", "en") for i in range(5)] + [(9, "Some other words. new york", "en")])
+    want = None
+    for bits in ((1, 1), (20, 28)):
+        monkeypatch.setattr(phrases, "SIEVE_BITS", bits)
+        got = sorted(tuple(r) for r in phrases.collocations(rows, 5, 3).collect())
+        assert want in (None, got) and got
+        want = got
