@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from seqloom.session import ship, table
 
 #: Words that a task gathers before it counts them.
-GATHER = 4_000_000
+GATHER = 1_000_000
 #: Buckets of the sieve: one for so many bytes of text, between two bounds (as powers of two).
 BUCKET_BYTES, SIEVE_BITS = 64, (20, 28)
+#: Buckets of a part of the sieve, as a power of two.
+PART_BITS = 16
 #: Shares of a language's phrases that are ranked apart before they are ranked together.
 RANK_SHARES = 64
 
@@ -88,30 +90,54 @@ def _gathered(batches):
 
 
 def _sieve(docs: DataFrame, bits: int, least: int) -> bytes:
-    """Bitmap of the buckets with `least` pairs or more."""
+    """Bitmap of the buckets with `least` pairs or more.
+
+    Tasks send, for each part of the buckets, which of them they met and how often (up
+    to `least` at a time); a part is summed in an array of its own as its messages come.
+    """
+    low = min(bits, PART_BITS)
+    size = 1 << low
+    kind = np.uint8 if least < 256 else np.uint32
 
     def count(batches):
         for g in _gathered(batches):
             _, _, pair, together = g.take()
-            bucket, n = np.unique((pair[together] >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            for at in range(0, len(bucket), 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at : at + (1 << 20)].astype(np.int32)), pa.array(n[at : at + (1 << 20)].astype(np.int32))], ["bucket", "n"])
-
-    buckets = docs.mapInArrow(count, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # bitmap functions count positions from 1 on
-    at = F.col("bucket").cast("bigint") + 1
-    maps = buckets.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
-    # 2^bits bits in all, at most, in parts of 4096 bytes
-    for part, found in maps.toLocalIterator():
-        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(found), np.uint8)
+            bucket, n = np.unique(pair[together] >> np.uint64(64 - bits), return_counts=True)
+            n = np.minimum(n, least).astype(kind)
+            part = (bucket >> np.uint64(low)).astype(np.int32)
+            within = (bucket & np.uint64(size - 1)).astype(np.uint16)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
+            rows = [(int(part[s]), within[s:e].tobytes(), n[s:e].tobytes()) for s, e in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "met", "n"])
+
+    def add(batches):
+        now, total = None, None
+        for batch in batches:
+            for part, met, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if part != now:
+                    if now is not None:
+                        yield bitmap(now, total)
+                    now, total = part, np.zeros(size, np.int64)
+                total[np.frombuffer(met, np.uint16)] += np.frombuffer(n, kind)
+        if now is not None:
+            yield bitmap(now, total)
+
+    def bitmap(part, total):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    messages = docs.mapInArrow(count, "part int, met binary, n binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    # 2^bits bits in all, at most, one part at a time
+    for part, found in messages.mapInArrow(add, "part int, bits binary").toLocalIterator():
+        out[part * size // 8 : (part + 1) * size // 8] = np.frombuffer(bytes(found), np.uint8)
     return out.tobytes()
 
 
 def windows(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
     """(lang, w0 .. w<longest - 1>, n): windows led by each word, partly counted."""
     size = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    bits = min(max((size // BUCKET_BYTES).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
+    # a bitmap has whole bytes
+    bits = max(min(max((size // BUCKET_BYTES).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1]), 3)
     sieve = _sieve(docs, bits, least)
     names = [f"w{k}" for k in range(longest)]
 
@@ -148,10 +174,18 @@ def windows(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
 def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100) -> DataFrame:
     """(lang, words array, n): a row of no words with the words of each language, and each phrase that occurs `least` times or more."""
     names = [f"w{k}" for k in range(longest)]
-    rolled = windows(docs, longest, least).rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    top = table(windows(docs, longest, least).groupBy("lang", *names).agg(F.sum("n").alias("n")), "windows")
     # grouping_id has a bit for each column summed over; a phrase of k words leaves longest - k of them
-    kept = [f"(level = {(1 << longest) - 1} AND lang IS NOT NULL)"] + [f"(level = {(1 << (longest - k)) - 1} AND w{k - 1} IS NOT NULL AND n >= {least})" for k in range(1, longest + 1)]
-    return rolled.where(" OR ".join(kept)).select("lang", F.expr(f"filter(array({', '.join(names)}), w -> w IS NOT NULL)").alias("words"), "n")
+    rolled = top.where("w1 IS NOT NULL").rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    # a window of one word has nothing but the word to sum to
+    alone = top.where("w1 IS NULL").rollup("lang", "w0").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    whole = (1 << longest) - 1
+    words = lambda k: F.array(*[F.col(c) for c in names[:k]]).cast("array<string>")
+    low = alone.where("lang IS NOT NULL AND (level = 1 OR (level = 0 AND w0 IS NOT NULL))").select("lang", F.when(F.col("level") == 1, words(0)).otherwise(words(1)).alias("words"), "n")
+    low = low.unionByName(rolled.where(f"level = {whole} OR level = {whole >> 1}").where("lang IS NOT NULL").select("lang", F.when(F.col("level") == whole, words(0)).otherwise(words(1)).alias("words"), "n"))
+    low = low.groupBy("lang", "words").agg(F.sum("n").alias("n")).where(f"size(words) = 0 OR n >= {least}")
+    longer = rolled.where(" OR ".join(f"(level = {whole >> k} AND w{k - 1} IS NOT NULL)" for k in range(2, longest + 1))).where(F.col("n") >= least)
+    return low.unionByName(longer.select("lang", F.expr(f"filter(array({', '.join(names)}), w -> w IS NOT NULL)").alias("words"), "n"))
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000) -> DataFrame:
