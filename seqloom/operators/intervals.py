@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import scans
+
 #: Bins an interval may span before it goes to the next coarser width.
 WIDE = 64
 
@@ -73,28 +75,35 @@ def inside(a: DataFrame, b: DataFrame, keys: list[str], id_: str, width: int, sh
     return a.join(ids, id_, "left_anti" if negate else "left_semi")
 
 
-def merge_ranges(df: DataFrame, keys: list[str], distance: int = 0) -> DataFrame:
+def _opened(marked: DataFrame, keys: list[str], order: list[str], name: str, width: int) -> DataFrame:
+    """Adds `name`: how many rows up to this one have _old = 0; of rows in one place those come first."""
+    counted = scans.before(marked, keys, [*order, "_old"], {"_seen": ("sum", 1 - F.col("_old"))}, width)
+    return counted.withColumn(name, F.coalesce("_seen", F.lit(0)) + 1 - F.col("_old")).drop("_seen", "_old")
+
+
+def merge_ranges(df: DataFrame, keys: list[str], distance: int = 0, width: int = scans.TILE) -> DataFrame:
     """(keys, start, end, n): ranges joined while the next starts within `distance` of the last end."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    so_far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(F.col("start") <= so_far + distance, 0).otherwise(1))
-    island = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["start", "end"]
+    marked = scans.before(df.select(*keys, *order), keys, order, {"_so_far": ("max", F.col("end"))}, width)
+    marked = marked.withColumn("_old", F.when(F.col("start") <= F.col("_so_far") + distance, 1).otherwise(0)).drop("_so_far")
+    island = _opened(marked, keys, order, "_island", width)
     return island.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = scans.TILE) -> DataFrame:
     """(keys, run, first, last, value, n): islands of equal values along `order`; nulls equal each other."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    same = F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1)
-    marked = df.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.select(*dict.fromkeys([*keys, *order, value]))
+    marked = scans.before(rows, keys, order, {"_prev": ("last", F.struct(F.col(value).alias("v")))}, width)
+    same = F.col("_prev").isNotNull() & F.col(value).eqNullSafe(F.col("_prev.v"))
+    marked = _opened(marked.withColumn("_old", same.cast("int")).drop("_prev"), keys, order, "run", width)
     return marked.groupBy(*keys, "run").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.first(value).alias(value), F.count("*").alias("n"))
 
 
-def split_on_gap(df: DataFrame, keys: list[str], position: str, gap: int = 1) -> DataFrame:
+def split_on_gap(df: DataFrame, keys: list[str], position: str, gap: int = 1, width: int = scans.TILE) -> DataFrame:
     """Adds `part`: a new one begins where position rises by more than gap."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    new = F.when(F.col(position) - F.lag(position).over(w) <= gap, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    marked = scans.before(df, keys, [position], {"_prev": ("last", F.col(position))}, width)
+    marked = marked.withColumn("_old", F.coalesce(F.col(position) - F.col("_prev") <= gap, F.lit(False)).cast("int")).drop("_prev")
+    return _opened(marked, keys, [position], "part", width)
 
 
 def tiles(df: DataFrame, length: str, size: int, overlap: int) -> DataFrame:
