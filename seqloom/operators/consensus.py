@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.scalars import phred
+from seqloom.operators import scans
 from seqloom.session import ship
 
 
@@ -78,12 +79,12 @@ def variant_columns(columns: DataFrame, keys: list[str], ref: str, calls: list[s
     return out.withColumn("is_variant", F.when(F.col("minor") == 0, F.col("_own")).otherwise(any_)).drop("_own")
 
 
-def variant_islands(columns: DataFrame, keys: list[str], ref: str, calls: list[str]) -> DataFrame:
+def variant_islands(columns: DataFrame, keys: list[str], ref: str, calls: list[str], width: int = scans.TILE) -> DataFrame:
     """(keys, island, pos, ref, alts): runs of variant columns with gaps stripped."""
     marked = variant_columns(columns, keys, ref, calls)
-    w = Window.partitionBy(*keys).orderBy("major", "minor")
-    marked = marked.withColumn("_n", F.row_number().over(w)).where("is_variant")
-    marked = marked.withColumn("island", F.col("_n") - F.row_number().over(w))
+    # a run of variants has as many other columns before it all along
+    marked = scans.before(marked, keys, ["major", "minor"], {"island": ("sum", (~F.col("is_variant")).cast("int"))}, width)
+    marked = marked.where("is_variant").withColumn("island", F.coalesce("island", F.lit(0)))
     joined = lambda c: F.expr(f"replace(array_join(transform(_x, x -> x.{c}), ''), '*', '')")
     out = marked.groupBy(*keys, "island").agg(F.min("major").alias("pos"), F.sort_array(F.array_agg(F.struct("major", "minor", ref, *calls))).alias("_x"))
     return out.select(*keys, "island", "pos", joined(ref).alias("ref"), F.array(*[joined(c) for c in calls]).alias("alts"))

@@ -84,6 +84,14 @@ def join_samples(columns: DataFrame, keys: list[str], width: int = scans.TILE) -
     return out.withColumn("sample", F.when(F.col("split").isNotNull() & (at >= F.col("split")), F.col("split")).otherwise(F.col("left"))).drop("split", "left")
 
 
+def _let(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """rows with values computed once, where withColumns would copy them into each later use.
+
+    A generator of one row stands between, which the optimiser doesn't look through.
+    """
+    return rows.select(*[F.col(c) for c in rows.columns if c not in values], F.inline(F.array(F.struct(*[v.alias(f"_let_{n}") for n, v in values.items()])))).withColumnsRenamed({f"_let_{n}": n for n in values})
+
+
 def _gapless(symbols: str) -> str:
     return f"replace(array_join({symbols}, ''), '*', '')"
 
@@ -97,20 +105,20 @@ def _normal(rows: DataFrame) -> DataFrame:
     common starts go, never a last base. If no base is left in front, the trim that would
     empty an allele isn't made; an allele empty from the start takes the next base.
     """
-    rows = rows.withColumns({"_left": F.expr("array_join(transform(context, x -> x.base), '')"), "_m": F.expr("array_min(transform(alleles, a -> length(a)))")})
-    rows = rows.withColumns({"_room": F.length("_left"), "_rev": F.expr("transform(alleles, a -> split(reverse(concat(_left, a)), ''))")})
+    rows = _let(rows, {"_left": F.expr("array_join(transform(context, x -> x.base), '')"), "_m": F.expr("array_min(transform(alleles, a -> length(a)))")})
+    rows = _let(rows, {"_room": F.length("_left"), "_rev": F.expr("transform(alleles, a -> split(reverse(concat(_left, a)), ''))")})
     # the common end of all alleles with their context
-    rows = rows.withColumn("_k", F.expr("coalesce(array_min(filter(sequence(1, _room + _m), j -> j > 0 AND exists(_rev, r -> r[j - 1] <> _rev[0][j - 1]))) - 1, _room + _m)"))
+    rows = _let(rows, {"_k": F.expr("coalesce(array_min(filter(sequence(1, _room + _m), j -> j > 0 AND exists(_rev, r -> r[j - 1] <> _rev[0][j - 1]))) - 1, _room + _m)")})
     # as many trims as leave each allele a base
-    rows = rows.withColumn("_t", F.expr("greatest(0, least(_k, _room + _m - 1))"))
-    rows = rows.withColumn("ext", F.expr("greatest(forced, least(_room, greatest(0, _t + 1 - _m)))"))
-    rows = rows.withColumn("_a", F.expr("transform(alleles, a -> concat(right(_left, ext), a))")).withColumn("_a", F.expr("transform(_a, a -> left(a, length(a) - _t))"))
+    rows = _let(rows, {"_t": F.expr("greatest(0, least(_k, _room + _m - 1))")})
+    rows = _let(rows, {"ext": F.expr("greatest(forced, least(_room, greatest(0, _t + 1 - _m)))")})
+    rows = _let(rows, {"_a": F.expr("transform(alleles, a -> left(concat(right(_left, ext), a), ext + length(a) - _t))")})
     stuck = F.expr("exists(_a, a -> a = '')")
-    rows = rows.withColumn("appended", stuck & F.coalesce(F.expr("nxt.major = pos + length(alleles[0]) AND NOT nxt.is_variant"), F.lit(False)))
-    rows = rows.withColumn("_a", F.when(F.col("appended"), F.expr("transform(_a, a -> concat(a, nxt.ref))")).otherwise(F.col("_a")))
-    short = "array_min(transform(_a, a -> length(a)))"
-    rows = rows.withColumn("_s", F.expr(f"CASE WHEN {short} < 2 THEN 0 ELSE coalesce(array_min(filter(sequence(1, {short} - 1), j -> exists(_a, a -> substring(a, j, 1) <> substring(_a[0], j, 1)))) - 1, {short} - 1) END"))
-    return rows.withColumns({"pos": F.expr("pos - ext + _s"), "alleles": F.expr("transform(_a, a -> substring(a, _s + 1))")}).drop("_left", "_m", "_room", "_rev", "_k", "_t", "_a", "_s")
+    rows = _let(rows, {"appended": stuck & F.coalesce(F.expr("nxt.major = pos + length(alleles[0]) AND NOT nxt.is_variant"), F.lit(False))})
+    rows = _let(rows, {"_a": F.when(F.col("appended"), F.expr("transform(_a, a -> concat(a, nxt.ref))")).otherwise(F.col("_a"))})
+    rows = _let(rows, {"_short": F.expr("array_min(transform(_a, a -> length(a)))")})
+    rows = _let(rows, {"_s": F.expr("CASE WHEN _short < 2 THEN 0 ELSE coalesce(array_min(filter(sequence(1, _short - 1), j -> exists(_a, a -> substring(a, j, 1) <> substring(_a[0], j, 1)))) - 1, _short - 1) END")})
+    return _let(rows, {"pos": F.expr("pos - ext + _s"), "alleles": F.expr("transform(_a, a -> substring(a, _s + 1))")}).drop("_left", "_m", "_room", "_rev", "_k", "_t", "_a", "_s", "_short")
 
 
 def call_variants(columns: DataFrame, keys: list[str], ambiguous: bool = False, normalize: bool = True, merge_overlapping: bool = False, merge_adjacent: bool = False, min_quality: float = 3.0) -> DataFrame:
@@ -145,12 +153,12 @@ def call_variants(columns: DataFrame, keys: list[str], ambiguous: bool = False,
     ).where("size(cols) > 0")
     # sort_array puts an island in order of its places; its first one tells where it stands
     first, final = F.col("cols")[0], F.element_at("cols", -1)
-    parts = parts.withColumns({"rstart": first["i"], "rend": final["i"] + 1, "from_cum": first["cum"], "to_cum": final["cum"] + final["_lp"], "forced": (first["minor"] != 0).cast("int"), "pos": first["major"] + (first["minor"] != 0).cast("int")})
+    parts = _let(parts, {"rstart": first["i"], "rend": final["i"] + 1, "from_cum": first["cum"], "to_cum": final["cum"] + final["_lp"], "forced": (first["minor"] != 0).cast("int"), "pos": first["major"] + (first["minor"] != 0).cast("int")})
     alleles = f"concat(array({_gapless('transform(cols, c -> c.ref)')}), transform(sequence(0, size(cols[0].calls) - 1), h -> {_gapless('transform(cols, c -> c.calls[h])')}))"
     # bases before it up to the first break: the k-th from the right stands k + 1 before pos
     broken = "_near[k].major <> pos - 1 - k" + ("" if ambiguous else f" OR instr('{SYMBOLS}', _near[k].base) = 0")
-    parts = parts.withColumns({"alleles": F.expr(alleles), "_near": F.reverse("gap")})
-    parts = parts.withColumn("context", F.expr(f"IF(size(gap) = 0, gap, reverse(slice(_near, 1, coalesce(array_min(filter(sequence(0, size(_near) - 1), k -> {broken})), size(_near)))))"))
+    parts = _let(parts, {"alleles": F.expr(alleles), "_near": F.reverse("gap")})
+    parts = _let(parts, {"context": F.expr(f"IF(size(gap) = 0, gap, reverse(slice(_near, 1, coalesce(array_min(filter(sequence(0, size(_near) - 1), k -> {broken})), size(_near)))))")})
     parts = parts.where("exists(alleles, a -> a <> alleles[0])")
     raw = parts.select(*keys, "sample", "pos", "alleles", "context", "gap", "forced", "rstart", "rend", "from_cum", "to_cum", "nxt")
     out = _placed(raw, normalize)
@@ -173,11 +181,11 @@ def call_variants(columns: DataFrame, keys: list[str], ambiguous: bool = False,
         raw = groups.select(*keys, "sample", lead["raw_pos"].alias("pos"), F.expr(joined).alias("alleles"), lead["raw_context"].alias("context"), lead["raw_gap"].alias("gap"), lead["raw_ext"].alias("forced"), lead["raw_rstart"].alias("rstart"), last["raw_rend"].alias("rend"), lead["raw_from"].alias("from_cum"), last["raw_to"].alias("to_cum"), last["raw_nxt"].alias("nxt"))
         out = _placed(raw.where("exists(alleles, a -> a <> alleles[0])"), normalize)
     qual = F.round(F.greatest(F.lit(0.0), _phred(1 - F.exp(F.col("to_cum") - F.col("from_cum")))), 3)
-    out = out.withColumn("qual", qual).withColumn("ref", F.col("alleles")[0]).withColumn("_calls", F.expr("slice(alleles, 2, size(alleles) - 1)"))
+    out = _let(out, {"qual": qual, "ref": F.col("alleles")[0], "_calls": F.expr("slice(alleles, 2, size(alleles) - 1)")})
     # an allele that stayed empty has nothing to be written as
     bare = F.expr("exists(_calls, a -> a = '')")
     alts = F.when(bare, F.array(F.lit("."))).otherwise(F.expr("array_sort(array_distinct(filter(_calls, a -> a <> ref)))"))
-    out = out.withColumn("alts", alts)
+    out = _let(out, {"alts": alts})
     gt = F.when(bare, F.lit("0")).otherwise(F.expr("array_join(array_sort(transform(_calls, a -> cast(array_position(alts, a) as int))), '/')"))
     kind = F.when(bare, F.lit(".")).when(F.col("qual") >= min_quality, "PASS").otherwise("LowQual")
     return out.where("ref <> ''").select(*keys, "sample", "pos", "ref", "alts", gt.alias("gt"), F.round("qual").cast("int").alias("gq"), "qual", kind.alias("filter"), "rstart", "rend")
@@ -194,10 +202,10 @@ def _placed(raw: DataFrame, normalize: bool) -> DataFrame:
     if normalize:
         rows = _normal(rows)
     else:
-        rows = rows.withColumns({"ext": F.expr("least(forced, size(context))"), "appended": F.lit(False)})
-        rows = rows.withColumns({"alleles": F.expr("transform(alleles, a -> concat(IF(ext > 0, element_at(context, -1).base, ''), a))"), "pos": F.expr("pos - ext")})
+        rows = _let(rows, {"ext": F.expr("least(forced, size(context))"), "appended": F.lit(False)})
+        rows = _let(rows, {"alleles": F.expr("transform(alleles, a -> concat(IF(ext > 0, element_at(context, -1).base, ''), a))"), "pos": F.expr("pos - ext")})
     lead = F.expr("IF(ext > 0, element_at(context, -ext), null)")
-    rows = rows.withColumns({"raw_ext": F.col("ext"), "rstart": F.coalesce(lead["i"], "rstart"), "from_cum": F.coalesce(lead["cum"], "from_cum")})
+    rows = _let(rows, {"raw_ext": F.col("ext"), "rstart": F.coalesce(lead["i"], "rstart"), "from_cum": F.coalesce(lead["cum"], "from_cum")})
     return rows.withColumn("rend", F.when(F.col("appended"), F.col("nxt.i") + 1).otherwise(F.col("rend"))).drop("ext", "appended", "context", "gap", "forced", "nxt")
 
 
