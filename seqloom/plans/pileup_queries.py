@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from seqloom.operators import consensus as C
 from seqloom.operators import pileup as P
 from seqloom.operators import quality as Q
 from seqloom.plans.registry import query
-from seqloom.session import read
-from seqloom.streaming import stateful
+from seqloom.session import read, shared_dir
+from seqloom.streaming import processors, stateful
 
 _COLS = "SELECT source, i AS major, lower(w[1:1]) AS symbol, count(*) AS n FROM (SELECT source, unnest(string_split_regex(trim(text), '\\s+')) AS w, generate_subscripts(string_split_regex(trim(text), '\\s+'), 1) - 1 AS i FROM documents) GROUP BY ALL"
 
@@ -231,3 +233,46 @@ def stream_progress(spark, d):
     done = stateful.run_to_table(stateful.progress_windows(s, "ts", "1 hour"), "progress", mode="complete")
     # as many rows as there are hours, whatever the number of events
     return done.select(F.unix_seconds("start").alias("start"), "n", F.sum("n").over(Window.orderBy("start")).alias("total"))
+
+
+def _dealt(spark, df, name: str, parts: int):
+    """A stream of df's rows in `parts` micro-batches, each row in one by a hash of it, then a heartbeat far ahead."""
+    base = f"{shared_dir(spark)}/streams/in-{name}-{uuid.uuid4().hex}"
+    # sorted by the hash, so that rows come in no order of time
+    df.withColumn("part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")).repartition(parts, "part").write.partitionBy("part").parquet(f"{base}/rows")
+    # a folder is read whole in one micro-batch, its files being taken in turns of many
+    for n in range(parts):
+        spark.read.schema(df.schema).parquet(f"{base}/rows/part={n}").coalesce(1).write.parquet(f"{base}/in/{n:03d}")
+    far = [F.col(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
+    df.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts")).select(*far).coalesce(1).write.parquet(f"{base}/in/{parts:03d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/in")
+
+
+@query("late_pairs", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + event_id % 1000 * 1000 AS t, 300 + event_id % 1000 AS n FROM events),
+x AS (SELECT *, lead(event_id) OVER w AS c, lead(s) OVER w AS s2, lead(n) OVER w AS n2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
+SELECT user_id, event_id AS template, c AS complement, s2 - t AS gap_ms FROM x WHERE s2 - t >= 0 AND s2 - t < 7200000 AND least(n, n2) >= 500""")
+def late_pairs(spark, d):
+    """Pairs from shuffled micro-batches: rows come late by up to the whole span and still pair."""
+    e = read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    e = e.withColumns({"end": F.expr("timestamp_millis(unix_millis(ts) + event_id % 1000 * 1000)"), "bases": F.expr("cast(300 + event_id % 1000 as int)")})
+    pairs = processors.pair_reads(_dealt(spark, e, "pairs", 3), "user_id", "ts", "event_id", "end", "bases", 7_200_000, 500, "900 days")
+    return stateful.run_to_table(pairs, "late-pairs")
+
+
+@query("late_parents", "SELECT CAST(event_id AS VARCHAR) AS read_id, event_id IN (SELECT event_id * 2 % 5000 FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id * 3 % 5000 FROM events WHERE event_type = 'purchase') AS is_parent FROM events WHERE event_type <> 'purchase'")
+def late_parents(spark, d):
+    """Purchases name two other events as their parents; each other event is tagged once."""
+    e = read(spark, d, "events").select(F.expr("if(event_type = 'purchase', null, cast(event_id as string))").alias("id"), F.expr("if(event_type = 'purchase', concat(event_id * 2 % 5000, ';', event_id * 3 % 5000), null)").alias("kids"), F.col("ts").cast("timestamp").alias("ts"))
+    tagged = processors.tag_parents(_dealt(spark, e, "parents", 3), "id", "kids", "ts", 1000, "900 days")
+    return stateful.run_to_table(tagged, "late-parents").where("read_id IS NOT NULL")
+
+
+@query("window_gate", "SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem JOIN (SELECT l_orderkey, max(l_linenumber) AS e FROM lineitem GROUP BY 1) USING (l_orderkey) GROUP BY l_orderkey, e HAVING count(DISTINCT l_linenumber) >= e")
+def window_gate(spark, d):
+    """Orders announce their lines and lines come in three shuffled micro-batches, the first twice over."""
+    at = lambda c: F.col(c).cast("timestamp")
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", at("l_shipdate").alias("ts"))
+    told = li.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("expected"), F.min("ts").alias("ts"))
+    again = li.unionByName(li.where("l_linenumber = 1"))
+    gates = processors.open_gates(_dealt(spark, told, "told", 3), _dealt(spark, again, "lines", 3), "l_orderkey", "expected", "l_linenumber", "ts", 1000, "9000 days")
+    return stateful.run_to_table(gates, "gates").where("l_orderkey IS NOT NULL")
