@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import ship, table
+from seqloom.session import drop, ship, table
 
 ORDER = 5
 #: Bytes of text in a block, about.
@@ -239,11 +239,11 @@ class Block:
         at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         return codes[at], np.add.reduceat((keys & np.uint64(1)) == 0, at, dtype=np.uint32)
 
-    def word_lists(self, shards: int) -> list[list[bytes]]:
-        """Distinct words of each word shard, sorted."""
-        out: list[list[bytes]] = [[] for _ in range(shards)]
+    def word_lists(self, shards: int) -> dict[int, list[bytes]]:
+        """Distinct words of each word shard that the block touches, sorted."""
+        out: dict[int, list[bytes]] = {}
         for w in sorted(set().union(*self.words)):
-            out[word_shard(w, shards)].append(w)
+            out.setdefault(word_shard(w, shards), []).append(w)
         return out
 
 
@@ -260,9 +260,8 @@ def _ask(shards: int):
         for words, held in zip(block.words, block.held.tolist(), strict=True):
             if not held:
                 known.update(words)
-        for s, words in enumerate(block.word_lists(shards)):
-            if words:
-                rows.append(("word", s, b, zlib.compress(END.join(words), 1), pack(np.array([known[w] for w in words], np.uint32)), 0, 0))
+        for s, words in block.word_lists(shards).items():
+            rows.append(("word", s, b, zlib.compress(END.join(words), 1), pack(np.array([known[w] for w in words], np.uint32)), 0, 0))
         drop = np.uint64(8 * (ORDER - KEY + 1) + 8)
         short, times = summed(((codes >> drop) << np.uint64(8)) | (codes & np.uint64(255)), counts.astype(np.uint64))
         docs = int((~block.held).sum())
@@ -335,11 +334,12 @@ def _added(docs: pd.DataFrame, answers: pd.DataFrame, shards: int) -> pd.DataFra
     place = places(codes, block.codes)
     shard, log10 = gram_shards(codes, shards), np.zeros(len(codes))
     order = np.argsort(shard, kind="stable")
-    starts = np.searchsorted(shard[order], np.arange(shards + 1))
+    met, first = np.unique(shard[order], return_index=True)
+    spans = dict(zip(met.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True), strict=True))
     lists, seen = block.word_lists(shards), {}
     for kind, s, values in zip(answers["kind"], answers["shard"], answers["values"], strict=True):
         if kind == "gram":
-            log10[order[starts[s] : starts[s + 1]]] = unpack(values, np.float32)
+            log10[order[slice(*spans[s])]] = unpack(values, np.float32)
         else:
             seen.update(zip(lists[s], unpack(values, np.uint64).tolist(), strict=True))
     at = np.cumsum(block.lengths) - block.lengths
@@ -377,6 +377,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     grams = asked.where("kind = 'gram'").groupBy("shard").applyInPandas(_answer_grams(short), schema)
     words = asked.where("kind = 'word'").groupBy("shard").applyInPandas(_answer_words, schema)
     answers = table(grams.unionByName(words), "answers")
+    drop(asked)
     distinct = int(answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)
     scored = docs.groupBy("block").cogroup(answers.where("block >= 0").select("kind", "shard", "values", "block").groupBy("block")).applyInPandas(_score(shards), "doc_id bigint, held_out boolean, n_tokens bigint, words_known bigint, words_log10 double, score double")
     per_token = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
