@@ -87,9 +87,13 @@ def hashes(kept: str) -> Column:
     return F.expr(f"array_distinct(transform({kept}, x -> shiftright(x, {POSITION_BITS})))")
 
 
-def as_text(distinct: str) -> Column:
-    """Distinct hashes in order of their first place, as decimal numbers with a space between."""
-    return F.array_join(F.col(distinct).cast("array<string>"), " ")
+def as_text(kept: str) -> Column:
+    """Kept grams in order of their places, as decimal numbers with a space between.
+
+    A number x holds both parts: its hash is x >> POSITION_BITS, and the place of the
+    gram, from 1, is LAST less its lowest POSITION_BITS bits.
+    """
+    return F.array_join(F.col(kept).cast("array<string>"), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -143,4 +147,4 @@ def op9_winnowing(spark, sf_dir) -> DataFrame:
     docs = docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited", "fp", "next_fp")
     docs = with_rewinnow(docs, "text", "fp", "edited", "n_chars - n_chars div 3", "edited_fp").drop("text", "edited")
     docs = docs.withColumns({"h": hashes("fp"), "edited_h": hashes("edited_fp"), "next_h": hashes("next_fp")})
-    return docs.select("doc_id", "n_chars", "edited_sha256", as_text("h").alias("fingerprint"), as_text("edited_h").alias("edited_fingerprint"), likeness("h", "edited_h").alias("near_edited"), likeness("h", "next_h").alias("near_next"))
+    return docs.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("edited_fp").alias("edited_fingerprint"), likeness("h", "edited_h").alias("near_edited"), likeness("h", "next_h").alias("near_next"))

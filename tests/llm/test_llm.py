@@ -383,13 +383,18 @@ def test_winnowing_query(spark, texts, tmp_path):
     got = {r.doc_id: r for r in winnowing.op9_winnowing(spark, str(tmp_path)).collect()}
     down = sorted(zip(ids, texts, strict=True), reverse=True)
     edited = [t[: len(t) - len(t) // 3] + down[(i + 1) % len(down)][1][: len(t) // 3] for i, (_, t) in enumerate((i, t or "") for i, t in down)]
-    prints = winnowing.with_winnow(frame(spark, [*[t for _, t in down], *edited]), "text", "kept").select("doc_id", winnowing.hashes("kept").alias("h")).withColumn("x", winnowing.as_text("h")).collect()
+    prints = winnowing.with_winnow(frame(spark, [*[t for _, t in down], *edited]), "text", "kept").select("doc_id", "kept", winnowing.hashes("kept").alias("h")).withColumn("x", winnowing.as_text("kept")).collect()
     prints = {r.doc_id: r for r in prints}
     like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
     for i, (doc_id, text) in enumerate(down):
         r, own, cut, after = got[doc_id], prints[i], prints[len(down) + i], prints[(i + 1) % len(down)]
         assert (r.n_chars, r.edited_sha256) == (len(text or ""), hashlib.sha256(edited[i].encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (own.x, cut.x)
+        assert r.fingerprint == own.x and sorted(r.edited_fingerprint.split()) == sorted(cut.x.split())
+        # hashes and places are read back from the text alone
+        numbers = list(map(int, r.fingerprint.split()))
+        assert {x >> winnowing.POSITION_BITS for x in numbers} == set(own.h) and numbers == own.kept
+        places = [winnowing.LAST - (x & winnowing.LAST) for x in numbers]
+        assert places == sorted(places) and all(1 <= p <= len((text or "").encode()) for p in places)
         assert r.near_edited == pytest.approx(like(own.h, cut.h)) and r.near_next == pytest.approx(like(own.h, after.h))
 
 
