@@ -16,15 +16,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import table
+from seqloom.session import drop, table
 
-WORD = r"(?:api[_-]?key|access[_-]?key|private[_-]?key|token|secret|password|passwd|pwd|credential|auth|bearer)"
+WORD = r"(?:api[_-]?key|access[_-]?key|private[_-]?key|token|secret|password|passwd|passphrase|pass|pwd|credential|auth|bearer|passwort|kennwort|contraseña|clave|motdepasse|mot de passe)"
 #: Credential words are bounded by anything but letters, so by _ too.
 CREDENTIAL = rf"(?i)(?<![a-z]){WORD}(?![a-z])"
 RUN = r"[A-Za-z0-9_+/-]{16,}+={0,2}"
 #: After a credential word and a sign: any 6 characters or more that are not space, quote or bracket.
 GIVEN = rf"""(?<=(?i:{WORD})["'`]?\s{{0,2}}[=:]\s{{0,2}}["'`]?)[^\s"'`<>=:][^\s"'`<>]{{4,}}[^\s"'`<>.,;:)\]]"""
-BOTH = f"{GIVEN}|{RUN}"
+#: What stands between a user's name and the host in an address.
+LOGIN = r"""(?<=[a-z]://[^\s:/@"'`]{1,40}:)[^\s:/@"'`]{4,}(?=@)"""
+BOTH = f"{LOGIN}|{GIVEN}|{RUN}"
 ASSIGNED = r"""[=:]\s*["'`]?$"""
 TEST_PATH = r"(?i)\b(test|tests|example|examples|sample|mock|fixture|docs?)\b"
 #: Bound of the labelled rows a forest is fitted on, those with the least hash.
@@ -44,10 +46,10 @@ def parts(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no candidates.
     """
-    # the wide pattern is tried where a credential word is there at all
-    named = docs.withColumn("_named", F.coalesce(F.col("text").rlike(CREDENTIAL), F.lit(False)))
-    by = lambda f: F.when(F.col("_named"), f(BOTH)).otherwise(f(RUN))
-    return named.withColumns({"_found": by(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))), "_between": by(lambda p: F.split("text", p, -1))}).drop("_named")
+    # the wide pattern is tried where a credential word or a login is there at all
+    wide = F.coalesce(F.col("text").rlike(f"{CREDENTIAL}|{LOGIN}"), F.lit(False))
+    by = lambda f: F.when(wide, f(BOTH)).otherwise(f(RUN))
+    return docs.withColumns({"_found": by(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))), "_between": by(lambda p: F.split("text", p, -1))})
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     characters of the text around it, a candidate just before included.
     """
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.where(F.col("text").rlike(f"{CREDENTIAL}|{RUN}")).select("doc_id", F.xxhash64("text").alias("text_hash"), source.alias("source"), "text")
+    rows = docs.where(F.col("text").rlike(f"{CREDENTIAL}|{LOGIN}|{RUN}")).select("doc_id", F.xxhash64("text").alias("text_hash"), source.alias("source"), "text")
     found = parts(rows).drop("text").where("size(_found) > 0").withColumn("_sizes", F.expr("transform(_found, (x, i) -> length(_between[i]) + length(x))"))
     # where each candidate's stretch begins: sums of blocks of 256, then within the blocks
     blocks = "sequence(0, (size(_sizes) - 1) div 256)"
@@ -81,13 +83,12 @@ def coverage(found: DataFrame, docs: DataFrame) -> DataFrame:
     return hit.select("candidate", (F.col("chars") / F.length("candidate")).alias("coverage"))
 
 
-def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """candidates() with the columns FEATURES, all double."""
+def featured(found: DataFrame, covered: DataFrame) -> DataFrame:
+    """candidates() with the columns FEATURES, all double; covered: their coverage()."""
     c = F.col("candidate")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / F.length(c)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
-    covered = coverage(found, docs).withColumnRenamed("candidate", "_candidate")
-    return found.join(covered, c == F.col("_candidate"), "left").drop("_candidate").withColumns({
+    return found.join(covered.withColumnRenamed("candidate", "_candidate"), c == F.col("_candidate"), "left").drop("_candidate").withColumns({
         "length": F.length(c).cast("double"),
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
@@ -98,7 +99,7 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
         "coverage": F.coalesce("coverage", F.lit(0.0)),
         "path": flag(c.contains("/") | F.col("before").rlike("[/.]$") | F.col("after").rlike("^[/.][A-Za-z]")),
         "test_path": flag(F.col("source").rlike(TEST_PATH)),
-        "keyword": flag(F.col("before").rlike(CREDENTIAL)),
+        "keyword": flag(F.col("before").rlike(CREDENTIAL) | F.col("before").rlike(r"://[^\s/@]{1,40}:$")),
         "assigned": flag(F.col("before").rlike(ASSIGNED)),
         "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
         "word_before": flag(F.col("before").rlike(r"\p{L}{2,}[,.]?\s+$")),
@@ -107,50 +108,69 @@ def featured(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 #: Names that secrets are given to, and those that harmless values have.
-SECRET_NAMES = ("token", "api_key", "apiKey", "secret", "client_secret", "password", "db_password", "passwd", "AWS_SECRET_ACCESS_KEY", "access_key", "auth_token", "GITHUB_TOKEN", "private_key")
-OTHER_NAMES = ("commit", "sha256", "md5", "checksum", "digest", "etag", "build", "revision", "trace_id", "request", "order", "invoice", "card", "tel", "file", "path", "image", "name")
-PLACEHOLDERS = ("your_token_here", "changeme-please", "xxxxxxxxxxxxxxxx", "<redacted>-value", "example-password", "${SECRET_TOKEN}", "os.environ.get", "process.env.TOKEN", "getpass.getpass", "insert-key-here", "None-required", "placeholder_value")
+SECRET_NAMES = ("token", "api_key", "apiKey", "secret", "client_secret", "password", "db_password", "DB_PASS", "passwd", "passwort", "clave", "AWS_SECRET_ACCESS_KEY", "access_key", "auth_token", "GITHUB_TOKEN", "private_key")
+OTHER_NAMES = ("commit", "sha256", "md5", "checksum", "digest", "etag", "build", "revision", "trace_id", "request", "order", "invoice", "card", "tel", "file", "path", "image", "name", "secretary", "author", "passage")
+PLACEHOLDERS = ("your_token_here", "changeme-please", "xxxxxxxxxxxxxxxx", "<redacted>-value", "example-password", "${SECRET_TOKEN}", "os.environ.get", "process.env.TOKEN", "getpass.getpass", "insert-key-here", "None-required", "placeholder_value", "password", "required", "optional", "string", "undefined", "unchanged", "secretstore", "settings.auth")
 PROSE = ("the", "and", "was", "seen", "here", "for", "with", "this", "from", "there", "und", "les", "para", "when")
+PREFIXES = ("ghp_", "sk_live_", "xoxb-", "glpat-", "npm_", "hf_")
+PEOPLE = ("Margaret", "Anton", "Lucia", "Pierre", "Hannah", "Miguel", "Thompson", "Schneider", "Fernandez", "Lefebvre", "Johnson", "Baumann")
 
 
 def seeded(spark: SparkSession, rows: int = SEEDED) -> DataFrame:
     """(doc_id, source, text, value, label): lines with one known value each, half of them secrets.
 
     Every choice follows from a digest of the row's number. Secrets: hexadecimal
-    and base-62 keys of several lengths, keys of known prefixes and passwords
-    with symbols, after a credential word in several spellings; those with a
-    prefix also without one. Harmless: digests and ids under other names, card
-    and telephone numbers, paths, addresses, long words, and placeholders and
+    and base-62 keys of several lengths, keys of known prefixes, passwords
+    with symbols, after a credential word in several spellings, and passwords in addresses; keys with
+    a prefix also without a word. Harmless: digests and ids under other names, card
+    and telephone numbers, paths, addresses, people's names, long words, and placeholders and
     lookups under credential words.
     """
-    pick = lambda names, salt: F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(names))) + 1).cast("int"))
-    die = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
-    hexa = lambda n, salt: F.left(F.concat(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)), F.lit(n))
-    wide = lambda n, salt: F.left(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256))), "+/=", "xY7"), F.lit(n))
-    digits = F.lpad(F.pmod(F.xxhash64("id", F.lit("d")), F.lit(10**16)).cast("string"), 16, "4")
-    word = F.concat(*[pick(PROSE, f"w{i}") for i in range(6)])
-    secret = F.when(die(6, "k") == 0, hexa(32, "s")).when(die(6, "k") == 1, hexa(40, "s")).when(die(6, "k") == 2, wide(40, "s")).when(die(6, "k") == 3, wide(24, "s")).when(die(6, "k") == 4, F.concat(F.when(die(3, "p") == 0, F.lit("ghp_")).when(die(3, "p") == 1, F.lit("AKIA")).otherwise(F.lit("sk_live_")), F.when(die(3, "p") == 1, F.upper(wide(16, "s"))).otherwise(wide(36, "s")))).otherwise(F.concat(wide(4, "a"), F.lit("!"), wide(3, "b"), pick(("#", "$", "@", ".", "%"), "c"), hexa(3, "e")))
-    harmless = F.when(die(7, "h") == 0, hexa(40, "n")).when(die(7, "h") == 1, hexa(64, "n")).when(die(7, "h") == 2, digits).when(die(7, "h") == 3, F.concat(F.lit("/usr/"), pick(PROSE, "x"), F.lit("/lib/"), pick(PROSE, "y"), F.lit("/"), word)).when(die(7, "h") == 4, F.concat_ws("-", hexa(8, "u"), hexa(4, "v"), hexa(4, "x"), hexa(4, "y"), hexa(12, "z"))).when(die(7, "h") == 5, word).otherwise(pick(PLACEHOLDERS, "q"))
-    quote = pick(("", '"', "'", '"'), "quote")
-    named = F.concat(pick(SECRET_NAMES, "name"), pick((" = ", "=", ": ", " : "), "sign"), quote)
-    other = F.concat(pick(OTHER_NAMES, "name"), pick((" = ", "=", ": ", " ", " "), "sign"), quote)
+    of = lambda names, die: F.element_at(F.lit(list(names)), (die % len(names) + 1).cast("int"))
+    # dice and digests are written first, so that what is made of them stays small as code
+    dice = {f"d{i}": F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10**9)) for i in range(22)}
+    sha = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)
+    raw = {**dice, "hex_a": sha("s"), "hex_b": sha("n"), "wide": F.translate(F.base64(F.unhex(sha("w"))), "+/=", "xY7"), "digits": F.lpad(F.pmod(F.xxhash64("id", F.lit("d")), F.lit(10**16)).cast("string"), 16, "4")}
+    made = table(spark.range(rows).withColumns(raw), "dice")
+    d = lambda i: F.col(f"d{i}")
+    word = F.concat(*[of(PROSE, d(i)) for i in range(6)])
+    made = table(made.select("id", *[f"d{i}" for i in range(6, 22)], "hex_a", "hex_b", "wide", "digits", word.alias("word")), "words")
+    kind, other_kind, prefix = d(6) % 8, d(7) % 8, d(8) % 7
+    wide = lambda n: F.left("wide", F.lit(n))
+    key = F.when(prefix == 6, F.concat(F.lit("AKIA"), F.upper(wide(16)))).otherwise(F.concat(of(PREFIXES, prefix), wide(36)))
+    password = F.concat(wide(4), F.lit("!"), F.substring("wide", 9, 3), of(("#", "$", "%", "."), d(9)), F.left("hex_a", F.lit(3)))
+    secret = F.when(kind == 0, F.left("hex_a", F.lit(32))).when(kind == 1, F.left("hex_a", F.lit(40))).when(kind == 2, wide(40)).when(kind == 3, wide(24)).when((kind == 4) | (kind == 5), key).otherwise(password)
+    path = F.concat(F.lit("/usr/"), of(PROSE, d(10)), F.lit("/lib/"), of(PROSE, d(11)), F.lit("/"), F.col("word"))
+    ident = F.concat_ws("-", F.left("hex_b", F.lit(8)), F.substring("hex_b", 9, 4), F.substring("hex_b", 13, 4), F.substring("hex_b", 17, 4), F.substring("hex_b", 21, 12))
+    person = F.concat_ws("-", of(PEOPLE, d(10)), of(PEOPLE, d(11)))
+    harmless = F.when(other_kind == 0, F.left("hex_b", F.lit(40))).when(other_kind == 1, F.col("hex_b")).when(other_kind == 2, F.col("digits")).when(other_kind == 3, path).when(other_kind == 4, ident).when(other_kind == 5, F.col("word")).when(other_kind == 6, of(PLACEHOLDERS, d(12))).otherwise(person)
     is_secret = F.col("id") % 2 == 0
-    lead = F.when(is_secret & (die(6, "k") == 4) & (die(2, "free") == 0), F.lit("")).when(is_secret | (die(7, "h") == 6), named).when(die(2, "free") == 0, F.lit("")).otherwise(other)
-    tail = F.when(lead == "", F.lit("")).otherwise(quote)
-    value = F.when(is_secret, secret).otherwise(harmless)
-    line = F.concat_ws(" ", pick(PROSE, "1"), pick(PROSE, "2"), F.concat(lead, value, tail), pick(PROSE, "3"), pick(PROSE, "4"))
-    return spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("seeded").alias("source"), line.alias("text"), value.alias("value"), is_secret.cast("double").alias("label"))
+    made = table(made.select("id", *[f"d{i}" for i in range(13, 22)], is_secret.alias("is_secret"), kind.alias("kind"), other_kind.alias("other_kind"), F.when(is_secret, secret).otherwise(harmless).alias("value")), "values")
+    quote = of(("", '"', "'", '"'), d(13))
+    named = F.concat(of(SECRET_NAMES, d(14)), of((" = ", "=", ": ", " : "), d(15)), quote)
+    other = F.concat(of(OTHER_NAMES, d(14)), of((" = ", "=", ": ", " ", " "), d(16)), quote)
+    login = F.concat(of(("https://", "postgres://", "ftp://"), d(14)), of(PROSE, d(15)), F.lit(":"))
+    bare = d(17) % 2 == 0
+    lead = F.when(F.col("is_secret") & (F.col("kind") == 7), login).when(F.col("is_secret") & F.col("kind").isin(4, 5) & bare, F.lit("")).when(F.col("is_secret") | (F.col("other_kind") == 6), named).when(bare, F.lit("")).otherwise(other)
+    tail = F.when(F.col("is_secret") & (F.col("kind") == 7), F.lit("@db.example.org/main")).when(lead == "", F.lit("")).otherwise(quote)
+    line = F.concat_ws(" ", of(PROSE, d(18)), of(PROSE, d(19)), F.concat(lead, "value", tail), of(PROSE, d(20)), of(PROSE, d(21)))
+    return made.select(F.col("id").alias("doc_id"), F.lit("seeded").alias("source"), line.alias("text"), "value", F.col("is_secret").cast("double").alias("label"))
 
 
-def seeded_findings(docs: DataFrame, rows: int = SEEDED) -> DataFrame:
-    """FEATURES and label of the candidates in seeded lines, with docs' dictionary; doc_id is the line's number.
+def seeded_candidates(spark: SparkSession, rows: int = SEEDED) -> DataFrame:
+    """candidates() of seeded lines with their label, doc_id being the line's number.
 
     A candidate that is not the value put there, or a part of it, is harmless.
     """
-    lines = seeded(docs.sparkSession, rows)
-    found = table(candidates(lines), "seeded")
-    held = featured(found, docs).join(lines.select("doc_id", "value", F.col("label").alias("_label")), "doc_id")
-    return held.withColumn("label", F.when(F.col("value").contains(F.col("candidate")), F.col("_label")).otherwise(0.0)).select("doc_id", "candidate", *FEATURES, "label")
+    lines = table(seeded(spark, rows), "lines")
+    held = candidates(lines).join(lines.select("doc_id", "value", F.col("label").alias("_label")), "doc_id")
+    return table(held.withColumn("label", F.when(F.col("value").contains(F.col("candidate")), F.col("_label")).otherwise(0.0)).drop("value", "_label"), "seeded")
+
+
+def seeded_findings(docs: DataFrame, rows: int = SEEDED) -> DataFrame:
+    """FEATURES and label of seeded_candidates(), with docs' dictionary."""
+    found = seeded_candidates(docs.sparkSession, rows)
+    return featured(found, coverage(found, docs)).select("doc_id", "candidate", *FEATURES, "label")
 
 
 def fit(labelled: DataFrame):
@@ -180,9 +200,15 @@ def judged(found: DataFrame, model) -> DataFrame:
 
 
 def _scan(docs: DataFrame, labelled: DataFrame | None, threshold: float) -> DataFrame:
-    found = table(featured(table(candidates(docs), "found"), docs), "candidates")
-    model = fit(seeded_findings(docs) if labelled is None else labelled)
-    return judged(found, model).withColumn("is_secret", F.col("probability") >= threshold)
+    found = table(candidates(docs), "found")
+    seeds = seeded_candidates(docs.sparkSession) if labelled is None else None
+    # the words of all documents are counted once, for both kinds of candidate
+    asked = found.select("candidate") if seeds is None else found.select("candidate").unionByName(seeds.select("candidate"))
+    covered = table(coverage(asked, docs), "covered")
+    model = fit(labelled if seeds is None else featured(seeds, covered))
+    rows = table(featured(found, covered), "candidates")
+    drop(found)
+    return judged(rows, model).withColumn("is_secret", F.col("probability") >= threshold)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
