@@ -91,23 +91,45 @@ def med_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def signal_start(df: DataFrame, keys: list[str], index: str, value: str, threshold: float, window: int = 40, min_above: int = 3, least: int = 10) -> DataFrame:
-    """(keys, start): end of the first window that falls silent after one with over min_above samples above the threshold.
+    """(keys, start): where the signal of each key begins, after a peak has ended.
 
-    `least` where no window qualifies.
+    Whole windows are looked at from place `least` on. From the first with over min_above samples
+    above the threshold, the first window that ends at or below it gives its end,
+    but `least` if that is not before the number of samples less `least`. Without such windows
+    it is `least` too. Places count from 0 without gaps.
     """
-    wins = df.withColumn("_w", F.floor(F.col(index) / window)).groupBy(*keys, "_w").agg(F.count_if(F.col(value) > threshold).alias("above"), F.max_by(value, index).alias("tail"), F.max(index).alias("stop"))
-    first = wins.where(F.col("above") > min_above).groupBy(*keys).agg(F.min("_w").alias("_f"))
-    ended = wins.join(first, keys).where((F.col("_w") >= F.col("_f")) & (F.col("tail") <= threshold)).groupBy(*keys).agg(F.min("stop").alias("_stop"))
-    return df.select(*keys).distinct().join(ended, keys, "left").select(*keys, F.greatest(F.lit(least), F.coalesce(F.col("_stop") + 1, F.lit(least))).alias("start"))
+    wins = df.withColumn("_w", F.floor((F.col(index) - least) / window)).groupBy(*keys, "_w").agg(F.count_if(F.col(value) > threshold).alias("above"), F.max_by(value, index).alias("tail"), (F.max(index) + 1).alias("stop"), F.count("*").alias("n"))
+    whole = (F.col("_w") >= 0) & (F.col("n") == window)
+    lead = wins.groupBy(*keys).agg(F.max("stop").alias("_all"), F.min(F.when(whole & (F.col("above") > min_above), F.col("_w"))).alias("_f"))
+    ended = wins.where(whole & (F.col("tail") <= threshold)).join(lead.where("_f IS NOT NULL"), keys).where("_w >= _f").groupBy(*keys).agg(F.min("stop").alias("_stop"))
+    end = F.when(F.col("_stop") < F.col("_all") - least, F.col("_stop")).otherwise(least)
+    return lead.join(ended, keys, "left").select(*keys, end.cast("bigint").alias("start"))
 
 
-def step_up(df: DataFrame, keys: list[str], index: str, value: str, window: int = 250, stride: int = 50, ring: int = 5, rise: float = 125.0) -> DataFrame:
-    """(keys, at): start of the first window whose median tops the least of the ring before by over rise."""
-    last = F.floor(F.col(index) / stride)
-    dealt = df.withColumn("_s", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(index) - window + 1) / F.lit(stride))), last)))
-    meds = dealt.groupBy(*keys, "_s").agg(F.percentile(value, 0.5).alias("med"), F.count("*").alias("n")).where(F.col("n") == window)
+#: Fixed values of the search for a step: first place, median that counts as signal, rises with and without it.
+STEP_FROM, STEP_LEVEL, STEP_RISE, STEP_RISE_ALONE = 1000, 700, 125, 150
+
+
+def step_up(df: DataFrame, keys: list[str], index: str, value: str, window: int = 250, stride: int = 50, ring: int = 5, first: int = STEP_FROM, level: float = STEP_LEVEL, rise: float = STEP_RISE, rise_alone: float = STEP_RISE_ALONE) -> DataFrame:
+    """(keys, at): start of the window at which the median has stepped up, 0 where none has.
+
+    Windows begin every `stride` places from `first` on and before three quarters of the samples; the last
+    may be shorter. Their lower medians of the last `ring` windows are looked at once more than `ring` have
+    been seen: the greatest must stand after the least, and be over `level` and `rise`
+    higher, or be over rise_alone higher. Of equal medians the one in the lowest slot of the ring is the least
+    and the one in the highest slot the greatest.
+    """
+    size = df.groupBy(*keys).agg((F.max(index) + 1).alias("_all"))
+    dealt = df.where(F.col(index) >= first).withColumn("_s", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(index) - first - window + 1) / F.lit(stride))), F.floor((F.col(index) - first) / stride))))
+    meds = dealt.groupBy(*keys, "_s").agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("med"))
+    meds = meds.join(size, keys).where(F.col("_s") * stride + first < F.floor(F.col("_all") * 3 / 4))
     w = Window.partitionBy(*keys).orderBy("_s").rowsBetween(-(ring - 1), 0)
-    return meds.withColumn("low", F.min("med").over(w)).where(F.col("med") - F.col("low") > rise).groupBy(*keys).agg((F.min("_s") * stride).alias("at"))
+    slot = F.struct("med", (F.col("_s") % ring).alias("slot"), F.col("_s").alias("s"))
+    seen = meds.withColumns({"low": F.min(slot).over(w), "high": F.max(slot).over(w)}).where(F.col("_s") >= ring)
+    up = F.col("high.med") - F.col("low.med")
+    hit = seen.where((F.col("high.s") > F.col("low.s")) & (((F.col("high.med") > level) & (up > rise)) | (up > rise_alone)))
+    found = hit.groupBy(*keys).agg((F.min("_s") * stride + first).alias("_at"))
+    return size.join(found, keys, "left").select(*keys, F.coalesce("_at", F.lit(0)).cast("bigint").alias("at"))
 
 
 def plateaus(df: DataFrame, key: str, index: str, value: str, window: int = 25, max_sd: float = 0.3, low: float = -10.0, high: float = 10.0, gap: int = 50, samples_per_base: float = 1.0) -> DataFrame:

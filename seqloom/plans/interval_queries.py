@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import intervals as I
@@ -157,30 +158,35 @@ def top_regions(spark, d):
     return R.top_regions(e.where("value * 20 <= 300"), ["user_id"], "value", "value", "event_id", "stop", 20, 301, 3).select("event_id", "rank")
 
 
-@query("signal_start", """WITH w AS (SELECT user_id, event_id // 500 AS w, count(*) FILTER (value > 12) AS above, arg_max(value, event_id) AS tail, max(event_id) AS stop FROM events GROUP BY 1, 2),
-f AS (SELECT user_id, min(w) AS f FROM w WHERE above > 3 GROUP BY 1),
-e AS (SELECT user_id, min(stop) + 1 AS s FROM w JOIN f USING (user_id) WHERE w >= f AND tail <= 12 GROUP BY 1)
-SELECT u.user_id, greatest(10, coalesce(s, 10)) AS start FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN e ON e.user_id = u.user_id""")
+_SIGNAL = "SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events"
+
+
+def _signal(spark, d):
+    return read(spark, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+
+
+# each window that could be the answer is tried by itself: is there a peak up to it, and does it end low?
+@query("signal_start", f"""WITH x AS ({_SIGNAL}), u AS (SELECT DISTINCT user_id, n FROM x),
+w AS (SELECT user_id, n, unnest(range(0, (n - 10) // 7)) AS p FROM u WHERE n >= 17),
+k AS (SELECT w.user_id, w.n, p, count(*) FILTER (value > 12) AS large, max(value) FILTER (i = p * 7 + 16) AS final FROM w JOIN x ON x.user_id = w.user_id AND i BETWEEN p * 7 + 10 AND p * 7 + 16 GROUP BY ALL),
+e AS (SELECT a.user_id, a.n, min(a.p) * 7 + 17 AS stop FROM k a WHERE a.final <= 12 AND EXISTS (SELECT 1 FROM k b WHERE b.user_id = a.user_id AND b.p <= a.p AND b.large > 3) GROUP BY 1, 2)
+SELECT u.user_id, CASE WHEN stop < u.n - 10 THEN stop ELSE 10 END::BIGINT AS start FROM u LEFT JOIN e ON e.user_id = u.user_id""")
 def signal_start(spark, d):
-    return R.signal_start(read(spark, d, "events"), ["user_id"], "event_id", "value", 12.0, window=500)
+    return R.signal_start(_signal(spark, d), ["user_id"], "i", "value", 12.0, window=7)
 
 
-@query("step_up", """WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
-s AS (SELECT DISTINCT user_id, i // 2 AS s FROM x), m AS (SELECT s.user_id, s, quantile_cont(value, 0.5) AS med FROM s JOIN x ON x.user_id = s.user_id AND i >= s * 2 AND i < s * 2 + 10 GROUP BY 1, 2 HAVING count(*) = 10),
-l AS (SELECT *, min(med) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS low FROM m)
-SELECT user_id, min(s) * 2 AS at FROM l WHERE med - low > 5 GROUP BY 1""")
+@query("step_up", f"""WITH x AS ({_SIGNAL}), u AS (SELECT DISTINCT user_id, n FROM x),
+s AS (SELECT user_id, n, unnest(range(4, 3 * n // 4, 2)) AS a FROM u), t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a) - 1 AS k FROM s),
+m AS (SELECT t.user_id, k, a, list_sort(list(value))[(count(*) + 1) // 2] AS med FROM t JOIN x ON x.user_id = t.user_id AND i >= a AND i < a + 10 GROUP BY 1, 2, 3),
+r AS (SELECT c.user_id, c.k, c.a, arg_min(o.k, row(o.med, o.k % 5)) AS lk, arg_max(o.k, row(o.med, o.k % 5)) AS hk, min(o.med) AS l, max(o.med) AS h FROM m c JOIN m o ON o.user_id = c.user_id AND o.k BETWEEN c.k - 4 AND c.k WHERE c.k >= 5 GROUP BY 1, 2, 3),
+f AS (SELECT user_id, min(a) AS at_ FROM r WHERE hk > lk AND ((h > 14 AND h - l > 5) OR h - l > 8) GROUP BY 1)
+SELECT u.user_id, coalesce(at_, 0)::BIGINT AS at FROM u LEFT JOIN f ON f.user_id = u.user_id""")
 def step_up(spark, d):
-    e = read(spark, d, "events")
-    from pyspark.sql import Window
-
-    e = e.withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
-    return R.step_up(e, ["user_id"], "idx", "value", window=10, stride=2, rise=5.0)
+    return R.step_up(_signal(spark, d), ["user_id"], "i", "value", window=10, stride=2, first=4, level=14.0, rise=5.0, rise_alone=8.0)
 
 
 @query("plateaus")
 def plateaus(spark, d):
-    from pyspark.sql import Window
-
     e = read(spark, d, "events").withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
     return R.plateaus(e, "user_id", "idx", "value", window=4, max_sd=4.0, low=0.0, high=50.0, gap=6)
 
