@@ -222,3 +222,55 @@ def reference_rows(columns: DataFrame, keys: list[str], variants: DataFrame | No
         return rows
     taken = variants.select(*keys, F.explode(F.expr("sequence(pos, pos + length(ref) - 1)")).alias("pos")).distinct()
     return rows.join(taken, [*keys, "pos"], "left_anti")
+
+
+def trim_samples(positions: DataFrame, keys: list[str], region: tuple[int, int] | None = None, search: bool = False, width: int = scans.TILE) -> DataFrame:
+    """(keys, sample, relation, start, end, differing): which columns of each sample to keep, so that none is kept twice.
+
+    positions: (keys, sample, major, minor), a row for each column. Samples are taken by their first
+    column, the longer first. One within an earlier one has no columns (start and
+    end null). Neighbours that overlap in equal columns are cut at the middle of the overlap. Where
+    their columns differ, `differing` is set and both stay whole, unless `search`: then the
+    cut is the major nearest to the middle at which both have as many columns (of two
+    equally near the later one; not the middle itself), if each has over three majors there.
+    region: (start, end) of majors that are kept at all.
+    """
+    own = Window.partitionBy(*keys, "sample")
+    at = F.struct("major", "minor")
+    cols = positions.select(*keys, "sample", "major", "minor").withColumn("i", F.row_number().over(own.orderBy("major", "minor")) - 1)
+    ends = cols.groupBy(*keys, "sample").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    ends = ends.withColumns({"_major": F.col("first.major"), "_minor": F.col("first.minor"), "_less": -F.col("n")})
+    order = ["_major", "_minor", "_less", "sample"]
+    ends = scans.before(ends, keys, order, {"_reach": ("max", F.col("last"))}, width)
+    within = F.coalesce(F.col("last") <= F.col("_reach"), F.lit(False))
+    kept = scans.before(ends.where(~within), keys, order, {"_prev": ("last", F.struct("sample", "last", "n"))}, width)
+    relation = F.expr("""CASE WHEN _prev IS NULL THEN 'first'
+        WHEN (first.major = _prev.last.major + 1 AND first.minor = 0) OR (first.major = _prev.last.major AND first.minor = _prev.last.minor + 1) THEN 'abut'
+        WHEN first <= _prev.last THEN 'overlap' ELSE 'gap' END""")
+    kept = kept.withColumn("relation", relation)
+    pairs = kept.where("relation = 'overlap'").select(*keys, F.col("_prev.sample").alias("a"), F.col("sample").alias("b"), F.col("_prev.last").alias("stop"), F.col("first").alias("begin"))
+    # in the one before: from its last column not past the other's first; in the other: to its first not before the end
+    left = cols.join(pairs.select(*keys, F.col("a").alias("sample"), "b", "begin"), [*keys, "sample"]).withColumn("_from", F.max(F.when(at <= F.col("begin"), F.col("i"))).over(Window.partitionBy(*keys, "sample", "b"))).where("i >= _from")
+    right = cols.join(pairs.select(*keys, "a", F.col("b").alias("sample"), "stop"), [*keys, "sample"]).withColumn("_upto", F.min(F.when(at >= F.col("stop"), F.col("i"))).over(Window.partitionBy(*keys, "sample", "a"))).where("_upto IS NULL OR i <= _upto")
+    shape = lambda df, one, other, n: df.groupBy(*keys, F.col(one).alias("a"), F.col(other).alias("b")).agg(F.sort_array(F.array_agg(F.struct("i", "minor"))).alias(n), F.count_distinct("major").alias(f"{n}_majors"), F.min("i").alias(f"{n}_from"), F.min("major").alias(f"{n}_low"), F.max("major").alias(f"{n}_high"))
+    met = shape(left, "sample", "b", "x").join(shape(right, "a", "sample", "y"), [*keys, "a", "b"])
+    met = met.withColumn("same", F.expr("transform(x, c -> c.minor) = transform(y, c -> c.minor)"))
+    cut = met.select(*keys, "a", "b", "x_majors", "y_majors", "x_low", "x_high", (~F.col("same")).alias("differing"), F.when(F.col("same"), F.expr("x_from + size(x) div 2")).alias("end_a"), F.when(F.col("same"), F.expr("size(y) - (size(y) - size(y) div 2)")).alias("start_b"))
+    if search:
+        streak = lambda df, one, other, n: df.groupBy(*keys, F.col(one).alias("a"), F.col(other).alias("b"), "major").agg(F.count("*").alias(f"{n}_n"), F.min("i").alias(f"{n}_i"))
+        wide = cut.where("differing AND x_majors > 3 AND y_majors > 3").withColumn("mid", F.expr("x_low + (x_high - x_low) div 2"))
+        shared = streak(left, "sample", "b", "x").join(streak(right, "a", "sample", "y"), [*keys, "a", "b", "major"]).where("x_n = y_n").join(wide.select(*keys, "a", "b", "mid"), [*keys, "a", "b"]).where("major <> mid")
+        best = shared.groupBy(*keys, "a", "b").agg(F.min_by(F.struct("x_i", "y_i"), F.struct(F.abs(F.col("major") - F.col("mid")), -F.col("major"))).alias("_best"))
+        cut = cut.join(best, [*keys, "a", "b"], "left").withColumns({"end_a": F.coalesce("end_a", "_best.x_i"), "start_b": F.coalesce("start_b", "_best.y_i")})
+    starts = cut.select(*keys, F.col("b").alias("sample"), "start_b", "differing")
+    stops = cut.select(*keys, F.col("a").alias("sample"), "end_a")
+    out = kept.join(starts, [*keys, "sample"], "left").join(stops, [*keys, "sample"], "left")
+    out = out.select(*keys, "sample", "relation", F.coalesce("start_b", F.lit(0)).cast("bigint").alias("start"), F.coalesce("end_a", "n").cast("bigint").alias("end"), F.coalesce("differing", F.lit(False)).alias("differing"))
+    none = F.lit(None).cast("bigint")
+    out = out.unionByName(ends.where(within).select(*keys, "sample", F.lit("within").alias("relation"), none.alias("start"), none.alias("end"), F.lit(False).alias("differing")))
+    if region is None:
+        return out
+    before = cols.groupBy(*keys, "sample").agg(F.count_if(F.col("major") < region[0]).alias("_lo"), F.count_if(F.col("major") < region[1]).alias("_hi"))
+    out = out.join(before, [*keys, "sample"]).withColumns({"start": F.greatest("start", "_lo"), "end": F.when(F.col("end").isNotNull(), F.least("end", "_hi"))}).drop("_lo", "_hi")
+    empty = F.col("end").isNull() | (F.col("start") >= F.col("end"))
+    return out.withColumns({"start": F.when(~empty, F.col("start")), "end": F.when(~empty, F.col("end"))})

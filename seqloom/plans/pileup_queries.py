@@ -157,7 +157,11 @@ def stitch(spark, d):
     return C.stitch(piece(20, 90).unionByName(piece(150, 260)), docs).select("name", "part", F.md5("seq").alias("seq"))
 
 
-@query("trim_overlaps")
+@query("trim_overlaps", """WITH e AS (SELECT event_id, user_id, event_id * 10 AS s, event_id * 10 + CAST(floor(value * 100) AS BIGINT) AS t FROM events),
+r AS (SELECT *, (SELECT max(o.t) FROM e o WHERE o.user_id = e.user_id AND (o.s, o.t) < (e.s, e.t)) AS b FROM e),
+k AS (SELECT *, lag(t) OVER w AS pt, lead(s) OVER w AS ns FROM r WHERE b IS NULL OR t > b WINDOW w AS (PARTITION BY user_id ORDER BY s, t))
+SELECT event_id, user_id, s AS start, t AS "end", CASE WHEN b IS NULL THEN 'first' WHEN s < b THEN 'overlap' WHEN s = b THEN 'abut' ELSE 'gap' END AS relation, CASE WHEN pt > s THEN (pt + s) // 2 ELSE s END AS keep_start, CASE WHEN ns < t THEN (t + ns) // 2 ELSE t END AS keep_end FROM k
+UNION ALL SELECT event_id, user_id, s, t, 'within', s, s FROM r WHERE t <= b""")
 def trim_overlaps(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + F.floor(F.col("value") * 100)).alias("end"))
     return C.trim_overlaps(e, ["user_id"])

@@ -128,3 +128,43 @@ def gvcf_tiles(spark, d):
     spans = found.select("contig", "pos", F.length("ref").alias("n")).unionByName(V.reference_rows(cols, ["contig"], found).select("contig", "pos", F.lit(1).alias("n")))
     places = spans.select("contig", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("pos"))
     return places.groupBy("contig").agg(F.count("*").alias("covered"), F.count_distinct("pos").alias("positions"), F.min("pos").cast("int").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+#: Samples of 50 columns every 37; in each seventh the inserted columns were not made.
+_SAMPLES = _COLUMNS.replace("CUT", "37") + """, w AS (SELECT DISTINCT contig, (n - 1) // 37 - o AS sample, major, minor FROM d, range(0, 2) AS t(o) WHERE n - 1 < ((n - 1) // 37 - o) * 37 + 50 AND (n - 1) // 37 >= o),
+pos AS (SELECT *, row_number() OVER (PARTITION BY contig, sample ORDER BY major, minor) - 1 AS i FROM w WHERE minor = 0 OR sample % 7 <> 3)"""
+
+
+def _samples(spark, d):
+    rows = _columns(spark, d, 37).select("contig", F.col("sample").alias("at"), "major", "minor")
+    place = F.row_number().over(Window.partitionBy("contig").orderBy("major", "minor")) - 1
+    rows = rows.withColumn("i", place).withColumn("sample", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - 1), F.col("at"))))
+    return rows.where("i < sample * 37 + 50 AND (minor = 0 OR sample % 7 <> 3)").select("contig", "sample", "major", "minor")
+
+
+_TRIM = """, e AS (SELECT contig, sample, min(row(major, minor)) AS f, max(row(major, minor)) AS l, count(*) AS n FROM pos GROUP BY 1, 2),
+r AS (SELECT *, max(l) OVER (PARTITION BY contig ORDER BY f, -n, sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+k AS (SELECT *, lag(sample) OVER v AS ps, lag(l) OVER v AS pl FROM r WHERE reach IS NULL OR l > reach WINDOW v AS (PARTITION BY contig ORDER BY f, -n, sample)),
+g AS (SELECT *, CASE WHEN ps IS NULL THEN 'first' WHEN (f[1] = pl[1] + 1 AND f[2] = 0) OR (f[1] = pl[1] AND f[2] = pl[2] + 1) THEN 'abut' WHEN f <= pl THEN 'overlap' ELSE 'gap' END AS relation FROM k),
+x AS (SELECT g.contig, g.ps, g.sample, string_agg(p.minor, ',' ORDER BY p.i) AS m, min(p.i) AS i0, count(*) AS n, count(DISTINCT major) AS mj, min(major) AS lo, max(major) AS hi FROM g JOIN pos p ON p.contig = g.contig AND p.sample = g.ps AND p.i >= (SELECT max(q.i) FROM pos q WHERE q.contig = g.contig AND q.sample = g.ps AND row(q.major, q.minor) <= g.f) WHERE relation = 'overlap' GROUP BY 1, 2, 3),
+y AS (SELECT g.contig, g.ps, g.sample, string_agg(p.minor, ',' ORDER BY p.i) AS m, count(*) AS n, count(DISTINCT major) AS mj FROM g JOIN pos p ON p.contig = g.contig AND p.sample = g.sample AND p.i <= coalesce((SELECT min(q.i) FROM pos q WHERE q.contig = g.contig AND q.sample = g.sample AND row(q.major, q.minor) >= g.pl), 1000000) WHERE relation = 'overlap' GROUP BY 1, 2, 3),
+cc AS (SELECT x.contig, x.ps, x.sample, x.m <> y.m AS differing, CASE WHEN x.m = y.m THEN i0 + x.n // 2 END AS ea, CASE WHEN x.m = y.m THEN y.n // 2 END AS sb, x.mj > 3 AND y.mj > 3 AS wide, lo + (hi - lo) // 2 AS mid FROM x JOIN y USING (contig, ps, sample))"""
+
+
+@query("trim_samples", f"""WITH {_SAMPLES}{_TRIM}
+SELECT g.contig, g.sample, relation, coalesce(b.sb, 0)::BIGINT AS start, coalesce(a.ea, n)::BIGINT AS "end", coalesce(b.differing, false) AS differing FROM g LEFT JOIN cc b ON b.contig = g.contig AND b.sample = g.sample LEFT JOIN cc a ON a.contig = g.contig AND a.ps = g.sample
+UNION ALL SELECT contig, sample, 'within', NULL, NULL, false FROM r WHERE l <= reach""")
+def trim_samples(spark, d):
+    return V.trim_samples(_samples(spark, d), ["contig"], width=4096)
+
+
+@query("trim_samples_shared", f"""WITH {_SAMPLES}{_TRIM},
+st AS (SELECT contig, sample, major, count(*) AS n, min(i) AS i FROM pos GROUP BY 1, 2, 3),
+z AS (SELECT c.contig, c.ps, c.sample, arg_min(a.i, row(abs(a.major - mid), -a.major)) AS za, arg_min(b.i, row(abs(a.major - mid), -a.major)) AS zb FROM cc c JOIN st a ON a.contig = c.contig AND a.sample = c.ps JOIN st b ON b.contig = c.contig AND b.sample = c.sample AND b.major = a.major AND b.n = a.n WHERE differing AND wide AND a.major <> mid GROUP BY 1, 2, 3),
+c2 AS (SELECT c.contig, c.ps, c.sample, coalesce(ea, za) AS ea, coalesce(sb, zb) AS sb FROM cc c LEFT JOIN z USING (contig, ps, sample)),
+f AS (SELECT g.contig, g.sample, coalesce(b.sb, 0) AS s, coalesce(a.ea, n) AS e FROM g LEFT JOIN c2 b ON b.contig = g.contig AND b.sample = g.sample LEFT JOIN c2 a ON a.contig = g.contig AND a.ps = g.sample),
+h AS (SELECT f.contig, f.sample, greatest(s, count(*) FILTER (major < 100)) AS s, least(e, count(*) FILTER (major < 900)) AS e FROM f JOIN pos USING (contig, sample) GROUP BY f.contig, f.sample, s, e)
+SELECT contig, sample, CASE WHEN s < e THEN s END AS start, CASE WHEN s < e THEN e END AS "end" FROM h UNION ALL SELECT contig, sample, NULL, NULL FROM r WHERE l <= reach""")
+def trim_samples_shared(spark, d):
+    """The same with cuts sought where columns differ, within majors 100 to 900."""
+    return V.trim_samples(_samples(spark, d), ["contig"], (100, 900), True, 4096).select("contig", "sample", "start", "end")

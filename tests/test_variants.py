@@ -161,3 +161,32 @@ def test_columns_from_probabilities(spark):
     assert (got[2].ref, got[2].calls, round(got[2].p, 6)) == ("C", ["C", "*"], 0.5)
     assert (got[3].ref, got[3].calls, round(got[3].p, 6)) == ("N", ["*", "*"], 0.7)
     assert V.call_variants(columns(spark, {"a": ("ACG", ["ACG"])}).where("false"), ["k"]).count() == 0
+
+
+def trimmed(spark, samples, **options):
+    """samples: for each its list of (major, minor)."""
+    rows = [("k", n, m, i) for n, cols in enumerate(samples) for m, i in cols]
+    out = V.trim_samples(spark.createDataFrame(rows, "k string, sample int, major bigint, minor bigint"), ["k"], **options).orderBy("sample").collect()
+    return [(r.relation, r.start, r.end, r.differing) for r in out]
+
+
+def test_trim_samples(spark):
+    plain = lambda a, b: [(m, 0) for m in range(a, b)]
+    assert trimmed(spark, [plain(0, 10), plain(6, 20), plain(7, 12), plain(20, 25), plain(30, 31)]) == [("first", 0, 8, False), ("overlap", 2, 14, False), ("within", None, None, False), ("abut", 0, 5, False), ("gap", 0, 1, False)]
+    # odd overlaps: the later sample keeps the middle column
+    assert trimmed(spark, [plain(0, 9), plain(6, 12)]) == [("first", 0, 7, False), ("overlap", 1, 6, False)]
+    # inserted columns that both have are cut like others, and a sample may go on within a major
+    a, b = [*plain(0, 6), (5, 1), (5, 2), (6, 0)], [(4, 0), (5, 0), (5, 1), (5, 2), (6, 0), (7, 0)]
+    assert trimmed(spark, [a, b]) == [("first", 0, 6, False), ("overlap", 2, 6, False)]
+    assert trimmed(spark, [[(0, 0), (1, 0)], [(1, 1), (2, 0)], [(2, 2), (3, 0)]]) == [("first", 0, 2, False), ("abut", 0, 2, False), ("gap", 0, 2, False)]
+
+
+def test_trim_samples_that_differ(spark):
+    left = [(m, i) for m in range(0, 12) for i in range(1 + (m == 9))]
+    right = [(m, 0) for m in range(4, 16)]
+    assert trimmed(spark, [left, right]) == [("first", 0, 13, False), ("overlap", 0, 12, True)]
+    # majors 4 to 11, middle 7; 8 is the nearest other one with one column in both
+    assert trimmed(spark, [left, right], search=True) == [("first", 0, 8, False), ("overlap", 4, 12, True)]
+    assert trimmed(spark, [left, right], search=True, region=(2, 6)) == [("first", 2, 6, False), ("overlap", None, None, True)]
+    # too few majors in common
+    assert trimmed(spark, [[(0, 0), (1, 0), (1, 1), (2, 0)], [(1, 0), (2, 0), (3, 0)]], search=True) == [("first", 0, 4, False), ("overlap", 0, 3, True)]
