@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import scans
+from seqloom.session import drop, table
 
 #: Bins an interval may span before it goes to the next coarser width.
 WIDE = 64
@@ -147,8 +148,57 @@ def region_violations(regions: DataFrame, contigs: DataFrame) -> DataFrame:
 def batches(df: DataFrame, keys: list[str], order: list[str], size: str, limit: int) -> DataFrame:
     """Adds `batch`: blocks of about `limit` of running size within keys.
 
-    Blocks follow the running total and not the greedy rule, whose cuts depend
-    on all cuts before; a block exceeds the limit by less than one row.
+    Blocks follow the running total and not the greedy rule, which
+    greedy_batches() has; a block exceeds the limit by less than one row.
     """
     before = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("batch", F.floor(F.coalesce(before, F.lit(0)) / limit).cast("bigint"))
+
+
+def greedy_batches(df: DataFrame, keys: list[str], order: list[str], size: str, limit: int, width: int = scans.TILE) -> DataFrame:
+    """Adds `batch`, from 0: rows are taken in order until their sizes come to `limit` or more, then a new one begins.
+
+    Each row points to the row that would open the next batch if it opened one: the first
+    before which the total is `limit` more. Which rows are opened is found by
+    following pointers from the first row of a key, all that are known at once and
+    twice as far each time, so the rounds are the logarithm of the number of batches. Sizes must be
+    0 or more, `limit` over 0, and order total; a null size counts as 0.
+    """
+    if limit <= 0:
+        raise ValueError("the limit of a batch must be over 0")
+    amount = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
+    rows = scans.before(df, keys, order, {"_at": ("sum", amount), "_no": ("sum", F.lit(1))}, width)
+    rows = table(rows.withColumns({"_at": F.coalesce("_at", F.lit(0)).cast("bigint"), "_no": F.coalesce("_no", F.lit(0)).cast("bigint")}), "batch-rows")
+    # by falling totals: a row that asks for a total meets the last row that has it or more; of equal totals the first row
+    stands = rows.select(*keys, (-F.col("_at")).alias("_v"), F.lit(0).alias("_asks"), (-F.col("_no")).alias("_o"), F.col("_no").alias("_row"))
+    asks = rows.select(*keys, (-(F.col("_at") + limit)).alias("_v"), F.lit(1).alias("_asks"), (-F.col("_no")).alias("_o"), F.col("_no").alias("_row"))
+    met = scans.before(stands.unionByName(asks), keys, ["_v", "_asks", "_o"], {"_to": ("last", F.when(F.col("_asks") == 0, F.col("_row")))}, max(width, limit))
+    jumps = table(met.where("_asks = 1 AND _to IS NOT NULL").select(*keys, "_row", "_to"), "jumps")
+    opened = table(rows.where("_no = 0").select(*keys, "_no"), "opened")
+    known = opened.count()
+    while True:
+        ahead = opened.withColumnRenamed("_no", "_row").join(jumps, [*keys, "_row"]).select(*keys, F.col("_to").alias("_no"))
+        grown = table(opened.unionByName(ahead).distinct(), "opened")
+        now = grown.count()
+        drop(opened)
+        opened = grown
+        if now == known:
+            break
+        known = now
+        further = jumps.select(*keys, F.col("_row").alias("_to"), F.col("_to").alias("_then"))
+        longer = table(jumps.join(further, [*keys, "_to"]).select(*keys, "_row", F.col("_then").alias("_to")), "jumps")
+        drop(jumps)
+        jumps = longer
+    marked = rows.join(opened.withColumn("_opens", F.lit(1)), [*keys, "_no"], "left")
+    counted = scans.before(marked, keys, order, {"_before": ("sum", F.coalesce("_opens", F.lit(0)))}, width)
+    return counted.withColumn("batch", (F.coalesce("_before", F.lit(0)) + F.coalesce("_opens", F.lit(0)) - 1).cast("bigint")).drop("_at", "_no", "_opens", "_before")
+
+
+def even_parts(df: DataFrame, items: str, parts: int) -> DataFrame:
+    """Adds part, start, end: `items` things dealt to that many parts, the first ones of one more; parts of none are left out."""
+    each = F.expr(f"{items} div {parts}")
+    more = F.expr(f"{items} % {parts}")
+    out = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    start = F.col("part") * each + F.least("part", more)
+    end = start + each + (F.col("part") < more).cast("int")
+    return out.withColumns({"start": start.cast("bigint"), "end": end.cast("bigint")}).where("start < end")

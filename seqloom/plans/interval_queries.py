@@ -194,3 +194,17 @@ def plateaus(spark, d):
 @query("min_pool", "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS pooled FROM events")
 def min_pool(spark, d):
     return R.min_pool(read(spark, d, "events"), ["user_id"], "event_id", "value").select("event_id", "pooled")
+
+
+# one row after another, as the rule says: what a batch has so far and which batch it is
+@query("greedy_batches", """WITH RECURSIVE x AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+g AS (SELECT source, doc_id, r, n AS held, 0::BIGINT AS batch FROM x WHERE r = 1
+  UNION ALL SELECT x.source, x.doc_id, x.r, CASE WHEN g.held >= 20000 THEN x.n ELSE g.held + x.n END, g.batch + CASE WHEN g.held >= 20000 THEN 1 ELSE 0 END FROM g JOIN x ON x.source = g.source AND x.r = g.r + 1)
+SELECT doc_id, source, batch FROM g""")
+def greedy_batches(spark, d):
+    return I.greedy_batches(read(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 20000, 4096).select("doc_id", "source", "batch")
+
+
+@query("even_parts", """SELECT c_custkey, p AS part, sum(s) OVER (PARTITION BY c_custkey ORDER BY p) - s AS start, sum(s) OVER (PARTITION BY c_custkey ORDER BY p) AS "end" FROM (SELECT c_custkey, p, (c_custkey % 40) // 7 + CASE WHEN p < (c_custkey % 40) % 7 THEN 1 ELSE 0 END AS s FROM customer, range(0, 7) AS t(p)) WHERE s > 0""")
+def even_parts(spark, d):
+    return I.even_parts(read(spark, d, "customer").select("c_custkey", F.expr("c_custkey % 40").alias("n")), "n", 7).drop("n")

@@ -190,3 +190,23 @@ def test_trim_samples_that_differ(spark):
     assert trimmed(spark, [left, right], search=True, region=(2, 6)) == [("first", 2, 6, False), ("overlap", None, None, True)]
     # too few majors in common
     assert trimmed(spark, [[(0, 0), (1, 0), (1, 1), (2, 0)], [(1, 0), (2, 0), (3, 0)]], search=True) == [("first", 0, 4, False), ("overlap", 0, 3, True)]
+
+
+@pytest.mark.parametrize("limit", [1, 5, 23, 10_000])
+def test_greedy_batches(spark, limit):
+    from seqloom.operators import intervals
+
+    rng = random.Random(limit)
+    rows = [(k, i * 3, rng.choice([0, 0, 1, 2, 9, 40, None])) for k in "ab" for i in range(90)]
+    want = {}
+    for k in "ab":
+        held, batch = 0, 0
+        for _, i, n in [r for r in rows if r[0] == k]:
+            want[k, i] = batch
+            held += n or 0
+            if held >= limit:
+                held, batch = 0, batch + 1
+    df = spark.createDataFrame(rows, "k string, i int, n int")
+    for width in (7, 1 << 20):
+        assert {(r.k, r.i): r.batch for r in intervals.greedy_batches(df, ["k"], ["i"], "n", limit, width).collect()} == want
+    assert intervals.greedy_batches(df.where("false"), ["k"], ["i"], "n", limit).count() == 0
