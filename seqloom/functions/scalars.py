@@ -41,9 +41,27 @@ def moves_to_samples(moves: str, stride: str) -> Column:
     return F.expr(f"array_append(filter(transform({moves}, (m, i) -> if(m = 1, cast(i AS bigint) * {stride}, null)), x -> x IS NOT NULL), cast(size({moves}) AS bigint) * {stride})")
 
 
+#: Elements whose running sums are made at once; an array that grows by one is copied each time.
+SUM_BLOCK = 128
+
+
+def sums_before(values: str) -> str:
+    """SQL of an array: for each element of the array `values`, the sum of those before it, as bigint.
+
+    Sums of blocks come first, then those within each, so the work grows with
+    the length and not its square. Behind the last element's there may be one more.
+    """
+    blocks = f"sequence(0, (size(v_) - 1) div {SUM_BLOCK})"
+    block = f"slice(v_, b_ * {SUM_BLOCK} + 1, {SUM_BLOCK})"
+    grow = "(a_, x_) -> array_append(a_, element_at(a_, -1) + x_)"
+    starts = f"aggregate({blocks}, array(0L), (a_, b_) -> array_append(a_, element_at(a_, -1) + aggregate({block}, 0L, (t_, x_) -> t_ + x_)))"
+    # transform(array(x), v -> ...)[0] takes x once and calls it v
+    return f"transform(array({values}), v_ -> transform(array({starts}), s_ -> flatten(transform({blocks}, b_ -> slice(aggregate({block}, array(s_[b_]), {grow}), 1, {SUM_BLOCK}))))[0])[0]"
+
+
 def move_sums(moves: str) -> Column:
     """Running number of bases after each move."""
-    return F.expr(f"slice(aggregate({moves}, array(0L), (a, m) -> array_append(a, element_at(a, -1) + m)), 2, size({moves}))")
+    return F.expr(f"transform(array({sums_before(moves)}), q_ -> transform({moves}, (m, i) -> q_[i] + m))[0]")
 
 
 def base_to_move(moves: str, base: str) -> Column:

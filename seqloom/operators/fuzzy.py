@@ -136,13 +136,13 @@ def kmer_pairs(docs: DataFrame, id_: str, text: str, k: int, top: float, min_sha
     Equal texts are searched once, as their least id; each other id of the text
     is a pair (least id, id) with a null `shared`. Of all distinct k-mers the
     most frequent ones, a fraction `top`, make no pairs: their frequency is the
-    cut-off, taken from the counts of the whole table. So a common seed costs
-    no more than the cut-off a row, and a group of copies loses no link.
+    cut-off, taken from the counts of the whole table. A group of copies loses no
+    link. Of different texts under one least id the one of least digest counts.
     """
     rows = docs.where(F.col(id_).isNotNull() & F.col(text).isNotNull()).select(F.col(id_).alias("_id"), F.col(text).alias("_text"), F.sha2(text, 256).alias("_key"))
-    first = rows.groupBy("_key").agg(F.min("_id").alias("a"))
-    copies = rows.select("_key", F.col("_id").alias("b")).join(first, "_key").where("a <> b").select("a", "b", F.lit(None).cast("bigint").alias("shared"))
-    texts = rows.join(first, (rows["_key"] == first["_key"]) & (rows["_id"] == first["a"])).where(F.length("_text") >= k).select("a", "_text").dropDuplicates(["a"])
+    first = rows.groupBy(F.col("_key").alias("_first")).agg(F.min("_id").alias("a"))
+    copies = rows.select("_key", F.col("_id").alias("b")).join(first, F.col("_key") == F.col("_first")).where("a <> b").select("a", "b", F.lit(None).cast("bigint").alias("shared"))
+    texts = rows.join(first, (F.col("_key") == F.col("_first")) & (F.col("_id") == F.col("a"))).where(F.length("_text") >= k).groupBy("a").agg(F.min_by("_text", "_key").alias("_text"))
     grams = table(texts.select("a", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))).alias("kmer")), "kmers")
     counts = table(grams.groupBy("kmer").agg(F.count("*").alias("n")), "kmer_counts")
     # one row for each frequency that occurs
@@ -154,9 +154,9 @@ def kmer_pairs(docs: DataFrame, id_: str, text: str, k: int, top: float, min_sha
         if passed < 0:
             break
     seeds = counts.where(F.col("n").between(2, cut)).select("kmer")
-    # at most `cut` ids for each seed
-    met = grams.join(seeds, "kmer").groupBy("kmer").agg(F.sort_array(F.collect_list("a")).alias("ids"))
-    met = met.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+    seeded = grams.join(seeds, "kmer")
+    # a seed's pairs stream out of the join and are counted before they are shuffled; no row holds them
+    met = seeded.join(seeded.select(F.col("a").alias("b"), "kmer"), "kmer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     return met.where(F.col("shared") >= min_shared).unionByName(copies)
 
 

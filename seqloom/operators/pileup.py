@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.scalars import cigar_ops
+from seqloom.functions.scalars import cigar_ops, sums_before
 
 
 def passes(min_mapq: int = 0, tag: str | None = None, value: str | None = None, keep_missing: bool = False, read_group: str | None = None, missing_skips_group: bool = True) -> Column:
@@ -31,10 +31,11 @@ def exploded(alignments: DataFrame, id_: str, bases: str | None = None) -> DataF
     is shuffled. bases: an array column of the read's bases; it is replaced by
     `piece`, the stretch of each operation that takes query.
     """
-    kind = "array<struct<len:int,op:string,q0:int,r0:bigint" + (",piece:array<string>>>" if bases else ">>")
-    piece = f", 'piece', if(instr('MIS=X', x.op) > 0, slice({bases}, a.q + 1, x.len), null)" if bases else ""
+    piece = f", 'piece', if(instr('MIS=X', x.op) > 0, slice({bases}, cast(s.q[i] as int) + 1, x.len), null)" if bases else ""
     ops = alignments.withColumn("_ops", cigar_ops("cigar"))
-    state = f"aggregate(_ops, named_struct('q', 0, 'r', cast(pos AS bigint), 'out', cast(array() AS {kind})), (a, x) -> named_struct('q', a.q + if(instr('MIS=X', x.op) > 0, x.len, 0), 'r', a.r + if(instr('MDN=X', x.op) > 0, x.len, 0), 'out', array_append(a.out, named_struct('len', x.len, 'op', x.op, 'q0', a.q, 'r0', a.r{piece})))).out"
+    taken = lambda kinds: sums_before(f"transform(_ops, o -> if(instr('{kinds}', o.op) > 0, cast(o.len as bigint), 0L))")
+    both = f"named_struct('q', {taken('MIS=X')}, 'r', {taken('MDN=X')})"
+    state = f"transform(array({both}), s -> transform(_ops, (x, i) -> named_struct('len', x.len, 'op', x.op, 'q0', cast(s.q[i] as int), 'r0', pos + s.r[i]{piece})))[0]"
     kept = [c for c in alignments.columns if c != bases]
     return ops.select(*kept, F.posexplode(F.expr(state)).alias("nth", "_o")).select(*kept, "nth", "_o.*")
 
