@@ -26,7 +26,7 @@ RUN = r"[A-Za-z0-9_+/-]{16,}+={0,2}"
 GIVEN = rf"""(?<=(?i:{WORD})["'`]?\s{{0,2}}[=:]\s{{0,2}}["'`]?)[^\s"'`<>=:][^\s"'`<>]{{4,}}[^\s"'`<>.,;:)\]]"""
 #: What stands between a user's name and the host in an address.
 LOGIN = r"""(?<=[a-z]://[^\s:/@"'`]{1,40}:)[^\s:/@"'`]{4,}(?=@)"""
-BOTH = f"{LOGIN}|{GIVEN}|{RUN}"
+BOTH = f"{GIVEN}|{RUN}"
 ASSIGNED = r"""[=:]\s*["'`]?$"""
 TEST_PATH = r"(?i)\b(test|tests|example|examples|sample|mock|fixture|docs?)\b"
 #: Bound of the labelled rows a forest is fitted on, those with the least hash.
@@ -41,14 +41,19 @@ MASK = "[SECRET]"
 FEATURES = ("length", "digits", "uppers", "symbols", "transitions", "distinct", "hex", "coverage", "path", "test_path", "keyword", "assigned", "quoted", "word_before", "word_after")
 
 
+def _may_log_in():
+    """Whether a text can have a password in an address; a search of each place is spared where it can't."""
+    return F.coalesce(F.col("text").contains("://") & F.col("text").contains("@"), F.lit(False))
+
+
 def parts(docs: DataFrame) -> DataFrame:
     """docs with arrays _found, the candidates of text in order, and _between, what stands around them.
 
     Null and empty texts have no candidates.
     """
-    # the wide pattern is tried where a credential word or a login is there at all
-    wide = F.coalesce(F.col("text").rlike(f"{CREDENTIAL}|{LOGIN}"), F.lit(False))
-    by = lambda f: F.when(wide, f(BOTH)).otherwise(f(RUN))
+    # the wide patterns are tried where a login or a credential word is there at all
+    named = F.coalesce(F.col("text").rlike(CREDENTIAL), F.lit(False))
+    by = lambda f: F.when(_may_log_in(), f(f"{LOGIN}|{BOTH}")).when(named, f(BOTH)).otherwise(f(RUN))
     return docs.withColumns({"_found": by(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))), "_between": by(lambda p: F.split("text", p, -1))})
 
 
@@ -59,7 +64,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     characters of the text around it, a candidate just before included.
     """
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.where(F.col("text").rlike(f"{CREDENTIAL}|{LOGIN}|{RUN}")).select("doc_id", F.xxhash64("text").alias("text_hash"), source.alias("source"), "text")
+    rows = docs.where(_may_log_in() | F.col("text").rlike(f"{CREDENTIAL}|{RUN}")).select("doc_id", F.xxhash64("text").alias("text_hash"), source.alias("source"), "text")
     found = parts(rows).drop("text").where("size(_found) > 0").withColumn("_sizes", F.expr("transform(_found, (x, i) -> length(_between[i]) + length(x))"))
     # where each candidate's stretch begins: sums of blocks of 256, then within the blocks
     blocks = "sequence(0, (size(_sizes) - 1) div 256)"
