@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.session import table
+
 
 def by_lists(reads: DataFrame, id_: str, allow: DataFrame | None = None, ignore: DataFrame | None = None) -> DataFrame:
     """Rows whose id is in the allow list and not in the ignore list; ids there are column `id`."""
@@ -75,6 +77,44 @@ def merge_headers(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merged.select("kind", "key", "line", "files", "position"), seen.where("variants > 1").select("kind", "key", "variants")
 
 
+#: Programs of a file that may follow one another.
+LONGEST_CHAIN = 1000
+
+
+def merge_programs(lines: DataFrame) -> DataFrame:
+    """(file, key, line, new_key, new_parent) of program lines(file, key, line, parent), parent being a key of the same file or null.
+
+    A program is known by its line and by what it follows, so equal lines of two files are one
+    only where all before them are. Of several programs with one key the first (by line, then
+    by the chain) keeps it and the others get `key.N`, N counting renamed ones in order of key; parents are
+    renamed with them, so each resolves. A parent that its file doesn't have is taken for none, and
+    programs that follow themselves in a circle are known by their lines alone.
+    """
+    rows = table(lines.select("file", "key", "line", "parent").distinct(), "programs")
+    has = rows.select(F.col("file").alias("_f"), F.col("key").alias("_k")).distinct()
+    rows = rows.join(has, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k")), "left").select("file", "key", "line", F.col("_k").alias("parent"))
+    known = table(rows.where("parent IS NULL").withColumn("chain", F.sha2("line", 256)), "chains")
+    done, n = known, known.count()
+    for _ in range(LONGEST_CHAIN):
+        if not n:
+            break
+        before = known.select(F.col("file").alias("_f"), F.col("key").alias("_k"), F.col("chain").alias("_c"))
+        known = table(rows.join(before, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k"))).select("file", "key", "line", "parent", F.sha2(F.concat_ws("|", "line", "_c"), 256).alias("chain")), "chains")
+        n = known.count()
+        done = done.unionByName(known)
+    circles = rows.join(done.select(F.col("file").alias("_f"), F.col("key").alias("_k")), (F.col("file") == F.col("_f")) & (F.col("key") == F.col("_k")), "left_anti")
+    done = done.unionByName(circles.withColumn("chain", F.sha2("line", 256)))
+    # programs, not files: as many rows as there are different lines
+    programs = done.select("key", "line", "chain").distinct()
+    programs = programs.withColumn("_nth", F.row_number().over(Window.partitionBy("key").orderBy("line", "chain")))
+    renamed = programs.where("_nth > 1").groupBy("key").agg(F.count("*").alias("_n"))
+    offset = renamed.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("key").alias("_rk"), "_off")
+    programs = programs.join(offset, F.col("key") == F.col("_rk"), "left").withColumn("new_key", F.when(F.col("_nth") == 1, F.col("key")).otherwise(F.concat_ws(".", "key", (F.col("_off") + F.col("_nth") - 1).cast("string"))))
+    named = done.join(programs.select(F.col("key").alias("_pk"), F.col("chain").alias("_pc"), "new_key"), (F.col("key") == F.col("_pk")) & (F.col("chain") == F.col("_pc"))).select("file", "key", "line", "parent", "new_key")
+    up = named.select(F.col("file").alias("_f"), F.col("key").alias("_k"), F.col("new_key").alias("new_parent"))
+    return named.join(up, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k")), "left").select("file", "key", "line", "new_key", "new_parent")
+
+
 def header_index_map(lines: DataFrame, merged: DataFrame, order: str) -> DataFrame:
     """(file, old, new): where each file's line of a kind went in the merged header."""
     old = F.row_number().over(Window.partitionBy("file", "kind").orderBy(order)) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalars as S
@@ -357,3 +358,17 @@ def barcode_ids(spark, d):
 @query("barcode_distribution", "SELECT lang, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 9) AS share FROM documents GROUP BY lang")
 def barcode_distribution(spark, d):
     return quality.distribution(read(spark, d, "documents"), "lang").withColumn("share", F.round("share", 9))
+
+
+_PROGRAMS = """p AS (SELECT o_custkey AS file, o_orderpriority AS key, 'CL:' || min(o_orderkey % 2) AS line, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS parent FROM orders GROUP BY o_custkey, o_orderpriority)"""
+
+
+# chains as the texts of their lines, first to last
+@query("merge_programs", f"""WITH RECURSIVE {_PROGRAMS}, c AS (SELECT *, line AS chain, sha256(line) AS h FROM p WHERE parent IS NULL UNION ALL SELECT p.*, p.line || '<' || c.chain, sha256(p.line || '|' || c.h) FROM p JOIN c ON c.file = p.file AND c.key = p.parent),
+d AS (SELECT key, line, chain, h, row_number() OVER (PARTITION BY key ORDER BY line, h) AS nth FROM (SELECT DISTINCT key, line, chain, h FROM c)),
+n AS (SELECT key, chain, CASE WHEN nth = 1 THEN key ELSE key || '.' || row_number() OVER (PARTITION BY nth > 1 ORDER BY key, nth) END AS new_key FROM d)
+SELECT c.file, c.key, c.line, n.new_key, m.new_key AS new_parent FROM c JOIN n ON n.key = c.key AND n.chain = c.chain LEFT JOIN c u ON u.file = c.file AND u.key = c.parent LEFT JOIN n m ON m.key = u.key AND m.chain = u.chain""")
+def merge_programs(spark, d):
+    """A customer's order priorities as the programs of a file, each following the one before."""
+    o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("file"), F.col("o_orderpriority").alias("key")).agg(F.concat(F.lit("CL:"), F.min(F.col("o_orderkey") % 2).cast("string")).alias("line"))
+    return joins.merge_programs(o.withColumn("parent", F.lag("key").over(Window.partitionBy("file").orderBy("key"))))
