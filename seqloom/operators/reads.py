@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.scalars import sums_before
+
 
 def read_filter(reads: DataFrame, id_: str, quality: str, length: str, min_quality: float = 0, min_length: int = 0, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): dropped if quality is too low (only for min_quality > 0), too short or blocked."""
@@ -104,23 +106,22 @@ def decode_modbases(reads: DataFrame, id_: str) -> DataFrame:
     groups = groups.withColumn("used", F.expr("greatest(0, size(f) - 1) * size(codes)"))
     w = Window.partitionBy(id_).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("from", F.coalesce(F.sum("used").over(w), F.lit(0)))
-    hits = groups.where("size(f) > 1").select(id_, "seq", "ml", "base", "codes", "context", "from", "g", F.posexplode(F.expr("slice(f, 2, size(f))")).alias("k", "skip"))
-    w = Window.partitionBy(id_, "g").orderBy("k")
-    hits = hits.withColumn("nth", F.sum(F.col("skip").cast("int") + 1).over(w))
-    places = F.expr("filter(transform(sequence(1, length(seq)), i -> if(substr(seq, i, 1) = base OR base = 'N', i - 1, null)), x -> x IS NOT NULL)")
-    hits = hits.withColumn("position", F.try_element_at(places, F.col("nth").cast("int")))
-    coded = hits.select(id_, "position", "base", "context", "ml", "from", "k", "codes", F.posexplode("codes").alias("c", "code"))
-    return coded.select(id_, "position", "base", "code", "context", F.expr("ml[cast(from + k * size(codes) + c AS int)]").alias("prob"))
+    skips = "transform(slice(f, 2, greatest(size(f) - 1, 0)), x -> cast(x as bigint))"
+    places = "filter(transform(split(seq, ''), (x, i) -> if(x = base OR base = 'N', i, null)), i -> i IS NOT NULL)"
+    # what a group says is put together in its row, so that no hit carries the read along
+    at = f"transform(array(struct({skips} AS s, {places} AS p)), y -> transform(array({sums_before('y.s')}), q -> transform(y.s, (x, k) -> try_element_at(y.p, cast(q[k] + x + k + 1 as int))))[0])[0]"
+    hits = groups.where("size(f) > 1").withColumn("at", F.expr(at))
+    hits = hits.select(id_, "base", "context", "codes", F.explode(F.expr("transform(at, (p, k) -> struct(p AS position, slice(ml, cast(from + k * size(codes) + 1 as int), size(codes)) AS probs))")).alias("h"))
+    coded = hits.select(id_, "base", "context", "h.position", "h.probs", F.posexplode("codes").alias("c", "code"))
+    return coded.select(id_, "position", "base", "code", "context", F.expr("get(probs, c)").alias("prob"))
 
 
 def encode_modbases(mods: DataFrame, reads: DataFrame, id_: str) -> DataFrame:
     """(id_, mm, ml) from decode_modbases() rows; groups in order of base and code."""
-    nth = F.expr("length(regexp_replace(substr(seq, 1, position + 1), concat('[^', base, ']'), ''))")
-    seen = mods.join(reads.select(id_, "seq"), id_).withColumn("nth", nth)
-    w = Window.partitionBy(id_, "base", "code").orderBy("position")
-    seen = seen.withColumn("skip", F.col("nth") - F.coalesce(F.lag("nth").over(w), F.lit(0)) - 1)
-    groups = seen.groupBy(id_, "base", "code", "context").agg(F.sort_array(F.array_agg(F.struct("position", "skip", "prob"))).alias("h"))
-    groups = groups.withColumn("text", F.expr("concat(base, '+', code, context, ',', array_join(transform(h, x -> cast(x.skip AS string)), ','), ';')"))
+    groups = mods.groupBy(id_, "base", "code", "context").agg(F.sort_array(F.array_agg(F.struct("position", "prob"))).alias("h")).join(reads.select(id_, "seq"), id_)
+    counts = sums_before("transform(split(seq, ''), c -> if(c = base OR base = 'N', 1L, 0L))")
+    skips = f"transform(array({counts}), n -> transform(h, (x, i) -> n[x.position] - if(i > 0, n[h[i - 1].position] + 1, 0L)))[0]"
+    groups = groups.withColumn("text", F.expr(f"concat(base, '+', code, context, ',', array_join(cast({skips} as array<string>), ','), ';')"))
     whole = groups.groupBy(id_).agg(F.sort_array(F.array_agg(F.struct("base", "code", "text", F.expr("transform(h, x -> x.prob)").alias("p")))).alias("g"))
     return whole.select(id_, F.expr("array_join(transform(g, x -> x.text), '')").alias("mm"), F.expr("flatten(transform(g, x -> x.p))").alias("ml"))
 

@@ -372,3 +372,31 @@ def merge_programs(spark, d):
     """A customer's order priorities as the programs of a file, each following the one before."""
     o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("file"), F.col("o_orderpriority").alias("key")).agg(F.concat(F.lit("CL:"), F.min(F.col("o_orderkey") % 2).cast("string")).alias("line"))
     return joins.merge_programs(o.withColumn("parent", F.lag("key").over(Window.partitionBy("file").orderBy("key"))))
+
+
+_MODS_READ = "translate(md5(concat(l_orderkey, '-', l_linenumber, '-', l_partkey)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_MODS = f"""r AS (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id, {_MODS_READ} AS seq, l_linenumber AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)),
+p AS (SELECT *, list_filter(range(0, 32), lambda i: seq[i + 1 : i + 1] = 'C') AS c, list_filter(range(0, 32), lambda i: seq[i + 1 : i + 1] = 'A') AS a FROM r),
+m AS (SELECT id, c[1] AS position, 'C' AS base, 'm' AS code, '?' AS context, 10 AS prob FROM p UNION ALL SELECT id, c[1], 'C', 'h', '?', 20 FROM p
+  UNION ALL SELECT id, c[2 + n], 'C', 'm', '?', 30 FROM p UNION ALL SELECT id, c[2 + n], 'C', 'h', '?', 40 FROM p UNION ALL SELECT id, a[3], 'A', 'a', '.', 50 FROM p)"""
+
+
+def _mod_reads(spark, d):
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    return li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.expr(_MODS_READ).alias("seq"), F.expr("concat('C+mh?,0,', l_linenumber, ';A+a.,2;')").alias("mm"), F.expr("array(10, 20, 30, 40, 50)").alias("ml"))
+
+
+@query("decode_modbases", f"WITH {_MODS} SELECT id, position, base, code, context, prob FROM m")
+def decode_modbases(spark, d):
+    """Two codes at the first C and at the one after as many more as the line number says; one at the third A."""
+    return reads.decode_modbases(_mod_reads(spark, d), "id")
+
+
+@query("encode_modbases", f"""WITH {_MODS}, ok AS (SELECT * FROM m WHERE position IS NOT NULL),
+s AS (SELECT id, base, code, context, position, prob, (SELECT len(list_filter(CASE base WHEN 'C' THEN p.c ELSE p.a END, lambda i: i < position)) FROM p WHERE p.id = ok.id) AS nth FROM ok),
+t AS (SELECT *, nth - coalesce(lag(nth) OVER (PARTITION BY id, base, code ORDER BY position) + 1, 0) AS skip FROM s),
+g AS (SELECT id, base, code, concat(base, '+', code, context, ',', string_agg(skip, ',' ORDER BY position), ';') AS text, string_agg(prob, ',' ORDER BY position) AS probs FROM t GROUP BY id, base, code, context)
+SELECT id, string_agg(text, '' ORDER BY base, code) AS mm, string_agg(probs, ',' ORDER BY base, code) AS ml FROM g GROUP BY id""")
+def encode_modbases(spark, d):
+    r = _mod_reads(spark, d)
+    return reads.encode_modbases(reads.decode_modbases(r, "id").where("position IS NOT NULL"), r, "id").withColumn("ml", F.array_join(F.col("ml").cast("array<string>"), ","))
