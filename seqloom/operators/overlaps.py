@@ -90,26 +90,26 @@ def minimizers(texts: DataFrame, id_: str, seq: str, k: int, w: int) -> DataFram
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, size, parts = [], 0, []
-            for name, text in zip(pdf["_id"], pdf["_seq"]):
+            lines, size, parts = [], 0, []
+            for line, text in enumerate(pdf["_seq"]):
                 got = minimizers_of(text, k, w)
-                ids.extend([name] * len(got[0]))
+                lines.append(line)
                 parts.append(got)
                 size += len(got[0])
                 if size >= PIECE:
-                    yield _rows(ids, parts)
-                    ids, size, parts = [], 0, []
+                    yield _rows(pdf["_id"], lines, parts)
+                    lines, size, parts = [], 0, []
             if size:
-                yield _rows(ids, parts)
+                yield _rows(pdf["_id"], lines, parts)
 
     kind = texts.schema[id_].dataType.simpleString()
     rows = texts.where(F.col(seq).isNotNull() & F.col(id_).isNotNull()).select(F.col(id_).alias("_id"), F.col(seq).alias("_seq"))
     return rows.mapInPandas(scan, f"id {kind}, pos bigint, hash bigint, reverse boolean").toDF(id_, "pos", "hash", "reverse")
 
 
-def _rows(ids: list, parts: list) -> pd.DataFrame:
+def _rows(ids: pd.Series, lines: list[int], parts: list) -> pd.DataFrame:
     places, hashes, reverse = (np.concatenate(c) for c in zip(*parts))
-    return pd.DataFrame({"id": ids, "pos": places, "hash": hashes, "reverse": reverse})
+    return pd.DataFrame({"id": ids.to_numpy()[np.repeat(lines, [len(p[0]) for p in parts])], "pos": places, "hash": hashes, "reverse": reverse})
 
 
 def best_chains(x: list[np.ndarray], y: list[np.ndarray], k: int, gap: int, band: int, back: int) -> np.ndarray:

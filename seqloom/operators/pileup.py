@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.scalars import cigar_ops, sums_before
+from seqloom.session import ship
 
 
-def passes(min_mapq: int = 0, tag: str | None = None, value: str | None = None, keep_missing: bool = False, read_group: str | None = None, missing_skips_group: bool = True) -> Column:
-    """Condition on flag, mapq and tags of alignments that take part in a pileup.
+def passes(min_mapq: int = 0, tag: str | None = None, value: str | None = None, keep_missing: bool = False, read_group: str | None = None, missing_skips_group: bool = True, min_snp_accuracy: float = 0) -> Column:
+    """Condition on flag, mapq, accuracy and tags of alignments that take part in a pileup.
 
     With missing_skips_group a row that lacks the tag and is kept for that is
-    not asked for its read group.
+    not asked for its read group. min_snp_accuracy (over 0) asks for snp_accuracy().
     """
     ok = F.expr("(flag & 3844) = 0") & (F.col("mapq") >= min_mapq)
+    if min_snp_accuracy > 0:
+        ok &= snp_accuracy() >= min_snp_accuracy
     group = F.coalesce(F.col("tags")["RG"] == read_group, F.lit(False)) if read_group else F.lit(True)
     if tag is None:
         return ok & group
@@ -24,6 +31,21 @@ def passes(min_mapq: int = 0, tag: str | None = None, value: str | None = None,
     return ok & ((here.isNull() & (F.lit(True) if missing_skips_group else group)) | (F.coalesce(here == value, F.lit(False)) & group))
 
 
+def snp_accuracy(cigar: str = "cigar", tags: str = "tags") -> Column:
+    """1 - substitutions / aligned pairs, in [0, 1]; 0 without pairs.
+
+    Substitutions are NM less insertions and deletions, and none without NM.
+    """
+    total = lambda ops, kinds: F.aggregate(F.filter(ops, lambda o: o["op"].isin(list(kinds))), F.lit(0), lambda a, o: a + o["len"])
+
+    def share(ops: Column) -> Column:
+        pairs = total(ops, "M=X")
+        wrong = F.coalesce(F.col(tags)["NM"].try_cast("int") - total(ops, "ID"), F.lit(0))
+        return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.try_divide(wrong, pairs))), F.lit(0.0))
+
+    return F.transform(F.array(cigar_ops(cigar)), share)[0]
+
+
 def exploded(alignments: DataFrame, id_: str, bases: str | None = None) -> DataFrame:
     """One row per CIGAR operation with q0 (query) and r0 (reference) where it begins.
 
@@ -88,12 +110,15 @@ def fill_symmetric_indels(counts: DataFrame) -> DataFrame:
     return counts.drop("rev").unionByName(fill.select("rname", "major", "minor", F.when(F.col("rev"), "d").otherwise("D").alias("symbol"), "n"))
 
 
-def vote(counts: DataFrame, keys: list[str], symbol: str, n: str, target: str, min_support: int = 2) -> DataFrame:
+def vote(counts: DataFrame, keys: list[str], symbol: str, n: str, target: str, min_support: int = 2, aligned: str | None = None) -> DataFrame:
     """(keys, consensus, support): the symbol with most support.
 
     Needs min_support, else the target's symbol; of equal ones the target's
-    wins, then the least symbol.
+    wins, then the least symbol. Where `aligned`, the number of alignments of a
+    window, is given, windows of fewer than two have no rows.
     """
+    if aligned is not None:
+        counts = counts.where(F.col(aligned) >= 2)
     w = Window.partitionBy(*keys).orderBy(F.desc(n), F.desc(F.col(symbol) == F.col(target)), F.asc(symbol))
     top = counts.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     chosen = F.when(F.col(n) >= min_support, F.col(symbol)).otherwise(F.col(target))
@@ -163,6 +188,68 @@ def relabel_minors(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(left.drop("_used"), [*keys, "major", "minor"]).withColumn("minor", F.col("_minor")).drop("_minor")
 
 
+def read_slots(alignments: DataFrame, id_: str, group: str, start: str, end: str, tile: int, max_reads: int | None = None, gap: int = 5) -> DataFrame:
+    """(group, tile, id_, slot, placed): the matrix row of each read in each tile of `tile` places that it touches.
+
+    Reads [start, end) come by (start, id_, end). A read takes the first slot whose
+    last read ended `gap` or more before, else a new one, of which there are at
+    most max_reads. Where all are taken it waits and is placed from the first
+    place on at which one is free and it has not ended; one that never is has
+    null slot and place. Each tile is dealt anew, as a window of the features
+    is. A tile's rows stream by in order; a task holds its slots and the reads
+    that wait. Reads without group or places, and empty ones, have no row.
+    """
+    ship(alignments.sparkSession)
+    kinds = {c: alignments.schema[c].dataType.simpleString() for c in (group, id_)}
+    rows = alignments.where(F.col(start) < F.col(end)).where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"))
+    rows = rows.withColumn("tile", F.explode(F.expr(f"sequence(start div {tile}, (end - 1) div {tile})")))
+    dealt = rows.repartition("g", "tile").sortWithinPartitions("g", "tile", "start", "id", "end")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        ends: list[int] = []
+        waiting: deque = deque()
+        out: list[tuple] = []
+
+        def take(read: tuple, at: int) -> bool:
+            slot = next((i for i, e in enumerate(ends) if at >= e + gap), len(ends))
+            if slot == len(ends):
+                if max_reads is not None and slot >= max_reads:
+                    return False
+                ends.append(0)
+            ends[slot] = read[1]
+            out.append((*now, read[0], slot, at))
+            return True
+
+        def serve(until: int | None) -> None:
+            while waiting:
+                free = min(ends, default=0) + gap
+                if until is not None and free > until:
+                    return
+                # the end lies ahead of a waiting read's own start, so `free` does too
+                read = waiting.popleft()
+                if max_reads == 0 or read[1] <= free or free >= (now[1] + 1) * tile:
+                    out.append((*now, read[0], None, None))
+                else:
+                    take(read, max(free, read[2]))
+
+        for pdf in batches:
+            for g, name, first, last, nth in zip(pdf["g"], pdf["id"], pdf["start"], pdf["end"], pdf["tile"]):
+                if (g, nth) != now:
+                    serve(None)
+                    now, ends = (g, nth), []
+                at = max(first, nth * tile)
+                serve(at)
+                if waiting or not take((name, last), at):
+                    waiting.append((name, last, at))
+            yield pd.DataFrame(out, columns=["g", "tile", "id", "slot", "placed"]).astype({"slot": "Int64", "placed": "Int64"})
+            out.clear()
+        serve(None)
+        yield pd.DataFrame(out, columns=["g", "tile", "id", "slot", "placed"]).astype({"slot": "Int64", "placed": "Int64"})
+
+    return dealt.mapInPandas(deal, f"g {kinds[group]}, tile bigint, id {kinds[id_]}, slot bigint, placed bigint").toDF(group, "tile", id_, "slot", "placed")
+
+
 def dwells(moves: str, cap: int = 127) -> Column:
     """Moves spent on each base, at most cap."""
     at = f"array_append(filter(transform({moves}, (m, i) -> if(m = 1, i, null)), x -> x IS NOT NULL), size({moves}))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.scalars import sums_before
+from seqloom.functions.scalars import alignment_counts, barcode_name, cigar_ops, op_sum, sums_before
 
 
 def read_filter(reads: DataFrame, id_: str, quality: str, length: str, min_quality: float = 0, min_length: int = 0, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -37,6 +37,94 @@ def summary(reads: DataFrame, alignments: DataFrame, counts: DataFrame, groups:
         out = out.join(groups, "run_id", "left")
     return out
 
+#: The groups of summary columns beside the general ones.
+SUMMARY_GROUPS = ("basecalling", "polya", "experiment", "barcoding", "alignment", "duplex")
+
+
+def sequencing_summary(records: DataFrame, groups: DataFrame | None = None, counts: DataFrame | None = None, fields: tuple[str, ...] = SUMMARY_GROUPS) -> DataFrame:
+    """The summary of primary records: 10 general columns and those of the groups asked for, 58 in all.
+
+    records: SAM columns with `tags` (values as text, arrays as `B` fields say
+    them), and if there are any `barcode_name`, `barcode_alias`, `barcode_type`
+    and `barcode_kit`. groups(rg_id, run_id, start_time_ms, is_pass, stride,
+    experiment_id, sample_id) meets the RG tag, counts(name, mapped,
+    secondary, supplementary) the read's name. Secondary and supplementary
+    records have no row. What a record lacks has its default: `unknown`,
+    `not_set`, `*`, `-` for parents, -1, -2 for the tail's length, 0 for numbers. Ratios of an
+    alignment without matches are NaN; times without a duration are 0.
+    """
+    unknown = set(fields) - set(SUMMARY_GROUPS)
+    if unknown:
+        raise ValueError(f"no such summary columns: {sorted(unknown)}")
+    r = records.where("(flag & 2304) = 0")
+    for c in ("barcode_name", "barcode_alias", "barcode_type", "barcode_kit"):
+        if c not in r.columns:
+            r = r.withColumn(c, F.lit(None).cast("string"))
+    info = [("run_id", "string"), ("start_time_ms", "bigint"), ("is_pass", "boolean"), ("stride", "int"), ("experiment_id", "string"), ("sample_id", "string")]
+    r = r.drop(*[c for c, _ in info])
+    if groups is not None:
+        r = r.withColumn("_rg", F.col("tags")["RG"]).join(groups.select(F.col("rg_id").alias("_rg"), *[c for c, _ in info]), "_rg", "left")
+    else:
+        r = r.withColumns({c: F.lit(None).cast(t) for c, t in info})
+    if counts is not None:
+        named = counts.select(F.col("name").alias("_name"), F.col("mapped").alias("_mapped"), F.col("secondary").alias("_secondary"), F.col("supplementary").alias("_supplementary"))
+        r = r.join(named, F.col("qname") == F.col("_name"), "left")
+    else:
+        r = r.withColumns({c: F.lit(None).cast("bigint") for c in ("_mapped", "_secondary", "_supplementary")})
+    out: dict[str, str] = {}
+    tag = lambda t, kind, default: f"coalesce(try_cast(tags['{t}'] AS {kind}), {default})"
+    numbers = lambda t, kind: f"transform(slice(split(tags['{t}'], ','), 2, 99), x -> try_cast(x AS {kind}))"
+    start = "coalesce(start_time_ms, 0) / 1000D"
+    rate = f"if({tag('du', 'double', '0D')} > 0, {tag('ns', 'int', '0')} / {tag('du', 'double', '0D')}, 0D)"
+    samples = f"({tag('ns', 'int', '0')} - {tag('ts', 'int', '0')})"
+    length = "if(seq = '*', 0, length(seq))"
+    out |= {
+        "input_filename": tag("fn", "string", "'unknown'"), "batch_id": "0", "parent_read_id": "coalesce(tags['pi'], qname)", "read_id": "qname", "run_id": "coalesce(run_id, '')",
+        "channel": tag("ch", "int", "0"), "mux": tag("mx", "int", "0"), "minknow_events": tag("me", "bigint", "0L"), "start_time": start, "duration": tag("du", "double", "0D"),
+    }
+    if "basecalling" in fields:
+        out |= {
+            "passes_filtering": "coalesce(is_pass, false)", "template_start": f"if({rate} <> 0, {start} + {tag('ts', 'int', '0')} / {rate}, 0D)",
+            "num_events_template": f"if(coalesce(stride, 0) > 0, {samples} div stride, 0L)", "template_duration": f"if({rate} <> 0, {samples} / {rate}, 0D)",
+            "sequence_length_template": length, "mean_qscore_template": tag("qs", "double", "0D"),
+        }
+    if "polya" in fields:
+        # the first number of `pa` is the anchor
+        out["poly_tail_length"] = tag("pt", "int", "-2")
+        for i, name in enumerate(("poly_tail_start", "poly_tail_end", "poly_tail2_start", "poly_tail2_end")):
+            out[name] = f"coalesce(get({numbers('pa', 'int')}, {i + 1}), -1)"
+    if "experiment" in fields:
+        out |= {"pore_type": tag("po", "string", "'not_set'"), "experiment_id": "coalesce(nullif(experiment_id, ''), 'unknown')", "sample_id": "coalesce(sample_id, '')", "end_reason": tag("er", "string", "'unknown'")}
+    if "barcoding" in fields:
+        known = lambda x, default: f"if(barcode_name IS NULL, {default}, {x})"
+        r = r.withColumn("_arrangement", F.when(F.col("barcode_name") == "unclassified", "unclassified").otherwise(barcode_name("barcode_name")))
+        info_of = lambda i, kind, default: f"if(barcode_name IS NOT NULL AND size({numbers('bi', 'double')}) = 7, cast({numbers('bi', 'double')}[{i}] AS {kind}), {default})"
+        out |= {
+            "alias": known("coalesce(nullif(barcode_alias, ''), _arrangement)", "'unknown'"), "type": known("coalesce(barcode_type, '')", "'unknown'"), "barcode_arrangement": known("_arrangement", "'unknown'"),
+            "barcode_kit": known("coalesce(barcode_kit, '')", "'unknown'"), "barcode_variant": known("coalesce(tags['bv'], 'n/a')", "'unknown'"), "barcode_score": info_of(0, "double", "-1D"),
+            "barcode_front_score": info_of(3, "double", "-1D"), "barcode_front_foundseq_length": info_of(2, "int", "-1"), "barcode_front_begin_index": info_of(1, "int", "-1"),
+            "barcode_rear_score": info_of(6, "double", "-1D"), "barcode_rear_foundseq_length": info_of(5, "int", "-1"), "barcode_rear_end_index": info_of(4, "int", "-1"),
+        }
+    if "alignment" in fields:
+        r = r.withColumn("_ops", cigar_ops("cigar")).withColumn("_nm", F.expr(tag("NM", "int", "0")))
+        r = r.withColumn("_c", alignment_counts("_ops", "_nm")).withColumn("_span", op_sum("_ops", "MDN=X")).withColumn("_right", F.expr("_c.matches - if(tags['NM'] IS NULL, 0, _c.substitutions)"))
+        mapped = lambda x, default: f"if((flag & 4) = 0, {x}, {default})"
+        ratio = lambda a, b: mapped(f"coalesce(try_divide(cast({a} AS double), {b}), double('NaN'))", "0D")
+        to = f"({length} - _c.softclip_end)"
+        out |= {
+            "alignment_genome": mapped("rname", "'*'"), "alignment_direction": mapped("if((flag & 16) <> 0, '-', '+')", "'*'"), "alignment_genome_start": mapped("pos - 1", "-1"), "alignment_genome_end": mapped("pos - 1 + greatest(_span, 1)", "-1"),
+            "alignment_strand_start": mapped("_c.softclip_start", "-1"), "alignment_strand_end": mapped(to, "-1"), "alignment_num_insertions": mapped("_c.insertions", "0"), "alignment_num_deletions": mapped("_c.deletions", "0"),
+            "alignment_num_aligned": mapped("_c.matches", "0"), "alignment_num_correct": mapped("_right", "0"), "alignment_identity": ratio("_right", "_c.matches"), "alignment_accuracy": ratio("_right", "_c.matches + _c.insertions + _c.deletions"),
+            "alignment_score": mapped(tag("AS", "int", "0"), "0"), "alignment_coverage": ratio(f"({to} - _c.softclip_start)", length), "alignment_bed_hits": mapped(tag("bh", "int", "0"), "0"), "alignment_mapping_quality": mapped("mapq", "0"),
+            "alignment_num_alignments": mapped("coalesce(_mapped, 0L)", "0L"), "alignment_num_secondary_alignments": mapped("coalesce(_secondary, 0L)", "0L"), "alignment_num_supplementary_alignments": mapped("coalesce(_supplementary, 0L)", "0L"),
+        }
+    if "duplex" in fields:
+        # a duplex read is named template;complement
+        two = "split(qname, ';')"
+        out |= {f"duplex_parent_{n}": f"if(size({two}) = 2, {two}[{i}], '-')" for i, n in enumerate(("template", "complement"))}
+    return r.select(*[F.expr(e).alias(c) for c, e in out.items()])
+
+
 
 def write_accounting(records: DataFrame, flag: str = "flag", duplex: str = "is_duplex", parent: str = "parent_read_id", subread: str = "subread_id") -> DataFrame:
     """One row of counters. Every record counts by its flag, a duplex one too.

@@ -280,3 +280,23 @@ def window_gate(spark, d):
     again = li.unionByName(li.where("l_linenumber = 1"))
     gates = processors.open_gates(_dealt(spark, told, "told", 3), _dealt(spark, again, "lines", 3), "l_orderkey", "expected", "l_linenumber", "ts", 1000, "9000 days")
     return stateful.run_to_table(gates, "gates").where("l_orderkey IS NOT NULL")
+
+
+# a tile's state is the list of its slots' ends
+@query("read_slots", """WITH RECURSIVE a AS (SELECT l_returnflag AS rname, concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id, 2 * l_orderkey + l_linenumber AS s, 2 * l_orderkey + l_linenumber + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
+t AS (SELECT *, unnest(range(s // 400, (e - 1) // 400 + 1)) AS tile FROM a),
+o AS (SELECT *, greatest(s, tile * 400) AS p, row_number() OVER (PARTITION BY rname, tile ORDER BY s, id, e) AS i FROM t),
+r AS (SELECT rname, tile, i, id, p, 0::BIGINT AS slot, [e] AS ends FROM o WHERE i = 1
+  UNION ALL SELECT rname, tile, i, id, p, coalesce(free, len(ends) + 1) - 1, CASE WHEN free IS NULL THEN list_append(ends, e) ELSE list_concat(list_append(ends[:free - 1], e), ends[free + 1:]) END
+  FROM (SELECT o.*, r.ends, nullif(coalesce(list_position(list_transform(r.ends, lambda x: o.p >= x + 5), true), 0), 0) AS free FROM r JOIN o ON o.rname = r.rname AND o.tile = r.tile AND o.i = r.i + 1))
+SELECT rname, tile, id, slot, p AS placed FROM r""")
+def read_slots(spark, d):
+    li = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("rname"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), (2 * F.col("l_orderkey") + F.col("l_linenumber")).alias("s"), F.col("l_quantity").cast("bigint").alias("n"))
+    return P.read_slots(li.withColumn("e", F.col("s") + F.col("n")), "id", "rname", "s", "e", 400)
+
+
+@query("pileup_accuracy", """SELECT l_returnflag AS rname, l_linestatus AS half, count(*) AS n FROM lineitem WHERE l_partkey % 3 <> 0 AND (l_suppkey % 3 = 0 OR 1 - (l_suppkey % 5) / (12.0 + l_linenumber) >= 0.8) GROUP BY 1, 2""")
+def pileup_accuracy(spark, d):
+    """Lineitems as alignments of 9 + n matches and 3 X, a third of them without NM, a third duplicates."""
+    li = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("rname"), F.col("l_linestatus").alias("half"), F.expr("if(l_partkey % 3 = 0, 1024, 0)").alias("flag"), F.lit(60).alias("mapq"), F.expr("concat(9 + l_linenumber, 'M2I3X1D')").alias("cigar"), F.create_map(F.lit("NM"), F.expr("if(l_suppkey % 3 = 0, null, cast(l_suppkey % 5 + 3 AS string))")).alias("tags"))
+    return li.where(P.passes(min_snp_accuracy=0.8)).groupBy("rname", "half").agg(F.count("*").alias("n"))

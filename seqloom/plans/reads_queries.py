@@ -400,3 +400,46 @@ SELECT id, string_agg(text, '' ORDER BY base, code) AS mm, string_agg(probs, ','
 def encode_modbases(spark, d):
     r = _mod_reads(spark, d)
     return reads.encode_modbases(reads.decode_modbases(r, "id").where("position IS NOT NULL"), r, "id").withColumn("ml", F.array_join(F.col("ml").cast("array<string>"), ","))
+
+
+_TAGS = {
+    "RG": "concat('g', l_suppkey % 30)", "du": "nullif(l_discount, 0)", "ns": "cast(l_quantity * 100 AS int)", "ts": "l_linenumber", "ch": "if(l_partkey % 3 = 0, null, l_partkey % 512)", "mx": "l_suppkey % 4 + 1", "qs": "l_tax",
+    "pt": "if(l_partkey % 2 = 0, cast(l_quantity AS int), null)", "pa": "if(l_partkey % 2 = 0, concat('i,5,', l_linenumber, ',', cast(l_quantity AS int), ',-1,7'), null)", "er": "l_linestatus", "fn": "if(l_suppkey % 2 = 0, concat('f', l_suppkey, '.pod5'), null)",
+    "pi": "if(l_suppkey % 7 = 0, concat('p', l_suppkey), null)", "bi": "if(l_suppkey % 3 = 0, 'f,0.5,3,24,0.75,9,25,0.25', null)", "bv": "if(l_suppkey % 2 = 0, 'var1', null)", "NM": _NM, "AS": "l_partkey % 100",
+}
+_LEN = "(l_linenumber + 2 * CAST(l_quantity AS INT) + l_linenumber % 3 + 1 + 11)"
+_SUMMARY = f"""x AS (SELECT *, CASE WHEN l_partkey % 11 = 0 THEN concat('t', l_orderkey, ';c', l_linenumber) ELSE concat('r', l_orderkey) END AS qname, CAST(l_quantity AS INT) AS q,
+  CASE WHEN l_linenumber > 1 THEN CASE WHEN l_returnflag = 'R' THEN 256 ELSE 2048 END WHEN l_partkey % 5 = 0 THEN 4 WHEN l_partkey % 2 = 0 THEN 16 ELSE 0 END AS flag, CAST(l_quantity * 100 AS INT) AS ns, nullif(l_discount, 0) AS du FROM lineitem)"""
+
+
+@query("sequencing_summary", f"""WITH {_SUMMARY}, n AS (SELECT qname, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 256 <> 0) AS sec, count(*) FILTER (flag & 2048 <> 0) AS sup FROM x GROUP BY 1),
+y AS (SELECT x.*, n.mapped, n.sec, n.sup, g.*, flag & 4 = 0 AS m, {_LEN} AS len, coalesce(ns / du, 0) AS rate, coalesce(n_nationkey * 1000 + 7, 0) / 1000.0 AS start, 2 * q + 9 AS al, l_linenumber % 3 + 1 AS ins, l_linenumber % 2 + 1 AS del, 2 * q + 9 - l_suppkey % 4 AS ok,
+  CASE l_partkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'unclassified' ELSE 'barcode' || lpad(CAST(l_partkey % 96 AS VARCHAR), 2, '0') END AS arr FROM x JOIN n USING (qname) LEFT JOIN nation g ON n_nationkey = l_suppkey % 30 WHERE flag & 2304 = 0)
+SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'f' || l_suppkey || '.pod5' ELSE 'unknown' END AS input_filename, 0 AS batch_id, CASE WHEN l_suppkey % 7 = 0 THEN 'p' || l_suppkey ELSE qname END AS parent_read_id, qname AS read_id, coalesce(n_name, '') AS run_id,
+  CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey % 512 END AS channel, l_suppkey % 4 + 1 AS mux, 0 AS minknow_events, round(start, 9) AS start_time, round(coalesce(du, 0), 9) AS duration,
+  coalesce(n_regionkey < 3, false) AS passes_filtering, round(CASE WHEN rate <> 0 THEN start + l_linenumber / rate ELSE 0 END, 9) AS template_start, CASE WHEN n_nationkey % 7 > 0 THEN (ns - l_linenumber) // (n_nationkey % 7) ELSE 0 END AS num_events_template,
+  round(CASE WHEN rate <> 0 THEN (ns - l_linenumber) / rate ELSE 0 END, 9) AS template_duration, len AS sequence_length_template, round(l_tax, 9) AS mean_qscore_template,
+  CASE WHEN l_partkey % 2 = 0 THEN q ELSE -2 END AS poly_tail_length, CASE WHEN l_partkey % 2 = 0 THEN l_linenumber ELSE -1 END AS poly_tail_start, CASE WHEN l_partkey % 2 = 0 THEN q ELSE -1 END AS poly_tail_end, -1 AS poly_tail2_start, CASE WHEN l_partkey % 2 = 0 THEN 7 ELSE -1 END AS poly_tail2_end,
+  'not_set' AS pore_type, CASE WHEN n_regionkey > 0 THEN n_name ELSE 'unknown' END AS experiment_id, coalesce('s' || n_regionkey, '') AS sample_id, l_linestatus AS end_reason,
+  CASE WHEN l_partkey % 4 > 0 AND l_suppkey % 5 = 0 THEN 'alias' ELSE arr END AS alias, CASE WHEN l_partkey % 4 > 0 THEN 'test_sample' ELSE 'unknown' END AS type, arr AS barcode_arrangement, CASE WHEN l_partkey % 4 > 0 THEN 'KIT' ELSE 'unknown' END AS barcode_kit,
+  CASE WHEN l_partkey % 4 = 0 THEN 'unknown' WHEN l_suppkey % 2 = 0 THEN 'var1' ELSE 'n/a' END AS barcode_variant,
+  CASE WHEN b THEN 0.5 ELSE -1 END AS barcode_score, CASE WHEN b THEN 0.75 ELSE -1 END AS barcode_front_score, CASE WHEN b THEN 24 ELSE -1 END AS barcode_front_foundseq_length, CASE WHEN b THEN 3 ELSE -1 END AS barcode_front_begin_index,
+  CASE WHEN b THEN 0.25 ELSE -1 END AS barcode_rear_score, CASE WHEN b THEN 25 ELSE -1 END AS barcode_rear_foundseq_length, CASE WHEN b THEN 9 ELSE -1 END AS barcode_rear_end_index,
+  CASE WHEN m THEN l_returnflag ELSE '*' END AS alignment_genome, CASE WHEN NOT m THEN '*' WHEN flag = 16 THEN '-' ELSE '+' END AS alignment_direction, CASE WHEN m THEN l_partkey ELSE -1 END AS alignment_genome_start, CASE WHEN m THEN l_partkey + al + del ELSE -1 END AS alignment_genome_end,
+  CASE WHEN m THEN l_linenumber ELSE -1 END AS alignment_strand_start, CASE WHEN m THEN len - 2 ELSE -1 END AS alignment_strand_end, CASE WHEN m THEN ins ELSE 0 END AS alignment_num_insertions, CASE WHEN m THEN del ELSE 0 END AS alignment_num_deletions,
+  CASE WHEN m THEN al ELSE 0 END AS alignment_num_aligned, CASE WHEN m THEN ok ELSE 0 END AS alignment_num_correct, round(CASE WHEN m THEN ok / al::DOUBLE ELSE 0 END, 9) AS alignment_identity, round(CASE WHEN m THEN ok / (al + ins + del)::DOUBLE ELSE 0 END, 9) AS alignment_accuracy,
+  CASE WHEN m THEN l_partkey % 100 ELSE 0 END AS alignment_score, round(CASE WHEN m THEN (len - 2 - l_linenumber) / len::DOUBLE ELSE 0 END, 9) AS alignment_coverage, 0 AS alignment_bed_hits, CASE WHEN m THEN l_suppkey % 61 ELSE 0 END AS alignment_mapping_quality,
+  CASE WHEN m THEN mapped ELSE 0 END AS alignment_num_alignments, CASE WHEN m THEN sec ELSE 0 END AS alignment_num_secondary_alignments, CASE WHEN m THEN sup ELSE 0 END AS alignment_num_supplementary_alignments,
+  CASE WHEN l_partkey % 11 = 0 THEN 't' || l_orderkey ELSE '-' END AS duplex_parent_template, CASE WHEN l_partkey % 11 = 0 THEN 'c' || l_linenumber ELSE '-' END AS duplex_parent_complement
+FROM (SELECT *, l_partkey % 4 > 0 AND l_suppkey % 3 = 0 AS b FROM y)""")
+def sequencing_summary(spark, d):
+    """Lineitems as SAM records of an order's read, nations as read groups."""
+    li = read(spark, d, "lineitem").select(
+        F.expr("if(l_partkey % 11 = 0, concat('t', l_orderkey, ';c', l_linenumber), concat('r', l_orderkey))").alias("qname"),
+        F.expr("CASE WHEN l_linenumber > 1 THEN if(l_returnflag = 'R', 256, 2048) WHEN l_partkey % 5 = 0 THEN 4 WHEN l_partkey % 2 = 0 THEN 16 ELSE 0 END").alias("flag"),
+        F.col("l_returnflag").alias("rname"), (F.col("l_partkey") + 1).alias("pos"), (F.col("l_suppkey") % 61).alias("mapq"), F.expr(_CIGAR).alias("cigar"), F.expr(f"repeat('A', {_LEN})").alias("seq"),
+        F.create_map(*[x for t, v in _TAGS.items() for x in (F.lit(t), F.expr(v).cast("string"))]).alias("tags"),
+        F.expr("CASE l_partkey % 4 WHEN 0 THEN null WHEN 1 THEN 'unclassified' ELSE concat('BC', lpad(l_partkey % 96, 2, '0')) END").alias("barcode_name"), F.expr("if(l_suppkey % 5 = 0, 'alias', null)").alias("barcode_alias"), F.lit("test_sample").alias("barcode_type"), F.lit("KIT").alias("barcode_kit"))
+    groups = read(spark, d, "nation").select(F.expr("concat('g', n_nationkey)").alias("rg_id"), F.col("n_name").alias("run_id"), F.expr("n_nationkey * 1000L + 7").alias("start_time_ms"), (F.col("n_regionkey") < 3).alias("is_pass"), (F.col("n_nationkey") % 7).alias("stride"), F.expr("if(n_regionkey > 0, n_name, '')").alias("experiment_id"), F.expr("concat('s', n_regionkey)").alias("sample_id"))
+    out = reads.sequencing_summary(li, groups, joins.alignment_counts(li, "qname", "flag").withColumnRenamed("qname", "name"))
+    return out.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in out.dtypes])

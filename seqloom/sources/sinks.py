@@ -73,3 +73,10 @@ def vcf_lines(variants: DataFrame, contigs: DataFrame, sample: str = "SAMPLE") -
 
 def region_lines(regions: DataFrame) -> DataFrame:
     return regions.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string")).alias("value"))
+
+
+def summary_lines(summary: DataFrame) -> tuple[str, DataFrame]:
+    """(header, lines) of a summary as tab-separated text: six decimals, TRUE and FALSE."""
+    forms = {"double": lambda c: F.when(F.isnan(c), "nan").otherwise(F.format_string("%.6f", c)), "boolean": lambda c: F.upper(F.col(c).cast("string"))}
+    cells = [F.coalesce(forms.get(t, lambda c: F.col(c).cast("string"))(c), F.lit("")) for c, t in summary.dtypes]
+    return "\t".join(summary.columns), summary.select(F.concat_ws("\t", *cells).alias("value"))
