@@ -20,5 +20,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _name in ("reads_queries", "interval_queries", "pileup_queries", "variant_queries", "overlap_queries"):
+for _name in ("reads_queries", "interval_queries", "pileup_queries", "variant_queries", "overlap_queries", "progress_queries"):
     import_module(f"seqloom.plans.{_name}")
