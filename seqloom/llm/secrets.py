@@ -229,13 +229,19 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
     """docs with every secret in text masked where it stands; no row goes, n_chars follows the text.
 
     A row is known by doc_id and text, so rows of one id don't share findings.
+    Other columns keep their values whatever their names; equal rows are
+    masked alike and all stay; null and empty texts, and an empty table, are
+    given back as they are.
     """
-    columns = docs.columns
+    # other columns go by names that no inner one has
+    other = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    columns = [F.col(other.get(c, c)).alias(c) for c in docs.columns]
     flags = _scan(docs, labelled, threshold).groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).agg(F.array_sort(F.collect_set(F.struct("nth", "is_secret"))).alias("_flags"), F.bool_or("is_secret").alias("_any")).where("_any").drop("_any")
-    out = docs.join(flags, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash")), "left")
+    named = docs.select(*[F.col(f"`{c}`").alias(other.get(c, c)) for c in docs.columns])
+    out = named.join(flags, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash")), "left")
     clean = out.where("_flags IS NULL").select(*columns)
     masked = parts(out.where("_flags IS NOT NULL")).withColumn("text", F.expr(f"concat(array_join(transform(_found, (x, i) -> concat(_between[i], if(_flags[i].is_secret, '{MASK}', x))), ''), element_at(_between, -1))"))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.unionByName(masked.select(*columns))
 

@@ -289,3 +289,22 @@ def test_secret_features_by_hand(spark):
     # "alphabeta" is no dictionary word, "gamma" and "alpha" are; a word counts once 5 documents have it
     assert (key.coverage, path.coverage, path.path, path.word_before) == (0, pytest.approx(10 / 23), 1, 1)
     assert got.keys() == {key.candidate, path.candidate}
+
+
+def test_stages_keep_columns_of_inner_names(spark):
+    import corpus_pipeline
+    from seqloom.llm import secrets
+
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    names = ["doc_id", "text", "_found", "_between", "_flags", "_doc_id", "_near_id", "_near_first", "n_chars", "a.b"]
+    rows = [(1, f'we set api token = "{key}" in the old build', "f1", 1, "g", "d", 7, 8, 5, "x"), (2, "plain words of no interest to a reader at all", "f2", 2, None, "d", 7, 8, 5, "y"), (3, None, "f3", 3, "g", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _found string, _between int, _flags string, _doc_id string, _near_id int, _near_first int, n_chars bigint, `a.b` string")
+    got = secrets.redact(docs)
+    assert got.columns == names
+    got = {r[0]: r for r in got.collect()}
+    assert key not in got[1].text and got[1].n_chars == len(got[1].text) and tuple(got[1])[2:8] == rows[0][2:8] and got[1]["a.b"] == "x"
+    assert [tuple(got[i]) for i in (2, 3)] == rows[1:]
+    twice = docs.unionByName(docs.where("doc_id = 2"))
+    near = corpus_pipeline.near_duplicates(spark, twice, "")
+    assert near.columns == names and sorted(map(tuple, near.collect())) == rows
+    assert secrets.redact(docs.where("false")).count() == 0
