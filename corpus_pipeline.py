@@ -28,14 +28,19 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     SimHash BK-trees propose, the exact likeness decides. A doc_id names one
     document: its rows go or stay together, and of those with one text one stays. Rows
-    without doc_id stay.
+    without doc_id stay. Other columns keep their values whatever their names.
     """
+    # other columns go by names that no inner one has
+    other = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    columns = [other.get(c, c) for c in docs.columns]
     groups = likeness.near_components(docs.select("doc_id", "text"), SHINGLE, LIKENESS)
     named = groups.groupBy("doc_id").agg(F.min("component_id").alias("_near_first"), F.count("*").alias("_near_rows"))
-    out = docs.join(named.where("_near_first < doc_id OR _near_rows > 1").withColumnRenamed("doc_id", "_near_id"), F.col("doc_id") == F.col("_near_id"), "left").where("_near_id IS NULL OR _near_first >= _near_id")
-    once = out.where("_near_id IS NULL").select(*docs.columns)
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns)])
+    out = inner.join(named.where("_near_first < doc_id OR _near_rows > 1").withColumnRenamed("doc_id", "_near_id"), F.col("doc_id") == F.col("_near_id"), "left").where("_near_id IS NULL OR _near_first >= _near_id")
+    once = out.where("_near_id IS NULL").select(*columns)
     # only rows of repeated ids are compared
-    return once.unionByName(out.where("_near_id IS NOT NULL").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    kept = once.unionByName(out.where("_near_id IS NOT NULL").select(*columns).dropDuplicates(["doc_id", "text"]))
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, columns)])
 
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
