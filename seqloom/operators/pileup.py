@@ -84,6 +84,20 @@ def pileup(alignments: DataFrame, id_: str, strata: list[str] | None = None) ->
     return pileup_rows(alignments, id_, strata).groupBy("rname", "major", "minor", "symbol", *(strata or [])).agg(F.count("*").alias("n"))
 
 
+def datatypes(alignments: DataFrame, id_: str, known: list[str], tag: str = "DT") -> tuple[DataFrame, DataFrame]:
+    """(typed, violations): alignments with dtype, the place of their tag's value in `known`; those of no known type.
+
+    With one known type, or none, all are of type 0 and no tag is asked for.
+    violations(id_, reason) must be empty before strata of a pileup are counted.
+    """
+    if len(known) < 2:
+        return alignments.withColumn("dtype", F.lit(0)), alignments.where("false").select(id_, F.lit("").alias("reason"))
+    value = F.col("tags")[tag]
+    at = F.coalesce(F.array_position(F.lit(list(known)), value), F.lit(0)).cast("int")
+    reason = F.when(value.isNull(), f"{tag} is missing").otherwise(F.concat(F.lit(f"unknown {tag} "), value))
+    return alignments.where(at > 0).withColumn("dtype", at - 1), alignments.where(at == 0).select(id_, reason.alias("reason"))
+
+
 def depth_features(counts: DataFrame, mode: str = "total") -> DataFrame:
     """Adds depth (of the major position, also at its minors) and feature = n / depth.
 

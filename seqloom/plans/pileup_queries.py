@@ -300,3 +300,12 @@ def pileup_accuracy(spark, d):
     """Lineitems as alignments of 9 + n matches and 3 X, a third of them without NM, a third duplicates."""
     li = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("rname"), F.col("l_linestatus").alias("half"), F.expr("if(l_partkey % 3 = 0, 1024, 0)").alias("flag"), F.lit(60).alias("mapq"), F.expr("concat(9 + l_linenumber, 'M2I3X1D')").alias("cigar"), F.create_map(F.lit("NM"), F.expr("if(l_suppkey % 3 = 0, null, cast(l_suppkey % 5 + 3 AS string))")).alias("tags"))
     return li.where(P.passes(min_snp_accuracy=0.8)).groupBy("rname", "half").agg(F.count("*").alias("n"))
+
+
+@query("datatype_strata", """SELECT l_linestatus AS half, CASE l_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS dtype, CASE l_suppkey % 4 WHEN 2 THEN 'DT is missing' WHEN 3 THEN 'unknown DT t3' END AS reason, count(*) AS n FROM lineitem GROUP BY ALL""")
+def datatype_strata(spark, d):
+    """Lineitems as alignments of two known types, an unknown one and none."""
+    li = read(spark, d, "lineitem").select(F.col("l_linestatus").alias("half"), F.create_map(F.lit("DT"), F.expr("if(l_suppkey % 4 = 2, null, concat('t', l_suppkey % 4))")).alias("tags"))
+    typed, wrong = P.datatypes(li, "half", ["t0", "t1"])
+    both = typed.select("half", "dtype", F.lit(None).cast("string").alias("reason")).unionByName(wrong.select("half", F.lit(None).cast("int").alias("dtype"), "reason"))
+    return both.groupBy("half", "dtype", "reason").agg(F.count("*").alias("n"))

@@ -47,3 +47,12 @@ def test_votes_need_two_alignments(spark):
     df = spark.createDataFrame([(1, 0, "a", 5, "t", 1), (2, 0, "a", 5, "t", 2), (3, 0, "a", 1, "t", 2)], "win int, at int, symbol string, n int, target string, aligned int")
     got = P.vote(df, ["win", "at"], "symbol", "n", "target", aligned="aligned").collect()
     assert sorted((r.win, r.consensus) for r in got) == [(2, "a"), (3, "t")]
+
+
+def test_datatypes(spark):
+    df = spark.createDataFrame([(1, {"DT": "b"}), (2, {"DT": "z"}), (3, {}), (4, None), (5, {"DT": "a"})], "id int, tags map<string,string>")
+    typed, wrong = P.datatypes(df, "id", ["a", "b"])
+    assert sorted((r.id, r.dtype) for r in typed.collect()) == [(1, 1), (5, 0)]
+    assert sorted(map(tuple, wrong.collect())) == [(2, "unknown DT z"), (3, "DT is missing"), (4, "DT is missing")]
+    one, none = P.datatypes(df, "id", ["a"])
+    assert {r.dtype for r in one.collect()} == {0} and one.count() == 5 and none.count() == 0
