@@ -31,9 +31,10 @@ def coordinate_sorted(df: DataFrame, tid: str, pos: str, partitions: int) -> Dat
     return df.repartitionByRange(partitions, key.asc_nulls_last(), F.col(pos)).sortWithinPartitions(key.asc_nulls_last(), pos)
 
 
-def tag_fields(tags: str) -> Column:
-    """TAG:Z:value fields in order of tag."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(e["key"], F.lit(":Z:"), e["value"])), "\t")
+def tag_fields(tags: str, types: str | None = None) -> Column:
+    """TAG:TYPE:value fields in order of tag; tags that the map `types` lacks are text (Z)."""
+    kind = lambda tag: F.coalesce(F.col(types)[tag], F.lit("Z")) if types else F.lit("Z")
+    return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(e["key"], F.lit(":"), kind(e["key"]), F.lit(":"), e["value"])), "\t")
 
 
 def fastq_lines(df: DataFrame) -> DataFrame:
@@ -47,11 +48,19 @@ def fasta_lines(df: DataFrame, width: int = 80) -> DataFrame:
 
 
 def sam_lines(records: DataFrame, references: DataFrame) -> DataFrame:
-    """Header lines in order of name, then records by reference name and position, those without one last."""
-    head = references.select(F.lit(0).alias("part"), F.col("sn").alias("rname"), F.lit(0).cast("bigint").alias("pos"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "sn"), F.concat(F.lit("LN:"), F.col("ln").cast("string"))).alias("value"))
+    """Header lines, then records by reference and position, those without one last.
+
+    References keep the order of their column `nth` where there is one, else
+    that of their names. Tags have the types of the column `tag_types`, else Z.
+    """
+    nth = F.col("nth") if "nth" in references.columns else F.lit(0)
+    refs = references.select("sn", "ln", nth.cast("bigint").alias("nth"))
+    head = refs.select(F.lit(0).alias("part"), "nth", F.col("sn").alias("rname"), F.lit(0).cast("bigint").alias("pos"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "sn"), F.concat(F.lit("LN:"), F.col("ln").cast("string"))).alias("value"))
     fields = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-    body = records.select(F.when(F.coalesce("rname", F.lit("*")) == "*", 2).otherwise(1).alias("part"), "rname", F.col("pos").cast("bigint").alias("pos"), F.concat_ws("\t", *[F.col(f).cast("string") for f in fields], F.nullif(tag_fields("tags"), F.lit(""))).alias("value"))
-    return head.unionByName(body).orderBy("part", "rname", "pos", "value").select("value")
+    tags = tag_fields("tags", "tag_types" if "tag_types" in records.columns else None)
+    body = records.select(F.when(F.coalesce("rname", F.lit("*")) == "*", 2).otherwise(1).alias("part"), "rname", F.col("pos").cast("bigint").alias("pos"), F.concat_ws("\t", *[F.col(f).cast("string") for f in fields], F.nullif(tags, F.lit(""))).alias("value"))
+    placed = body.join(refs.select(F.col("sn").alias("_sn"), "nth").dropDuplicates(["_sn"]), F.col("rname") == F.col("_sn"), "left").select(*head.columns)
+    return head.unionByName(placed).orderBy("part", F.asc_nulls_last("nth"), "rname", "pos", "value").select("value")
 
 
 def paf_lines(df: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 TAG = r"^[A-Za-z][A-Za-z0-9]:[AifZHB]:"
 
 
-def tag_map(fields: str) -> Column:
-    """TAG:TYPE:VALUE strings as a map from tag to value; others are ignored, the last of a name wins."""
-    return F.expr(f"map_from_entries(transform(map_values(map_from_entries(transform(array_distinct(transform(filter({fields}, x -> x RLIKE '{TAG}'), x -> left(x, 2))), t -> struct(t AS k, element_at(filter({fields}, x -> left(x, 2) = t AND x RLIKE '{TAG}'), -1) AS v)))), x -> struct(left(x, 2) AS key, substr(x, 6) AS value)))")
+def tag_map(fields: str, types: bool = False) -> Column:
+    """TAG:TYPE:VALUE strings as a map from tag to value, or to type; others are ignored, the last of a name wins."""
+    taken = "substr(x, 4, 1)" if types else "substr(x, 6)"
+    return F.expr(f"map_from_entries(transform(map_values(map_from_entries(transform(array_distinct(transform(filter({fields}, x -> x RLIKE '{TAG}'), x -> left(x, 2))), t -> struct(t AS k, element_at(filter({fields}, x -> left(x, 2) = t AND x RLIKE '{TAG}'), -1) AS v)))), x -> struct(left(x, 2) AS key, {taken} AS value)))")
 
 
 def numbered_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -63,15 +64,18 @@ def fasta_index(fasta: DataFrame) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, references): 11 columns with tags, and @SQ names with lengths. `*` and 0 stand for empty fields."""
+    """(records, references): 11 columns with tags and their types, and @SQ names with lengths and a number that keeps their order.
+
+    `*` and 0 stand for empty fields.
+    """
     lines = spark.read.text(path)
     f = F.split("value", "\t")
     text = lambda i: F.coalesce(F.nullif(F.try_element_at(f, F.lit(i + 1)), F.lit("")), F.lit("*"))
     num = lambda i: F.coalesce(F.try_element_at(f, F.lit(i + 1)).try_cast("int"), F.lit(0))
     names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     records = lines.where("value NOT LIKE '@%' AND value <> ''").withColumn("_f", F.slice(f, 12, F.greatest(F.size(f), F.lit(1))))
-    records = records.select(*[(num(i) if n in ("flag", "pos", "mapq", "pnext", "tlen") else text(i)).alias(n) for i, n in enumerate(names)], tag_map("_f").alias("tags"))
-    refs = lines.where(F.col("value").startswith("@SQ\t")).select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("sn"), F.regexp_extract("value", r"\tLN:([0-9]+)", 1).cast("int").alias("ln"))
+    records = records.select(*[(num(i) if n in ("flag", "pos", "mapq", "pnext", "tlen") else text(i)).alias(n) for i, n in enumerate(names)], tag_map("_f").alias("tags"), tag_map("_f", types=True).alias("tag_types"))
+    refs = lines.where(F.col("value").startswith("@SQ\t")).select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("sn"), F.regexp_extract("value", r"\tLN:([0-9]+)", 1).cast("int").alias("ln"), F.monotonically_increasing_id().alias("nth"))
     return records, refs
 
 

@@ -322,6 +322,10 @@ def test_text_sources_and_sinks(spark, tmp_path):
     assert (r.matches, r.insertions, r.substitutions, r.genome_end) == (6, 1, 1, 8) and bad.first().qname == "s"
     assert sinks.sam_lines(recs, refs).first().value == "@SQ\tSN:c1\tLN:50"
     assert [x.value.split("\t")[0] for x in sinks.sam_lines(recs, refs).collect()] == ["@SQ", "s", "r", "q"]
+    (tmp_path / "order.sam").write_text("@SQ\tSN:c2\tLN:50\n@SQ\tSN:c1\tLN:50\na\t0\tc1\t3\t60\t1M\t*\t0\t0\tA\t!\tNM:i:2\tqs:f:1.5\tRG:Z:g\tpa:B:i,1,2\nb\t0\tc2\t9\t60\t1M\t*\t0\t0\tA\t!\nc\t0\tc0\t1\t60\t1M\t*\t0\t0\tA\t!\n")
+    lines = [x.value for x in sinks.sam_lines(*text.read_sam(spark, str(tmp_path / "order.sam"))).collect()]
+    assert [x.split("\t")[0] for x in lines] == ["@SQ", "@SQ", "b", "a", "c"] and lines[0].startswith("@SQ\tSN:c2")
+    assert lines[3].endswith("\tNM:i:2\tRG:Z:g\tpa:B:i,1,2\tqs:f:1.5")
     many = "\t".join(f"{a}{b}:i:{n}" for n, (a, b) in enumerate([(a, b) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for b in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"]))
     (tmp_path / "tags.sam").write_text(f"@SQ\tSN:c1\tLN:50\nr\t0\tc1\t3\t60\t1M\t*\t0\t0\tA\t!\t{many}\n")
     assert len(text.read_sam(spark, str(tmp_path / "tags.sam"))[0].first().tags) == 1872
