@@ -140,8 +140,8 @@ def call_variants(columns: DataFrame, keys: list[str], ambiguous: bool = False,
         "cum": F.coalesce(F.sum("_lp").over(past), F.lit(0.0)),
         "_was": F.lag("is_variant", 1, False).over(sample),
         "_grounded": F.max(F.col("minor") == 0).over(sample.rowsBetween(Window.unboundedPreceding, 0)),
-        "nxt": F.first(F.when(F.col("minor") == 0, F.struct("major", "ref", "is_variant", "i")), True).over(ahead),
     })
+    rows = rows.withColumn("nxt", F.first(F.when(F.col("minor") == 0, F.struct("major", "ref", "is_variant", "i", (F.col("cum") + F.col("_lp")).alias("to_cum"))), True).over(ahead))
     rows = rows.where("_grounded")
     # columns up to a variant and the variant itself share a number
     rows = rows.withColumn("_n", F.sum(F.when(~F.col("is_variant") & F.col("_was"), 1).otherwise(0)).over(sample.rowsBetween(Window.unboundedPreceding, 0)))
@@ -206,7 +206,9 @@ def _placed(raw: DataFrame, normalize: bool) -> DataFrame:
         rows = _let(rows, {"alleles": F.expr("transform(alleles, a -> concat(IF(ext > 0, element_at(context, -1).base, ''), a))"), "pos": F.expr("pos - ext")})
     lead = F.expr("IF(ext > 0, element_at(context, -ext), null)")
     rows = _let(rows, {"raw_ext": F.col("ext"), "rstart": F.coalesce(lead["i"], "rstart"), "from_cum": F.coalesce(lead["cum"], "from_cum")})
-    return rows.withColumn("rend", F.when(F.col("appended"), F.col("nxt.i") + 1).otherwise(F.col("rend"))).drop("ext", "appended", "context", "gap", "forced", "nxt")
+    # a base taken from the next column belongs to the range, and to its quality
+    taken = {"rend": F.col("nxt.i") + 1, "to_cum": F.col("nxt.to_cum")}
+    return rows.withColumns({n: F.when(F.col("appended"), c).otherwise(F.col(n)) for n, c in taken.items()}).drop("ext", "appended", "context", "gap", "forced", "nxt")
 
 
 def reference_rows(columns: DataFrame, keys: list[str], variants: DataFrame | None = None) -> DataFrame:

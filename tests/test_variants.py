@@ -210,3 +210,12 @@ def test_greedy_batches(spark, limit):
     for width in (7, 1 << 20):
         assert {(r.k, r.i): r.batch for r in intervals.greedy_batches(df, ["k"], ["i"], "n", limit, width).collect()} == want
     assert intervals.greedy_batches(df.where("false"), ["k"], ["i"], "n", limit).count() == 0
+
+
+def test_quality_takes_in_an_appended_base(spark):
+    """A deletion at the very start takes the next base, whose probability counts."""
+    rows = [("x", 0, i, 0, r, [c, r], [-0.1, -0.2 * (i + 1)], 0.0) for i, (r, c) in enumerate(zip("CAAC", "*AAC", strict=True))]
+    got = V.call_variants(spark.createDataFrame(rows, SCHEMA), ["k"]).collect()
+    assert [(r.pos, r.ref, r.alts, r.rend) for r in got] == [(0, "CA", ["A"], 2)]
+    # -0.1 - 0.2 of the first column, -0.1 - 0.4 of the second
+    assert got[0].qual == pytest.approx(2.59, abs=0.002)
