@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import scans
+from seqloom.session import table
 
 #: Symbols of the label scheme, and the cap of a quality.
 SYMBOLS = "*ACGT"
@@ -127,7 +128,8 @@ def call_variants(columns: DataFrame, keys: list[str], ambiguous: bool = False,
     A run of variant columns is a variant; gaps are taken out, and one that begins on an
     inserted column takes the base before it. rstart and rend are its places within the sample. With
     a merge, variants whose places overlap or touch are one: their haplotypes
-    are put together over the whole range, with the bases that the first of them took, and normalised anew. Variants whose alleles all equal
+    are put together over the whole range, with the bases that the first of them took, and normalised anew; merge_overlapping
+    does so until no two have a position in common. Variants whose alleles all equal
     the reference fall away. Inserted columns before the first major one of a sample have no
     base to stand on and are left out. qual is the Phred score of all haplotypes' calls
     over the range, at most CAP.
@@ -171,15 +173,11 @@ def call_variants(columns: DataFrame, keys: list[str], ambiguous: bool = False,
             joins = joins | (F.col("rstart") < prev)
         if merge_adjacent:
             joins = joins | (F.col("rstart") == prev)
-        out = out.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-        out = out.withColumn("_g", F.sum("_new").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
-        groups = out.groupBy(*keys, "sample", "_g").agg(F.sort_array(F.array_agg(F.struct("raw_rstart", "raw_pos", "raw_alleles", "raw_context", "raw_gap", "raw_ext", "raw_from", "raw_to", "raw_rend", "raw_nxt"))).alias("v"))
-        # bases between two of them belong to every haplotype
-        joined = "transform(sequence(0, size(v[0].raw_alleles) - 1), h -> array_join(transform(v, (x, n) -> concat(IF(n = 0, '', array_join(transform(x.raw_gap, g -> g.base), '')), x.raw_alleles[h])), ''))"
-        last = F.element_at("v", -1)
-        lead = F.col("v")[0]
-        raw = groups.select(*keys, "sample", lead["raw_pos"].alias("pos"), F.expr(joined).alias("alleles"), lead["raw_context"].alias("context"), lead["raw_gap"].alias("gap"), lead["raw_ext"].alias("forced"), lead["raw_rstart"].alias("rstart"), last["raw_rend"].alias("rend"), lead["raw_from"].alias("from_cum"), last["raw_to"].alias("to_cum"), last["raw_nxt"].alias("nxt"))
-        out = _placed(raw.where("exists(alleles, a -> a <> alleles[0])"), normalize)
+        out = table(_merged(out, keys, joins, normalize), "variants")
+        # put together they may reach farther back, over a base that the one before them took
+        meets = F.col("pos") < F.lag(F.expr("pos + length(alleles[0])")).over(by_pos)
+        while merge_overlapping and not out.select(meets.alias("meets")).where("meets").isEmpty():
+            out = table(_merged(out, keys, meets, normalize), "variants")
     qual = F.round(F.greatest(F.lit(0.0), _phred(1 - F.exp(F.col("to_cum") - F.col("from_cum")))), 3)
     out = _let(out, {"qual": qual, "ref": F.col("alleles")[0], "_calls": F.expr("slice(alleles, 2, size(alleles) - 1)")})
     # an allele that stayed empty has nothing to be written as
@@ -191,6 +189,20 @@ def call_variants(columns: DataFrame, keys: list[str], ambiguous: bool = False,
     return out.where("ref <> ''").select(*keys, "sample", "pos", "ref", "alts", gt.alias("gt"), F.round("qual").cast("int").alias("gq"), "qual", kind.alias("filter"), "rstart", "rend")
 
 
+def _merged(out: DataFrame, keys: list[str], joins: Column, normalize: bool) -> DataFrame:
+    """Rows of _placed(), each put together with the one before it in order of (pos, raw_rstart) where `joins`."""
+    by_pos = Window.partitionBy(*keys, "sample").orderBy("pos", "raw_rstart")
+    out = out.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
+    out = out.withColumn("_g", F.sum("_new").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = out.groupBy(*keys, "sample", "_g").agg(F.sort_array(F.array_agg(F.struct("raw_rstart", "raw_pos", "raw_alleles", "raw_context", "raw_gap", "raw_ext", "raw_from", "raw_to", "raw_rend", "raw_nxt"))).alias("v"))
+    # bases between two of them belong to every haplotype
+    joined = "transform(sequence(0, size(v[0].raw_alleles) - 1), h -> array_join(transform(v, (x, n) -> concat(IF(n = 0, '', array_join(transform(x.raw_gap, g -> g.base), '')), x.raw_alleles[h])), ''))"
+    last = F.element_at("v", -1)
+    lead = F.col("v")[0]
+    raw = groups.select(*keys, "sample", lead["raw_pos"].alias("pos"), F.expr(joined).alias("alleles"), lead["raw_context"].alias("context"), lead["raw_gap"].alias("gap"), lead["raw_ext"].alias("forced"), lead["raw_rstart"].alias("rstart"), last["raw_rend"].alias("rend"), lead["raw_from"].alias("from_cum"), last["raw_to"].alias("to_cum"), last["raw_nxt"].alias("nxt"))
+    return _placed(raw.where("exists(alleles, a -> a <> alleles[0])"), normalize)
+
+
 def _phred(error: Column) -> Column:
     return F.when(error <= 0, F.lit(CAP)).otherwise(F.least(-10 * F.log10(error), F.lit(CAP)))
 

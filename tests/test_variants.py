@@ -219,3 +219,20 @@ def test_quality_takes_in_an_appended_base(spark):
     assert [(r.pos, r.ref, r.alts, r.rend) for r in got] == [(0, "CA", ["A"], 2)]
     # -0.1 - 0.2 of the first column, -0.1 - 0.4 of the second
     assert got[0].qual == pytest.approx(2.59, abs=0.002)
+
+
+MEETING = [("A*C*CC*", ["**C*CCC", "A*C*ACC"]), ("AA*CACC", ["*A*ACC*", "*A*CACC"]), ("A*C*CC**", ["CAC*CC**", "**C*AC*C"]), ("A*A*AA**C", ["CAA*AA**C", "**A*CA*AC"])]
+
+
+def test_merged_variants_never_meet(spark):
+    """A merged variant that reaches back over a base the one before it took is merged with that too."""
+    cases = {str(k): c for k, c in enumerate(MEETING)}
+    got = V.call_variants(columns(spark, cases), ["k"], merge_overlapping=True, merge_adjacent=True).collect()
+    for k, (ref, haps) in cases.items():
+        mine = sorted((r for r in got if r.k == k), key=lambda r: r.pos)
+        assert mine and all(b.pos >= a.pos + len(a.ref) for a, b in zip(mine, mine[1:], strict=False)), (ref, haps)
+        assert len(mine) == 1
+        draft = ref.replace("*", "")
+        alleles = [mine[0].ref, *mine[0].alts]
+        built = {draft[: mine[0].pos] + alleles[int(x)] + draft[mine[0].pos + len(mine[0].ref) :] for x in mine[0].gt.split("/")}
+        assert built == {h.replace("*", "") for h in haps}
