@@ -5,6 +5,11 @@ more: pairs once the watermark has passed them, parents when a child names them
 can any more, groups when their last member has come. Repeated rows change nothing. The results
 are those of the batch forms, however rows were dealt to micro-batches.
 
+Keys are dealt to BUCKETS by their hash and a bucket's keys are worked on together, as frames
+of columns: a call and its state cost milliseconds, whether of one key or of thousands. A bucket's
+state is read and written whole when rows of it come. Keys travel as text, so they
+are numbers, dates or strings.
+
 State is in RocksDB; session() sets the provider where it isn't set yet.
 """
 
@@ -14,13 +19,16 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seqloom.session import ship
 
+#: Groups of keys that share a state.
+BUCKETS = 256
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,64 +42,70 @@ def session(spark: SparkSession) -> None:
     ship(spark)
 
 
-def _frames(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """rows as one frame of plain objects, none if there are no rows."""
-    if rows:
-        yield pd.DataFrame(rows, columns=columns, dtype=object)
+def _bucket(key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _load(state) -> list[pd.DataFrame]:
+    """The frame held in a value state, none if there is none."""
+    if not state.exists():
+        return []
+    with pa.ipc.open_stream(bytes(state.get()[0])) as reader:
+        return [reader.read_pandas()]
+
 
+def _hold(state, rows: pd.DataFrame) -> None:
+    """Puts rows in a value state; no rows clear it."""
+    if rows.empty:
+        state.clear()
+        return
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
 
-def _wait(processor, ms: int) -> None:
-    """Puts off the end of a key to ms, unless it already is later."""
-    if not processor.until.exists() or processor.until.get()[0] < ms:
-        processor.until.update((ms,))
-        processor.handle.registerTimer(ms)
+
+def _sent(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    if not rows.empty:
+        yield rows.reset_index(drop=True)
 
 
 class Pairs(StatefulProcessor):
     """Neighbours of a key in order of (start, id), each pair when the watermark has passed its later read.
 
-    State: the reads after the watermark by (start, id), and the last read before it.
+    State: the reads after the watermark, and the last one of each key before it (`done`).
     """
 
-    def __init__(self, key: str, max_gap_ms: int, min_length: int):
-        self.key, self.max_gap_ms, self.min_length = key, max_gap_ms, min_length
+    def __init__(self, max_gap_ms: int, min_length: int):
+        self.max_gap_ms, self.min_length = max_gap_ms, min_length
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "start bigint, id bigint", "end bigint, length bigint")
-        self.last = handle.getValueState("last", "start bigint, id bigint, end bigint, length bigint")
+        self.held = handle.getValueState("held", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                # a heartbeat has no id and moves the watermark only
-                if pd.isna(r.read):
-                    continue
-                self.waiting.updateValue((int(r.at_ms), int(r.read)), (int(r.until_ms), int(r.bases)))
-                latest = max(latest or 0, int(r.at_ms))
-        if latest is not None:
-            self.handle.registerTimer(latest)
-        yield from _frames([], [])
+        # a heartbeat isn't a read and moves the watermark only
+        new = [pdf.loc[pdf["is_read"], ["key", "start", "id", "end", "length"]].assign(done=False) for pdf in rows]
+        if any(len(n) for n in new):
+            held = pd.concat([*_load(self.held), *new]).drop_duplicates(["key", "start", "id"], keep="last")
+            _hold(self.held, held)
+            self.handle.registerTimer(int(held.loc[~held["done"], "start"].min()))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        known = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= mark)
-        before = self.last.get() if self.last.exists() else None
-        found = []
-        for (start, id_), (end, length) in known:
-            if before is not None:
-                gap = start - before[2]
-                if 0 <= gap < self.max_gap_ms and min(length, before[3]) >= self.min_length:
-                    found.append((key[0], before[1], id_, gap))
-            before = (start, id_, end, length)
-            self.waiting.removeKey((start, id_))
-        if known:
-            self.last.update(before)
-        left = [k[0] for k in self.waiting.keys()]
-        if left:
-            self.handle.registerTimer(max(left))
-        yield from _frames(found, [self.key, "template", "complement", "gap_ms"])
+        for held in _load(self.held):
+            known = held[held["done"] | (held["start"] <= mark)].sort_values(["key", "start", "id"])
+            ahead = held[~held["done"] & (held["start"] > mark)]
+            code = pd.Series(pd.factorize(known["key"])[0], known.index)
+            near, before = code == code.shift(), known[["id", "end", "length"]].shift(fill_value=0)
+            gap = known["start"] - before["end"]
+            found = near & ~known["done"] & (gap >= 0) & (gap < self.max_gap_ms) & (known["length"] >= self.min_length) & (before["length"] >= self.min_length)
+            _hold(self.held, pd.concat([known[code != code.shift(-1)].assign(done=True), ahead]))
+            if len(ahead):
+                self.handle.registerTimer(int(ahead["start"].min()))
+            yield from _sent(pd.DataFrame({"key": known["key"], "template": before["id"], "complement": known["id"], "gap_ms": gap})[found])
 
     def close(self) -> None:
         pass
@@ -106,48 +120,43 @@ def pair_reads(stream: DataFrame, key: str, time: str, id_: str, end: str, lengt
     """
     session(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
-    rows = stream.withWatermark(time, late).select(key, time, F.unix_millis(time).alias("at_ms"), F.col(id_).cast("bigint").alias("read"), F.unix_millis(end).alias("until_ms"), F.col(length).cast("bigint").alias("bases"))
-    return rows.groupBy(key).transformWithStateInPandas(Pairs(key, max_gap_ms, min_length), f"{key} {kind}, template bigint, complement bigint, gap_ms bigint", "Append", "EventTime")
+    number = lambda c, name: F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(name)
+    rows = stream.withWatermark(time, late).select(F.col(time).alias("_time"), _bucket(key), F.col(key).cast("string").alias("key"), F.col(id_).isNotNull().alias("is_read"), number(F.unix_millis(time), "start"), number(F.col(id_), "id"), number(F.unix_millis(end), "end"), number(F.col(length), "length"))
+    out = rows.groupBy("bucket").transformWithStateInPandas(Pairs(max_gap_ms, min_length), "key string, template bigint, complement bigint, gap_ms bigint", "Append", "EventTime")
+    return out.select(F.col("key").cast(kind).alias(key), "template", "complement", "gap_ms")
 
 
 class Parents(StatefulProcessor):
-    """A read waits until a child names it, or none can any more."""
+    """A read waits until a child names it, or none can any more.
+
+    State: for each id whether it came as a read, is wanted by a child and was sent, and until when it is waited for.
+    """
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.read = handle.getValueState("read", "start bigint")
-        self.wanted = handle.getValueState("wanted", "yes boolean")
-        self.sent = handle.getValueState("sent", "yes boolean")
-        self.until = handle.getValueState("until", "ms bigint")
+        self.held = handle.getValueState("held", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = None
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                at = max(at or 0, int(r.at_ms))
-                if r.is_child:
-                    self.wanted.update((True,))
-                elif not self.read.exists():
-                    self.read.update((int(r.at_ms),))
-        out = []
-        if key[0] is not None and self.read.exists() and self.wanted.exists() and not self.sent.exists():
-            self.sent.update((True,))
-            out.append((key[0], True))
-        if at is not None and key[0] is not None:
-            _wait(self, at + self.wait_ms)
-        yield from _frames(out, ["read_id", "is_parent"])
+        # a row without an id moves the watermark only
+        new = [pd.DataFrame({"read_id": p["read_id"], "read": ~p["is_child"], "wanted": p["is_child"], "sent": False, "until": p["at_ms"] + self.wait_ms}) for p in (pdf[pdf["read_id"].notna()] for pdf in rows)]
+        if any(len(n) for n in new):
+            held = pd.concat([*_load(self.held), *new]).groupby("read_id", as_index=False, sort=False).max()
+            found = held["read"] & held["wanted"] & ~held["sent"]
+            _hold(self.held, held.assign(sent=held["sent"] | found))
+            self.handle.registerTimer(int(held["until"].min()))
+            yield from _sent(held.loc[found, ["read_id"]].assign(is_parent=True))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.until.exists() and self.until.get()[0] <= timerValues.getCurrentWatermarkInMs():
-            if self.read.exists() and not self.sent.exists():
-                out.append((key[0], False))
-            for state in (self.read, self.wanted, self.sent, self.until):
-                state.clear()
-        yield from _frames(out, ["read_id", "is_parent"])
+        mark = timerValues.getCurrentWatermarkInMs()
+        for held in _load(self.held):
+            over = held["until"] <= mark
+            _hold(self.held, held[~over])
+            if not over.all():
+                self.handle.registerTimer(int(held.loc[~over, "until"].min()))
+            yield from _sent(held.loc[over & held["read"] & ~held["sent"], ["read_id"]].assign(is_parent=False))
 
     def close(self) -> None:
         pass
@@ -162,49 +171,57 @@ def tag_parents(stream: DataFrame, id_: str, children: str, time: str, wait: int
     """
     session(stream.sparkSession)
     named = F.when(F.col(children).isNotNull(), F.transform(F.split(children, ";"), lambda x: F.struct(x.alias("read_id"), F.lit(True).alias("is_child")))).otherwise(F.array(F.struct(F.col(id_).cast("string").alias("read_id"), F.lit(False).alias("is_child"))))
-    rows = stream.withWatermark(time, late).select(time, F.unix_millis(time).alias("at_ms"), F.inline(named))
-    return rows.groupBy("read_id").transformWithStateInPandas(Parents(wait), "read_id string, is_parent boolean", "Append", "EventTime")
+    rows = stream.withWatermark(time, late).select(F.col(time).alias("_time"), F.unix_millis(time).alias("at_ms"), F.inline(named)).withColumn("bucket", _bucket("read_id"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Parents(wait), "read_id string, is_parent boolean", "Append", "EventTime")
 
 
 class Gate(StatefulProcessor):
-    """A group opens once when all that was announced for it has come."""
+    """A group opens once when all that was announced for it has come.
 
-    def __init__(self, group: str, wait_ms: int):
-        self.group, self.wait_ms = group, wait_ms
+    State: the members of groups that aren't open, and for each group what was announced (-1: nothing), how many came, whether it opened, until when it is kept.
+    """
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "member bigint", "yes boolean")
-        self.count = handle.getValueState("count", "expected bigint, n bigint, opened boolean")
-        self.until = handle.getValueState("until", "ms bigint")
+        self.seen = handle.getValueState("seen", "rows binary")
+        self.held = handle.getValueState("held", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        expected, n, opened = self.count.get() if self.count.exists() else (None, 0, False)
-        at = None
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                at = max(at or 0, int(r.at_ms))
-                if not pd.isna(r.expected):
-                    expected = int(r.expected)
-                if not pd.isna(r.member) and not opened and not self.seen.containsKey((int(r.member),)):
-                    self.seen.updateValue((int(r.member),), (True,))
-                    n += 1
-        out = []
-        if not opened and expected is not None and n >= expected:
-            opened = True
-            out.append((key[0], n))
-            self.seen.clear()
-        self.count.update((expected, n, opened))
-        if at is not None:
-            _wait(self, at + self.wait_ms)
-        yield from _frames(out, [self.group, "n"])
+        new = pd.concat([pdf[["key", "at_ms", "told", "came", "value"]] for pdf in rows])
+        if new.empty:
+            return
+        groups = lambda df: df.groupby("key", as_index=False, sort=False, dropna=False)
+        held = pd.concat(_load(self.held) or [pd.DataFrame({"key": [], "expected": [], "opened": [], "until": []})])
+        mine = pd.DataFrame({"key": new["key"], "expected": new["value"].where(new["told"], -1), "opened": False, "until": new["at_ms"] + self.wait_ms})
+        # of several announcements the last one counts
+        told = pd.concat([held[["key", "expected"]], mine[["key", "expected"]]])
+        told = told[told["expected"] >= 0].drop_duplicates("key", keep="last")
+        held = groups(pd.concat([held[["key", "opened", "until"]].astype({"opened": bool, "until": "int64"}), mine[["key", "opened", "until"]]])).max().merge(told, "left", "key")
+        held["expected"] = held["expected"].fillna(-1).astype("int64")
+        seen = pd.concat([*_load(self.seen), new.loc[new["came"], ["key", "value"]]]).drop_duplicates()
+        held = held.merge(groups(seen).size().rename(columns={"size": "n"}), "left", "key")
+        held["n"] = held["n"].fillna(0).astype("int64")
+        found = ~held["opened"] & (held["expected"] >= 0) & (held["n"] >= held["expected"])
+        held["opened"] |= found
+        _hold(self.seen, seen[~seen["key"].isin(held.loc[held["opened"], "key"])])
+        _hold(self.held, held[["key", "expected", "opened", "until"]])
+        self.handle.registerTimer(int(held["until"].min()))
+        yield from _sent(held.loc[found, ["key", "n"]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # only silence since the last row ends a group
-        if self.until.exists() and self.until.get()[0] <= timerValues.getCurrentWatermarkInMs():
-            for state in (self.seen, self.count, self.until):
-                state.clear()
-        yield from _frames([], [])
+        mark = timerValues.getCurrentWatermarkInMs()
+        for held in _load(self.held):
+            over = held["until"] <= mark
+            _hold(self.held, held[~over])
+            for seen in _load(self.seen):
+                _hold(self.seen, seen[~seen["key"].isin(held.loc[over, "key"])])
+            if not over.all():
+                self.handle.registerTimer(int(held.loc[~over, "until"].min()))
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -219,7 +236,11 @@ def open_gates(announced: DataFrame, finished: DataFrame, group: str, expected:
     """
     session(announced.sparkSession)
     kind = announced.schema[group].dataType.simpleString()
-    one = announced.select(group, time, F.col(expected).cast("bigint").alias("expected"), F.lit(None).cast("bigint").alias("member"))
-    other = finished.select(group, time, F.lit(None).cast("bigint").alias("expected"), F.col(member).cast("bigint").alias("member"))
-    rows = one.unionByName(other).withWatermark(time, late).withColumn("at_ms", F.unix_millis(time))
-    return rows.groupBy(group).transformWithStateInPandas(Gate(group, wait), f"{group} {kind}, n bigint", "Append", "EventTime")
+
+    def half(df: DataFrame, value: str, told: bool) -> DataFrame:
+        here = F.col(value).isNotNull()
+        return df.select(F.col(time).alias("_time"), F.col(group).alias("group"), (here & F.lit(told)).alias("told"), (here & F.lit(not told)).alias("came"), F.coalesce(F.col(value).cast("bigint"), F.lit(0).cast("bigint")).alias("value"))
+
+    rows = half(announced, expected, True).unionByName(half(finished, member, False)).withWatermark("_time", late).select("_time", _bucket("group"), F.col("group").cast("string").alias("key"), F.unix_millis("_time").alias("at_ms"), "told", "came", "value")
+    out = rows.groupBy("bucket").transformWithStateInPandas(Gate(wait), "key string, n bigint", "Append", "EventTime")
+    return out.select(F.col("key").cast(kind).alias(group), "n")

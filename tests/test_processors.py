@@ -70,3 +70,12 @@ def test_gates_open_once(spark, tmp_path):
     f = batches(spark, tmp_path / "f", finished, "g bigint, member int, ts timestamp", 4)
     out = stateful.run_to_table(processors.open_gates(a, f, "g", "expected", "member", "ts", late="60 seconds"), "gates")
     assert sorted(tuple(r) for r in out.collect()) == [(g, n) for g, n in groups.items() if g % 4]
+
+
+def test_keys_share_a_bucket(spark, tmp_path):
+    """Three thousand groups are worked on by bucket, not each by itself."""
+    a = batches(spark, tmp_path / "a", [(g, 2, at(g)) for g in range(3000)], "g bigint, expected int, ts timestamp", 2)
+    f = batches(spark, tmp_path / "f", [(g, m, at(g + m)) for g in range(3000) for m in range(2)], "g bigint, member int, ts timestamp", 2)
+    out = processors.open_gates(a, f, "g", "expected", "member", "ts", late="4000 seconds")
+    assert processors.BUCKETS < 3000 and "bucket" in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(tuple(r) for r in stateful.run_to_table(out, "shared").collect()) == [(g, 2) for g in range(3000)]
