@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,17 +149,30 @@ def write_accounting(records: DataFrame, flag: str = "flag", duplex: str = "is_d
     )
 
 
+def _mux_ends(texts: pd.Series) -> pd.Series:
+    def end(text: str | None) -> int | None:
+        if text is None or len(text) < 100:
+            return None if text is None else len(text)
+        n = len(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1]
+        sums = np.cumsum(np.where(codes <= 40, -1, np.where(codes <= 45, 1, 10)))
+        least = sums.min()
+        # the last place of the least sum, seen from the 3' end
+        cut = n - 1 if least > -1 else n - 2 - (n - 1 - int(np.argmin(sums[::-1])))
+        return n if cut < n * 3 // 10 or cut >= n - 5 else cut
+
+    return pd.Series([end(t) for t in texts], dtype="Int32")
+
+
 def mux_trim_end(q: str) -> Column:
     """Number of bases kept of a read that a mux change ended, by its Phred+33 text.
 
     From the 3' end, qualities score -1 (<= 7), 1 (<= 12) or 10; the read is cut
     before the last place where the sum reaches its least value, -1 at most.
     All bases are kept if it has under 100, if under 30 % or all but 5 would stay.
+    A text is one vector in its row's batch; the session needs ship().
     """
-    n = f"length({q})"
-    score = "CASE WHEN ascii(c) <= 40 THEN -1 WHEN ascii(c) <= 45 THEN 1 ELSE 10 END"
-    best = f"aggregate(reverse(filter(split({q}, ''), c -> c <> '')), named_struct('sum', 0, 'least', -1, 'at', {n} - 1, 'i', {n} - 1), (a, c) -> named_struct('sum', a.sum + {score}, 'least', least(a.least, a.sum + {score}), 'at', if(a.sum + {score} <= a.least, a.i - 1, a.at), 'i', a.i - 1)).at"
-    return F.expr(f"CASE WHEN {n} < 100 THEN {n} WHEN {best} < floor({n} * 0.3) OR {best} >= {n} - 5 THEN {n} ELSE {best} END")
+    return F.pandas_udf(_mux_ends, "int")(q)
 
 
 def trim(reads: DataFrame, start: str, end: str) -> DataFrame:

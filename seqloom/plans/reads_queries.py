@@ -160,6 +160,7 @@ m AS (SELECT *, min(v) OVER (PARTITION BY doc_id) AS least FROM s),
 e AS (SELECT doc_id, n, CASE WHEN any_value(least) > -1 THEN n - 1 ELSE n - 2 - max(j) FILTER (v = least) END AS cut FROM m GROUP BY doc_id, n)
 SELECT documents.doc_id, CASE WHEN coalesce(n, 0) < 100 OR cut < floor(n * 0.3) OR cut >= n - 5 THEN length(text) ELSE cut END AS kept FROM documents LEFT JOIN e USING (doc_id)""")
 def mux_trim(spark, d):
+    ship(spark)
     return read(spark, d, "documents").select("doc_id", reads.mux_trim_end("text").alias("kept"))
 
 

@@ -86,6 +86,12 @@ def test_mux_trim(spark):
     assert one(spark, "concat(repeat('I', 30), repeat('#', 100)) AS q", reads.mux_trim_end("q")) == 130
 
 
+def test_mux_trim_counts_code_points(spark):
+    """A letter outside the basic plane is one base."""
+    assert one(spark, "concat(repeat('\U0001F600', 100), repeat('#', 20)) AS q", reads.mux_trim_end("q")) == 99
+    assert one(spark, "cast(null AS string) AS q", reads.mux_trim_end("q")) is None
+
+
 def test_modified_bases(spark):
     r = spark.createDataFrame([(1, "AATCGGAC", "A+a?,1,0;C+m.,0;", [10, 20, 30], 1, 6)], "id int, seq string, mm string, ml array<int>, s int, e int")
     got = {(x.position, x.code, x.prob) for x in reads.decode_modbases(r, "id").collect()}
