@@ -11,15 +11,13 @@ Equal vectors are one entry with a number of copies. A list with many entries is
 dealt out as pairs of blocks, so that no task holds a whole list, and nothing
 is capped. Tasks hand on numbers of links and a spanning forest, never the pairs.
 
-Lists are named by one pivot while they stay short, and by two of the first LISTS
-pivots once the entries are many (`depth`). Pivots are spread out over a bounded
+Lists are named by one pivot at every size of the input, so a pair that is found among few
+vectors is sought the same way among many. Pivots are spread out over a bounded
 sample by taking the farthest next; every vector is indexed whatever the sample holds.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,8 +31,8 @@ from seqloom.session import drop, ship, table
 LISTS, PREFIX, SHARED = 3, 8, 3
 #: Pivots, at least and at most; between, about the square root of the entries.
 PIVOTS = (64, 4096)
-#: Entries of a list, on average, over which lists are named by two pivots.
-LONG_LIST = 8192
+#: Entries of a block of a long list, at most; no result depends on it.
+LONG_LIST = 32768
 #: The sample that pivots are taken from: rows a pivot, and bytes in all.
 SAMPLE_ROWS, SAMPLE_BYTES = 4, 64_000_000
 #: Lengths of vector that get pivots of their own, most frequent first; others have one list a label.
@@ -72,22 +70,20 @@ def prefixes(rows: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Pivots of one length of vector and how its lists are named."""
+    """Pivots of one length of vector."""
 
-    def __init__(self, pivots: np.ndarray, depth: int):
-        self.pivots, self.depth = pivots, depth
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
 
     def describe(self, rows: np.ndarray):
         """(listed pivots, their lists, mask of the prefix) of each row.
 
-        Listed pivots ascend. A list is named by its pivots, first the
-        greatest. The mask has a bit for each pivot of the prefix; of more than 128
+        Listed pivots ascend. A list is named by its pivot. The mask has a bit for each pivot of the prefix; of more than 128
         pivots some share a bit, which only adds candidates.
         """
         near = prefixes(unit(rows), self.pivots, PREFIX)
         listed = np.sort(near[:, :LISTS], axis=1)
-        depth = min(self.depth, listed.shape[1])
-        lists = np.stack([sum(listed[:, c].astype(np.int64) << (13 * n) for n, c in enumerate(chosen)) for chosen in combinations(range(listed.shape[1]), depth)], 1)
+        lists = listed.astype(np.int64)
         mask = np.zeros((len(rows), 2), np.uint64)
         for c in range(near.shape[1]):
             bit = near[:, c] % 128
@@ -105,7 +101,7 @@ def fit(classes: DataFrame) -> dict[int, Index]:
         # the digest is a hash of the vector, so its order draws at random and alike every time
         sample = classes.where(F.size("vec") == dim).orderBy("d1", "d2").limit(rows).select("vec").collect()
         pivots = farthest(unit(np.array([r.vec for r in sample], np.float64)), count)
-        out[dim] = Index(pivots, 1 if LISTS * n <= LONG_LIST * len(pivots) else 2)
+        out[dim] = Index(pivots)
     return out
 
 
@@ -155,10 +151,10 @@ def _union(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 class List:
     """Entries of one list, or of two blocks of it, ordered by representative."""
 
-    def __init__(self, rep, copies, vec, listed, mask, top, depth):
+    def __init__(self, rep, copies, vec, listed, mask, top):
         self.rep, self.copies, self.vec, self.listed, self.mask = rep, copies, vec, listed, mask
         self.norm = np.sqrt((vec * vec).sum(axis=1))
-        self.top, self.depth = top, depth
+        self.top = top
 
     def _first_list(self, a, b) -> np.ndarray:
         """Whether this list is the least that entries a and b (of equal shape) are both in."""
@@ -169,7 +165,7 @@ class List:
             x = self.listed[a, i]
             for j in range(self.listed.shape[1]):
                 n += (x == self.listed[b, j]) & (x <= self.top)
-        return n == self.depth
+        return n == 1
 
     def links(self, side: np.ndarray | None, least: float):
         """(links of each entry with copies counted, owner of each entry) by verified candidates.
@@ -218,7 +214,7 @@ def links(classes: DataFrame, index: dict[int, Index], least: float, block_rows:
     of the list's length.
     """
     sizes = _listed(classes, index, narrow=True).select("label", F.size("lists").alias("of"), F.explode("lists").alias("list"))
-    hot = table(sizes.groupBy("label", "list").count().where(F.col("count") > block_rows).select(F.col("label").alias("_label"), F.col("list").alias("_list"), F.expr(f"cast(ceil(count / greatest({block_rows}, least(32 * sqrt(count), 32768))) as int)").alias("parts")), "hot")
+    hot = table(sizes.groupBy("label", "list").count().where(F.col("count") > block_rows).select(F.col("label").alias("_label"), F.col("list").alias("_list"), F.expr(f"cast(ceil(count / greatest({block_rows}, least(32 * sqrt(count), {LONG_LIST}))) as int)").alias("parts")), "hot")
     # few lists are hot; were they many, the join would shuffle
     met = F.broadcast(hot) if hot.count() <= 100_000 else hot
     dealt = _listed(classes, index, narrow=False).withColumn("list", F.explode("lists")).drop("lists")
@@ -235,11 +231,9 @@ def links(classes: DataFrame, index: dict[int, Index], least: float, block_rows:
         get = lambda c: part.column(c).combine_chunks()
         rep, d1, d2 = (get(c).to_numpy() for c in ("rep", "d1", "d2"))
         order = np.lexsort((d2, d1, rep))
-        dim = len(get("vec")[0])
-        depth = index[dim].depth if dim in index else 1
         name = get("list")[0].as_py()
         side = get("side").to_numpy()[order]
-        entries = List(rep[order], get("copies").to_numpy()[order], matrix(get("vec"), np.float64)[order], matrix(get("listed"), np.int32)[order], matrix(get("mask"), np.int64).view(np.uint64)[order], name >> (13 * (min(depth, LISTS) - 1)) if name >= 0 else -1, depth)
+        entries = List(rep[order], get("copies").to_numpy()[order], matrix(get("vec"), np.float64)[order], matrix(get("listed"), np.int32)[order], matrix(get("mask"), np.int64).view(np.uint64)[order], name)
         # a list in one block meets itself, two blocks only each other
         n, owner = entries.links(None if (side == -1).all() else side, least)
         got = np.flatnonzero(n)

@@ -308,3 +308,12 @@ def test_stages_keep_columns_of_inner_names(spark):
     near = corpus_pipeline.near_duplicates(spark, twice, "")
     assert near.columns == names and sorted(map(tuple, near.collect())) == rows
     assert secrets.redact(docs.where("false")).count() == 0
+
+
+def test_lists_are_named_alike_at_every_size(spark, monkeypatch):
+    """A list is a pivot's, however many entries there are for a pivot."""
+    monkeypatch.setattr(pivots, "LONG_LIST", 1)
+    vecs = np.random.default_rng(6).standard_normal((300, 8))
+    classes = spark.createDataFrame([(v.tolist(), i, i) for i, v in enumerate(vecs)], "vec array<double>, d1 bigint, d2 bigint")
+    listed, lists, _ = pivots.fit(classes)[8].describe(vecs)
+    assert lists.tolist() == listed.tolist()
