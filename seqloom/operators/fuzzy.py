@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.placement import place
 from seqloom.functions.scalars import reverse_complement
-from seqloom.session import ship, table
+from seqloom.operators.superkmers import stretches
+from seqloom.session import drop, ship, table
 
 #: Windows and limits of barcode classification.
 WINDOW, PAD_LEFT, PAD_RIGHT = 175, 5, 10
@@ -130,6 +133,10 @@ def umi(reads: DataFrame, id_: str, trim_start: str, pattern: str = "TTTVVVVTTVV
     return sure.unionByName(rest.select(id_, F.expr("substr(win, p.start + 1, p.end - p.start)").alias("umi"), "score"))
 
 
+#: Rounds in which k-mers are counted, so that the disk holds the shuffled stretches of one, and the letters of a task.
+ROUNDS, TASK_LETTERS = 4, 1 << 20
+
+
 def kmer_pairs(docs: DataFrame, id_: str, text: str, k: int, top: float, min_shared: int) -> DataFrame:
     """(a, b, shared): pairs of different texts that share at least min_shared distinct k-mers, a < b.
 
@@ -138,28 +145,54 @@ def kmer_pairs(docs: DataFrame, id_: str, text: str, k: int, top: float, min_sha
     most frequent ones, a fraction `top`, make no pairs: their frequency is the
     cut-off, taken from the counts of the whole table. A group of copies loses no
     link. Of different texts under one least id the one of least digest counts.
+
+    Texts are shuffled as stretches of k-mers with one least m-mer, not as k-mers, and
+    k-mers of one bucket that occur in the same texts are kept once, with their number.
     """
     rows = docs.where(F.col(id_).isNotNull() & F.col(text).isNotNull()).select(F.col(id_).alias("_id"), F.col(text).alias("_text"), F.sha2(text, 256).alias("_key"))
     first = rows.groupBy(F.col("_key").alias("_first")).agg(F.min("_id").alias("a"))
     copies = rows.select("_key", F.col("_id").alias("b")).join(first, F.col("_key") == F.col("_first")).where("a <> b").select("a", "b", F.lit(None).cast("bigint").alias("shared"))
-    texts = rows.join(first, (F.col("_key") == F.col("_first")) & (F.col("_id") == F.col("a"))).where(F.length("_text") >= k).groupBy("a").agg(F.min_by("_text", "_key").alias("_text"))
-    grams = table(texts.select("a", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))).alias("kmer")), "kmers")
-    counts = table(grams.groupBy("kmer").agg(F.count("*").alias("n")), "kmer_counts")
-    # one row for each frequency that occurs
-    histogram = sorted(((r[0], r[1]) for r in counts.groupBy("n").agg(F.count("*")).collect()), reverse=True)
+    # an id twice over with its text stays twice, as k-mers are counted once for each id
+    one = first.groupBy("a").agg(F.min("_first").alias("_first"))
+    texts = table(rows.where(F.length("_text") >= k).join(one, (F.col("_key") == F.col("_first")) & (F.col("_id") == F.col("a"))).select("a", "_text"), "texts")
+    letters = texts.agg(F.sum(F.length("_text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), letters // ROUNDS // TASK_LETTERS)
+    tables, alone = [], 0
+    for i in range(ROUNDS):
+        seen = Observation()
+        tables.append(table(_shared_kmers(stretches(texts, "a", "_text", k, i, ROUNDS).repartition(parts, "bucket"), k, seen), "kmers"))
+        alone += seen.get["alone"]
+    drop(texts)
+    seeds = reduce(DataFrame.unionByName, tables)
+    # one row for each frequency that occurs; each k-mer has a row for each of its n texts
+    by_n = seeds.groupBy("n").agg((F.sum("same") / F.col("n")).cast("bigint").alias("kmers"))
+    histogram = sorted([(r["n"], r["kmers"]) for r in by_n.collect()] + [(1, alone)] * (alone > 0), reverse=True)
     passed, cut = int(sum(c for _, c in histogram) * top), 0
     for n, c in histogram:
         cut = n
         passed -= c
         if passed < 0:
             break
-    seeds = counts.where(F.col("n").between(2, cut)).select("kmer")
-    seeded = grams.join(seeds, "kmer")
+    seeded = seeds.where(F.col("n") <= cut)
     # a seed's pairs stream out of the join and are counted before they are shuffled; no row holds them
-    met = seeded.join(seeded.select(F.col("a").alias("b"), "kmer"), "kmer").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    met = seeded.select("a", "kmer", "same").join(seeded.select(F.col("a").alias("b"), "kmer"), "kmer").where("a < b").groupBy("a", "b").agg(F.sum("same").alias("shared"))
     return met.where(F.col("shared") >= min_shared).unionByName(copies)
 
 
+def _shared_kmers(pieces: DataFrame, k: int, seen: Observation) -> DataFrame:
+    """(kmer, a, n, same): texts of k-mers that n >= 2 of them have, one k-mer for all `same` of its bucket in just these.
+
+    pieces are dealt by bucket, so each step stays in its task. `seen` gets `alone`, the number of k-mers of one text.
+    """
+    grams = pieces.select("bucket", "a", F.explode(F.expr(f"transform(sequence(1, length(piece) - {k - 1}), i -> xxhash64(substr(piece, i, {k})))")).alias("kmer")).distinct()
+    each = Window.partitionBy("bucket", "kmer")
+    grams = grams.withColumns({"n": F.count("*").over(each), "_x": F.bit_xor(F.xxhash64("a")).over(each), "_y": F.bit_xor(F.xxhash64("a", F.lit(1))).over(each)})
+    grams = grams.observe(seen, F.count_if(F.col("n") == 1).alias("alone")).where("n > 1")
+    alike = Window.partitionBy("bucket", "n", "_x", "_y")
+    grams = grams.withColumns({"_least": F.min("kmer").over(alike), "same": (F.count("*").over(alike) / F.col("n")).cast("bigint")})
+    return grams.where("kmer = _least").select("kmer", "a", "n", "same")
+
+
 def expand_barcodes(kits: DataFrame) -> DataFrame:
     """(kit, name) for first_index..last_index through a pattern like BC%02i."""
     return kits.withColumn("i", F.explode(F.expr("sequence(first_index, last_index)"))).select("kit", F.expr("format_string(replace(barcode1_pattern, '%02i', '%02d'), i)").alias("name"))

@@ -10,6 +10,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for shuffle files of a query that is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHIPPED: set[str] = set()
 _PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
@@ -54,11 +56,21 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and return it as read from there.
 
-    This ends the lineage: a lost executor costs a re-read, not a re-run.
+    This ends the lineage: a lost executor costs a re-read, not a re-run. What was
+    shuffled for it goes from the disk as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # a plan takes the setting from when it was made
+        df.select("*").write.parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out), path)
     return out
