@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions import cigars
 from seqloom.functions.scalars import cigar_ops, sums_before
 from seqloom.session import ship
 
@@ -167,19 +169,53 @@ def cut_to_query(alignments: DataFrame, id_: str, start: str, end: str) -> DataF
 def overlap_windows(overlaps: DataFrame, id_: str, size: int) -> DataFrame:
     """(id_, win, matches, mismatches, ins, del, longest indel, accuracy) per window of the target.
 
-    overlaps: id_, pos, cigar, tlen. A run that crosses a border is cut there.
+    overlaps: id_, pos, cigar, tlen, a row for each overlap. A run that crosses a border is cut there.
     First and last windows count only if the overlap reaches within a tenth of
-    the window's far border; overlaps shorter than a window are dropped.
+    the window's far border; overlaps shorter than a window are dropped. A row's windows are
+    made in its batch, so nothing is shuffled.
     """
-    ops = exploded(overlaps, id_)
-    span = ops.groupBy(id_).agg(F.min("r0").alias("t0"), F.max(F.expr("r0 + if(instr('MDN=X', op) > 0, len, 0)")).alias("t1")).where(F.col("t1") - F.col("t0") >= size)
-    ops = ops.join(span, id_).withColumn("takes", F.expr("instr('MDN=X', op) > 0"))
-    cut = ops.withColumn("win", F.explode(F.expr(f"sequence(cast(r0 div {size} AS bigint), cast(if(takes, r0 + len - 1, r0) div {size} AS bigint))")))
-    cut = cut.withColumn("n", F.expr(f"if(takes, least(r0 + len, (win + 1) * {size}) - greatest(r0, win * {size}), len)"))
-    took = lambda kinds: F.sum(F.expr(f"if(instr('{kinds}', op) > 0, n, 0)"))
-    rows = cut.groupBy(id_, "win", "t0", "t1", "tlen").agg(took("M=").alias("matches"), took("X").alias("mismatches"), took("I").alias("ins"), took("D").alias("del"), F.max(F.expr("if(op IN ('I', 'D'), len, 0)")).alias("longest_indel"))
-    reaches = F.expr(f"t0 <= win * {size} + {size} / 10 AND t1 >= least(tlen, (win + 1) * {size}) - {size} / 10")
-    return rows.where(reaches).withColumn("accuracy", F.expr("try_divide(matches, matches + mismatches + ins + del)")).drop("t0", "t1", "tlen")
+    ship(overlaps.sparkSession)
+    counts = {"matches": b"M=", "mismatches": b"X", "ins": b"I", "del": b"D"}
+    tables = {n: cigars.kinds(c) for n, c in counts.items()}
+    indel = cigars.kinds(b"ID")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in cigars.chunks(pdf, "cigar"):
+                row, op, n = cigars.operations(part["cigar"])
+                takes = cigars.TARGET[op]
+                at = cigars.sums_before(np.where(takes, n, 0), row) + part["pos"].to_numpy(np.int64)[row]
+                end = at + np.where(takes, n, 0)
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                if not len(first):
+                    continue
+                ops = np.diff(first, append=len(row))
+                t0, t1 = np.repeat(at[first], ops), np.repeat(np.maximum.reduceat(end, first), ops)
+                long = t1 - t0 >= size
+                row, op, n, takes, at, end, t0, t1 = (v[long] for v in (row, op, n, takes, at, end, t0, t1))
+                if not len(row):
+                    continue
+                # an operation is in all windows that it touches
+                low = at // size
+                times = np.maximum(np.where(takes, end - 1, at) // size, low) - low + 1
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, op, n, takes, at, end, t0, t1 = (np.repeat(v, times) for v in (row, op, n, takes, at, end, t0, t1))
+                win = np.repeat(low, times) + nth
+                cut = np.where(takes, np.minimum(end, (win + 1) * size) - np.maximum(at, win * size), n)
+                # windows of a row come in order
+                start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(win, prepend=0) != 0))
+                out = {c: np.add.reduceat(np.where(t[op], cut, 0), start) for c, t in tables.items()}
+                out["longest_indel"] = np.maximum.reduceat(np.where(indel[op], n, 0), start)
+                row, win, t0, t1 = (v[start] for v in (row, win, t0, t1))
+                # tenths and halves are no whole numbers
+                tlen = part["tlen"].to_numpy(np.int64)[row]
+                reach = (t0 <= win * size + size / 10) & (t1 >= np.minimum(tlen, (win + 1) * size) - size / 10)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "win": win, **out})[reach]
+
+    kind = overlaps.schema[id_].dataType.simpleString()
+    rows = overlaps.select(F.col(id_).alias("id"), F.col("pos").cast("bigint").alias("pos"), "cigar", F.col("tlen").cast("bigint").alias("tlen")).where("id IS NOT NULL AND pos IS NOT NULL AND tlen IS NOT NULL")
+    found = rows.mapInPandas(windows, f"id {kind}, win bigint, " + ", ".join(f"{c} bigint" for c in counts) + ", longest_indel int")
+    return found.select(F.col("id").alias(id_), "win", *counts, "longest_indel", F.expr("try_divide(matches, matches + mismatches + ins + del)").alias("accuracy"))
 
 
 def top_overlaps(windows: DataFrame, keys: list[str], name: str, k: int = 30, max_indel: int = 30) -> DataFrame:
