@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -74,16 +76,77 @@ def pileup_rows(alignments: DataFrame, id_: str, carry: list[str] | None = None)
     """
     kept = list(dict.fromkeys([id_, "rname", *(carry or [])]))
     reverse = F.expr("(flag & 16) <> 0")
-    reads = alignments.select(*kept, "pos", "cigar", F.when(reverse, "d").otherwise("D").alias("_gap"), F.split(F.when(reverse, F.lower("seq")).otherwise(F.upper("seq")), "").alias("_bases"))
+    reads = alignments.select(*kept, "pos", "cigar", F.when(reverse, "d").otherwise("D").alias("_gap"), F.split(F.translate(F.when(reverse, F.lower("seq")).otherwise(F.upper("seq")), "dD", "nN"), "").alias("_bases"))
     ops = exploded(reads, id_, "_bases").where("op IN ('M', '=', 'X', 'D', 'I')")
     ops = ops.select(*kept, "op", "r0", F.posexplode(F.expr("if(op = 'D', array_repeat(_gap, len), piece)")).alias("k", "symbol"))
     major, minor = F.expr("if(op = 'I', r0 - 1, r0 + k)"), F.expr("if(op = 'I', k + 1, 0)")
     return ops.select(*kept, major.alias("major"), minor.alias("minor"), "symbol").where("symbol IN ('a', 'c', 'g', 't', 'A', 'C', 'G', 'T', 'd', 'D')")
 
 
+#: Symbols of a pileup by their codes, and the code of each byte of a read (none for other letters, D among them).
+_SYMBOLS = np.array(list("acgtACGTdD"))
+_CODE = np.full(256, 255, np.uint8)
+_CODE[np.frombuffer(b"acgtACGT", np.uint8)] = range(8)
+_EMITS, _CLIPPED = cigars.kinds(b"M=XDI"), cigars.kinds(b"MIS=X")
+
+
+def _batch_counts(part: pd.DataFrame) -> pd.DataFrame:
+    """(row, major, minor, symbol, n) of a batch of rows(group, pos, reverse, cigar, seq); row is the first of its group."""
+    seq, ends = cigars.joined(part["seq"])
+    row, op, n = cigars.operations(part["cigar"])
+    q0 = cigars.sums_before(np.where(_CLIPPED[op], n, 0), row)
+    r0 = cigars.sums_before(np.where(cigars.TARGET[op], n, 0), row) + part["pos"].to_numpy(np.int64)[row]
+    gap = op == ord("D")
+    # no operation takes more than its read has
+    n = np.where(gap, n, np.clip(np.diff(ends)[row] - q0, 0, n))
+    keep = _EMITS[op] & (n > 0)
+    row, op, n, q0, r0, gap = (v[keep] for v in (row, op, n, q0, r0, gap))
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    inserted, deleted = np.repeat(op == ord("I"), n), np.repeat(gap, n)
+    row, r0, at = np.repeat(row, n), np.repeat(r0, n), np.repeat(ends[row] + q0, n) + k
+    symbol = np.where(deleted, 8, _CODE[seq[np.minimum(at, max(len(seq) - 1, 0))] if len(seq) else np.zeros(len(at), np.uint8)])
+    # codes of one case are four apart, those of gaps one
+    reverse = part["reverse"].to_numpy(bool)[row]
+    symbol = np.where(symbol == 255, 255, np.where(deleted, 9 - reverse, symbol % 4 + np.where(reverse, 0, 4)))
+    major, minor = np.where(inserted, r0 - 1, r0 + k), np.where(inserted, k + 1, 0)
+    group = part["group"].to_numpy()[row]
+    known = symbol < 10
+    group, major, minor, symbol, row = (v[known] for v in (group, major, minor, symbol, row))
+    if not len(row):
+        return pd.DataFrame()
+    order = np.lexsort((symbol, minor, major, group))
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for v in (group, major, minor, symbol):
+        new[1:] |= np.diff(v[order]) != 0
+    start = np.flatnonzero(new)
+    first = order[start]
+    return pd.DataFrame({"row": row[first], "major": major[first], "minor": minor[first], "symbol": _SYMBOLS[symbol[first]], "n": np.diff(start, append=len(order))})
+
+
 def pileup(alignments: DataFrame, id_: str, strata: list[str] | None = None) -> DataFrame:
-    """(rname, major, minor, symbol, n), by further columns `strata` of alignments if given."""
-    return pileup_rows(alignments, id_, strata).groupBy("rname", "major", "minor", "symbol", *(strata or [])).agg(F.count("*").alias("n"))
+    """(rname, major, minor, symbol, n), by further columns `strata` of alignments if given.
+
+    Counts of pileup_rows(), made in each batch before they are added up, so that no base is a row.
+    Alignments without a place have none.
+    """
+    ship(alignments.sparkSession)
+    by = list(dict.fromkeys(["rname", *(strata or [])]))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in cigars.chunks(pdf, "cigar", "seq"):
+                found = _batch_counts(part.assign(group=part.groupby(by, dropna=False, sort=False).ngroup()))
+                if len(found):
+                    head = part[by].iloc[found["row"].to_numpy()].reset_index(drop=True)
+                    yield pd.concat([head, found[["major", "minor", "symbol", "n"]]], axis=1)
+
+    reverse = F.coalesce(F.expr("(flag & 16) <> 0"), F.lit(False)).alias("reverse")
+    rows = alignments.where(F.col("pos").isNotNull()).select(*by, F.col("pos").cast("bigint").alias("pos"), reverse, "cigar", "seq")
+    kinds = ", ".join(f"`{c}` {alignments.schema[c].dataType.simpleString()}" for c in by)
+    found = rows.mapInPandas(count, f"{kinds}, major bigint, minor int, symbol string, n bigint")
+    keys = ["rname", "major", "minor", "symbol", *[c for c in by if c != "rname"]]
+    return found.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def datatypes(alignments: DataFrame, id_: str, known: list[str], tag: str = "DT") -> tuple[DataFrame, DataFrame]:
@@ -109,8 +172,10 @@ def depth_features(counts: DataFrame, mode: str = "total") -> DataFrame:
     keys = ["rname", "major"]
     if mode == "fwd_rev":
         counts, keys = counts.withColumn("_rev", reverse), [*keys, "_rev"]
-    depth = counts.where("minor = 0").groupBy(*keys).agg(F.sum("n").alias("depth"))
-    out = counts.join(depth, keys, "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    # counts are made once: a position's symbols are a few rows, and keys with nulls have no depth, as in a join
+    depth = F.sum(F.when(F.col("minor") == 0, F.col("n"))).over(Window.partitionBy(*keys))
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    out = counts.withColumn("depth", F.coalesce(F.when(known, depth), F.lit(0)))
     feature = F.col("n").cast("double") if mode == "none" else F.col("n") / F.greatest("depth", F.lit(1))
     return out.withColumn("feature", feature).drop("_rev")
 
