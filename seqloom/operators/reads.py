@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.scalars import alignment_counts, barcode_name, cigar_ops, op_sum, sums_before
+from seqloom.functions.scalars import alignment_counts, barcode_name, cigar_ops, op_sum
+from seqloom.session import ship
 
 
 def read_filter(reads: DataFrame, id_: str, quality: str, length: str, min_quality: float = 0, min_length: int = 0, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -203,30 +210,144 @@ def decode_modbases(reads: DataFrame, id_: str) -> DataFrame:
     over all groups. Several codes of one group share its skips and take their
     probabilities in turn.
     """
-    groups = reads.select(id_, "seq", "ml", F.posexplode(F.filter(F.split("mm", ";"), lambda x: x != "")).alias("g", "group"))
-    groups = groups.select(id_, "seq", "ml", "g", F.split("group", ",").alias("f")).withColumns({"base": F.expr("left(f[0], 1)"), "codes": F.regexp_extract(F.col("f")[0], r"[+-]([a-zA-Z]+|[0-9]+)", 1), "context": F.expr("CASE WHEN right(f[0], 1) IN ('?', '.') THEN right(f[0], 1) ELSE '.' END")})
-    groups = groups.withColumn("codes", F.expr("CASE WHEN codes RLIKE '^[0-9]+$' THEN array(codes) ELSE filter(split(codes, ''), x -> x <> '') END"))
-    groups = groups.withColumn("used", F.expr("greatest(0, size(f) - 1) * size(codes)"))
-    w = Window.partitionBy(id_).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("from", F.coalesce(F.sum("used").over(w), F.lit(0)))
-    skips = "transform(slice(f, 2, greatest(size(f) - 1, 0)), x -> cast(x as bigint))"
-    places = "filter(transform(split(seq, ''), (x, i) -> if(x = base OR base = 'N', i, null)), i -> i IS NOT NULL)"
-    # what a group says is put together in its row, so that no hit carries the read along
-    at = f"transform(array(struct({skips} AS s, {places} AS p)), y -> transform(array({sums_before('y.s')}), q -> transform(y.s, (x, k) -> try_element_at(y.p, cast(q[k] + x + k + 1 as int))))[0])[0]"
-    hits = groups.where("size(f) > 1").withColumn("at", F.expr(at))
-    hits = hits.select(id_, "base", "context", "codes", F.explode(F.expr("transform(at, (p, k) -> struct(p AS position, slice(ml, cast(from + k * size(codes) + 1 as int), size(codes)) AS probs))")).alias("h"))
-    coded = hits.select(id_, "base", "context", "h.position", "h.probs", F.posexplode("codes").alias("c", "code"))
-    return coded.select(id_, "position", "base", "code", "context", F.expr("get(probs, c)").alias("prob"))
+    ship(reads.sparkSession)
+    kinds = [reads.schema[id_].dataType, reads.schema["ml"].dataType.elementType]
+    schema = "id {0}, position int, base string, code string, context string, prob {1}".format(*(k.simpleString() for k in kinds))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = schema_of(batch.schema.field("id").type, batch.schema.field("ml").type.value_type)
+            out = [[] for _ in schema]
+            ids, seqs, mms = (_values(c) for c in batch.columns[:3])
+            probs, ends = _values(batch.column(3).flatten()), [0, *np.cumsum(batch.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()]
+            for name, seq, mm, i, j in zip(ids, seqs, mms, ends, ends[1:]):
+                hits = _hits(seq or "", mm or "", probs[i:j])
+                for column, found in zip(out, ([name] * len(hits[0]), *hits)):
+                    column += found
+                if len(out[0]) >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                    out = [[] for _ in schema]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    def schema_of(id_type: pa.DataType, prob: pa.DataType) -> pa.Schema:
+        return pa.schema([("id", id_type), ("position", pa.int32()), ("base", pa.string()), ("code", pa.string()), ("context", pa.string()), ("prob", prob)])
+
+    rows = reads.select(F.col(id_).alias("id"), "seq", "mm", "ml")
+    return rows.mapInArrow(decode, schema).withColumnRenamed("id", id_)
+
+
+#: Rows that go back to Spark at a time.
+BATCH = 1 << 15
+_CODES = re.compile("[+-]([a-zA-Z]+|[0-9]+)")
+
+
+def _values(column: pa.Array) -> list:
+    """A column as a list; without nulls by way of its array, which is quicker."""
+    return column.to_pylist() if column.null_count or pa.types.is_nested(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
+@lru_cache(4096)
+def _head(head: str) -> tuple[str, list[str], str]:
+    """(base, codes, context) of the first part of a group."""
+    found = _CODES.search(head)
+    found = found[1] if found else ""
+    return head[:1], [found] if found[:1].isdigit() else list(found), head[-1] if head[-1:] in ("?", ".") else "."
+
+
+def _hits(seq: str, mm: str, ml: Sequence) -> tuple[list, list, list, list, list]:
+    """Positions, bases, codes, contexts and probabilities of a read; null where there are too few places or probabilities."""
+    positions, bases, coded, contexts, places = [], [], [], [], {}
+    for group in mm.split(";"):
+        if not group:
+            continue
+        head, *skips = group.split(",")
+        base, codes, context = _head(head)
+        if base not in places:
+            places[base] = range(len(seq)) if base == "N" else [i for i, c in enumerate(seq) if c == base]
+        at, k, n = places[base], -1, len(codes)
+        for skip in skips:
+            k += int(skip) + 1
+            positions += [at[k] if 0 <= k < len(at) else None] * n
+        coded += codes * len(skips)
+        bases += [base] * (n * len(skips))
+        contexts += [context] * (n * len(skips))
+    n = len(positions)
+    return positions, bases, coded, contexts, ml[:n] if len(ml) >= n else [*ml, *[None] * (n - len(ml))]
 
 
 def encode_modbases(mods: DataFrame, reads: DataFrame, id_: str) -> DataFrame:
-    """(id_, mm, ml) from decode_modbases() rows; groups in order of base and code."""
-    groups = mods.groupBy(id_, "base", "code", "context").agg(F.sort_array(F.array_agg(F.struct("position", "prob"))).alias("h")).join(reads.select(id_, "seq"), id_)
-    counts = sums_before("transform(split(seq, ''), c -> if(c = base OR base = 'N', 1L, 0L))")
-    skips = f"transform(array({counts}), n -> transform(h, (x, i) -> n[x.position] - if(i > 0, n[h[i - 1].position] + 1, 0L)))[0]"
-    groups = groups.withColumn("text", F.expr(f"concat(base, '+', code, context, ',', array_join(cast({skips} as array<string>), ','), ';')"))
-    whole = groups.groupBy(id_).agg(F.sort_array(F.array_agg(F.struct("base", "code", "text", F.expr("transform(h, x -> x.prob)").alias("p")))).alias("g"))
-    return whole.select(id_, F.expr("array_join(transform(g, x -> x.text), '')").alias("mm"), F.expr("flatten(transform(g, x -> x.p))").alias("ml"))
+    """(id_, mm, ml) from decode_modbases() rows; groups in order of base and code.
+
+    A read's sequence and rows come one after another in its task and are written as they pass by.
+    """
+    ship(reads.sparkSession)
+    kinds = {c: mods.schema[c].dataType.simpleString() for c in (id_, "prob")}
+    null = F.lit(None)
+    hits = mods.select(F.col(id_).alias("id"), null.cast("string").alias("seq"), "base", "code", "context", F.col("position").cast("bigint").alias("position"), "prob")
+    seqs = reads.where("seq IS NOT NULL").select(F.col(id_).alias("id"), "seq", *[null.cast(t).alias(c) for c, t in (("base", "string"), ("code", "string"), ("context", "string"), ("position", "bigint"), ("prob", kinds["prob"]))])
+    rows = hits.unionByName(seqs).where("id IS NOT NULL").repartition("id").sortWithinPartitions("id", F.col("seq").isNull(), "base", "code", "context", "position", "prob")
+    # one text for what a group begins with; -1 for no place
+    rows = rows.select("id", F.coalesce("seq", F.lit("")).alias("seq"), F.col("seq").isNotNull().alias("is_seq"), F.coalesce("base", F.lit("")).alias("base"), F.coalesce(F.concat("base", F.lit("+"), "code", "context", F.lit(",")), F.lit("")).alias("head"), F.coalesce("position", F.lit(-1).cast("bigint")).alias("position"), "prob")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, whole, schema = None, None, None
+        mm, key, last, skips, n = [], None, 0, [], 0
+        ids, texts, ends, probs = [], [], [0], []
+
+        def flush() -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(probs[: ends[-1]], schema.field("ml").type.value_type))
+            out = pa.RecordBatch.from_arrays([pa.array(ids, schema.field("id").type), pa.array(texts, pa.string()), lists.cast(schema.field("ml").type)], schema=schema)
+            del probs[: ends[-1]]
+            ids.clear()
+            texts.clear()
+            ends[:] = [0]
+            return out
+
+        def close() -> None:
+            if key:
+                mm.append(key + ",".join(skips) + ";")
+
+        def done() -> None:
+            close()
+            ids.append(now)
+            texts.append("".join(mm))
+            ends.append(len(probs))
+
+        for batch in batches:
+            if schema is None:
+                schema = pa.schema([("id", batch.schema.field("id").type), ("mm", pa.string()), ("ml", pa.list_(batch.schema.field("prob").type))])
+            known = batch.column(6)
+            columns = [_values(c) for c in batch.columns[:6]]
+            # nulls of the rows that hold sequences, of which nothing is taken
+            columns.append(known.to_pylist() if pc.sum(pc.and_(known.is_null(), pc.invert(batch.column(2)))).as_py() else known.fill_null(0).to_numpy(zero_copy_only=False).tolist())
+            for name, seq, is_seq, base, head, position, prob in zip(*columns):
+                if name != now:
+                    if n:
+                        done()
+                        if len(probs) >= BATCH:
+                            yield flush()
+                    now, whole, mm, key, n = name, None, [], None, 0
+                if is_seq:
+                    whole = seq
+                    continue
+                if whole is None:
+                    continue
+                if key != head:
+                    close()
+                    key, last, skips = head, 0, []
+                # bases from the last place, itself not counted, up to this one
+                if position >= 0 and last >= 0:
+                    skips.append(str((position - last if base == "N" else whole.count(base, last, position)) - (len(skips) > 0)))
+                last = position
+                probs.append(prob)
+                n += 1
+        if n:
+            done()
+        if ids:
+            yield flush()
+
+    return rows.mapInArrow(encode, f"id {kinds[id_]}, mm string, ml array<{kinds['prob']}>").withColumnRenamed("id", id_)
 
 
 def trim_modbases(reads: DataFrame, id_: str, start: str, end: str) -> DataFrame:

@@ -374,3 +374,17 @@ def test_streams_equal_batch(spark, tmp_path):
     g = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withColumn("want", F.when(F.col("k") == 1, 20).otherwise(21))
     assert [(r.k, r.n) for r in stateful.run_to_table(stateful.stream_complete_groups(g, "k", "want", "ts"), "g").collect()] == [(1, 20)]
     assert stateful.remaining_seconds(10, 50, {"a": 100}, 2, True) == pytest.approx(30)
+
+
+def test_modbases_are_read_without_a_shuffle_and_written_with_one(spark):
+    rows = [("r1", "ACGTCCNA", "C+mh?,0,1;A+a.,1;N+7,2", [1, 2, 3, 4, 5, 6]), ("r2", "AAAA", "C+m,3;;", [9]), ("r3", None, "A+a,0", [7]), ("r4", "CCC", None, [1]), ("r5", "CC", "C+m,0,0", None)]
+    r = spark.createDataFrame(rows, "id string, seq string, mm string, ml array<int>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    mods = reads.decode_modbases(r, "id")
+    assert "Exchange" not in plan(mods) and "Window" not in plan(mods)
+    got = sorted(((x.id, x.position, x.base, x.code, x.context, x.prob) for x in mods.collect()), key=str)
+    want = [("r1", 1, "C", "m", "?", 1), ("r1", 1, "C", "h", "?", 2), ("r1", 5, "C", "m", "?", 3), ("r1", 5, "C", "h", "?", 4), ("r1", 7, "A", "a", ".", 5), ("r1", 2, "N", "7", ".", 6), ("r2", None, "C", "m", ".", 9), ("r3", None, "A", "a", ".", 7), ("r5", 0, "C", "m", ".", None), ("r5", 1, "C", "m", ".", None)]
+    assert got == sorted(want, key=str)
+    written = reads.encode_modbases(mods.where("position IS NOT NULL"), r, "id")
+    assert "Join" not in plan(written)
+    assert {x.id: (x.mm, x.ml) for x in written.collect()} == {"r1": ("A+a.,1;C+h?,0,1;C+m?,0,1;N+7.,2;", [5, 2, 4, 1, 3, 6]), "r5": ("C+m.,0,0;", [None, None])}
