@@ -79,6 +79,8 @@ def merge_headers(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: Programs of a file that may follow one another.
 LONGEST_CHAIN = 1000
+#: Different programs of which a copy for each executor is small, some 20 MB.
+FEW_PROGRAMS = 100_000
 
 
 def merge_programs(lines: DataFrame) -> DataFrame:
@@ -90,19 +92,21 @@ def merge_programs(lines: DataFrame) -> DataFrame:
     renamed with them, so each resolves. A parent that its file doesn't have is taken for none, and
     programs that follow themselves in a circle are known by their lines alone.
     """
+    # lines of files repeat, so their tables are small as files and large in a broadcast
+    dealt = lambda df: df.hint("merge")
     rows = table(lines.select("file", "key", "line", "parent").distinct(), "programs")
     has = rows.select(F.col("file").alias("_f"), F.col("key").alias("_k")).distinct()
-    rows = rows.join(has, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k")), "left").select("file", "key", "line", F.col("_k").alias("parent"))
+    rows = rows.join(dealt(has), (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k")), "left").select("file", "key", "line", F.col("_k").alias("parent"))
     known = table(rows.where("parent IS NULL").withColumn("chain", F.sha2("line", 256)), "chains")
     done, n = known, known.count()
     for _ in range(LONGEST_CHAIN):
         if not n:
             break
         before = known.select(F.col("file").alias("_f"), F.col("key").alias("_k"), F.col("chain").alias("_c"))
-        known = table(rows.join(before, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k"))).select("file", "key", "line", "parent", F.sha2(F.concat_ws("|", "line", "_c"), 256).alias("chain")), "chains")
+        known = table(rows.join(dealt(before), (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k"))).select("file", "key", "line", "parent", F.sha2(F.concat_ws("|", "line", "_c"), 256).alias("chain")), "chains")
         n = known.count()
         done = done.unionByName(known)
-    circles = rows.join(done.select(F.col("file").alias("_f"), F.col("key").alias("_k")), (F.col("file") == F.col("_f")) & (F.col("key") == F.col("_k")), "left_anti")
+    circles = rows.join(dealt(done.select(F.col("file").alias("_f"), F.col("key").alias("_k"))), (F.col("file") == F.col("_f")) & (F.col("key") == F.col("_k")), "left_anti")
     done = done.unionByName(circles.withColumn("chain", F.sha2("line", 256)))
     # programs, not files: as many rows as there are different lines
     programs = done.select("key", "line", "chain").distinct()
@@ -110,9 +114,12 @@ def merge_programs(lines: DataFrame) -> DataFrame:
     renamed = programs.where("_nth > 1").groupBy("key").agg(F.count("*").alias("_n"))
     offset = renamed.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("key").alias("_rk"), "_off")
     programs = programs.join(offset, F.col("key") == F.col("_rk"), "left").withColumn("new_key", F.when(F.col("_nth") == 1, F.col("key")).otherwise(F.concat_ws(".", "key", (F.col("_off") + F.col("_nth") - 1).cast("string"))))
-    named = done.join(programs.select(F.col("key").alias("_pk"), F.col("chain").alias("_pc"), "new_key"), (F.col("key") == F.col("_pk")) & (F.col("chain") == F.col("_pc"))).select("file", "key", "line", "parent", "new_key")
+    programs = table(programs.select(F.col("key").alias("_pk"), F.col("chain").alias("_pc"), "new_key"), "new_keys")
+    # few programs go to the lines, never lines to the programs
+    programs = F.broadcast(programs) if programs.count() <= FEW_PROGRAMS else dealt(programs)
+    named = done.join(programs, (F.col("key") == F.col("_pk")) & (F.col("chain") == F.col("_pc"))).select("file", "key", "line", "parent", "new_key")
     up = named.select(F.col("file").alias("_f"), F.col("key").alias("_k"), F.col("new_key").alias("new_parent"))
-    return named.join(up, (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k")), "left").select("file", "key", "line", "new_key", "new_parent")
+    return named.join(dealt(up), (F.col("file") == F.col("_f")) & (F.col("parent") == F.col("_k")), "left").select("file", "key", "line", "new_key", "new_parent")
 
 
 def header_index_map(lines: DataFrame, merged: DataFrame, order: str) -> DataFrame:

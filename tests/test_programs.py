@@ -20,3 +20,12 @@ def test_programs_without_parents_or_in_circles(spark):
     got = sorted(tuple(r) for r in joins.merge_programs(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [("f", "a", "x", "a", None), ("f", "b", "y", "b", "c"), ("f", "c", "z", "c", "b")]
     assert joins.merge_programs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lines_of_files_are_not_broadcast(spark):
+    rows = [(f, f"k{i}", "CL:x", f"k{i - 1}" if i else None) for f in range(50) for i in range(3)]
+    out = joins.merge_programs(spark.createDataFrame(rows, SCHEMA))
+    assert out.count() == 150
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # files meet each other's rows by file and key; only distinct programs may be small
+    assert plan.count("strategy=merge") >= 2
