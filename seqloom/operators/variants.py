@@ -251,17 +251,18 @@ def trim_samples(positions: DataFrame, keys: list[str], region: tuple[int, int]
     """
     own = Window.partitionBy(*keys, "sample")
     at = F.struct("major", "minor")
-    cols = positions.select(*keys, "sample", "major", "minor").withColumn("i", F.row_number().over(own.orderBy("major", "minor")) - 1)
+    # columns and ends of samples are read several times below, so they are made once
+    cols = table(positions.select(*keys, "sample", "major", "minor").withColumn("i", F.row_number().over(own.orderBy("major", "minor")) - 1), "trim-columns")
     ends = cols.groupBy(*keys, "sample").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
     ends = ends.withColumns({"_major": F.col("first.major"), "_minor": F.col("first.minor"), "_less": -F.col("n")})
     order = ["_major", "_minor", "_less", "sample"]
-    ends = scans.before(ends, keys, order, {"_reach": ("max", F.col("last"))}, width)
+    ends = table(scans.before(table(ends, "trim-ends"), keys, order, {"_reach": ("max", F.col("last"))}, width), "trim-reach")
     within = F.coalesce(F.col("last") <= F.col("_reach"), F.lit(False))
     kept = scans.before(ends.where(~within), keys, order, {"_prev": ("last", F.struct("sample", "last", "n"))}, width)
     relation = F.expr("""CASE WHEN _prev IS NULL THEN 'first'
         WHEN (first.major = _prev.last.major + 1 AND first.minor = 0) OR (first.major = _prev.last.major AND first.minor = _prev.last.minor + 1) THEN 'abut'
         WHEN first <= _prev.last THEN 'overlap' ELSE 'gap' END""")
-    kept = kept.withColumn("relation", relation)
+    kept = table(kept.withColumn("relation", relation), "trim-kept")
     pairs = kept.where("relation = 'overlap'").select(*keys, F.col("_prev.sample").alias("a"), F.col("sample").alias("b"), F.col("_prev.last").alias("stop"), F.col("first").alias("begin"))
     # in the one before: from its last column not past the other's first; in the other: to its first not before the end
     left = cols.join(pairs.select(*keys, F.col("a").alias("sample"), "b", "begin"), [*keys, "sample"]).withColumn("_from", F.max(F.when(at <= F.col("begin"), F.col("i"))).over(Window.partitionBy(*keys, "sample", "b"))).where("i >= _from")
