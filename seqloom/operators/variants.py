@@ -71,15 +71,16 @@ def join_samples(columns: DataFrame, keys: list[str], width: int = scans.TILE) -
     neighbours don't adjoin, a new one begins too. `sample` becomes (major, minor)
     of the first column.
     """
-    rows = mark(columns, keys)
+    # columns are marked once, ends of samples are a row each
+    rows = table(mark(columns, keys), "marked")
     at = F.struct("major", "minor")
     calm = (F.col("minor") == 0) & ~F.col("is_variant") & (F.col("i") > 0)
     ends = rows.groupBy(*keys, "sample").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max(F.when(calm, at)).alias("split")).withColumns({"_major": F.col("first.major"), "_minor": F.col("first.minor")})
     order = ["_major", "_minor"]
-    ends = scans.before(ends, keys, order, {"_prev": ("last", F.col("last"))}, width)
+    ends = scans.before(table(ends, "sample-ends"), keys, order, {"_prev": ("last", F.col("last"))}, width)
     adjoins = F.expr("first.major = _prev.major + 1 OR (first.major = _prev.major AND first.minor = _prev.minor + 1)")
     ends = ends.withColumn("_own", F.when(F.coalesce(adjoins, F.lit(False)), None).otherwise(F.col("first")))
-    ends = scans.before(ends, keys, order, {"_open": ("last", F.coalesce("split", "_own"))}, width)
+    ends = scans.before(table(ends, "sample-starts"), keys, order, {"_open": ("last", F.coalesce("split", "_own"))}, width)
     ends = ends.select(*keys, "sample", "split", F.coalesce("_own", "_open").alias("left"))
     out = rows.drop("i", "is_variant").join(ends, [*keys, "sample"])
     return out.withColumn("sample", F.when(F.col("split").isNotNull() & (at >= F.col("split")), F.col("split")).otherwise(F.col("left"))).drop("split", "left")
