@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.functions import scalars as S
 from seqloom.operators import overlaps
 from seqloom.plans.registry import query
 from seqloom.session import read
@@ -44,9 +43,8 @@ _K, _W = 24, 17
 
 
 def _reads(spark, d):
-    dna = F.translate("text", _FROM, _TO)
-    docs = read(spark, d, "documents").select("doc_id", dna.alias("dna"))
-    return docs.select("doc_id", F.when(F.col("doc_id") % 2 == 1, S.reverse_complement("dna")).otherwise(F.col("dna")).alias("seq"))
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", overlaps.spelled(_FROM, _TO)("text", F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))).alias("seq"))
 
 
 @query("minimizers", f"""WITH {_READS},
