@@ -21,7 +21,7 @@ PIECE = 1 << 20
 #: Characters of short texts that are hashed together.
 GROUP = 1 << 17
 #: Seeds or anchors that a block sends and that a bucket holds on average; buckets at least.
-BLOCK, BUCKETS = 1 << 20, 128
+BLOCK, BUCKETS = 1 << 19, 128
 SEED = np.dtype([("hash", "<u8"), ("id", "<i8"), ("place", "<u4")])
 MEMBER = np.dtype([("id", "<i8"), ("place", "<u4")])
 ANCHOR = np.dtype([("a", "<i8"), ("b", "<i8"), ("at", "<i8")])
