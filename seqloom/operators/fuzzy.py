@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions.placement import place
 from seqloom.functions.scalars import reverse_complement
-from seqloom.operators.superkmers import stretches
+from seqloom.operators import superkmers
 from seqloom.session import drop, ship, table
 
 #: Windows and limits of barcode classification.
@@ -133,8 +134,8 @@ def umi(reads: DataFrame, id_: str, trim_start: str, pattern: str = "TTTVVVVTTVV
     return sure.unionByName(rest.select(id_, F.expr("substr(win, p.start + 1, p.end - p.start)").alias("umi"), "score"))
 
 
-#: Rounds in which k-mers are counted, so that the disk holds the shuffled stretches of one, and the letters of a task.
-ROUNDS, TASK_LETTERS = 4, 1 << 20
+#: Rounds in which k-mers are counted, so that the disk holds the shuffled stretches of one.
+ROUNDS = 2
 
 
 def kmer_pairs(docs: DataFrame, id_: str, text: str, k: int, top: float, min_shared: int) -> DataFrame:
@@ -148,49 +149,53 @@ def kmer_pairs(docs: DataFrame, id_: str, text: str, k: int, top: float, min_sha
 
     Texts are shuffled as stretches of k-mers with one least m-mer, not as k-mers, and
     k-mers of one bucket that occur in the same texts are kept once, with their number.
+    Both go in blocks (operators/superkmers.py).
     """
-    rows = docs.where(F.col(id_).isNotNull() & F.col(text).isNotNull()).select(F.col(id_).alias("_id"), F.col(text).alias("_text"), F.sha2(text, 256).alias("_key"))
-    first = rows.groupBy(F.col("_key").alias("_first")).agg(F.min("_id").alias("a"))
-    copies = rows.select("_key", F.col("_id").alias("b")).join(first, F.col("_key") == F.col("_first")).where("a <> b").select("a", "b", F.lit(None).cast("bigint").alias("shared"))
-    # an id twice over with its text stays twice, as k-mers are counted once for each id
-    one = first.groupBy("a").agg(F.min("_first").alias("_first"))
-    texts = table(rows.where(F.length("_text") >= k).join(one, (F.col("_key") == F.col("_first")) & (F.col("_id") == F.col("a"))).select("a", "_text"), "texts")
-    letters = texts.agg(F.sum(F.length("_text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), letters // ROUNDS // TASK_LETTERS)
-    tables, alone = [], 0
+    spark, kind = docs.sparkSession, docs.schema[id_].dataType
+    rows = docs.where(F.col(id_).isNotNull() & F.col(text).isNotNull()).select(F.col(id_).alias("_id"), F.col(text).alias("_text"))
+    rows = table(rows.select("*", F.sha2("_text", 256).alias("_key"), F.length("_text").alias("_size"), F.monotonically_increasing_id().alias("_row")), "texts")
+    # copies, and rows that are not searched; texts themselves are not shuffled
+    known = rows.select("_id", "_key", "_row")
+    known = table(known.join(known.groupBy(F.col("_key").alias("_lead")).agg(F.min("_id").alias("a")), F.col("_key") == F.col("_lead")).drop("_lead"), "known")
+    copies = table(known.where("a <> _id").select("a", F.col("_id").alias("b"), F.lit(None).cast("bigint").alias("shared")), "copies")
+    kept = known.where("a = _id").groupBy("a").agg(F.min_by("_row", F.struct("_key", "_row")).alias("_row"))
+    # an id twice over with its text stays once
+    spare = table(known.select("_row").join(kept, "_row", "left_anti"), "spare")
+    texts = rows.where(F.col("_size") >= k).join(spare, "_row", "left_anti")
+    if isinstance(kind, T.IntegralType):
+        names, texts = None, texts.withColumn("_n", F.col("_id").cast("bigint"))
+    else:
+        # numbers in the order of ids
+        names = table(kept.select("a").repartitionByRange("a").sortWithinPartitions("a").withColumn("_n", F.monotonically_increasing_id()), "names")
+        texts = texts.join(names, F.col("_id") == F.col("a"))
+    letters = rows.agg(F.sum("_size")).first()[0] or 0
+    buckets = max(superkmers.BUCKETS, letters // ROUNDS // superkmers.BLOCK)
+    # some buckets a task
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+    tables = []
     for i in range(ROUNDS):
-        seen = Observation()
-        tables.append(table(_shared_kmers(stretches(texts, "a", "_text", k, i, ROUNDS).repartition(parts, "bucket"), k, seen), "kmers"))
-        alone += seen.get["alone"]
-    drop(texts)
+        blocks = superkmers.stretches(texts, "_n", "_text", k, buckets, i, ROUNDS).repartition(parts, "bucket")
+        tables.append(table(superkmers.shared_kmers(blocks, k), "kmers"))
+    drop(rows, known, spare)
     seeds = reduce(DataFrame.unionByName, tables)
-    # one row for each frequency that occurs; each k-mer has a row for each of its n texts
-    by_n = seeds.groupBy("n").agg((F.sum("same") / F.col("n")).cast("bigint").alias("kmers"))
-    histogram = sorted([(r["n"], r["kmers"]) for r in by_n.collect()] + [(1, alone)] * (alone > 0), reverse=True)
-    passed, cut = int(sum(c for _, c in histogram) * top), 0
-    for n, c in histogram:
+    # one row for each frequency that occurs
+    by_n = seeds.groupBy("n").agg(F.sum("kmers").alias("kmers"), F.sum("sets").alias("sets"))
+    histogram = sorted(((r["n"], r["kmers"], r["sets"]) for r in by_n.collect()), reverse=True)
+    passed, cut = int(sum(c for _, c, _ in histogram) * top), 0
+    for n, c, _ in histogram:
         cut = n
         passed -= c
         if passed < 0:
             break
-    seeded = seeds.where(F.col("n") <= cut)
-    # a seed's pairs stream out of the join and are counted before they are shuffled; no row holds them
-    met = seeded.select("a", "kmer", "same").join(seeded.select(F.col("a").alias("b"), "kmer"), "kmer").where("a < b").groupBy("a", "b").agg(F.sum("same").alias("shared"))
-    return met.where(F.col("shared") >= min_shared).unionByName(copies)
-
-
-def _shared_kmers(pieces: DataFrame, k: int, seen: Observation) -> DataFrame:
-    """(kmer, a, n, same): texts of k-mers that n >= 2 of them have, one k-mer for all `same` of its bucket in just these.
-
-    pieces are dealt by bucket, so each step stays in its task. `seen` gets `alone`, the number of k-mers of one text.
-    """
-    grams = pieces.select("bucket", "a", F.explode(F.expr(f"transform(sequence(1, length(piece) - {k - 1}), i -> xxhash64(substr(piece, i, {k})))")).alias("kmer")).distinct()
-    each = Window.partitionBy("bucket", "kmer")
-    grams = grams.withColumns({"n": F.count("*").over(each), "_x": F.bit_xor(F.xxhash64("a")).over(each), "_y": F.bit_xor(F.xxhash64("a", F.lit(1))).over(each)})
-    grams = grams.observe(seen, F.count_if(F.col("n") == 1).alias("alone")).where("n > 1")
-    alike = Window.partitionBy("bucket", "n", "_x", "_y")
-    grams = grams.withColumns({"_least": F.min("kmer").over(alike), "same": (F.count("*").over(alike) / F.col("n")).cast("bigint")})
-    return grams.where("kmer = _least").select("kmer", "a", "n", "same")
+    pairs = sum(n * (n - 1) // 2 * s for n, _, s in histogram if n <= cut)
+    met = superkmers.shared_pairs(seeds.where(F.col("n").between(2, cut)), pairs, min_shared)
+    if names is None:
+        met = met.withColumns({c: F.col(c).cast(kind) for c in ("a", "b")})
+    else:
+        for c in ("a", "b"):
+            met = met.withColumnRenamed(c, "_n").join(names.select("_n", F.col("a").alias(c)), "_n").drop("_n")
+        met = met.select("a", "b", "shared")
+    return met.unionByName(copies)
 
 
 def expand_barcodes(kits: DataFrame) -> DataFrame:
