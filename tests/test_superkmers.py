@@ -84,9 +84,8 @@ def test_hashes_tell_blocks_in_another_order_apart():
     grams = sorted({"".join(rng.choice(blocks) for _ in range(6)) for _ in range(20000)})
     letters = np.frombuffer("".join(grams).encode("latin-1"), np.uint8)
     for k in (24, 12, 7, 3):
-        distinct = {g[i : i + k] for g in grams for i in range(0, 24, 24 // k * k) if len(g[i : i + k]) == k}
         found = superkmers._hashes(letters, k, np.uint64)[::24]
-        assert len(set(found.tolist())) == len({g[:k] for g in grams}) <= len(distinct)
+        assert len(set(found.tolist())) == len({g[:k] for g in grams})
         wide = superkmers._hashes(letters.astype(np.uint32), k, np.uint64, np.arange(0, len(letters) - 23, 24))
         assert (found == wide).all()
 
